@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, token_counts, url_filter
+from . import byte_bpe, line_dedup, quality, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,12 +35,24 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    out = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "evidence", "host_posterior", "path_posterior", "p_good", "keep")
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_token_counts": op2_token_counts, "op3_byte_bpe": op3_byte_bpe, "op5_url_filter": op5_url_filter}
+    named = (op2_token_counts, op3_byte_bpe, op5_url_filter, op9_line_dedup, op10_quality)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL}
+    return {"op5_url_filter": OP5_SQL, "op9_line_dedup": OP9_SQL}
 
 
 def _alternatives(terms: tuple[str, ...]) -> str:
@@ -67,3 +79,17 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN n_strict >= 1 OR n_soft >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft
 FROM ruled"""
+
+OP9_SQL = f"""
+WITH parts AS (
+ SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+spread AS (
+ SELECT trim(line, ' ') AS key, min(struct_pack(d := doc_id, p := pos)) AS head FROM parts WHERE trim(line, ' ') <> ''
+ GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.SITES}),
+marked AS (
+ SELECT doc_id, line, pos, head IS NOT NULL AND head <> struct_pack(d := doc_id, p := pos) AS gone
+ FROM parts LEFT JOIN spread ON trim(line, ' ') = key)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
+FROM documents d LEFT JOIN (
+ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept
+ FROM marked GROUP BY doc_id) m ON d.doc_id = m.doc_id"""
