@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard, line_dedup, quality, token_counts, url_filter
+from . import byte_bpe, decontaminate, jaccard, line_dedup, quality, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return docs.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.edits")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -51,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (op2_token_counts, op3_byte_bpe, op5_url_filter, op7_jaccard_join, op9_line_dedup, op10_quality)
+    named = (op1_decontamination, op2_token_counts, op3_byte_bpe, op5_url_filter, op7_jaccard_join, op9_line_dedup, op10_quality)
     return {f.__name__: f for f in named}
 
 
