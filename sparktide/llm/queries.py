@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, jaccard, line_dedup, quality, token_counts, url_filter
+from . import byte_bpe, decontaminate, jaccard, line_dedup, pii, quality, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return out.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (op1_decontamination, op2_token_counts, op3_byte_bpe, op5_url_filter, op7_jaccard_join, op9_line_dedup, op10_quality)
+    named = (op1_decontamination, op2_token_counts, op3_byte_bpe, op5_url_filter, op6_personal_data, op7_jaccard_join, op9_line_dedup, op10_quality)
     return {f.__name__: f for f in named}
 
 
