@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, jaccard, line_dedup, pii, quality, token_counts, url_filter
+from . import byte_bpe, decontaminate, html_text, jaccard, line_dedup, pii, quality, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", "n_chars")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
@@ -64,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (op1_decontamination, op2_token_counts, op3_byte_bpe, op5_url_filter, op6_personal_data, op7_jaccard_join, op9_line_dedup, op10_quality)
+    named = (op1_decontamination, op2_token_counts, op3_byte_bpe, op5_url_filter, op6_personal_data, op7_jaccard_join, op8_html_text, op9_line_dedup, op10_quality)
     return {f.__name__: f for f in named}
 
 
