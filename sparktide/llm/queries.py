@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, jaccard, line_dedup, pii, quality, token_counts, url_filter
+from . import byte_bpe, decontaminate, html_text, jaccard, line_dedup, nearest, pii, quality, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return out.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
@@ -69,7 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (op1_decontamination, op2_token_counts, op3_byte_bpe, op5_url_filter, op6_personal_data, op7_jaccard_join, op8_html_text, op9_line_dedup, op10_quality)
+    named = (op1_decontamination, op2_token_counts, op3_byte_bpe, op4_nearest, op5_url_filter, op6_personal_data, op7_jaccard_join, op8_html_text, op9_line_dedup, op10_quality)
     return {f.__name__: f for f in named}
 
 
