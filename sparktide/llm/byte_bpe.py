@@ -24,8 +24,8 @@ from .common import bounded_batches
 from .words import span_hashes
 
 #: Code points of one block, and pieces of one of the two generations of a worker's cache.
-BLOCK_CHARS = 1 << 20
-CACHE_PIECES = 300_000
+BLOCK_CHARS = 1 << 18
+CACHE_PIECES = 150_000
 #: The code points with the property White_Space.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: What may follow an apostrophe as a contraction.
@@ -175,19 +175,21 @@ class ByteBpe:
         for token, i in self.ranks.items():
             self.token_bytes[i] = token
         self.token_size = np.array([len(t) for t in self.token_bytes], np.int64)
-        self.known: dict[bytes, int] = {}
-        self.older: dict[bytes, tuple[int, ...]] = {}
-        self._empty()
+        self._begin()
+        self.older, self.older_flat, self.older_at = self.known, self.flat, self.at
 
-    def _empty(self) -> None:
-        """Begin a new generation of the cache; pieces of the last one come over as they are seen again."""
-        self.older = {p: tuple(self.flat[self.at[k] : self.at[k + 1]].tolist()) for p, k in self.known.items()} if self.known else {}
-        self.known = {}
+    def _begin(self) -> None:
+        self.known: dict[bytes, int] = {}
         self.fresh: list[int] = []
         self.fresh_sizes: list[int] = []
-        self.flat = np.zeros(0, np.uint32)
+        self.flat = np.zeros(0, np.uint16 if len(self.token_bytes) <= 1 << 16 else np.uint32)
         self.at = np.zeros(1, np.int64)
 
+    def _empty(self) -> None:
+        """Begin a new generation of the cache; pieces of the last one come over as they are seen again."""
+        self.older, self.older_flat, self.older_at = self.known, self.flat, self.at
+        self._begin()
+
     def merge(self, piece: bytes) -> list[int]:
         """Pair merging: the neighbours of least rank first, leftmost on ties."""
         whole = self.ranks.get(piece)
@@ -240,7 +242,8 @@ class ByteBpe:
     def _number_of(self, piece: bytes) -> int:
         got = self.known.get(piece)
         if got is None:
-            ids = self.older.get(piece) or self.merge(piece)
+            before = self.older.get(piece)
+            ids = self.merge(piece) if before is None else self.older_flat[self.older_at[before] : self.older_at[before + 1]].tolist()
             got = self.known[piece] = len(self.known)
             self.fresh += ids
             self.fresh_sizes.append(len(ids))
@@ -249,7 +252,7 @@ class ByteBpe:
     def _settle(self) -> None:
         """Append what is new to the arrays of the cache."""
         if self.fresh_sizes:
-            self.flat = np.concatenate((self.flat, np.array(self.fresh, np.uint32)))
+            self.flat = np.concatenate((self.flat, np.array(self.fresh, self.flat.dtype)))
             self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(self.fresh_sizes)))
             self.fresh, self.fresh_sizes = [], []
 
@@ -276,7 +279,7 @@ class ByteBpe:
         begin, size = self.at[number], self.at[number + 1] - self.at[number]
         upto = np.concatenate(([0], np.cumsum(size)))
         index = np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)
-        ids = self.flat[index]
+        ids = self.flat[index].astype(np.uint32)
         return ids, upto[np.searchsorted(starts, text_at)]
 
     def decode(self, ids: np.ndarray) -> bytes:
