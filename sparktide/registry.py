@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparktide import queries_analysis, queries_core, queries_data
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Which symbols score 50 or more now."""
+    return queries_core.c4_opportunities(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for module in (queries_core, queries_data, queries_analysis) for name, (q, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in (queries_core, queries_data, queries_analysis) for name, (_, sql) in module.QUERIES.items() if sql is not None}
