@@ -49,12 +49,13 @@ def coverage_of(components: dict[str, Column], weights: dict[str, float]) -> Col
     return sum((F.when(components[k].isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for k, w in weights.items() if k in components), F.lit(0.0))
 
 
-def covered_score(components: dict[str, Column], weights: dict[str, float], penalty: Column | None = None) -> tuple[Column, Column]:
+def covered_score(components: dict[str, Column], weights: dict[str, float], penalty: Column | None = None, digits: int | None = 1) -> tuple[Column, Column]:
     """Score (one digit) and coverage (two): the weighted mean of what is present, shrunk toward 50 below a coverage of 0.8."""
     coverage = coverage_of(components, weights)
     mean = present_mean([(components[k], w) for k, w in weights.items() if k in components])
     score = F.coalesce(F.lit(50.0) + (mean - 50) * F.least(F.lit(1.0), coverage / 0.8), F.lit(50.0))
-    return F.bround(clamp(score - (penalty if penalty is not None else F.lit(0.0))), 1), F.bround(coverage, 2)
+    score = clamp(score - (penalty if penalty is not None else F.lit(0.0)))
+    return score if digits is None else F.bround(score, digits), F.bround(coverage, 2)
 
 
 def lean(components: dict[str, Column], weights: dict[str, float]) -> Column:

@@ -7,27 +7,50 @@ from pyspark.sql import functions as F
 
 from sparktide.functions.columns import fold
 
-#: Families that a type of event belongs to.
-DIVIDEND_TYPES = ("dividend_announcement", "ex_dividend", "dividend")
-RESULT_TYPES = ("results", "profit_warning")
-MECHANICAL_TYPES = ("ex_dividend", "market_notice", "halt", "split")
-FAMILIES = {"ex_dividend": "dividend", "dividend_announcement": "dividend", "dividend": "dividend", "results": "results", "profit_warning": "results", "market_notice": "market", "halt": "market", "capital_increase": "capital", "split": "capital", "merger": "corporate", "governance": "corporate"}
-
-#: Rules of the classifier, first match wins: event, any of these words, and all of those, impact, why.
-RULES: tuple[tuple[str, tuple[str, ...], tuple[str, ...], float, str], ...] = (
-    ("profit_warning", ("profit warning", "avertissement sur resultat"), (), -0.6, "profit warning"),
-    ("halt", ("suspension", "suspendue"), (), -0.4, "trading halt"),
-    ("ex_dividend", ("detachement",), ("dividende",), 0.0, "mechanical price adjustment"),
-    ("dividend_announcement", ("dividende", "coupon"), (), 0.4, "dividend announced"),
-    ("capital_increase", ("augmentation de capital", "emission d'actions"), (), -0.1, "capital increase"),
-    ("split", ("division du nominal", "fractionnement"), (), 0.0, "share split"),
-    ("merger", ("fusion", "acquisition", "offre publique"), (), 0.3, "merger or offer"),
-    ("results", ("resultat", "chiffre d'affaires", "benefice"), (), 0.0, "results"),
-    ("governance", ("conseil d'administration", "assemblee generale", "nomination"), (), 0.0, "governance"),
-    ("market_notice", ("avis",), (), 0.0, "market notice"),
+#: The family of each type of event; families stand for themselves.
+FAMILIES = {
+    "ex_dividend": "dividend", "dividend_payment": "dividend", "dividend_announcement": "dividend", "dividend_cut": "dividend",
+    "subscription_right": "capital_action", "capital_increase_cash": "capital_action", "capital_increase_reserves": "capital_action", "capital_increase_employees": "capital_action",
+    "capital_increase_merger": "capital_action", "merger": "capital_action", "tender_offer_buy": "capital_action", "tender_offer_withdraw": "capital_action", "public_offering": "capital_action",
+    "share_buyback": "capital_action", "stock_split": "capital_action", "profit_warning": "results", "results": "results", "trading_suspension": "trading_notice", "trading_resumption": "trading_notice", "delisting": "trading_notice",
+    "dividend": "dividend", "capital_action": "capital_action", "trading_notice": "trading_notice",
+}
+DIVIDEND_TYPES = tuple(k for k, v in FAMILIES.items() if v == "dividend")
+RESULT_TYPES = tuple(k for k, v in FAMILIES.items() if v == "results")
+#: Events whose effect on the price is arithmetic, and notices about no company.
+MECHANICAL_TYPES = ("ex_dividend", "capital_increase_reserves", "stock_split", "subscription_right")
+MARKET_TYPES = ("market_notice",)
+#: Rules on folded titles, the first match wins: event, patterns of which one must match, one that must match too.
+RULES: tuple[tuple[str, tuple[str, ...], str | None], ...] = (
+    ("profit_warning", (r"profit\s+warning", r"avertissement\s+sur\s+(?:le\s+|les\s+)?resultat"), None),
+    ("delisting", (r"\bradiation\b", r"retrait\s+de\s+la\s+cote"), None),
+    ("trading_suspension", (r"suspension\s+de\s+(?:la\s+)?cotation", r"suspension\s+de\s+cours"), None),
+    ("trading_resumption", (r"reprise\s+de\s+(?:la\s+)?cotation",), None),
+    ("dividend_cut", (r"(?:reduction|baisse|diminution)\s+du\s+dividende", r"suspension\s+du\s+dividende", r"non\s+distribution\s+du\s+dividende"), None),
+    ("ex_dividend", (r"detachement\s+d(?:u|e)\s+(?:dividende|coupon)", r"detachement\s+du\s+droit"), None),
+    ("dividend_payment", (r"mise\s+en\s+paiement", r"paiement\s+du\s+dividende"), None),
+    ("subscription_right", (r"droits?\s+de\s+souscription",), None),
+    ("capital_increase_reserves", (r"incorporation\s+de\s+reserves",), None),
+    ("capital_increase_employees", (r"augmentation\s+de\s+capital",), r"reservee?\s+aux\s+salaries"),
+    ("capital_increase_merger", (r"augmentation\s+de\s+capital",), r"fusion|absorption|apport"),
+    ("capital_increase_cash", (r"augmentation\s+de\s+capital",), None),
+    ("share_buyback", (r"rachat\s+d'actions", r"programme\s+de\s+rachat"), None),
+    ("stock_split", (r"division\s+du\s+nominal", r"division\s+de\s+la\s+valeur\s+nominale", r"\bsplit\b"), None),
+    ("tender_offer_buy", (r"\bopa\b", r"offre\s+publique\s+d'achat"), None),
+    ("tender_offer_withdraw", (r"\bopr\b", r"offre\s+publique\s+de\s+retrait"), None),
+    ("public_offering", (r"\bopv\b", r"offre\s+publique\s+de\s+vente", r"introduction\s+en\s+bourse"), None),
+    ("merger", (r"\bfusion\b", r"\babsorption\b"), None),
+    ("profit_warning", (r"\bpertes?\b", r"\bdeficit\b", r"resultat\s+negatif"), None),
+    ("results", (r"\bresultats?\b", r"chiffre\s+d'affaires", r"indicateurs\s+(?:trimestriels|annuels|semestriels)", r"\bbenefices?\b"), None),
+    ("threshold_crossing", (r"franchissement\s+de\s+seuil",), None),
+    ("market_notice", (r"contrat\s+a\s+terme", r"\bindice\b", r"\bmasi\b", r"reglementation", r"admission\s+d'une\s+echeance", r"calendrier\s+de\s+bourse", r"jours?\s+feries?"), None),
+    ("dividend_announcement", (r"distribution\s+d(?:e|es|u)\s+dividende", r"\bdividende\b", r"\bcoupon\b"), None),
 )
-#: Words that turn results up or down, with the impact they give.
-RESULT_UP, RESULT_DOWN, RESULT_IMPACT = ("hausse", "progression", "croissance", "record"), ("baisse", "recul", "perte", "chute"), 0.45
+#: Impact of each event, 0 where it isn't listed; results take theirs from what the title says of their direction.
+IMPACTS = {"profit_warning": -0.85, "delisting": -0.80, "dividend_cut": -0.60, "trading_suspension": -0.50, "capital_increase_cash": -0.35, "capital_increase_employees": -0.10, "trading_resumption": 0.10, "dividend_payment": 0.20, "dividend_announcement": 0.35, "share_buyback": 0.40, "tender_offer_buy": 0.50}
+RESULT_DOWN = (r"en\s+(?:forte\s+|nette\s+)?(?:baisse|recul|repli|degradation|contraction)", r"\bchute\b")
+RESULT_UP = (r"en\s+(?:forte\s+|nette\s+)?(?:hausse|progression|croissance|amelioration)", r"\brecord\b")
+RESULT_IMPACT = {"down": -0.55, "up": 0.50}
 
 
 def event_family(event: Column) -> Column:
@@ -38,26 +61,19 @@ def is_mechanical(event: Column) -> Column:
     return F.coalesce(event.isin(*MECHANICAL_TYPES), F.lit(False))
 
 
-def _any_of(text: Column, words: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | text.contains(w)
-    return out
+def _any_of(text: Column, patterns: tuple[str, ...]) -> Column:
+    return text.rlike("|".join(patterns))
 
 
 def classify(title: Column, rules=RULES) -> Column:
-    """(event, impact, sentiment, why) of a title: rules compiled to one expression, in their order."""
+    """(event, impact, sentiment) of a title: the rules compiled to one expression, in their order. Unknown titles are neutral announcements."""
     text = fold(title)
-    whys = []
-    for event, some, every, impact, why in rules:
-        test = _any_of(text, some)
-        for w in every:
-            test = test & text.contains(w)
-        value = F.when(_any_of(text, RESULT_UP), RESULT_IMPACT).when(_any_of(text, RESULT_DOWN), -RESULT_IMPACT).otherwise(F.lit(impact)) if event == "results" else F.lit(impact)
-        whys.append(F.when(test, F.struct(F.lit(event).alias("event"), value.cast("double").alias("impact"), F.lit(why).alias("why"))))
-    found = F.coalesce(*whys, F.struct(F.lit("announcement").alias("event"), F.lit(0.0).alias("impact"), F.lit("no rule").alias("why")))
-    mood = F.when(found["impact"] >= 0.15, "positive").when(found["impact"] <= -0.15, "negative").otherwise("neutral")
-    return F.struct(found["event"].alias("event"), found["impact"].alias("impact"), mood.alias("sentiment"), found["why"].alias("why"))
+    tests = [(event, _any_of(text, some) & (text.rlike(also) if also else F.lit(True))) for event, some, also in rules]
+    event = F.coalesce(*(F.when(test, F.lit(name)) for name, test in tests), F.lit("announcement"))
+    toward = F.when(_any_of(text, RESULT_DOWN), RESULT_IMPACT["down"]).when(_any_of(text, RESULT_UP), RESULT_IMPACT["up"]).otherwise(0.0)
+    impact = F.coalesce(F.when(event == "results", toward), *(F.when(event == k, F.lit(v)) for k, v in IMPACTS.items()), F.lit(0.0))
+    mood = F.when(impact >= 0.15, "positive").when(impact <= -0.15, "negative").otherwise("neutral")
+    return F.struct(event.alias("event"), impact.alias("impact"), mood.alias("sentiment"))
 
 
 def recent_news(news: DataFrame, now: Column, *, days: int = 30, fetch_limit: int | None = None) -> DataFrame:
@@ -72,7 +88,7 @@ def news_aggregate(news: DataFrame, now: Column, *, fresh_hours: int = 24) -> Da
     newest = F.struct("collected_at", "news_id")
     fresh = F.col("collected_at") >= now - F.make_dt_interval(F.lit(0), F.lit(fresh_hours))
     return news.groupBy("stock_id").agg(
-        F.count("*").alias("news_count"), F.avg("impact_score").alias("avg_impact"), F.count_if(F.col("sentiment") == "positive").alias("n_positive"), F.count_if(F.col("sentiment") == "negative").alias("n_negative"),
+        F.count("*").alias("news_count"), F.avg(F.col("impact_score").cast("double")).alias("avg_impact"), F.count_if(F.col("sentiment") == "positive").alias("n_positive"), F.count_if(F.col("sentiment") == "negative").alias("n_negative"),
         F.max_by("title", newest).alias("latest_title"), F.max("collected_at").alias("latest_at"),
         F.coalesce(F.bool_or(fresh & (F.col("sentiment") == "negative")), F.lit(False)).alias("fresh_negative"),
         F.bool_or(F.col("event_type").isin(*DIVIDEND_TYPES)).alias("has_dividend"), F.bool_or(F.col("event_type").isin(*RESULT_TYPES)).alias("has_results"),

@@ -31,11 +31,11 @@ def with_context_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lit(v).cast(kind) for c, (kind, v) in NEWS_DEFAULTS.items() if c not in df.columns})
 
 
-def fundamental_score(per: Column, pbr: Column, roe: Column, dividend_yield: Column) -> Column:
+def fundamental_score(per: Column, pbr: Column, roe: Column, dividend_yield: Column, digits: int | None = 1) -> Column:
     """Score of published ratios, shrunk below full coverage; null if none counts. A multiple counts only above 0."""
     value = present_mean([(F.when(per > 0, interpolate(per, PER_BANDS)), 1.0), (F.when(pbr > 0, interpolate(pbr, PBR_BANDS)), 1.0)])
     parts = {"valorisation": value, "rentabilite": interpolate(roe, ROE_BANDS), "rendement": interpolate(dividend_yield, YIELD_BANDS)}
-    score, _ = covered_score(parts, FUNDAMENTAL_WEIGHTS)
+    score, _ = covered_score(parts, FUNDAMENTAL_WEIGHTS, digits=digits)
     return F.when(F.coalesce(*parts.values()).isNotNull(), score)
 
 

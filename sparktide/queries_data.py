@@ -1 +1,441 @@
+"""Queries over sources, sinks, filters, joins, notices and text rules. Names begin with the inventory's ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sparktide.functions import columns as C
+from sparktide.operators import news as N
+from sparktide.operators.scoring import fundamental_score
+from sparktide.plans.market import as_of
+from sparktide.queries_core import NOW, bars_of, r, rounded, stocks_of
+from sparktide.sources import state
+from sparktide.sources.views import table, view
+from sparktide.sql_core import bands, clamp, cover, ctes, mean
+
 QUERIES: dict[str, tuple] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return put
+
+
+def now():
+    return F.to_timestamp(F.lit(NOW))
+
+
+NEWS = "SELECT * FROM news WHERE stock_id IS NOT NULL AND (collected_at IS NULL OR collected_at >= TIMESTAMP '2001-10-06 00:00:00')"
+
+
+@query(ctes("news", "stocks") + "SELECT news_id, symbol, collected_at, event_type FROM news LEFT JOIN stocks USING (stock_id) QUALIFY row_number() OVER (ORDER BY collected_at DESC, news_id) <= 50")
+def a3_recent_news(spark, sf_dir):
+    joined = view(spark, sf_dir, "news").join(stocks_of(spark, sf_dir), "stock_id", "left")
+    return joined.select("news_id", "symbol", "collected_at", "event_type").orderBy(F.desc("collected_at"), "news_id").limit(50)  # the feature is a newest-50 list
+
+
+@query(ctes("fundamentals") + "SELECT stock_id, count(*) AS n, max(fiscal_year) AS newest, string_agg(CAST(fiscal_year AS VARCHAR) || ':' || source, ',' ORDER BY fiscal_year DESC, seq DESC) AS years FROM fundamentals GROUP BY 1")
+def a4_fundamentals_by_stock(spark, sf_dir):
+    f = view(spark, sf_dir, "fundamentals")
+    rows = F.sort_array(F.collect_list(F.struct("fiscal_year", "seq", "source")), asc=False)
+    return f.groupBy("stock_id").agg(F.count("*").alias("n"), F.max("fiscal_year").alias("newest"), F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["fiscal_year"], x["source"])), ",").alias("years"))
+
+
+@query(ctes("stocks") + "SELECT symbol, lower(company_name) AS name, sector FROM stocks WHERE sector IS NOT NULL")
+def a5_profiles(spark, sf_dir):
+    return stocks_of(spark, sf_dir).where("sector is not null").select("symbol", F.lower("company_name").alias("name"), "sector")
+
+
+@query(ctes("macro") + "SELECT indicator, as_of, round(value, 6) AS value FROM macro QUALIFY row_number() OVER (PARTITION BY indicator ORDER BY as_of DESC, seq) = 1")
+def a6_latest_macro(spark, sf_dir):
+    latest = view(spark, sf_dir, "macro").groupBy("indicator").agg(F.max_by(F.struct("as_of", "value"), F.struct("as_of", -F.col("seq"))).alias("x"))
+    return rounded(latest.select("indicator", "x.as_of", "x.value"))
+
+
+MACRO_SERIES = ("click", "purchase", "view", "signup")
+
+
+@query(ctes("macro") + "SELECT " + ", ".join(f"round(max(value) FILTER (WHERE indicator = '{s}'), 6) AS {s}" for s in MACRO_SERIES) + ", max(as_of) AS as_of FROM (SELECT * FROM macro WHERE indicator IN ('click', 'purchase', 'view', 'signup') QUALIFY row_number() OVER (PARTITION BY indicator ORDER BY as_of DESC, seq) = 1)")
+def a7_macro_snapshot(spark, sf_dir):
+    latest = view(spark, sf_dir, "macro").where(F.col("indicator").isin(*MACRO_SERIES)).groupBy("indicator").agg(F.max_by(F.struct("as_of", "value"), F.struct("as_of", -F.col("seq"))).alias("x"))
+    return rounded(latest.select("indicator", "x.*").agg(*(F.max(F.when(F.col("indicator") == s, F.col("value"))).alias(s) for s in MACRO_SERIES), F.max("as_of").alias("as_of")))
+
+
+@query(ctes("predictions") + "SELECT prediction_id FROM predictions WHERE evaluate_at <= TIMESTAMP '1998-01-01 00:00:00' AND price_at_prediction IS NOT NULL")
+def a8_due_predictions(spark, sf_dir):
+    return view(spark, sf_dir, "predictions").where((F.col("evaluate_at") <= F.lit("1998-01-01").cast("timestamp")) & F.col("price_at_prediction").isNotNull()).select("prediction_id")
+
+
+@query(ctes("predictions") + "SELECT analyst, horizon, count(*) AS n FROM predictions WHERE semantics_version = 2 AND claim_kind = 'direction' AND predicted_direction IS NOT NULL GROUP BY ALL")
+def a9_gradable_predictions(spark, sf_dir):
+    p = view(spark, sf_dir, "predictions").where("semantics_version = 2 and claim_kind = 'direction' and predicted_direction is not null")
+    return p.groupBy("analyst", "horizon").agg(F.count("*").alias("n"))
+
+
+@query(ctes("reports") + "SELECT symbol, report_id FROM (SELECT * FROM reports QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY generated_at DESC, report_id DESC) = 1) WHERE generated_at >= TIMESTAMP '2000-01-01 00:00:00'")
+def a10_fresh_report(spark, sf_dir):
+    newest = view(spark, sf_dir, "reports").groupBy("symbol").agg(F.max_by("report_id", F.struct("generated_at", "report_id")).alias("report_id"), F.max("generated_at").alias("at"))
+    return newest.where(F.col("at") >= F.lit("2000-01-01").cast("timestamp")).select("symbol", "report_id")
+
+
+@query(ctes("reports") + "SELECT symbol, report_id, lag(report_id) OVER w AS previous_id FROM reports WINDOW w AS (PARTITION BY symbol, horizon_focus ORDER BY report_id)")
+def a11_previous_report(spark, sf_dir):
+    return view(spark, sf_dir, "reports").select("symbol", "report_id", F.lag("report_id").over(Window.partitionBy("symbol", "horizon_focus").orderBy("report_id")).alias("previous_id"))
+
+
+@query(ctes("reports") + "SELECT symbol, report_id, generated_at FROM reports QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY generated_at DESC, report_id DESC) <= 5")
+def a12_report_timeline(spark, sf_dir):
+    return N.newest_per_key(view(spark, sf_dir, "reports").select("symbol", "report_id", "generated_at"), "symbol", [F.desc("generated_at"), F.desc("report_id")], 5).drop("rank")
+
+
+@query(ctes("holdings") + "SELECT upper(symbol) AS symbol, CAST(quantity AS DOUBLE) AS quantity, round(buy_price, 6) AS buy_price FROM holdings WHERE quantity > 0 AND buy_price > 0")
+def a13_holdings_json(spark, sf_dir):
+    """Holdings as they come in one JSON document for each sector of ids, parsed and cleaned."""
+    h = view(spark, sf_dir, "holdings")
+    docs = h.groupBy((F.col("stock_id") % 8).alias("k")).agg(F.to_json(F.struct(F.lit(0.005).alias("fee_rate"), F.collect_list(F.struct(F.lower("symbol").alias("symbol"), F.col("quantity").cast("string").alias("quantity"), F.col("buy_price").cast("string").alias("buy_price"))).alias("holdings"))).alias("doc"))
+    parsed = docs.select(F.explode(F.from_json("doc", "struct<holdings: array<struct<symbol: string, quantity: string, buy_price: string>>>")["holdings"]).alias("h")).select("h.*")
+    typed = parsed.select(F.upper("symbol").alias("symbol"), F.col("quantity").try_cast("double").alias("quantity"), F.col("buy_price").try_cast("double").alias("buy_price"))
+    return rounded(typed.where("quantity > 0 and buy_price > 0"))
+
+
+@query(ctes("prices") + "SELECT stock_id, CAST(observed_at AS DATE) AS day, round(first(current_price ORDER BY seq), 6) AS price FROM prices WHERE current_price IS NOT NULL GROUP BY ALL")
+def a14_session_rows(spark, sf_dir):
+    """Session records as landed JSON lines become one price row for each stock and day, anchored at 15:30."""
+    p = view(spark, sf_dir, "prices")
+    landed = p.select("stock_id", "seq", F.to_json(F.struct(F.date_format("observed_at", "yyyy-MM-dd").alias("created"), F.when(F.col("seq") % 2 == 0, F.col("current_price").cast("string")).alias("coursAjuste"), F.col("current_price").cast("string").alias("closingPrice"))).alias("line"))
+    rows = landed.select("stock_id", "seq", F.from_json("line", "created string, coursAjuste string, closingPrice string, lastTradedPrice string").alias("x"))
+    price = F.coalesce(*(F.col(f"x.{c}").try_cast("double") for c in ("coursAjuste", "closingPrice", "lastTradedPrice")))
+    rows = rows.select("stock_id", "seq", F.to_date("x.created").alias("day"), price.alias("price")).where("price is not null and day is not null")
+    first = rows.groupBy("stock_id", "day").agg(F.min_by("price", "seq").alias("price"))
+    return rounded(first)
+
+
+@query()
+def a15_page_links(spark, sf_dir):
+    """Links of landed pages whose text is 12 letters long or more, first of each URL, with event and date."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    anchors = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'), F.lit(0))).alias("pos", "a"))
+    base = F.regexp_extract("url", r"^[a-z]+://[^/]+", 0)
+    links = anchors.select("page_id", "pos", F.regexp_extract("a", r'href="([^"]*)"', 1).alias("href"), C.normalize_text(C.html_to_text(F.col("a"))).alias("text"), base.alias("base"))
+    links = links.where(F.length("text") >= 4).withColumn("link", F.when(F.col("href").startswith("/"), F.concat("base", "href")).otherwise(F.col("href")))
+    links = links.groupBy("page_id", "link").agg(F.min_by(F.struct("pos", "text"), "pos").alias("x"))
+    return links.select("page_id", "link", "x.pos", "x.text", N.classify(F.col("x.text"))["event"].alias("event"))
+
+
+@query(ctes("macro") + "SELECT indicator, as_of, round(value, 6) AS value FROM macro QUALIFY row_number() OVER (PARTITION BY indicator ORDER BY as_of DESC, seq DESC) <= 750")
+def a16_macro_series(spark, sf_dir):
+    """Series as pages embed them, arrays of epoch milliseconds and values, back to rows; the newest 750 points of each."""
+    m = view(spark, sf_dir, "macro")
+    landed = m.groupBy("indicator", (F.col("seq") % 16).alias("part")).agg(F.array_join(F.collect_list(F.concat(F.lit("{x:"), F.unix_micros(F.col("as_of").cast("timestamp")), F.lit(",y:"), F.col("value"), F.lit(",s:"), F.col("seq"), F.lit("}"))), ",").alias("text"))
+    points = landed.select("indicator", F.explode(F.regexp_extract_all("text", F.lit(r"\{x:(-?[0-9]+),y:([-0-9.E]+),s:[0-9]+\}"), F.lit(0))).alias("p"))
+    part = lambda k: F.regexp_extract("p", r"\{x:(-?[0-9]+),y:([-0-9.E]+),s:([0-9]+)\}", k)
+    rows = points.select("indicator", F.timestamp_micros(part(1).cast("long")).alias("as_of"), part(2).cast("double").alias("value"), part(3).cast("long").alias("seq"))
+    return rounded(N.newest_per_key(rows, "indicator", [F.desc("as_of"), F.desc("seq")], 750).select("indicator", "as_of", "value"))
+
+
+@query(ctes("prices") + "SELECT seq, round(floor(current_price * 100) / 100, 2) AS price, round(floor(volume * 100) / 100, 2) AS volume FROM prices")
+def a17_raw_cells(spark, sf_dir):
+    """Header-keyed text cells with aliases to typed columns, by the number rule."""
+    p = view(spark, sf_dir, "prices")
+    text = lambda c: F.replace((F.floor(F.col(c) * 100) / 100).cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
+    raw = F.map_from_arrays(F.array(F.when(F.col("seq") % 2 == 0, "Cours").otherwise("Dernier cours"), F.lit("Volume")), F.array(text("current_price"), F.coalesce(F.concat(text("volume"), F.lit(" MAD")), F.lit("-"))))
+    cells = p.select("seq", raw.alias("raw"))
+    return cells.select("seq", F.round(C.parse_number(F.coalesce(F.col("raw")["Cours"], F.col("raw")["Dernier cours"])), 2).alias("price"), F.round(C.parse_number(F.col("raw")["Volume"]), 2).alias("volume"))
+
+
+@query(ctes("stocks") + "SELECT stock_id, CASE WHEN contains(upper(sector), 'UNITED') THEN 'UNI' ELSE coalesce(nullif(regexp_extract(upper(sector), '^[A-Z]{2,5}'), ''), symbol) END AS guess FROM stocks")
+def a18_symbol_guess(spark, sf_dir):
+    """An alias contained in the name, else the name's first token, else the symbol."""
+    s = stocks_of(spark, sf_dir)
+    name = F.upper("sector")
+    return s.select("stock_id", F.coalesce(F.when(name.contains("UNITED"), "UNI"), F.nullif(F.regexp_extract(name, r"^[A-Z]{2,5}", 0), F.lit("")), F.col("symbol")).alias("guess"))
+
+
+@query(ctes("fundamentals") + "SELECT seq, 'per' AS ratio, round(per, 6) AS value FROM fundamentals WHERE per IS NOT NULL UNION ALL SELECT seq, 'pbr', round(pbr, 6) FROM fundamentals WHERE pbr IS NOT NULL UNION ALL SELECT seq, 'roe_pct', round(roe_pct, 6) FROM fundamentals WHERE roe_pct IS NOT NULL")
+def a19_ratio_unpivot(spark, sf_dir):
+    f = view(spark, sf_dir, "fundamentals").select("seq", F.col("per").cast("double").alias("per"), F.col("pbr").cast("double").alias("pbr"), F.col("roe_pct").cast("double").alias("roe_pct"))
+    return rounded(f.unpivot(["seq"], ["per", "pbr", "roe_pct"], "ratio", "value").where("value is not null"))
+
+
+@query("SELECT n_nationkey AS nation, round(max(s_acctbal), 6) AS main_pct, count(*) AS holders FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal IS NOT NULL AND upper(s_name) <> 'TOTAL' GROUP BY 1")
+def a20_e31_ownership(spark, sf_dir):
+    """Holders of each company as an array, totals and blanks aside, and the main holder by a higher-order function."""
+    rows = table(spark, sf_dir, "supplier").where(F.col("s_acctbal").isNotNull() & (F.upper("s_name") != "TOTAL")).join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    held = rows.groupBy(F.col("n_nationkey").alias("nation")).agg(F.collect_list(F.struct(F.col("s_acctbal").alias("pct"), F.col("s_name").alias("holder"))).alias("ownership"))
+    return rounded(held.select("nation", F.array_max(F.transform("ownership", lambda o: o["pct"])).alias("main_pct"), F.size("ownership").cast("long").alias("holders")))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, false AS is_list FROM events")
+def a21_json_columns(spark, sf_dir):
+    """JSON objects parsed; a column that must hold a list and doesn't gives null."""
+    e = table(spark, sf_dir, "events")
+    as_list = F.when(F.ltrim("props").startswith("["), F.from_json("props", "array<struct<k: long>>"))
+    return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), as_list.isNotNull().alias("is_list"))
+
+
+def _price_split(spark, sf_dir):
+    p = view(spark, sf_dir, "prices").select("seq", "stock_id", "observed_at", "source", "current_price")
+    return p.where("seq % 3 <> 0"), p.where("seq % 3 = 0")
+
+
+@query(ctes("prices") + "SELECT seq FROM (SELECT * FROM prices WHERE seq % 3 = 0 QUALIFY row_number() OVER (PARTITION BY stock_id, observed_at, source ORDER BY seq) = 1) n WHERE NOT EXISTS (SELECT 1 FROM prices o WHERE o.seq % 3 <> 0 AND o.stock_id = n.stock_id AND o.observed_at = n.observed_at AND o.source = n.source)")
+def b1_insert_if_absent(spark, sf_dir):
+    old, new = _price_split(spark, sf_dir)
+    return state.insert_if_absent(old, new, ["stock_id", "observed_at", "source"], [F.asc("seq")]).select("seq")
+
+
+@query(ctes("fundamentals") + "SELECT stock_id, fiscal_year, source, seq, round(per, 6) AS per FROM fundamentals QUALIFY row_number() OVER (PARTITION BY stock_id, fiscal_year, source ORDER BY seq % 2 DESC, seq DESC) = 1")
+def b2_upsert_replace(spark, sf_dir):
+    f = view(spark, sf_dir, "fundamentals").select("stock_id", "fiscal_year", "source", "seq", F.col("per").cast("double").alias("per"))
+    return rounded(state.upsert_replace(f.where("seq % 2 = 0"), f.where("seq % 2 = 1"), ["stock_id", "fiscal_year", "source"], [F.desc("seq")]))
+
+
+@query(ctes("stocks") + "SELECT stock_id, CASE WHEN stock_id % 2 = 0 AND stock_id % 3 <> 0 THEN 'new ' || company_name ELSE company_name END AS company_name, CASE WHEN stock_id % 2 = 0 THEN 'live' ELSE 'old' END AS source FROM stocks")
+def b3_upsert_coalesce(spark, sf_dir):
+    s = stocks_of(spark, sf_dir).select("stock_id", "company_name")
+    new = s.where("stock_id % 2 = 0").select("stock_id", F.when(F.col("stock_id") % 3 != 0, F.concat(F.lit("new "), "company_name")).alias("company_name"), F.lit("live").alias("source"))
+    return state.upsert_coalesce(s.withColumn("source", F.lit("old")), new, "stock_id", ["company_name"], ["source"])
+
+
+FACTS = "SELECT stock_id, event_type AS category, sentiment AS value, collected_at FROM news WHERE stock_id IS NOT NULL AND sentiment IS NOT NULL"
+
+
+@query(ctes("news") + f"SELECT stock_id, category, sha256(category || '|' || category || '|' || value) AS fact_hash, min(collected_at) AS first_seen, max(collected_at) AS last_seen FROM ({FACTS}) GROUP BY ALL")
+def b4_i26_upsert_touch(spark, sf_dir):
+    facts = view(spark, sf_dir, "news").where("stock_id is not null and sentiment is not null").select("stock_id", F.col("event_type").alias("category"), F.col("sentiment").alias("value"), "collected_at")
+    facts = facts.withColumn("fact_hash", C.fact_hash(F.col("category"), F.col("category"), F.col("value")))
+    return state.upsert_touch(facts, ["stock_id", "category", "fact_hash"], "collected_at", []).select("stock_id", "category", "fact_hash", "first_seen", "last_seen")
+
+
+@query(ctes("reports") + "SELECT CAST(date_trunc('month', generated_at) AS DATE) AS dt, count(*) AS n FROM reports GROUP BY 1")
+def b5_append_log(spark, sf_dir):
+    """Reports appended to a log by month, in the session's shared folder, and read back."""
+    path = _scratch(spark, "report-log")
+    state.append_log(view(spark, sf_dir, "reports").select("report_id", "symbol", "generated_at"), path, "generated_at")
+    return spark.read.parquet(path).groupBy(F.col("dt").cast("date").alias("dt")).agg(F.count("*").alias("n"))
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh path in the folder that spark.checkpoint.dir names; a local temporary one only where that is unset."""
+    import tempfile
+    import uuid
+
+    held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparktide-")
+    return f"{held.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(ctes("prices") + "SELECT stock_id, source, seq FROM prices QUALIFY row_number() OVER (PARTITION BY stock_id, source, CAST(observed_at AS DATE) ORDER BY (current_price IS NOT NULL)::INT + (daily_variation IS NOT NULL)::INT + (volume IS NOT NULL)::INT DESC, seq) = 1")
+def b6_fullest_row(spark, sf_dir):
+    p = view(spark, sf_dir, "prices").withColumn("day", F.to_date("observed_at"))
+    return state.fullest(p, ["stock_id", "source", "day"], ["current_price", "daily_variation", "volume"], [F.asc("seq")]).select("stock_id", "source", "seq")
+
+
+@query(ctes("prices") + "SELECT day, source, count(*) AS n FROM (SELECT *, CAST(observed_at AS DATE) AS day, CASE source WHEN 'A' THEN 0 WHEN 'R' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS p FROM prices) QUALIFY min(p) OVER (PARTITION BY day) = p GROUP BY day, source, p".replace(" QUALIFY min(p) OVER (PARTITION BY day) = p GROUP BY day, source, p", " x WHERE p = (SELECT min(CASE y.source WHEN 'A' THEN 0 WHEN 'R' THEN 1 WHEN 'N' THEN 2 ELSE 3 END) FROM prices y WHERE CAST(y.observed_at AS DATE) = x.day) GROUP BY day, source"))
+def b7_source_cascade(spark, sf_dir):
+    p = view(spark, sf_dir, "prices").select(F.to_date("observed_at").alias("day"), "source")
+    return state.first_source(p, "day", "source", ["A", "R", "N"]).groupBy("day", "source").agg(F.count("*").alias("n"))
+
+
+@query(ctes("prices") + "SELECT n.seq FROM prices n WHERE n.seq % 3 = 0 AND NOT EXISTS (SELECT 1 FROM prices o WHERE o.seq % 3 <> 0 AND o.source = n.source AND o.stock_id = n.stock_id AND CAST(o.observed_at AS DATE) = CAST(n.observed_at AS DATE))")
+def b8_gap_fill(spark, sf_dir):
+    old, new = _price_split(spark, sf_dir)
+    return state.missing_days(old, new, ["stock_id", "source"]).select("seq")
+
+
+@query(ctes("stocks", "news") + "SELECT symbol FROM stocks s WHERE NOT EXISTS (SELECT 1 FROM news n WHERE n.stock_id = s.stock_id AND n.event_type = 'ex_dividend')")
+def b9_h3_symbols_to_fill(spark, sf_dir):
+    done = view(spark, sf_dir, "news").where("event_type = 'ex_dividend'").select("stock_id").distinct()
+    return stocks_of(spark, sf_dir).join(done, "stock_id", "left_anti").select("symbol")
+
+
+@query(ctes("stocks", "favorites") + "SELECT symbol, s.stock_id, count(*) OVER () AS n FROM stocks s WHERE s.stock_id IN (SELECT stock_id FROM favorites UNION SELECT stock_id FROM stocks WHERE stock_id % 5 = 0) AND s.stock_id % 7 <> 0")
+def b10_watchlist(spark, sf_dir):
+    """Favourites, more added if their stock is known, some removed, listed in order."""
+    stocks, have = stocks_of(spark, sf_dir), view(spark, sf_dir, "favorites").select("stock_id")
+    asked = stocks.where("stock_id % 5 = 0").select("stock_id").unionByName(spark.range(-2, 0).withColumnRenamed("id", "stock_id"))
+    added = have.unionByName(asked.join(stocks, "stock_id", "left_semi").select("stock_id")).distinct()
+    kept = added.join(stocks.where("stock_id % 7 = 0"), "stock_id", "left_anti")
+    listed = kept.join(stocks, "stock_id").select("symbol", "stock_id")
+    return listed.crossJoin(F.broadcast(listed.agg(F.count("*").alias("n")))).orderBy("stock_id")  # one row
+
+
+@query()
+def b11_reclassification(spark, sf_dir):
+    return N.reclassification(view(spark, sf_dir, "news"))[0]
+
+
+@query()
+def e30_before_after_counts(spark, sf_dir):
+    return N.reclassification(view(spark, sf_dir, "news"))[1]
+
+
+@query("SELECT 'orders' AS name, count(*) AS n_source, count(*) AS n_target, true AS ok FROM orders")
+def b12_copy_reconciled(spark, sf_dir):
+    source, path = table(spark, sf_dir, "orders"), _scratch(spark, "orders-copy")
+    source.write.parquet(path)
+    return state.reconcile(source, spark.read.parquet(path), "orders")
+
+
+@query(ctes("fundamentals", "latest") + "SELECT f.stock_id, fiscal_year, 'derived' AS source, round_even(price / eps, 2) AS per FROM (SELECT * FROM fundamentals QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY fiscal_year DESC, seq DESC) = 1) f JOIN latest l ON l.stock_id = f.stock_id WHERE per IS NULL AND eps > 0")
+def b13_derived_per(spark, sf_dir):
+    f = view(spark, sf_dir, "fundamentals").groupBy("stock_id").agg(F.max_by(F.struct("fiscal_year", "per", "eps"), F.struct("fiscal_year", "seq")).alias("x")).select("stock_id", "x.*")
+    last = bars_of(spark, sf_dir).groupBy("stock_id").agg(F.max_by("price", "dn").alias("price"))
+    return f.where("per is null and eps > 0").join(last, "stock_id").select("stock_id", "fiscal_year", F.lit("derived").alias("source"), F.bround(F.col("price") / F.col("eps"), 2).alias("per"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT (c_acctbal < 0 AND c_mktsegment = 'BUILDING')")
+def b14_usable_profiles(spark, sf_dir):
+    """Profiles that hold anything: blank ones, here those of two traits, are skipped."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("a"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("b"))
+    return c.where(F.coalesce(F.col("a").cast("string"), F.col("b")).isNotNull()).select("c_custkey")
+
+
+@query()
+def b15_report_json(spark, sf_dir):
+    reports = view(spark, sf_dir, "reports")
+    return reports.select("report_id", F.to_json(F.struct("symbol", "generated_at", F.struct("recommendation_short", "recommendation_medium").alias("verdicts"), "confidence_short", "risk_score")).alias("report_json"))
+
+
+@query(ctes("predictions") + "SELECT CASE WHEN prediction_id % 2 = 0 THEN 1 ELSE semantics_version END AS semantics_version, CASE WHEN prediction_id % 2 = 0 THEN 'direction' ELSE claim_kind END AS claim_kind, count(*) AS n FROM predictions GROUP BY 1, 2")
+def b16_schema_evolution(spark, sf_dir):
+    p = view(spark, sf_dir, "predictions").select("prediction_id", "semantics_version", "claim_kind")
+    out = state.with_defaults(p.where("prediction_id % 2 = 0").select("prediction_id"), p.where("prediction_id % 2 <> 0"), {"semantics_version": 1, "claim_kind": "direction"})
+    return out.groupBy("semantics_version", "claim_kind").agg(F.count("*").alias("n"))
+
+
+@query(ctes("news") + f"SELECT news_id, stock_id, collected_at FROM ({NEWS})")
+def c2_news_window(spark, sf_dir):
+    return N.recent_news(view(spark, sf_dir, "news"), now()).select("news_id", "stock_id", "collected_at")
+
+
+@query(ctes("stocks") + "SELECT symbol, sector FROM stocks WHERE lower(sector) = 'france' OR contains(lower(symbol), '07')")
+def c3_table_filter(spark, sf_dir):
+    return stocks_of(spark, sf_dir).where((F.lower("sector") == "france") | F.lower("symbol").contains("07")).select("symbol", "sector")
+
+
+@query(ctes("latest", "stocks", "holdings", "favorites") + "SELECT symbol, CASE WHEN h.stock_id IS NOT NULL THEN 'held' ELSE 'watched' END AS why FROM latest JOIN stocks s USING (stock_id) LEFT JOIN holdings h ON h.stock_id = s.stock_id LEFT JOIN favorites f ON f.stock_id = s.stock_id WHERE daily_variation <= -5 AND (h.stock_id IS NOT NULL OR f.stock_id IS NOT NULL)".replace("SELECT symbol,", "SELECT s.symbol,"))
+def c5_d4_crash_alerts(spark, sf_dir):
+    bars = bars_of(spark, sf_dir)
+    last = bars.groupBy("stock_id").agg(F.max_by("daily_variation", "dn").alias("daily_variation")).where("daily_variation <= -5")
+    held = view(spark, sf_dir, "holdings").select("stock_id")
+    watched = view(spark, sf_dir, "favorites").select("stock_id").join(held, "stock_id", "left_anti")
+    who = held.withColumn("why", F.lit("held")).unionByName(watched.withColumn("why", F.lit("watched")))
+    return last.join(who, "stock_id").join(stocks_of(spark, sf_dir), "stock_id").select("symbol", "why")
+
+
+@query(ctes("bars") + "SELECT stock_id, day, CASE WHEN abs(daily_variation) >= 5 THEN 'line' ELSE 'push' END AS kind FROM bars WHERE abs(daily_variation) >= 3")
+def c7_movers(spark, sf_dir):
+    move = F.abs("daily_variation")
+    return bars_of(spark, sf_dir).where(move >= 3).select("stock_id", "day", F.when(move >= 5, "line").otherwise("push").alias("kind"))
+
+
+@query(ctes("stocks") + "SELECT symbol FROM stocks WHERE symbol IN ('Supplier#000000003', 'Supplier#000000007')")
+def c8_h4_subset(spark, sf_dir):
+    wanted = spark.createDataFrame([("supplier#000000003",), ("supplier#000000007",)], "asked string").select(F.initcap("asked").alias("symbol"))
+    return stocks_of(spark, sf_dir).select("symbol").intersect(wanted)
+
+
+@query(ctes("prices") + "SELECT stock_id, count(*) AS n FROM prices WHERE observed_at <= TIMESTAMP '1998-06-30 23:59:00' GROUP BY 1")
+def c9_point_in_time_cut(spark, sf_dir):
+    return view(spark, sf_dir, "prices").where(F.col("observed_at") <= F.lit("1998-06-30 23:59:00").cast("timestamp")).groupBy("stock_id").agg(F.count("*").alias("n"))
+
+
+@query(ctes("prices") + "SELECT max(observed_at) AS newest, epoch(TIMESTAMP '2001-11-05 00:00:00') - epoch(max(observed_at)) > 900 AS stale FROM prices")
+def c10_freshness(spark, sf_dir):
+    return view(spark, sf_dir, "prices").agg(F.max("observed_at").alias("newest")).withColumn("stale", F.unix_timestamp(now()) - F.unix_timestamp("newest") > 900)
+
+
+@query(ctes("predictions", "prices") + "SELECT prediction_id, round((last_price - price_at_prediction) / nullif(price_at_prediction, 0) * 100, 6) AS ret FROM (SELECT p.prediction_id, any_value(p.price_at_prediction) AS price_at_prediction, last(q.current_price ORDER BY q.observed_at, q.seq) AS last_price FROM (SELECT * FROM predictions WHERE evaluate_at <= TIMESTAMP '2001-11-05 00:00:00') p JOIN (SELECT * FROM prices WHERE current_price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY observed_at DESC, seq DESC) <= 400) q ON q.stock_id = p.stock_id AND q.observed_at >= p.evaluate_at GROUP BY 1)")
+def d7_realised(spark, sf_dir):
+    from sparktide.plans.research import realised
+
+    due = view(spark, sf_dir, "predictions").where(F.col("evaluate_at") <= now())
+    return rounded(realised(due, view(spark, sf_dir, "prices")).select("prediction_id", "ret"))
+
+
+@query(ctes("predictions", "prices") + "SELECT prediction_id, round(current_price, 6) AS price FROM (SELECT p.prediction_id, q.current_price FROM predictions p ASOF JOIN (SELECT stock_id, observed_at, first(current_price ORDER BY seq) AS current_price FROM prices GROUP BY 1, 2) q ON q.stock_id = p.stock_id AND p.evaluate_at <= q.observed_at)")
+def d7_realised_at_date(spark, sf_dir):
+    """The first price at or after the evaluation date: an as-of join that looks ahead, on negated time."""
+    p = view(spark, sf_dir, "predictions").select("prediction_id", "stock_id", (-F.unix_timestamp("evaluate_at")).alias("t"))
+    q = view(spark, sf_dir, "prices").groupBy("stock_id", (-F.unix_timestamp("observed_at")).alias("t")).agg(F.min_by("current_price", "seq").alias("price"))
+    return rounded(as_of(p, q, "stock_id", "t", ["price"]).where("quote is not null").select("prediction_id", "quote.price"))
+
+
+@query("SELECT title_id, min(ord) AS ord FROM (SELECT d.doc_id AS title_id, d.words, p.ord, p.w FROM (SELECT doc_id, list_distinct(string_split_regex(upper(replace(substr(text, 1, 200), 'ß', 'SS')), '[^A-Z0-9]+')) AS words FROM documents) d JOIN (SELECT item_id AS ord, upper(regexp_extract(text, '^[A-Za-z]+')) AS w FROM benchmark) p ON list_contains(d.words, p.w)) GROUP BY 1")
+def d9_title_to_symbol(spark, sf_dir):
+    titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("title_id"), F.substring("text", 1, 200).alias("title"))
+    names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.regexp_extract("text", "^[A-Za-z]+", 0).alias("symbol"), F.lit("").alias("name"))
+    return N.match_symbols(titles, names)
+
+
+@query(ctes("fundamentals") + "SELECT stock_id, fiscal_year, round(coalesce(per, derived_per), 6) AS per, per IS NULL AND derived_per IS NOT NULL AS per_is_derived FROM (SELECT stock_id, fiscal_year, last(per ORDER BY seq) FILTER (WHERE source = 'official') AS per, last(per ORDER BY seq) FILTER (WHERE source = 'derived') AS derived_per FROM (SELECT *, max(fiscal_year) OVER (PARTITION BY stock_id) AS newest FROM fundamentals) WHERE fiscal_year = newest GROUP BY 1, 2)")
+def d12_official_fundamentals(spark, sf_dir):
+    return rounded(latest_fundamentals(view(spark, sf_dir, "fundamentals")).select("stock_id", "fiscal_year", "per", "per_is_derived"))
+
+
+def latest_fundamentals(f):
+    """Each stock's latest year: the newest official row, with the derived PER where the official one is null."""
+    newest = f.groupBy("stock_id").agg(F.max("fiscal_year").alias("newest")).withColumnRenamed("stock_id", "sid")
+    own = f.join(newest, (F.col("stock_id") == F.col("sid")) & (F.col("fiscal_year") == F.col("newest")))
+    last = lambda c, s: F.max_by(c, F.when(F.col("source") == s, F.col("seq")))
+    out = own.groupBy("stock_id", "fiscal_year").agg(*(last(c, "official").alias(c) for c in ("per", "pbr", "roe_pct", "dividend_yield_pct", "payout_pct", "eps")), last("per", "derived").alias("derived_per"))
+    return out.withColumns({"per_is_derived": F.col("per").isNull() & F.col("derived_per").isNotNull(), "per": F.coalesce("per", "derived_per")}).drop("derived_per")
+
+
+_FV = mean([(f"CASE WHEN per > 0 THEN {bands('per', ((6.0, 90.0), (12.0, 70.0), (18.0, 50.0), (25.0, 30.0), (40.0, 10.0)))} END", 1.0), (f"CASE WHEN pbr > 0 THEN {bands('pbr', ((0.6, 90.0), (1.2, 70.0), (2.0, 50.0), (3.5, 30.0), (6.0, 10.0)))} END", 1.0)])
+_FR, _FY = bands("roe_pct", ((2.0, 10.0), (8.0, 35.0), (13.0, 55.0), (18.0, 75.0), (25.0, 92.0))), bands("dividend_yield_pct", ((0.0, 20.0), (2.0, 45.0), (4.0, 65.0), (6.0, 82.0), (9.0, 92.0)))
+
+
+_SHRUNK = f"50 + ({mean([('v', 0.45), ('ro', 0.35), ('yi', 0.20)])} - 50) * least(1.0, {cover({'a': 'v', 'b': 'ro', 'c': 'yi'}, {'a': 0.45, 'b': 0.35, 'c': 0.20})} / 0.8)"
+
+
+@query(ctes("fundamentals") + f"SELECT seq, round({clamp(_SHRUNK)}, 3) AS score FROM (SELECT seq, {_FV} AS v, {_FR} AS ro, {_FY} AS yi FROM fundamentals)")
+def i9_fundamental_score(spark, sf_dir):
+    f = view(spark, sf_dir, "fundamentals")
+    return rounded(f.select("seq", fundamental_score(F.col("per"), F.col("pbr"), F.col("roe_pct").cast("double"), F.col("dividend_yield_pct").cast("double"), digits=None).alias("score")), 3)
+
+
+@query(ctes("news_agg") + f"SELECT stock_id, news_count, {r('avg_impact')}, n_positive, n_negative, latest_at, fresh_negative, has_dividend, has_results FROM news_agg")
+def e7_news_aggregate(spark, sf_dir):
+    return rounded(N.news_aggregate(N.recent_news(view(spark, sf_dir, "news"), now()), now()).drop("latest_title"))
+
+
+@query(ctes("news") + "SELECT stock_id, count(DISTINCT event_type || '::' || array_to_string(string_split_regex(lower(title), '\\s+')[1:6], ' ')) AS n_topics FROM news WHERE stock_id IS NOT NULL GROUP BY 1")
+def e8_topic_count(spark, sf_dir):
+    return N.topic_count(view(spark, sf_dir, "news").where("stock_id is not null"))
+
+
+_FROM, _TO = C.ACCENTED + "’‘–—-/", C.PLAIN + "''    "
+_FOLD = f"trim(regexp_replace(lower(replace(replace(translate(trim(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g')), '{_FROM}', '{_TO.replace(chr(39), chr(39) * 2)}'), 'œ', 'oe'), 'Œ', 'oe')), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {_FOLD} AS folded FROM documents")
+def i1_i5_fold(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", C.fold(F.substring("text", 1, 200)).alias("folded"))
+
+
+@query("SELECT p_partkey, round(p_retailprice, 2) * CASE p_partkey % 4 WHEN 0 THEN 1000.0 WHEN 1 THEN 1000000.0 ELSE 1.0 END AS value FROM part WHERE p_partkey % 9 <> 0")
+def i2_parse_number(spark, sf_dir):
+    """Prices written with unit suffixes, currency and decimal commas come back as numbers."""
+    p = table(spark, sf_dir, "part")
+    text = F.replace(F.round("p_retailprice", 2).cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
+    written = F.when(F.col("p_partkey") % 9 == 0, "N/A").when(F.col("p_partkey") % 4 == 0, F.concat(text, F.lit(" K"))).when(F.col("p_partkey") % 4 == 1, F.concat(text, F.lit(" M"))).otherwise(F.concat(text, F.lit(" MAD")))
+    return p.select("p_partkey", C.parse_number(written).alias("value")).where("value is not null")
+
+
+@query()
+def i6_i7_classify(spark, sf_dir):
+    """Notices with a French phrase for each kind of event put before them, classified and folded to families."""
+    phrases = ["Détachement du dividende", "Augmentation de capital en numéraire", "Résultats en forte hausse", "Avertissement sur résultat", "Avis divers", "Offre publique d’achat", "Suspension de la cotation"]
+    at = F.element_at(F.array(*map(F.lit, phrases)), (F.col("news_id") % len(phrases) + 1).cast("int"))
+    c = view(spark, sf_dir, "news").select("news_id", N.classify(at).alias("c"))
+    return c.select("news_id", "c.*", N.event_family(F.col("c.event")).alias("family"), N.is_mechanical(F.col("c.event")).alias("mechanical"))
+
+
+@query("SELECT page_id, length(html) > 0 AS any FROM pages")
+def i30_markup_strip(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", (F.length(C.html_to_text(F.col("html"))) > 0).alias("any"))

@@ -87,10 +87,10 @@ LATEST = "SELECT * FROM history QUALIFY row_number() OVER (PARTITION BY stock_id
 STRENGTH = """SELECT m.*, s.symbol, s.company_name, s.sector, avg(m.momentum_30d) OVER (PARTITION BY s.sector) AS sector_strength,
  m.momentum_30d - avg(m.momentum_30d) OVER () AS relative_performance_30d FROM latest m JOIN stocks s USING (stock_id)"""
 
-NEWS_AGG = f"""SELECT stock_id, count(*) AS news_count, avg(impact_score) AS avg_impact, count(*) FILTER (WHERE sentiment = 'positive') AS n_positive, count(*) FILTER (WHERE sentiment = 'negative') AS n_negative,
+NEWS_AGG = """SELECT stock_id, count(*) AS news_count, avg(impact_score) AS avg_impact, count(*) FILTER (WHERE sentiment = 'positive') AS n_positive, count(*) FILTER (WHERE sentiment = 'negative') AS n_negative,
  last(title ORDER BY collected_at, news_id) AS latest_title, max(collected_at) AS latest_at,
  coalesce(bool_or(collected_at >= TIMESTAMP '2001-11-04 00:00:00' AND sentiment = 'negative'), false) AS fresh_negative,
- bool_or(event_type IN {S.NEWS_DEFAULTS and ('dividend_announcement', 'ex_dividend', 'dividend')}) AS has_dividend, bool_or(event_type IN ('results', 'profit_warning')) AS has_results
+ bool_or(event_type IN ('ex_dividend', 'dividend_payment', 'dividend_announcement', 'dividend_cut', 'dividend')) AS has_dividend, bool_or(event_type IN ('results', 'profit_warning')) AS has_results
  FROM news WHERE stock_id IS NOT NULL AND (collected_at IS NULL OR collected_at >= TIMESTAMP '2001-10-06 00:00:00') GROUP BY stock_id"""
 
 _has, _imp = "news_count > 0", "coalesce(avg_impact, 0.0)"
