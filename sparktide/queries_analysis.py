@@ -370,10 +370,10 @@ def i31_number_grounding(spark, sf_dir):
     return H.grounded(c.where("turn > 0").groupBy(F.col("conv_id").alias("id")).agg(F.max("text").alias("text")), known)
 
 
-@query("SELECT doc_id, CASE WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || ' min' WHEN s < 172800 THEN CAST(s // 3600 AS VARCHAR) || ' h' ELSE CAST(s // 86400 AS VARCHAR) || ' j' END AS age, printf('%+.1f', (n_chars % 1000) / 8.0 - 50) AS move FROM (SELECT doc_id, n_chars, doc_id * 37 AS s FROM documents)")
+@query("SELECT doc_id, CASE WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || ' min' WHEN s < 172800 THEN CAST(s // 3600 AS VARCHAR) || ' h' ELSE CAST(s // 86400 AS VARCHAR) || ' j' END AS age, printf('%+.1f', (n_chars % 1000) / 7.0 - 50.01) AS move FROM (SELECT doc_id, n_chars, doc_id * 37 AS s FROM documents)")
 def i29_formats(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", C.age_label(F.col("doc_id") * 37).alias("age"), C.signed((F.col("n_chars") % 1000) / 8.0 - 50).alias("move"))
+    return d.select("doc_id", C.age_label(F.col("doc_id") * 37).alias("age"), C.signed((F.col("n_chars") % 1000) / 7.0 - 50.01).alias("move"))
 
 
 @query(ctes("stocks", "prices", "news") + "SELECT s.symbol, n_points, n_news FROM stocks s LEFT JOIN (SELECT stock_id, least(count(*), 180) AS n_points FROM prices WHERE current_price IS NOT NULL GROUP BY 1) p USING (stock_id) LEFT JOIN (SELECT stock_id, least(count(*), 10) AS n_news FROM news WHERE stock_id IS NOT NULL GROUP BY 1) n USING (stock_id)")

@@ -365,7 +365,7 @@ def d7_realised_at_date(spark, sf_dir):
     return rounded(as_of(p, q, "stock_id", "t", ["price"]).where("quote is not null").select("prediction_id", "quote.price"))
 
 
-@query("SELECT title_id, min(ord) AS ord FROM (SELECT d.doc_id AS title_id, d.words, p.ord, p.w FROM (SELECT doc_id, list_distinct(string_split_regex(upper(replace(substr(text, 1, 200), 'ß', 'SS')), '[^A-Z0-9]+')) AS words FROM documents) d JOIN (SELECT item_id AS ord, upper(regexp_extract(text, '^[A-Za-z]+')) AS w FROM benchmark) p ON list_contains(d.words, p.w)) GROUP BY 1")
+@query("SELECT title_id, min(ord) AS ord FROM (SELECT d.doc_id AS title_id, d.words, p.ord, p.w FROM (SELECT doc_id, list_distinct(string_split_regex(upper(replace(substr(text, 1, 200), 'ß', 'SS')), '[^A-Z0-9]+')) AS words FROM documents) d JOIN (SELECT item_id AS ord, upper(regexp_extract(text, '^[A-Za-z]+')) AS w FROM benchmark WHERE regexp_matches(text, '^[A-Za-z]')) p ON list_contains(d.words, p.w)) GROUP BY 1")
 def d9_title_to_symbol(spark, sf_dir):
     titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("title_id"), F.substring("text", 1, 200).alias("title"))
     names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.regexp_extract("text", "^[A-Za-z]+", 0).alias("symbol"), F.lit("").alias("name"))

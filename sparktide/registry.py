@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktide import queries_analysis, queries_core, queries_data
+from sparktide import queries_analysis, queries_core, queries_data, queries_streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +17,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: q for module in (queries_core, queries_data, queries_analysis) for name, (q, _) in module.QUERIES.items()}
+    return {name: q for module in (queries_core, queries_data, queries_analysis, queries_streaming) for name, (q, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in (queries_core, queries_data, queries_analysis) for name, (_, sql) in module.QUERIES.items() if sql is not None}
+    return {name: sql for module in (queries_core, queries_data, queries_analysis, queries_streaming) for name, (_, sql) in module.QUERIES.items() if sql is not None}

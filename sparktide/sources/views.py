@@ -29,7 +29,7 @@ VIEWS = {
  CASE WHEN p_partkey % 7 = 0 THEN 'derived' ELSE 'official' END AS source,
  CASE WHEN p_size % 6 = 0 THEN NULL ELSE (p_retailprice - 900) / 2 END AS per,
  CASE WHEN p_size % 4 = 0 THEN NULL ELSE (p_retailprice - 900) / 20 END AS pbr,
- p_size / 2.0 AS roe_pct, p_size / 6.0 AS dividend_yield_pct, p_size * 2.0 AS payout_pct, p_retailprice / 30 AS eps FROM part""",
+ p_size / CAST(2 AS DOUBLE) AS roe_pct, p_size / CAST(6 AS DOUBLE) AS dividend_yield_pct, p_size * CAST(2 AS DOUBLE) AS payout_pct, p_retailprice / 30 AS eps FROM part""",
     "macro": "SELECT event_type AS indicator, ts AS as_of, value, 'bank' AS source, event_id AS seq FROM events",
     "reports": """SELECT o_orderkey AS report_id, o_custkey AS symbol, 'short' AS horizon_focus, o_orderdate AS generated_at,
  CASE o_orderpriority WHEN '1-URGENT' THEN 'STRONG_OPPORTUNITY' WHEN '2-HIGH' THEN 'WATCH' WHEN '3-MEDIUM' THEN 'HOLD' WHEN '4-NOT SPECIFIED' THEN NULL ELSE 'AVOID' END AS recommendation_short,
