@@ -43,16 +43,23 @@ def as_of(probes: DataFrame, quotes: DataFrame, key: str, at: str, value: list[s
     return both.where(F.col("__side") == 1).drop("__side")
 
 
-def forward_returns(bars: DataFrame, days: DataFrame, sessions: int, starts: DataFrame) -> DataFrame:
+def forward_returns(bars: DataFrame, days: DataFrame, sessions: int | dict[str, int], starts: DataFrame) -> DataFrame:
     """``ret`` from the last price at or before each start to the last at or before the day ``sessions`` later; no row where the window isn't closed.
 
-    ``starts`` has stock_id and dn of a calendar day. Nothing is interpolated.
+    ``starts`` has stock_id and dn of a calendar day. Several horizons by name give a row each with a column ``horizon``; all
+    prices come from one as-of pass. Nothing is interpolated.
     """
-    ahead = days.select("dn", "idx").join(days.select(F.col("dn").alias("target"), (F.col("idx") - sessions).alias("idx")), "idx").select("dn", "target")
-    probes = starts.select("stock_id", "dn").join(ahead, "dn")
-    ends = probes.select("stock_id", F.col("target").alias("dn"), F.col("dn").alias("start")).unionByName(probes.select("stock_id", "dn", F.col("dn").alias("start")))
-    priced = as_of(ends, bars, "stock_id", "dn", ["price"]).groupBy("stock_id", "start").agg(F.max_by("quote.price", "dn").alias("p1"), F.min_by("quote.price", "dn").alias("p0"))
-    return priced.where(F.col("p0").isNotNull() & (F.col("p0") != 0)).select("stock_id", F.col("start").alias("dn"), ((F.col("p1") - F.col("p0")) / F.col("p0") * 100).alias("ret"))
+    ahead = sessions if isinstance(sessions, dict) else {"": sessions}
+    steps = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), (F.col("idx") + n).alias("to")) for h, n in ahead.items())))
+    target = days.select("dn", steps.alias("s")).join(days.select(F.col("idx").alias("to"), F.col("dn").alias("target")), F.col("s.to") == F.col("to")).select("dn", "s.horizon", "target")
+    ends = target.select("dn", F.struct("horizon", "target").alias("end")).groupBy("dn").agg(F.collect_list("end").alias("ends"))  # as many as horizons
+    probes = starts.select("stock_id", "dn").join(ends, "dn").select("stock_id", F.col("dn").alias("start"), F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("horizon"), F.col("dn").alias("target"))), "ends")).alias("e"))
+    priced = as_of(probes.select("stock_id", "start", "e.horizon", F.col("e.target").alias("dn")), bars, "stock_id", "dn", ["price"])
+    price = F.col("quote.price")
+    both = priced.groupBy("stock_id", "start").agg(F.max(F.when(F.col("horizon").isNull(), price)).alias("p0"), F.collect_list(F.when(F.col("horizon").isNotNull(), F.struct("horizon", price.alias("p1")))).alias("later"))
+    out = both.where(F.col("p0").isNotNull() & (F.col("p0") != 0)).select("stock_id", F.col("start").alias("dn"), "p0", F.explode("later").alias("l"))
+    out = out.select("stock_id", "dn", "l.horizon", ((F.col("l.p1") - F.col("p0")) / F.col("p0") * 100).alias("ret"))
+    return out if isinstance(sessions, dict) else out.drop("horizon")
 
 
 def benchmark_returns(bars: DataFrame, days: DataFrame, sessions: int) -> DataFrame:
@@ -62,13 +69,17 @@ def benchmark_returns(bars: DataFrame, days: DataFrame, sessions: int) -> DataFr
     return level.join(later, "idx").select("dn", ((F.col("later") - F.col("level")) / F.nullif("level", F.lit(0.0)) * 100).alias("bench"))
 
 
+def probes_of(bars: DataFrame, days: DataFrame, step: int) -> DataFrame:
+    """Every stock on every ``step``-th day: the size of the result asked for. Calendar days are a few thousand at most."""
+    sampled = days.where(F.col("idx") % step == 0).select("dn")
+    return bars.select("stock_id").distinct().crossJoin(F.broadcast(sampled))
+
+
 def point_in_time(bars: DataFrame, stocks: DataFrame, days: DataFrame, step: int, min_history: int) -> DataFrame:
     """Every stock's metrics as they stood on every ``step``-th day, its last own day carried on, with cross sections of that day."""
-    sampled = days.where(F.col("idx") % step == 0).select("dn")
     history = distances(metrics_history(bars))
     names = [c for c in history.columns if c not in ("stock_id", "dn", "day")]
-    probes = history.select("stock_id").distinct().crossJoin(F.broadcast(sampled))  # stocks x sampled days is the result's size; days are a few thousand at most
-    seen = as_of(probes, history, "stock_id", "dn", names).where(F.col("quote").isNotNull()).select("stock_id", "dn", "quote.*")
+    seen = as_of(probes_of(bars, days, step), history, "stock_id", "dn", names).where(F.col("quote").isNotNull()).select("stock_id", "dn", "quote.*")
     return relative_strength(seen, stocks, "dn").withColumn("history_days", F.col("n_days")).where(F.col("history_days") >= min_history)
 
 
@@ -77,12 +88,12 @@ def backtest(bars: DataFrame, stocks: DataFrame, *, step: int = 20, min_history:
     days = calendar(bars)
     scored = score_all(point_in_time(bars, stocks, days, step, min_history))
     said = to_horizons(scored, "stock_id", "symbol", "sector", "dn", "history_days").where(F.col("horizon").isin(*horizons))
-    starts = scored.select("stock_id", "dn")
-    rets = None
+    rets = forward_returns(bars, days, {h: SESSIONS_AHEAD[h] for h in horizons}, probes_of(bars, days, step))
+    level = None
     for h in horizons:
-        own = forward_returns(bars, days, SESSIONS_AHEAD[h], starts).join(benchmark_returns(bars, days, SESSIONS_AHEAD[h]), "dn", "left").withColumn("horizon", F.lit(h))
-        rets = own if rets is None else rets.unionByName(own)
-    out = said.join(rets, ["stock_id", "dn", "horizon"])
+        own = benchmark_returns(bars, days, SESSIONS_AHEAD[h]).withColumn("horizon", F.lit(h))
+        level = own if level is None else level.unionByName(own)
+    out = said.join(rets, ["stock_id", "dn", "horizon"]).join(level, ["dn", "horizon"], "left")
     bench = F.coalesce("bench", F.lit(0.0))
     return out.withColumns({"forward": F.bround("ret", 4), "benchmark": F.bround(bench, 4), "excess": F.bround(F.col("ret") - bench, 4)}).drop("ret", "bench")
 
@@ -145,7 +156,7 @@ def ablation(bars: DataFrame, stocks: DataFrame, *, horizon: str = "medium", ste
         score, _ = covered_score(own, {k: w for k, w in weights.items() if k != left_out})
         variants.append(F.struct(F.lit(left_out or "reference").alias("variant"), score.alias("score")))
     each = scored.select("stock_id", "dn", F.explode(F.array(*variants)).alias("v")).select("stock_id", "dn", "v.*")
-    rets = forward_returns(bars, days, SESSIONS_AHEAD[horizon], scored.select("stock_id", "dn"))
+    rets = forward_returns(bars, days, SESSIONS_AHEAD[horizon], probes_of(bars, days, step))
     obs = each.join(rets, ["stock_id", "dn"]).withColumns({"forward": F.bround("ret", 4), "excess": F.bround("ret", 4), "horizon": F.lit(horizon)})
     means = obs.groupBy("variant").agg(F.count("*").alias("n"), F.round(F.avg(F.col("forward") - fee_rate * 200), 4).alias("mean"))
     return means.join(spread(obs, fee_rate, "variant").select("variant", "spread", "top_mean", "separated"), "variant", "left")

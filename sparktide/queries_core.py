@@ -121,13 +121,13 @@ def market_row(latest: DataFrame) -> DataFrame:
     return out.withColumn("regime", F.when(unknown, "indéterminé").when((F.col("breadth") >= 60) & (F.col("m30") > 1), "haussier").when((F.col("breadth") <= 40) & (F.col("m30") < -1), "baissier").otherwise("neutre"))
 
 
-STATE_COLS = ["short_score", "medium_score", "long_score", "short_coverage", "medium_coverage", "long_coverage", "short_confidence", "medium_confidence", "long_confidence", "risk", "buy", "avoid", "watch"]
+STATE_COLS = ["short_score", "medium_score", "long_score", "short_coverage", "medium_coverage", "long_coverage", "short_confidence", "medium_confidence", "long_confidence", "risk", "buy", "avoid"]
 
 
-@query(ctes("state") + f"SELECT stock_id, symbol, sector, day, {r('price', digits=4)}, {r(*STATE_COLS, digits=2)}, recommendation FROM state")
+@query(ctes("state") + f"SELECT stock_id, symbol, sector, day, {r('price', digits=4)}, {r(*STATE_COLS, digits=2)}, round(0.65 * buy + 0.35 * (100 - avoid), 4) AS watch, recommendation FROM state")
 def j19_market_state(spark, sf_dir):
     out = state_of(spark, sf_dir).withColumn("price", F.round("price", 4))
-    return rounded(out.select("stock_id", "symbol", "sector", "day", "price", *STATE_COLS, "recommendation"), 4)
+    return rounded(out.select("stock_id", "symbol", "sector", "day", "price", *STATE_COLS, (0.65 * F.col("buy") + 0.35 * (100 - F.col("avoid"))).alias("watch"), "recommendation"), 4)
 
 
 @query(ctes("state") + "SELECT symbol, sector, buy, risk, short_confidence, recommendation FROM state WHERE buy >= 50")
@@ -213,10 +213,10 @@ def e9_e10_report(spark, sf_dir):
     return out.select("horizon", "band", "recommendation", "sector", "n", "hit_rate", "mean", "median", "mean_excess", "worst", "best", "stdev")
 
 
-@query(ctes("obs") + f"SELECT horizon, n_top, n_mid, round(top_mean, 3) AS top_mean, round(mid_mean, 3) AS mid_mean FROM (SELECT horizon, count(*) FILTER (WHERE score >= 70) AS n_top, count(*) FILTER (WHERE score >= 45 AND score < 55) AS n_mid, avg(net) FILTER (WHERE score >= 70) AS top_mean, avg(net) FILTER (WHERE score >= 45 AND score < 55) AS mid_mean FROM {_NET} GROUP BY 1)")
+@query(ctes("obs") + f"SELECT horizon, n_top, n_mid, round(top_mean, 4) AS top_mean, round(mid_mean, 4) AS mid_mean FROM (SELECT horizon, count(*) FILTER (WHERE score >= 70) AS n_top, count(*) FILTER (WHERE score >= 45 AND score < 55) AS n_mid, avg(net) FILTER (WHERE score >= 70) AS top_mean, avg(net) FILTER (WHERE score >= 45 AND score < 55) AS mid_mean FROM {_NET} GROUP BY 1)")
 def e11_spread(spark, sf_dir):
     out = market.spread(observations_of(spark, sf_dir))
-    return out.select("horizon", F.coalesce("n_top", F.lit(0)).alias("n_top"), F.coalesce("n_mid", F.lit(0)).alias("n_mid"), F.round("top_mean", 3).alias("top_mean"), F.round("mid_mean", 3).alias("mid_mean"))
+    return out.select("horizon", F.coalesce("n_top", F.lit(0)).alias("n_top"), F.coalesce("n_mid", F.lit(0)).alias("n_mid"), "top_mean", "mid_mean")
 
 
 @query(ctes("obs") + f"SELECT horizon, count(*) AS n_bands, CASE WHEN count(*) >= 3 THEN bool_and(ok) END AS monotonic FROM (SELECT horizon, band, coalesce(m >= lag(m) OVER (PARTITION BY horizon ORDER BY band), true) AS ok FROM (SELECT horizon, band, round(avg(net), 4) AS m FROM {_NET} GROUP BY 1, 2)) GROUP BY 1")
