@@ -17,10 +17,16 @@ RANGE_ROWS, RANGE_NEED, YEAR_ROWS, YEAR_NEED = 90, 20, 365, 120
 
 
 def daily_bars(prices: DataFrame) -> DataFrame:
-    """One row for each (stock, day): the last value of each column that isn't null; days without a price go. Ties of a timestamp: the greatest ``seq``."""
-    at = F.struct("observed_at", "seq")
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
-    bars = prices.where(F.col("current_price").isNotNull() & ~F.isnan("current_price")).groupBy("stock_id", F.to_date("observed_at").alias("day")).agg(last("current_price"), last("daily_variation"), last("volume"))
+    """One row for each (stock, day): the last value of each column that isn't null; days without a price go. Ties of a timestamp: the greatest ``seq``.
+
+    Rows are dealt by stock and day once. Both steps then stay in their task as hash aggregations over plain numbers, where
+    one step ordered by (time, seq) would have to sort.
+    """
+    names = ("current_price", "daily_variation", "volume")
+    rows = prices.where(F.col("current_price").isNotNull() & ~F.isnan("current_price")).select("stock_id", F.to_date("observed_at").alias("day"), F.col("observed_at").cast("timestamp").alias("at"), F.col("seq").cast("long").alias("seq"), *names)
+    last = lambda c, order: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
+    at_once = rows.repartition("stock_id", "day").groupBy("stock_id", "day", "at").agg(*(last(c, "seq") for c in names))
+    bars = at_once.groupBy("stock_id", "day").agg(*(last(c, "at") for c in names))
     return bars.withColumnRenamed("current_price", "price").withColumn("dn", F.unix_date("day"))
 
 
