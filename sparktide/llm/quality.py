@@ -17,7 +17,7 @@ SAMPLE_ROWS = 8000
 #: Buckets of hashed words, and words that the classifier picks at most.
 BUCKETS = 1 << 18
 PICKED_WORDS = 300
-#: Score of a word (log odds over its standard error) and documents of the rarer kind that have it, for it to be picked.
+#: How far apart a word's shares of good and bad documents are, in standard errors of one common share, and documents of one kind that have it, for it to be picked.
 PICK_Z, PICK_DOCUMENTS = 6.0, 8
 
 _UPPER, _LOWER, _DIGIT, _PIPE, _MARK, _SYMBOL, _LINE, _BLANK, _HIGH, _REST = range(10)
@@ -124,10 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     n_good, n_bad = float(n["good"] or 0), float((n["n"] or 0) - (n["good"] or 0))
     if not n_good or not n_bad:  # nothing to learn from: every document is as good as any
         return DocumentModel(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(0, np.int64), np.zeros(FEATURES + 5), np.zeros(0, bool), 0.0)
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (F.lit(n_good) - F.col("a") + 1.0)) - F.log(b / (F.lit(n_bad) - F.col("b") + 1.0))
+    share = (F.col("a") + F.col("b")) / (n_good + n_bad)
+    apart = (F.col("a") / n_good - F.col("b") / n_bad) / F.sqrt(share * (1 - share) * (1 / n_good + 1 / n_bad))
     seen = sample.mapInPandas(buckets, "bucket int, good int").groupBy("bucket").agg(F.sum("good").alias("a"), F.sum(1 - F.col("good")).alias("b"))
-    seen = seen.where(F.least(F.lit(1e9), F.greatest("a", "b")) >= PICK_DOCUMENTS).withColumn("z", odds / F.sqrt(1 / a + 1 / b)).where(F.abs("z") >= PICK_Z)
+    seen = seen.where(F.least(F.lit(1e9), F.greatest("a", "b")) >= PICK_DOCUMENTS).where(share < 1).withColumn("z", apart).where(F.abs("z") >= PICK_Z)
     words = seen.orderBy(F.abs("z").desc(), "bucket").limit(PICKED_WORDS).toPandas().sort_values("bucket")
     blank = DocumentModel(np.zeros(FEATURES), np.ones(FEATURES), words["bucket"].to_numpy(np.int64), np.zeros(0), (words["z"] < 0).to_numpy(bool), 0.0)
 
