@@ -17,8 +17,8 @@ from .common import bounded_batches, column
 KINDS = ("email", "ip", "card", "phone")
 #: Regions of text that the field is fitted on at most, and tokens of an entity at most.
 SAMPLE_REGIONS = 300
-ENTITY_TOKENS = 20
-#: Code points of context on either side of a digit or at sign.
+ENTITY_TOKENS = 40
+#: Code points of context on either side of a digit, at sign, or spelt at or dot.
 BEFORE, AFTER = 40, 72
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -26,8 +26,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_ANCHOR = re.compile(r"[0-9@]+")
-_SPELT = re.compile(r"[0-9@]+|[(\[ ][aA][tT][)\] ](?=[\w.-]{1,64}[)\] ]?[ ]?[(\[ ][dD][oO][tT])")
+#: Spelt marks of an address, in any case and bracket and with blanks around them. A bare word at is one only where a label, a dot and a label follow, as an address has them.
+_OPEN, _CLOSE = r"\s{0,4}[(\[{<]?\s{0,4}", r"\s{0,4}[)\]}>]?\s{0,4}"
+_AT, _DOT = r"(?<![^\W\d_])[aA][tT](?![^\W\d_])", r"(?<![^\W\d_])[dD][oO][tT](?![^\W\d_])"
+_DOTTED = rf"(?:\.|\s{{1,4}}\.\s{{1,4}}|\s{{0,4}}[(\[{{<]\s{{0,4}}\.{_CLOSE}|{_OPEN}{_DOT}{_CLOSE})"
+_HOSTED = rf"{_AT}(?={_CLOSE}[\w-]+{_DOTTED}\w)"
+_ANCHOR = re.compile(rf"[0-9@]+|[(\[{{<]\s*{_AT}|{_HOSTED}|{_DOT}")
+_ADDRESS = re.compile(rf"(?<![\w%+-])[\w%+-]{{1,64}}(?:{_DOTTED}[\w%+-]{{1,64}}){{0,8}}{_OPEN}(?:@|{_AT}){_CLOSE}[\w-]{{1,64}}(?:{_DOTTED}[\w-]{{1,64}}){{1,8}}(?![\w-])")
+_BRACKETS = str.maketrans("[]{}<>", "()()()")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s|[^\w\s]|_")
 
 
@@ -76,10 +82,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Parts of a text around digits and at signs, where entities can be."""
+    """Parts of a text around digits, at signs, and spelt ats and dots, where entities can be."""
     begin = end = -1
-    spelt = any(x in text for x in (" dot ", "(dot)", "[dot]", " DOT ", "(DOT)", "[DOT]"))
-    for m in (_SPELT if spelt else _ANCHOR).finditer(text):
+    for m in _ANCHOR.finditer(text):
         if begin >= 0 and m.start() - BEFORE <= end:
             end = m.end() + AFTER
             continue
@@ -102,6 +107,9 @@ def _shape(s: str) -> str:
 def features(s: str, before: str, after: str) -> list[str]:
     """Whole-span features of a candidate segment with its neighbours."""
     digits, low = _digits(s), s.lower()
+    words = re.split(r"[^a-z]+", low)
+    if "at" in words or "dot" in words:  # one bracket is like another
+        s = s.translate(_BRACKETS)
     out = ["1", "shape=" + _shape(s), f"digits={min(len(digits), 20)}", f"size={min(len(s) // 4, 9)}", "before=" + ("word" if before.isalpha() else before[:1]), "after=" + ("word" if after.isalpha() else after[:1])]
     marks = {c for c in s if not c.isalnum()}
     out += ["has=" + (" " if c.isspace() else c) for c in sorted(marks)]
@@ -115,10 +123,9 @@ def features(s: str, before: str, after: str) -> list[str]:
             out.append("octets" if _octets(groups) else "not-octets")
     else:
         out.append("letters")
-        words = re.split(r"[^a-z]+", low)
         out += [f"word={w}" for w in ("at", "dot") if w in words]
         if "@" in s or "at" in words:
-            out.append("tld" if re.search(r"(?:\.|\bdot[)\] ]*)\s*[a-z]{2,6}$", low) else "no-tld")
+            out.append("tld" if re.search(r"(?:\.|\bdot[)\]}> ]*)\s*[a-z]{2,6}$", low) else "no-tld")
             out.append(f"ats={min(s.count('@') + words.count('at'), 3)}")
     if s[0] == "+":
         out.append("plus")
@@ -133,6 +140,8 @@ class Lattice:
         tokens = [text[a:b] for a, b in self.at]
         self.edges: list[tuple[int, int, list[str]]] = []
         good = [t.isalnum() for t in tokens]
+        spelt = {m.end() for m in _ANCHOR.finditer(text) if m.group()[-1] in "tT"}
+        address = {m.span() for m in _ADDRESS.finditer(text)} if spelt or "@" in text else ()
         for i in range(len(tokens)):
             if not (good[i] or tokens[i] in "+(") or (i and good[i] and good[i - 1]):
                 continue
@@ -141,10 +150,11 @@ class Lattice:
                 t = tokens[j]
                 if t == "\n":
                     break
-                anchored += len(t) if t.isdigit() else 9 if t == "@" or t.lower() == "dot" else 0
+                anchored += len(t) if t.isdigit() else 9 if t == "@" or self.at[j][1] in spelt else 0
                 if anchored >= 4 and good[j] and not (j + 1 < len(tokens) and good[j + 1]) and j > i - (len(t) > 8):
                     a, b = self.at[i][0], self.at[j][1]
-                    self.edges.append((i, j + 1, features(text[a:b], tokens[i - 1] if i else "", tokens[j + 1] if j + 1 < len(tokens) else "")))
+                    names = features(text[a:b], tokens[i - 1] if i else "", tokens[j + 1] if j + 1 < len(tokens) else "")
+                    self.edges.append((i, j + 1, [*names, "address"] if (a, b) in address else names))
         self.n, self.offset = len(tokens), offset
 
     def span(self, i: int, j: int) -> tuple[int, int]:
@@ -249,7 +259,7 @@ def _generated(rng: random.Random) -> tuple[str, str]:
 def fit(sample: list[str], rounds: int = 4, seed: int = 7) -> dict[str, float]:
     """Weights of the field, from regions whose base spans are the truth, the same with spans respelt, and generated ones."""
     rng, data = random.Random(seed), []
-    fillers = ["the", "on", "of", "version 2.0", "in 2019", "4.0", "chapter 12", "was", "id = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"", "0x1f3a", "12 345", "3.141592", "10:45:30", "2021-03-04"]
+    fillers = ["the", "on", "of", "version 2.0", "in 2019", "4.0", "chapter 12", "was", "id = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"", "0x1f3a", "12 345", "3.141592", "10:45:30", "2021-03-04", "met at noon. The", "look at the end", "the dot on it"]
     texts = list(sample)
     for _ in range(240):
         s, _ = _generated(rng)

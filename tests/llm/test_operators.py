@@ -200,6 +200,29 @@ def test_op6_field_adds_spellings_and_spares_plain_text(spark):
     assert pii.find_personal_data(odd(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("at", [" at ", " (at) ", " [at] ", " @ ", "(at)", " AT ", " {At} "])
+@pytest.mark.parametrize("dot", [" dot ", " (dot) ", " [dot] ", ".", " Dot ", "{dot}"])
+def test_op6_finds_each_spelling_of_an_address(op6_weights, at, dot):
+    rng, missed = random.Random(3), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 9)))
+    for k in range(20):
+        s = (word() + dot) * (k % 2) + word() + at + dot.join([word(), *(("com",), ("example", "com"))[k // 2 % 2]])
+        text = "And here " + s + " was it"
+        found = pii.all_spans(text, op6_weights, pii.base_spans(text))
+        missed += [s] * (not any(kind == "email" and a <= 9 and b >= 9 + len(s) for a, b, kind in found))
+    assert len(missed) <= 2, missed
+
+
+@pytest.fixture(scope="module")
+def op6_weights():
+    return pii.fit([])
+
+
+def test_op6_spares_words_at_and_dot(op6_weights):
+    for text in ("They met at noon. The dot on the map was red.", "Look at the end of it (at least once).", "A dot, then a dash."):
+        assert pii.all_spans(text, op6_weights, pii.base_spans(text)) == []
+
+
 def test_op7_links_and_classes_by_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 700").collect()]
     rows += [(10_000 + i, t) for i, t in enumerate([None, "", "  ", "one two", "One, two!", "x y z"])] + [rows[0]]
