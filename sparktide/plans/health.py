@@ -52,15 +52,20 @@ def numbers_in(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[0-9]+(?:[.,][0-9]+)?"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double"))
 
 
-def grounded(texts: DataFrame, known: DataFrame, tolerance: float = 0.011) -> DataFrame:
+def grounded(texts: DataFrame, known: DataFrame, tolerance: float = 0.011, *, own: str | None = None) -> DataFrame:
     """``(id, n_numbers, n_ungrounded, ok)``: every number of a text must be one of its known ones, within a tolerance; whole numbers up to 100 always are. An empty text isn't ok.
 
-    Known numbers are spread to the tenths that they may be met in, so that the comparison is an equi join.
+    Known numbers are spread to the tenths that they may be met in, so that the comparison is an equi join. With ``own``, a
+    column of both, texts are told apart by it too, and a number is known only from rows of another ``own``: the least and
+    the greatest ``own`` of each number tell, so that no two texts are compared.
     """
-    said = texts.select("id", "text", F.explode_outer(numbers_in(F.col("text"))).alias("x")).withColumn("cell", F.floor(F.col("x") * 10))
-    near = known.select("id", F.col("x").alias("k")).withColumn("cell", F.explode(F.array_distinct(F.array(F.floor((F.col("k") - tolerance) * 10), F.floor((F.col("k") + tolerance) * 10))))).distinct()
+    key = ["id", own] if own else ["id"]
+    numbers = known.groupBy("id", "x").agg(F.min(own).alias("least"), F.max(own).alias("most")) if own else known.select("id", "x", F.lit(0).alias("least"), F.lit(0).alias("most"))
+    elsewhere = ((F.col("least") != F.col(own)) | (F.col("most") != F.col(own))) if own else F.lit(True)
+    said = texts.select(*key, "text", F.explode_outer(numbers_in(F.col("text"))).alias("x")).withColumn("cell", F.floor(F.col("x") * 10))
+    near = numbers.select("id", F.col("x").alias("k"), "least", "most").withColumn("cell", F.explode(F.array_distinct(F.array(F.floor((F.col("k") - tolerance) * 10), F.floor((F.col("k") + tolerance) * 10))))).distinct()
     free = (F.col("x") == F.floor("x")) & (F.col("x") <= 100)
-    met = said.join(near, ["id", "cell"], "left").withColumn("good", F.coalesce(free | (F.abs(F.col("x") - F.col("k")) <= tolerance), F.lit(False)) | F.col("x").isNull())
-    each = met.groupBy("id", "x").agg(F.max("good").alias("good"), F.max("text").alias("text"))
-    out = each.groupBy("id").agg(F.count("x").alias("n_numbers"), F.count_if(~F.col("good")).alias("n_ungrounded"), F.max(F.coalesce(F.trim("text"), F.lit("")) != "").alias("some"))
-    return out.select("id", "n_numbers", "n_ungrounded", (F.col("some") & (F.col("n_ungrounded") == 0)).alias("ok"))
+    met = said.join(near, ["id", "cell"], "left").withColumn("good", F.coalesce(free | ((F.abs(F.col("x") - F.col("k")) <= tolerance) & elsewhere), F.lit(False)) | F.col("x").isNull())
+    each = met.groupBy(*key, "x").agg(F.max("good").alias("good"), F.max("text").alias("text"))
+    out = each.groupBy(*key).agg(F.count("x").alias("n_numbers"), F.count_if(~F.col("good")).alias("n_ungrounded"), F.max(F.coalesce(F.trim("text"), F.lit("")) != "").alias("some"))
+    return out.select(*key, "n_numbers", "n_ungrounded", (F.col("some") & (F.col("n_ungrounded") == 0)).alias("ok"))

@@ -366,8 +366,9 @@ def i31_numbers_found(spark, sf_dir):
 def i31_number_grounding(spark, sf_dir):
     """Numbers of each turn against those of the other turns of its conversation."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    known = c.select(F.col("conv_id").alias("id"), F.explode(H.numbers_in(F.col("text"))).alias("x")).distinct()
-    return H.grounded(c.where("turn > 0").groupBy(F.col("conv_id").alias("id")).agg(F.max("text").alias("text")), known)
+    texts = c.select(F.col("conv_id").alias("id"), "turn", "text")
+    known = texts.select("id", "turn", F.explode(H.numbers_in(F.col("text"))).alias("x"))
+    return H.grounded(texts, known, own="turn").withColumnRenamed("id", "conv_id")
 
 
 @query("SELECT doc_id, CASE WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || ' min' WHEN s < 172800 THEN CAST(s // 3600 AS VARCHAR) || ' h' ELSE CAST(s // 86400 AS VARCHAR) || ' j' END AS age, printf('%+.1f', (n_chars % 1000) / 7.0 - 50.01) AS move FROM (SELECT doc_id, n_chars, doc_id * 37 AS s FROM documents)")
