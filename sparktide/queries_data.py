@@ -372,6 +372,19 @@ def d9_title_to_symbol(spark, sf_dir):
     return N.match_symbols(titles, names)
 
 
+_WORDS = "list_distinct(string_split_regex(upper(replace(text, 'ß', 'SS')), '[^A-Z0-9]+'))"
+
+
+@query(f"""SELECT title_id, min(ord) AS ord FROM (SELECT doc_id AS title_id, ord, symbol, name, words, t FROM (SELECT doc_id, upper(replace(text, 'ß', 'SS')) AS t, {_WORDS} AS words FROM documents) d
+ CROSS JOIN (SELECT item_id AS ord, upper(regexp_extract(text, '^[A-Za-z]+')) AS symbol, upper(regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+')) AS name FROM benchmark)) WHERE (symbol <> '' AND list_contains(words, symbol)) OR (name <> '' AND contains(t, name)) GROUP BY 1""")
+def d9_title_to_symbol_whole(spark, sf_dir):
+    """Whole texts against symbols and names of three words."""
+    titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("title_id"), F.col("text").alias("title"))
+    name = lambda p: F.regexp_extract("text", p, 0)
+    names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), name("^[A-Za-z]+").alias("symbol"), name("^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+").alias("name"))
+    return N.match_symbols(titles, names)
+
+
 @query(ctes("fundamentals") + "SELECT stock_id, fiscal_year, round(coalesce(per, derived_per), 6) AS per, per IS NULL AND derived_per IS NOT NULL AS per_is_derived FROM (SELECT stock_id, fiscal_year, last(per ORDER BY seq) FILTER (WHERE source = 'official') AS per, last(per ORDER BY seq) FILTER (WHERE source = 'derived') AS derived_per FROM (SELECT *, max(fiscal_year) OVER (PARTITION BY stock_id) AS newest FROM fundamentals) WHERE fiscal_year = newest GROUP BY 1, 2)")
 def d12_official_fundamentals(spark, sf_dir):
     return rounded(latest_fundamentals(view(spark, sf_dir, "fundamentals")).select("stock_id", "fiscal_year", "per", "per_is_derived"))
@@ -418,6 +431,11 @@ def i1_i5_fold(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.fold(F.substring("text", 1, 200)).alias("folded"))
 
 
+@query(f"SELECT doc_id, {_FOLD.replace('substr(text, 1, 200)', 'text')} AS folded FROM documents")
+def i1_i5_fold_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", C.fold(F.col("text")).alias("folded"))
+
+
 @query("SELECT p_partkey, round(p_retailprice, 2) * CASE p_partkey % 4 WHEN 0 THEN 1000.0 WHEN 1 THEN 1000000.0 ELSE 1.0 END AS value FROM part WHERE p_partkey % 9 <> 0")
 def i2_parse_number(spark, sf_dir):
     """Prices written with unit suffixes, currency and decimal commas come back as numbers."""

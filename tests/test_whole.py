@@ -31,3 +31,22 @@ def test_each_turn_is_checked_against_the_other_turns(spark, tmp_path):
     got = {(r["conv_id"], r["turn"]): (r["n_numbers"], r["n_ungrounded"], r["ok"]) for r in run(spark, "i31_number_grounding", str(tmp_path)).collect()}
     assert got == want
     assert got[-1, 0][1] == 0 and got[-1, 2][1] == 2 and got[-2, 0][1] == 1
+
+
+def test_whole_texts_are_folded_and_matched(spark, tmp_path):
+    far = "x " * 300
+    docs = [(1, far + "Éclair"), (2, far + "alpha"), (3, far + "zeta beta gammas"), (4, "zetas beta gamma"), (5, "none")]
+    items = [(1, "Alpha one two"), (2, "omega"), (3, "Zeta Beta Gamma delta")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["doc_id"]: r["folded"] for r in run(spark, "i1_i5_fold_whole", str(tmp_path)).collect()}[1] == far + "eclair"
+    assert {r["title_id"]: r["ord"] for r in run(spark, "d9_title_to_symbol_whole", str(tmp_path)).collect()} == {2: 1, 3: 3}
+
+
+def test_a_name_alone_matches(spark, tmp_path):
+    docs, items = [(1, "the quick brown fox"), (2, "quick brown foxes")], [(7, "Quick Brown Fox")]
+    from sparktide.operators.news import match_symbols
+
+    titles = spark.createDataFrame(docs, "title_id long, title string")
+    names = spark.createDataFrame([(o, "QBF", n) for o, n in items], "ord long, symbol string, name string")
+    assert {r["title_id"] for r in match_symbols(titles, names).collect()} == {1, 2}
