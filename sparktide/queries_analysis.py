@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparktide.functions import columns as C
 from sparktide.operators import metrics as M
@@ -32,6 +33,12 @@ def now():
     return F.to_timestamp(F.lit(NOW))
 
 
+def placed(df, name: str, *order):
+    """``df`` with each row's place in the order as ``name``: ranges are sorted apart, and each counts on from the rows of those before it."""
+    rows = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    return df.sparkSession.createDataFrame(rows, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def valued_of(spark, sf_dir):
     return P.value_holdings(view(spark, sf_dir, "holdings"), state_of(spark, sf_dir))
 
@@ -70,8 +77,7 @@ def i16_holder_policy(spark, sf_dir):
 @query(ctes("state", "holdings") + f"SELECT symbol, advice, row_number() OVER (ORDER BY advice <> 'SELL', symbol) AS place FROM ({VALUED})")
 def g4_sell_first(spark, sf_dir):
     v = valued_of(spark, sf_dir).select("symbol", "advice")
-    ahead = Window.orderBy(F.col("advice") != "SELL", "symbol")  # one portfolio's holdings
-    return v.withColumn("place", F.row_number().over(ahead))
+    return placed(v, "place", F.col("advice") != "SELL", "symbol")
 
 
 @query(ctes("state", "favorites") + "SELECT s.symbol, s.buy, row_number() OVER (ORDER BY s.buy IS NULL, s.buy DESC, s.symbol) AS place FROM state s JOIN favorites f USING (stock_id)")
@@ -87,6 +93,14 @@ def g2_null_last_sorts(spark, sf_dir):
     return s.select("symbol", place("daily_variation").alias("by_move"), place("volume").alias("by_volume"))
 
 
+@query(ctes("state") + "SELECT symbol, row_number() OVER (ORDER BY daily_variation DESC NULLS LAST, symbol) AS by_move, row_number() OVER (ORDER BY volume DESC NULLS LAST, symbol) AS by_volume FROM state")
+def g2_null_last_sorts_whole(spark, sf_dir):
+    """The places of all stocks."""
+    s = state_of(spark, sf_dir).select("symbol", "daily_variation", "volume")
+    place = lambda c, name: placed(s.select("symbol", c), name, F.desc_nulls_last(c), "symbol").select("symbol", name)
+    return place("daily_variation", "by_move").join(place("volume", "by_volume"), "symbol")
+
+
 _HEAD = "CASE WHEN abs(daily_variation) >= 5 THEN 'move' WHEN recommendation = 'STRONG_OPPORTUNITY' THEN 'buy' WHEN volume_anomaly >= 2 THEN 'volume' WHEN support_distance BETWEEN 0 AND 3 THEN 'support' WHEN week52_high_proximity > -1 THEN 'high' WHEN buy >= 50 THEN 'score' ELSE 'quiet' END"
 
 

@@ -50,3 +50,20 @@ def test_a_name_alone_matches(spark, tmp_path):
     titles = spark.createDataFrame(docs, "title_id long, title string")
     names = spark.createDataFrame([(o, "QBF", n) for o, n in items], "ord long, symbol string, name string")
     assert {r["title_id"] for r in match_symbols(titles, names).collect()} == {1, 2}
+
+
+def test_all_stocks_have_places(spark):
+    n = spark.read.parquet(f"{SF}/supplier.parquet").count()
+    rows = run(spark, "g2_null_last_sorts_whole").collect()
+    assert sorted(r["by_move"] for r in rows) == sorted(r["by_volume"] for r in rows) == list(range(1, n + 1))
+
+
+def test_places_run_on_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from sparktide.queries_analysis import placed
+
+    df = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 7 != 0, F.col("id") % 100).alias("x")).repartition(5)
+    want = sorted(df.collect(), key=lambda r: (r["x"] is None, -(r["x"] or 0), r["id"]))
+    got = placed(df, "place", F.desc_nulls_last("x"), "id").collect()
+    assert {r["id"]: r["place"] for r in got} == {r["id"]: k + 1 for k, r in enumerate(want)}
