@@ -34,13 +34,18 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.max(df.columns[0]).alias("top"), F.bit_xor(F.xxhash64(*df.columns)).alias("digest"))
 
 
-def harvest(profiles: DataFrame, ratios: DataFrame, notices: DataFrame, per_stock: int = 60) -> DataFrame:
+#: Key and column of each ratio, and fields of a profile.
+RATIOS = {"roe": "roe_pct", "dividend_yield": "dividend_yield_pct", "eps": "eps", "per": "per", "pbr": "pbr", "payout": "payout_pct"}
+FIELDS = ("sector", "company_name")
+
+
+def harvest(profiles: DataFrame, ratios: DataFrame, notices: DataFrame, per_stock: int = 60, *, fields=FIELDS, names=tuple(RATIOS)) -> DataFrame:
     """Facts about companies from profiles, official ratios and the newest notices: (stock_id, category, key, value, fact_hash). Blanks are skipped."""
     from pyspark.sql import Window
 
-    a = profiles.select("stock_id", F.lit("profile").alias("category"), F.lit("sector").alias("key"), F.col("sector").alias("value"))
-    b = ratios.where("source <> 'derived'").select("stock_id", F.lit("ratio").alias("category"), F.col("fiscal_year").cast("string").alias("year"), F.round("roe_pct", 2).cast("double").alias("roe"), F.round("dividend_yield_pct", 2).cast("double").alias("dividend_yield"))
-    b = b.unpivot(["stock_id", "category", "year"], ["roe", "dividend_yield"], "name", "number").where("number is not null")
+    a = profiles.select("stock_id", F.lit("profile").alias("category"), *fields).unpivot(["stock_id", "category"], list(fields), "key", "value")
+    b = ratios.where("source <> 'derived'").select("stock_id", F.lit("ratio").alias("category"), F.col("fiscal_year").cast("string").alias("year"), *(F.round(RATIOS[k], 2).cast("double").alias(k) for k in names))
+    b = b.unpivot(["stock_id", "category", "year"], list(names), "name", "number").where("number is not null")
     b = b.select("stock_id", "category", F.concat_ws(":", "name", "year").alias("key"), F.format_string("%.2f", "number").alias("value"))
     w = Window.partitionBy("stock_id").orderBy(F.desc("collected_at"), F.desc("news_id"))
     c = notices.where("stock_id is not null").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_stock).select("stock_id", F.lit("notice").alias("category"), F.col("event_type").alias("key"), F.col("url").alias("value"))

@@ -342,18 +342,34 @@ _FACTS = """SELECT DISTINCT stock_id, category, key, value, sha256(category || '
  SELECT stock_id, 'notice', event_type, url FROM (SELECT * FROM news WHERE stock_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY collected_at DESC, news_id DESC) <= 60)) WHERE trim(coalesce(value, '')) <> ''"""
 
 
-def facts_of(spark, sf_dir):
-    return H.harvest(stocks_of(spark, sf_dir), view(spark, sf_dir, "fundamentals"), view(spark, sf_dir, "news"))
+_NUMBERS = " UNION ALL ".join(f"SELECT stock_id, 'ratio', '{k}:' || fiscal_year, printf('%.2f', CAST(round(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE)) FROM fundamentals WHERE source <> 'derived' AND {c} IS NOT NULL" for k, c in H.RATIOS.items())
+_FACTS_WHOLE = f"""SELECT DISTINCT stock_id, category, key, value, sha256(category || '|' || key || '|' || value) AS fact_hash FROM (
+ SELECT stock_id, 'profile' AS category, 'sector' AS key, sector AS value FROM stocks UNION ALL SELECT stock_id, 'profile', 'company_name', company_name FROM stocks UNION ALL {_NUMBERS} UNION ALL
+ SELECT stock_id, 'notice', event_type, url FROM (SELECT * FROM news WHERE stock_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY collected_at DESC, news_id DESC) <= 60)) WHERE trim(coalesce(value, '')) <> ''"""
+
+
+def facts_of(spark, sf_dir, **parts):
+    return H.harvest(stocks_of(spark, sf_dir), view(spark, sf_dir, "fundamentals"), view(spark, sf_dir, "news"), **parts)
+
+
+@query(ctes("stocks", "fundamentals", "news") + _FACTS_WHOLE)
+def j18_knowledge_whole(spark, sf_dir):
+    return facts_of(spark, sf_dir).select("stock_id", "category", "key", "value", "fact_hash")
+
+
+@query(ctes("stocks", "fundamentals", "news") + f"SELECT category, count(*) AS n FROM ({_FACTS_WHOLE}) GROUP BY ROLLUP (category)")
+def e25_knowledge_counts_whole(spark, sf_dir):
+    return facts_of(spark, sf_dir).rollup("category").agg(F.count("*").alias("n"))
 
 
 @query(ctes("stocks", "fundamentals", "news") + _FACTS)
 def j18_knowledge(spark, sf_dir):
-    return facts_of(spark, sf_dir).where(~F.col("key").startswith("dividend_yield")).select("stock_id", "category", "key", "value", "fact_hash")
+    return facts_of(spark, sf_dir, fields=("sector",), names=("roe",)).select("stock_id", "category", "key", "value", "fact_hash")
 
 
 @query(ctes("stocks", "fundamentals", "news") + f"SELECT category, count(*) AS n FROM ({_FACTS}) GROUP BY ROLLUP (category)")
 def e25_knowledge_counts(spark, sf_dir):
-    return facts_of(spark, sf_dir).where(~F.col("key").startswith("dividend_yield")).rollup("category").agg(F.count("*").alias("n"))
+    return facts_of(spark, sf_dir, fields=("sector",), names=("roe",)).rollup("category").agg(F.count("*").alias("n"))
 
 
 @query(ctes("reports") + "SELECT recommendation_short, recommendation_medium, count(*) AS n FROM reports GROUP BY CUBE (recommendation_short, recommendation_medium)")

@@ -67,3 +67,8 @@ def test_places_run_on_over_ranges(spark):
     want = sorted(df.collect(), key=lambda r: (r["x"] is None, -(r["x"] or 0), r["id"]))
     got = placed(df, "place", F.desc_nulls_last("x"), "id").collect()
     assert {r["id"]: r["place"] for r in got} == {r["id"]: k + 1 for k, r in enumerate(want)}
+
+
+def test_every_ratio_becomes_a_fact(spark):
+    keys = {r["key"].split(":")[0] for r in run(spark, "j18_knowledge_whole").where("category <> 'notice'").select("key").distinct().collect()}
+    assert keys == {"sector", "company_name", "roe", "dividend_yield", "eps", "per", "pbr", "payout"}
