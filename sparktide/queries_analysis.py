@@ -409,15 +409,24 @@ def i29_formats(spark, sf_dir):
 
 @query(ctes("stocks", "prices", "news") + "SELECT s.symbol, n_points, n_news FROM stocks s LEFT JOIN (SELECT stock_id, least(count(*), 180) AS n_points FROM prices WHERE current_price IS NOT NULL GROUP BY 1) p USING (stock_id) LEFT JOIN (SELECT stock_id, least(count(*), 10) AS n_news FROM news WHERE stock_id IS NOT NULL GROUP BY 1) n USING (stock_id)")
 def j22_symbol_detail(spark, sf_dir):
-    """Per stock: the last 180 price points and the last 10 notices as arrays."""
+    """Per stock: how many price points and notices its detail holds."""
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c).cast("long"))
+    return detail_of(spark, sf_dir).select("symbol", size("points").alias("n_points"), size("notices").alias("n_news"))
+
+
+@query()
+def j22_symbol_detail_whole(spark, sf_dir):
+    """Per stock: the last 180 price points, oldest first, and the last 10 notices, newest first, as arrays."""
+    return detail_of(spark, sf_dir).select("symbol", "points", "notices")
+
+
+def detail_of(spark, sf_dir):
     newest = lambda df, n, *order: df.withColumn("k", F.row_number().over(Window.partitionBy("stock_id").orderBy(*order))).where(F.col("k") <= n)
     p = newest(view(spark, sf_dir, "prices").where("current_price is not null").select("stock_id", "observed_at", "seq", "current_price"), 180, F.desc("observed_at"), F.desc("seq"))
     n = newest(view(spark, sf_dir, "news").where("stock_id is not null").select("stock_id", "collected_at", "news_id", "title"), 10, F.desc("collected_at"), F.desc("news_id"))
     points = p.groupBy("stock_id").agg(F.sort_array(F.collect_list(F.struct("observed_at", "seq", "current_price"))).alias("points"))
     notices = n.groupBy("stock_id").agg(F.sort_array(F.collect_list(F.struct("collected_at", "news_id", "title")), asc=False).alias("notices"))
-    out = stocks_of(spark, sf_dir).join(points, "stock_id", "left").join(notices, "stock_id", "left")
-    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c).cast("long"))
-    return out.select("symbol", size("points").alias("n_points"), size("notices").alias("n_news"))
+    return stocks_of(spark, sf_dir).join(points, "stock_id", "left").join(notices, "stock_id", "left")
 
 
 @query(ctes("state") + "SELECT count(*) FILTER (WHERE buy >= 60) AS n_strong, count(*) FILTER (WHERE abs(daily_variation) >= 5) AS n_moves, count(*) FILTER (WHERE recommendation = 'AVOID') AS n_avoid, count(*) AS n FROM state")

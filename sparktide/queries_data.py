@@ -450,10 +450,15 @@ def i6_i7_classify(spark, sf_dir):
     """Notices with a French phrase for each kind of event put before them, classified and folded to families."""
     phrases = ["Détachement du dividende", "Augmentation de capital en numéraire", "Résultats en forte hausse", "Avertissement sur résultat", "Avis divers", "Offre publique d’achat", "Suspension de la cotation"]
     at = F.element_at(F.array(*map(F.lit, phrases)), (F.col("news_id") % len(phrases) + 1).cast("int"))
-    c = view(spark, sf_dir, "news").select("news_id", N.classify(at).alias("c"))
+    c = view(spark, sf_dir, "news").select("news_id", N.classify(F.concat_ws(" ", at, "title")).alias("c"))
     return c.select("news_id", "c.*", N.event_family(F.col("c.event")).alias("family"), N.is_mechanical(F.col("c.event")).alias("mechanical"))
 
 
 @query("SELECT page_id, length(html) > 0 AS any FROM pages")
 def i30_markup_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", (F.length(C.html_to_text(F.col("html"))) > 0).alias("any"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS text FROM pages")
+def i30_markup_strip_whole(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", C.html_to_text(F.col("html")).alias("text"))

@@ -72,3 +72,26 @@ def test_places_run_on_over_ranges(spark):
 def test_every_ratio_becomes_a_fact(spark):
     keys = {r["key"].split(":")[0] for r in run(spark, "j18_knowledge_whole").where("category <> 'notice'").select("key").distinct().collect()}
     assert keys == {"sector", "company_name", "roe", "dividend_yield", "eps", "per", "pbr", "payout"}
+
+
+def test_titles_are_classified(spark, tmp_path):
+    for t in ("supplier", "nation", "labels"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = [(4, "Profit warning du groupe", "a"), (11, "Rien", "a"), (18, "Radiation", "a"), (25, None, "a")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["news_id"]: r["event"] for r in run(spark, "i6_i7_classify", str(tmp_path)).collect()}
+    assert got == {4: "profit_warning", 11: "announcement", 18: "delisting", 25: "announcement"}
+
+
+def test_details_hold_the_newest_points_and_notices(spark):
+    from sparktide.sources.views import view
+
+    stocks, prices, news = ([r.asDict() for r in view(spark, SF, t).collect()] for t in ("stocks", "prices", "news"))
+    got = {r["symbol"]: r for r in run(spark, "j22_symbol_detail_whole").collect()}
+    assert len(got) == len(stocks)
+    for s in stocks:
+        points = sorted((p["observed_at"], p["seq"], p["current_price"]) for p in prices if p["stock_id"] == s["stock_id"] and p["current_price"] is not None)[-180:]
+        notices = sorted(((n["collected_at"], n["news_id"], n["title"]) for n in news if n["stock_id"] == s["stock_id"]), reverse=True)[:10]
+        row = got[s["symbol"]]
+        assert [tuple(p) for p in row["points"] or []] == points
+        assert [tuple(n) for n in row["notices"] or []] == notices
