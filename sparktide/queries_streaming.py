@@ -22,7 +22,10 @@ def query(sql: str | None = None):
 
 
 def stream_of(spark, sf_dir: str) -> DataFrame:
-    out = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    reader, path = spark.readStream.schema(table(spark, sf_dir, "events").schema), f"{sf_dir}/events.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
+    out = reader.parquet(path) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)  # a stream reads folders only
     return out.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

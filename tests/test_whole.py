@@ -95,3 +95,12 @@ def test_details_hold_the_newest_points_and_notices(spark):
         row = got[s["symbol"]]
         assert [tuple(p) for p in row["points"] or []] == points
         assert [tuple(n) for n in row["notices"] or []] == notices
+
+
+def test_streams_read_a_file_and_a_folder(spark, tmp_path):
+    from sparktide.queries_streaming import drained, stream_of
+
+    given = spark.read.parquet(f"{SF}/events.parquet")
+    given.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for d in (SF, str(tmp_path)):
+        assert drained(spark, stream_of(spark, d).select("event_id"), "append", "both").count() == given.count()
