@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import sliced
 from .words import span_hashes
 
 #: Code points of one block, and pieces of one of the two generations of a worker's cache.
@@ -318,14 +318,13 @@ def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", offsets:
     empty one. Columns of ``docs`` of the same names are replaced. A task holds one Arrow batch and one block of about
     BLOCK_CHARS code points.
     """
-    bounded_batches(docs.sparkSession)
     made = ["ids", "n_tokens", *["token_ends"] * offsets]
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made))
     schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("token_ends", T.BinaryType())] * offsets])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(ranks_path)
-        for batch in batches:
+        for batch in sliced(batches, text_col):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             ids, counts, ends = [], [], []
             for block in _text_blocks(texts):
@@ -344,13 +343,12 @@ def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", offsets:
 
 def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids") -> DataFrame:
     """Every row of ``encoded`` with ``decoded`` (binary): the bytes of its ids. Null ids: null. A column ``decoded`` is replaced."""
-    bounded_batches(encoded.sparkSession)
     kept = encoded.select(*(F.col(f"`{c}`") for c in encoded.columns if c != "decoded"))
     schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(ranks_path)
-        for batch in batches:
+        for batch in sliced(batches, ids_col):
             ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
             out = [None if x is None else bpe.decode(np.frombuffer(x, "<u4")) for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])

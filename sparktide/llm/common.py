@@ -4,23 +4,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch between the JVM and a Python worker: with texts of up to about 100 kB a batch stays under 30 MB.
-BATCH_ROWS = 256
+#: Rows and text bytes of one slice of an Arrow batch that Python code turns into objects at a time; a longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, so that very long texts don't fill a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def sliced(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (which Spark bounds in bytes) as slices of few rows and few bytes of ``text_col``, without copying."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text_col))), 0).to_pylist()
+        begin = held = 0
+        for i, size in enumerate(sizes):
+            if i > begin and (i - begin >= SLICE_ROWS or held + size > SLICE_BYTES):
+                yield batch.slice(begin, i - begin)
+                begin, held = i, 0
+            held += size
+        if begin < len(sizes):
+            yield batch.slice(begin)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a fresh local one only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session without one, as in tests, gets a fresh folder."""
     held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("sparktide.shared.dir", None)
     if not held:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         held = tempfile.mkdtemp(prefix="sparktide-")
         spark.conf.set("sparktide.shared.dir", held)
         spark.sparkContext.setCheckpointDir(held)
@@ -42,7 +56,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def column(df: DataFrame, name: str):
     """A column by its exact name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
-
-
-def rows_of(df: DataFrame) -> int:
-    return df.count()

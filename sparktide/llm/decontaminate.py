@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, column, stored
+from .common import column, sliced, stored
 from .words import Words, blocks, mix, runs
 
 #: Word edits allowed, as a share of an item's words.
@@ -154,7 +154,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     no shuffle, so no key can be hot; items beyond ``items_a_pass`` take further passes, each with an index of bounded size.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     items = benchmark.select(column(benchmark, item_id_col).alias("id"), column(benchmark, item_text_col).alias("text")).where(F.col("text").isNotNull())
     id_type = items.schema["id"].dataType
     leak = T.ArrayType(T.StructType([T.StructField("item_id", id_type), T.StructField("edits", T.IntegerType())]))
@@ -180,7 +179,7 @@ def _leaks(index: Items, text_col: str, schema: T.StructType):
     leak = to_arrow_type(schema["leaks"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text_col):
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             if len(index.size):
                 for begin, w in blocks(batch.column(batch.schema.get_field_index(text_col)).to_pylist()):

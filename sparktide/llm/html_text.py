@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, column
+from .common import column, sliced
 
 #: Pages that the trees are fitted on at most (those of least hash of their html), trees, their depth and learning rate.
 SAMPLE_PAGES, TREES, DEPTH, RATE = 300, 24, 3, 0.3
@@ -260,11 +260,10 @@ def _generated() -> list[str]:
 
 def fit_on(pages: DataFrame, *, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Forest:
     """Fit the trees on at most ``sample_pages`` pages and on generated skeletons; only features reach the driver."""
-    bounded_batches(pages.sparkSession)
     sample = pages.select(column(pages, html_col).alias("html")).where(F.col("html").isNotNull()).select(F.xxhash64("html").alias("k"), "html").orderBy("k", "html").limit(sample_pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "html"):
             for html in batch.column("html").to_pylist():
                 x, y, w = _examples(html)
                 yield pa.RecordBatch.from_arrays([pa.array(x.ravel().tolist(), pa.float64()), pa.array(np.repeat(y, FEATURES).tolist(), pa.float64()), pa.array(np.repeat(w, FEATURES).tolist(), pa.float64())], names=["x", "y", "w"])
@@ -372,13 +371,12 @@ def extract(pages: DataFrame, forest: Forest | None = None, *, html_col: str = "
     table gives an empty one, a page of any length is parsed whole. Columns of ``pages`` named text or n_chars are replaced
     (and html_col is kept). There is no shuffle beyond the bounded sample's.
     """
-    bounded_batches(pages.sparkSession)
     forest = fit_on(pages, html_col=html_col) if forest is None else forest
     kept = pages.select(*(column(pages, c) for c in pages.columns if c == html_col or c not in ("text", "n_chars")))
     schema = T.StructType([*kept.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, html_col):
             html = batch.column(batch.schema.get_field_index(html_col)).to_pylist()
             texts = [t for i in range(0, len(html), PAGES_AT_ONCE) for t in main_texts(html[i : i + PAGES_AT_ONCE], forest)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*batch.schema.names, "text", "n_chars"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, column, stored
+from .common import column, sliced, stored
 from .components import components
 from .words import blocks, mix, shingle_sets
 
@@ -86,7 +86,7 @@ def _nodes_of(words: int, with_bands: bool):
     names = ["id", "key", "n", "bands"] if with_bands else ["key", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             keys, sizes, bands, sets = [], [], [], []
             known: dict[bytes, np.ndarray] = {}
             for _, w in blocks(batch.column("text").to_pylist()):
@@ -183,7 +183,6 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     never emitted: a block gives one row for each of its nodes. No partner or candidate is capped.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     given = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text"))
     id_type = given.schema["id"].dataType.simpleString()
     rows = stored(given.mapInArrow(_nodes_of(words, True), f"id {id_type}, key binary, n long, bands array<long>"), "shingled")

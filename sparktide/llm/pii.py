@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, column
+from .common import column, sliced
 
 KINDS = ("email", "ip", "card", "phone")
 #: Regions of text that the field is fitted on at most, and tokens of an entity at most.
@@ -298,10 +298,9 @@ def all_spans(text: str, weights: dict[str, float], base: list[tuple[int, int, s
 
 def fit_on(docs: DataFrame, *, text_col: str = "text", sample_regions: int = SAMPLE_REGIONS) -> dict[str, float]:
     """Fit the field on at most ``sample_regions`` distinct regions of the texts, those of least hash."""
-    bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             found = {t[a:b] for t in batch.column("text").to_pylist() if t for a, b in regions(t) if b - a < 600}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["region"])
 
@@ -318,7 +317,6 @@ def find_personal_data(docs: DataFrame, weights: dict[str, float] | None = None,
     searched whole, in linear time. Columns of ``docs`` of the same names are replaced. There is no shuffle beyond the
     sample's.
     """
-    bounded_batches(docs.sparkSession)
     weights = fit_on(docs, text_col=text_col) if weights is None else weights
     kept = docs.select(*(column(docs, c) for c in docs.columns if c not in ("base", "spans")))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
@@ -327,7 +325,7 @@ def find_personal_data(docs: DataFrame, weights: dict[str, float] | None = None,
     as_rows = lambda spans: [{"start": a, "end": b, "kind": k} for a, b, k in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text_col):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             base = [base_spans(t) for t in texts]
             whole = [all_spans(t, weights, b) for t, b in zip(texts, base)]

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, column, stored
+from .common import column, stored
 from .words import BLOCK_BYTES, Words
 
 #: Labelled rows that the document classifier is fitted on at most; those of least hash of their id.
@@ -109,7 +109,6 @@ def labelled(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DocumentModel:
     """Fit the document classifier on at most ``sample_rows`` labelled documents; only their features reach the driver."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     picked = labelled(labels).orderBy(F.xxhash64("__lid"), "__lid").limit(sample_rows)
     sample = docs.select(column(docs, id_col).alias("__id"), column(docs, text_col).alias("__text")).join(F.broadcast(picked), F.col("__id") == F.col("__lid"))  # at most sample_rows ids
     sample = stored(sample.dropDuplicates(["__id"]).select("__id", "__text", "__good"), "quality-sample")
@@ -179,7 +178,6 @@ def posteriors(docs: DataFrame, labels: DataFrame, model: DocumentModel, *, id_c
     Goodness is the label where there is one, else the classifier's probability. Counts cover all documents. Hosts shrink
     toward the global mean and paths toward their host, each by a strength that the spread between groups gives.
     """
-    bounded_batches(docs.sparkSession)
     scored = docs.select(column(docs, id_col).alias("__id"), column(docs, host_col).alias("host"), column(docs, path_col).alias("path"), _evidence(model, column(docs, text_col)).alias("llr"))
     scored = scored.join(labelled(labels), F.col("__id") == F.col("__lid"), "left")
     good = F.coalesce(F.col("__good").cast("double"), 1 / (1 + F.exp(-(F.col("llr") + F.lit(model.base)))))

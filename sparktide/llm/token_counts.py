@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, column, fresh_path
+from .common import column, fresh_path, sliced, stored
 
 CACHE_SCHEMA = "content_sha256 binary, tokenizer_sha256 string, n_tokens long"
 
@@ -87,7 +87,7 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
 def _encode_misses(path: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
-        for batch in batches:
+        for batch in sliced(batches, "content"):
             n = count(batch.column("content").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("content_sha256"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["content_sha256", "tokenizer_sha256", "n_tokens"])
 
@@ -107,7 +107,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text"
     named like the three results are replaced; all others are kept.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     version = tokenizer_digest(tokenizer_path)
     cache_path = cache_path or fresh_path(spark, "token-counts")
     text = F.coalesce(column(docs, text_col), F.lit(""))

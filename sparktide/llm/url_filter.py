@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, column
+from .common import column, sliced
 
 #: Terms with their weights. One term of weight 1 rejects alone; soft terms count once each.
 STRICT_TERMS = ("casino", "porn", "xxx", "viagra", "escort", "warez", "phishing", "malware")
@@ -81,13 +81,12 @@ def judge_urls(pages: DataFrame, *, url_col: str = "url", strict: tuple[str, ...
     judged alike, ties can't arise, an empty table gives an empty one. Columns of ``pages`` of the same names are replaced.
     Only the columns that are kept are read; there is no shuffle.
     """
-    bounded_batches(pages.sparkSession)
     made = ["host", "path", "rule", "n_strict", "n_soft", "verdict"]
     kept = pages.select(*(column(pages, c) for c in pages.columns if c == url_col or c not in made))
     schema = T.StructType([*kept.schema.fields, T.StructField("n_strict", T.LongType()), T.StructField("n_soft", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, url_col):
             counts = [count_terms(u or "", strict, soft) for u in batch.column(batch.schema.get_field_index(url_col)).to_pylist()]
             more = [pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "n_strict", "n_soft"])

@@ -11,9 +11,12 @@ BLOCK_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _M = np.uint64(0xBF58476D1CE4E5B9)
+#: Two polynomials modulo the prime 2^31 - 1; powers of two as modulus would hash Thue-Morse words alike for every base.
+_PRIME = np.uint64((1 << 31) - 1)
+_BASES = (1_150_943_041, 736_338_717)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-_powers: list[np.ndarray] = []
+_powers: list[np.ndarray] = []  # for each base its powers, then those of its inverse
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,26 +26,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits modulo the prime."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * BLOCK_BYTES)
-        inverse = pow(int(_P), -1, 1 << 64)
-        both = []
-        for base in (int(_P), inverse):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            both.append(np.cumprod(steps, dtype=np.uint64))
-        _powers[:] = both
-    return _powers[0], _powers[1]
+        size, tables = max(n, 2 * BLOCK_BYTES), []
+        for base in (x for b in _BASES for x in (b, pow(b, -1, int(_PRIME)))):
+            table, step = np.ones(1, np.uint64), base
+            while len(table) < size:
+                table = np.concatenate((table, _reduced(table * np.uint64(step))))
+                step = step * step % int(_PRIME)
+            tables.append(table[:size])
+        _powers[:] = tables
+    return _powers
+
+
+def _hashed(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """62 bits, spread over 64, for the bytes of each span ``begin:end``, wherever it stands."""
+    up_a, down_a, up_b, down_b = _power_tables(len(data) + 1)
+    out = np.zeros(len(begin), np.uint64)
+    raw = data.astype(np.uint64) + np.uint64(1)
+    for up, down in ((up_a, down_a), (up_b, down_b)):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        terms = raw * up[: len(data)]  # under 2^40, so that the sums of 2^24 of them fit
+        np.cumsum(terms if len(data) < 1 << 24 else _reduced(terms), out=sums[1:])
+        out = out << np.uint64(31) | _reduced(_reduced(sums[end] - sums[begin]) * down[begin])
+    return mix(out)
 
 
 def span_hashes(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """The hash of the bytes between each two neighbouring cuts."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    at = sums[cuts]
-    return mix((at[1:] - at[:-1]) * down[cuts[:-1]])
+    return _hashed(data, cuts[:-1], cuts[1:])
 
 
 class Words:
@@ -55,10 +74,7 @@ class Words:
         inside = _WORD[self.data]
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.start, self.end = edges[0::2], edges[1::2]
-        up, down = _power_tables(len(self.data))
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        self.hash = _hashed(self.data, self.start, self.end)
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
         self.text_at = 1 + np.concatenate(([0], np.cumsum(sizes)))
         self.first = np.searchsorted(self.start, self.text_at)
