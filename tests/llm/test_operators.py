@@ -121,6 +121,35 @@ def test_op1_odd_inputs(spark):
     assert decontaminate.find_leaks(copies, items, items_a_pass=1).where(F.size("leaks") == 1).count() == 3
 
 
+def test_op1_recall_at_the_allowed_edits():
+    """Words changed, taken out and put in at random, up to what is allowed: nearly all items are found."""
+    import duckdb
+
+    bench = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet' ORDER BY 1").fetchall()
+    index, rng = decontaminate.Items([i for i, _ in bench], [t for _, t in bench]), random.Random(8)
+    vocabulary, found, asked = [w for _, t in bench for w in t.split()], 0, 0
+    for i, text in bench:
+        for share in (0.1, 0.2):
+            words = text.split()
+            for _ in range(min(int(share * len(words)), decontaminate.allowed_edits(len(words)))):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = rng.choices(vocabulary, k=rng.randrange(2))
+            planted = " ".join(rng.choices(vocabulary, k=40) + words + rng.choices(vocabulary, k=40))
+            got = [index.ids[k] for _, k, _ in index.find(Words([planted, None, "short"]))]
+            found, asked = found + (i in got), asked + 1
+    assert found >= 0.95 * asked
+
+
+def test_op1_many_items_share_a_repeated_phrase():
+    """Candidates are expanded a bounded number at a time, and a phrase that many items share makes no leak."""
+    rng = random.Random(4)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items = [f"{own(12)} the shared phrase {own(12)}" for _ in range(400)]
+    index = decontaminate.Items(list(range(400)), items)
+    text = " ".join(["the shared phrase"] * 20_000)
+    assert index.find(Words([text, items[7] + " " + text])) == [(1, 7, 0)]
+
+
 def test_op4_recall_and_order(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     got = {}
@@ -153,6 +182,37 @@ def test_op4_odd_inputs(spark):
     assert got == list(range(1, 11))  # ties to the smaller id
 
 
+def clustered(n=12_000):
+    rng = np.random.default_rng(1)
+    centre, axes, own = rng.standard_normal((200, 64)), rng.standard_normal((200, 6, 64)) * 0.15, rng.integers(0, 200, n)
+    return centre[own] + np.einsum("ij,ijk->ik", rng.standard_normal((n, 6)), axes[own])
+
+
+def test_op4_the_test_stops_the_search():
+    """On clustered vectors under half of the leaves and few rows are read; on vectors without structure the test still spares rows."""
+    for x, leaves, rows in ((clustered(), 0.5, 0.05), (np.random.default_rng(2).standard_normal((12_000, 64)), 1.0, 0.7)):
+        block, stop = nearest.Block(np.arange(len(x)), x), nearest.chi_square_quantile(nearest.CONFIDENCE, nearest.PROJECTED)
+        asked = x[::200]
+        for q in asked:
+            block.search(q, 11, stop, np.inf)
+        assert block.leaves_read <= leaves * len(asked) * len(block.tree.leaves)
+        assert block.rows_verified <= rows * len(asked) * len(x)
+
+
+def test_op4_many_cells_blocks_and_chunks(spark):
+    x = clustered(6000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in nearest.nearest(df, df.where("vec_id % 100 = 0"), block_rows=512, chunk_queries=16).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(got) == 60 and hits >= 0.9 * 600
+
+
 @pytest.mark.parametrize(
     "url,host,path,rule,verdict",
     [
