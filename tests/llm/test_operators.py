@@ -351,8 +351,7 @@ def test_op8_article_without_its_surroundings(spark):
 
 
 def test_op8_furniture_and_odd_pages(spark):
-    made = [html_text._examples(p) for p in html_text._generated()]
-    forest = html_text.boost(*(np.concatenate([m[k] for m in made]) for k in range(3)))
+    forest = html_text.fit()
     page = '<body><header>Site</header><nav><a href=x>Home</a></nav><div id="cookie-notice">We use cookies</div><article><h1>Title &amp; more</h1><p>First  para\n text.</p><p>Second<br>line</p><div class="comments"><p>Reader says hi.</p></div><form><p>Sign up</p></form></article><footer>end</footer>'
     got = html_text.main_texts([page, None, "", "<p>Just one paragraph with enough words.</p>", '<div class="ad">Buy</div>', "<div>" * 3000 + "x"], forest)
     assert got[0] == "Title & more\n\nFirst para text.\n\nSecond line"
