@@ -269,13 +269,17 @@ class ByteBpe:
         byte_at = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
         raw = "".join(texts).encode("utf-8", "replace")
         cuts = byte_at[np.append(starts, len(points))]
-        kinds, example, number = np.unique(span_hashes(np.frombuffer(raw, np.uint8), cuts), return_index=True, return_inverse=True)
+        octets = np.frombuffer(raw, np.uint8)
+        kinds, example, number = np.unique(span_hashes(octets, cuts), return_index=True, return_inverse=True)
         if len(self.known) > CACHE_PIECES:
             self._empty()
         look = self._number_of
         known = np.array([look(raw[a:b]) for a, b in zip(cuts[example].tolist(), cuts[example + 1].tolist())], np.int64)
-        self._settle()
+        odd = np.flatnonzero(_unlike(octets, cuts, example[number]))
         number = known[number]
+        for k in odd.tolist():
+            number[k] = look(raw[cuts[k] : cuts[k + 1]])
+        self._settle()
         begin, size = self.at[number], self.at[number + 1] - self.at[number]
         upto = np.concatenate(([0], np.cumsum(size)))
         index = np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)
@@ -286,6 +290,17 @@ class ByteBpe:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
 
 
+def _unlike(octets: np.ndarray, cuts: np.ndarray, example: np.ndarray) -> np.ndarray:
+    """For each piece whether its bytes differ from those of its example, a piece of the same hash."""
+    size = np.diff(cuts)
+    out = size != size[example]
+    at = np.repeat(cuts[example] - cuts[:-1], size)
+    at += np.arange(cuts[0], cuts[-1])
+    differ = octets != octets.take(at, mode="clip")
+    out |= np.logical_or.reduceat(differ, cuts[:-1] - cuts[0])
+    return out
+
+
 def _has_surrogate(text: str) -> bool:
     try:
         text.encode("utf-8")

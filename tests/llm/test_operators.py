@@ -74,6 +74,18 @@ def test_op3_random_texts():
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [enc.encode_ordinary(t) for t in texts]
 
 
+def test_op3_tells_pieces_of_one_hash_apart(monkeypatch):
+    """Thue-Morse words, which polynomial hashes modulo a power of two can't tell apart; and all pieces of a length under one hash."""
+    enc = reference_encoding()
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    texts = [word + " x", word.translate(str.maketrans("ab", "ba")) + " x", "some other words", "more same names " + word]
+    for hashed in (byte_bpe.span_hashes, lambda octets, cuts: np.diff(cuts).astype(np.uint64)):
+        monkeypatch.setattr(byte_bpe, "span_hashes", hashed)
+        bpe = byte_bpe.ByteBpe(RANKS)
+        ids, at = bpe.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [enc.encode_ordinary(t) for t in texts]
+
+
 def test_op3_digests(spark):
     for r in queries.op3_byte_bpe(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").limit(50).collect():
         assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
