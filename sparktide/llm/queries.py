@@ -50,7 +50,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_kind = lambda kind: lambda s: s["kind"] == kind
     counts = [F.size(F.filter("base", is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return out.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,10 +291,25 @@ def op6_weights():
 
 
 def test_op6_spares_words_at_and_dot(op6_weights):
-    for text in ("They met at noon. The dot on the map was red.", "Look at the end of it (at least once).", "A dot, then a dash."):
+    for text in ("the meeting at dot com era", "They met at noon. The dot on the map was red.", "Look at the end of it (at least once).", "A dot, then a dash."):
         assert pii.all_spans(text, op6_weights, pii.base_spans(text)) == []
 
 
+def test_op6_long_numeric_text_in_bounded_memory(op6_weights):
+    """One region of 58 000 code points: candidates are scored as they are made and not kept."""
+    import tracemalloc
+
+    rng = random.Random(6)
+    text = " ".join(str(rng.randrange(10 ** rng.randrange(1, 8))) for _ in range(12_000)) + " at jane (at) mail (dot) example (dot) org"
+    assert len(text) > 55_000
+    tracemalloc.start()
+    lattice = pii.Lattice(text)
+    found = pii.decode(lattice, op6_weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 * len(text) and found[-1][2] == "email"
+
+
 def test_op7_links_and_classes_by_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 700").collect()]
     rows += [(10_000 + i, t) for i, t in enumerate([None, "", "  ", "one two", "One, two!", "x y z"])] + [rows[0]]
