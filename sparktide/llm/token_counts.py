@@ -101,7 +101,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text"
     Parquet folder ``(content_sha256, tokenizer_sha256, n_tokens)`` that only grows: counts of another tokenizer file never
     match, and a second run over the same texts encodes nothing. Without ``cache_path`` a new cache starts in the shared
     folder. Map-side aggregation leaves one text for each digest and task before the shuffle, so a group of copies of any
-    size costs one encoding.
+    size costs one encoding; the join back is split where a digest is hot. Texts of any length are encoded whole, one at a time.
 
     Null and empty texts: 0 bytes, 0 tokens. Repeated rows: each keeps its row. Empty table: no rows. Columns of ``docs``
     named like the three results are replaced; all others are kept.
@@ -118,6 +118,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text"
     texts.mapInArrow(_encode_misses(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_sha256") == version)
     counts = counts.groupBy("content_sha256").agg(F.max("n_tokens").alias("n_tokens"))  # two runs at once may both append a digest
+    counts = stored(counts, "counts-by-digest")  # so that nothing but the exchanges lies under the join, and adaptive execution can split a digest that many rows share
     kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     keyed = docs.select(*(column(docs, c) for c in kept), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("__digest"))
     out = keyed.join(counts.withColumnRenamed("content_sha256", "__digest"), "__digest", "left").drop("__digest")
