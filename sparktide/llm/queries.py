@@ -107,15 +107,17 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
   WHEN n_strict >= 1 OR n_soft >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft
 FROM ruled"""
 
+_TRIMMED = "trim(line, chr(32) || chr(9) || chr(13))"
+
 OP9_SQL = f"""
 WITH parts AS (
  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 spread AS (
- SELECT trim(line, ' ') AS key, min(struct_pack(d := doc_id, p := pos)) AS head FROM parts WHERE trim(line, ' ') <> ''
+ SELECT {_TRIMMED} AS key, min(struct_pack(d := doc_id, p := pos)) AS head FROM parts WHERE {_TRIMMED} <> ''
  GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.SITES}),
 marked AS (
  SELECT doc_id, line, pos, head IS NOT NULL AND head <> struct_pack(d := doc_id, p := pos) AS gone
- FROM parts LEFT JOIN spread ON trim(line, ' ') = key)
+ FROM parts LEFT JOIN spread ON {_TRIMMED} = key)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
 FROM documents d LEFT JOIN (
  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept

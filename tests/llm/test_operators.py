@@ -401,6 +401,13 @@ def test_op9_odd_inputs(spark):
     by = {r["doc_id"]: r for r in out}
     assert len(out) == len(rows) and by[0]["text"] == "own 0\nshared \n" and by[1]["text"] == "own 1\n"
     assert (by[50]["text"], by[50]["n_lines"], by[51]["text"], by[51]["n_removed"], by[52]["text"]) == (None, 0, "", 0, "")
+    ends = [(i, f"own {i}\r\n\tshared\r\n\t\r\n", f"s{i}", "x") for i in range(12)]
+    by = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(ends, "doc_id long, text string, source string, x string")).collect()}
+    assert by[0] == ends[0][1] and by[3] == "own 3\r\n\t\r\n"
+    long = [(i, "\n".join(["shared"] * 20_000), f"s{i}", "x") for i in range(11)]
+    by = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(long, "doc_id long, text string, source string, x string")).collect()}
+    assert by[0] == "shared" and by[5] == ""
+    assert line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines string").limit(0)).count() == 0
     few = [(i, "shared", f"s{i % 9}", "x") for i in range(40)]  # under the threshold
     assert line_dedup.dedup_lines(spark.createDataFrame(few, "doc_id long, text string, source string, x string")).where("n_removed > 0").count() == 0
 
