@@ -351,6 +351,59 @@ def test_op7_large_component_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["n_links"] for r in got} == links and {r["class_id"] for r in got} == {0}
 
 
+def test_op7_long_chain_is_compared_by_buckets(spark, monkeypatch):
+    """A component whose documents resemble their neighbours only: bucket by bucket and as a whole give the same links."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**7)}" for _ in range(9000)]
+    rows = [(i, " ".join(words[20 * i : 20 * i + 240])) for i in range(400)]  # neighbours share 0.84
+    sets = [set(s.tolist()) for s in shingle_sets(Words([t for _, t in rows]), 5)]
+    near = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    want = {i: sum(0 <= j < 400 and j != i and near(i, j) for j in range(i - 6, i + 7)) for i in range(400)}
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 32)
+    got = jaccard.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want and {r["class_id"] for r in got} == {0}
+
+
+def test_op7_a_chain_costs_its_buckets():
+    """Pairs compared for a chain grow with its buckets, not with the square of its nodes."""
+    rng, took = random.Random(13), []
+    for m in (1000, 4000):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(20 * m + 240)]
+        sets = shingle_sets(Words([" ".join(words[20 * i : 20 * i + 240]) for i in range(m)]), 5)
+        sig = np.stack([jaccard.signature(s) for s in sets])
+        buckets = {}
+        for i, v in enumerate(sig):
+            for h in jaccard.band_hashes(v).tolist():
+                buckets.setdefault(h, []).append(i)
+        pairs = 0
+        for h, own in buckets.items():
+            if len(own) > 1:
+                pairs += len(own) ** 2
+                every = np.arange(len(own))
+                jaccard._links_in_block([bytes([0])] * len(own), every, every, [sets[i] for i in own], sig[own], np.ones(len(own), np.int64), h, 0.8, 1e-4)
+        took.append(pairs / m)
+    assert took[1] <= 1.5 * took[0]
+
+
+def test_op7_recall_on_a_given_table(spark):
+    """Links of a random sample of documents against the exact similarity to all others."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 4000").collect()]
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.similar_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = shingle_sets(Words([t for _, t in docs]), 5)
+    owner, flat = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    size, found, want = np.array([len(s) for s in sets]), 0, 0
+    for i in range(0, len(sets), 5):
+        if len(sets[i]):
+            low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            shared = np.bincount(np.concatenate([owner[a:b] for a, b in zip(low, high)]), minlength=len(sets))
+            linked = int((shared / (size + size[i] - shared) >= 0.8).sum()) - 1
+            found, want = found + min(linked, got[docs[i][0]]), want + linked
+            assert got[docs[i][0]] <= linked
+    assert want > 50 and found >= 0.99 * want
+
+
 def test_op7_keeps_one(spark):
     rows = [(5, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "other words are here now"), (None, "lonely text of null id")]
     kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -358,6 +411,12 @@ def test_op7_keeps_one(spark):
     assert jaccard.similar_classes(odd(spark).limit(0)).count() == 0
 
 
+def test_op7_null_and_repeated_ids_take_no_other_document(spark):
+    rows = [(None, "a copy of the first text"), (1, "a copy of the first text"), (None, "quite another one of no id"), (2, "own text of id two"), (7, "own text of id two"), (7, "the second text of id seven")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == [(-1, "quite another one of no id"), (1, "a copy of the first text"), (2, "own text of id two"), (7, "the second text of id seven")]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, 201), (300, 300)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
