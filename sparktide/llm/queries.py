@@ -42,7 +42,7 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return out.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
+    return out.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft", "weight")
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +82,12 @@ def oracle_sql() -> dict[str, str]:
     return {"op5_url_filter": OP5_SQL, "op9_line_dedup": OP9_SQL}
 
 
-def _alternatives(terms: tuple[str, ...]) -> str:
-    """Distinct terms that stand between boundaries, as an SQL sum."""
-    return " + ".join(f"CAST(regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS BIGINT)" for t in terms)
+_LOW_URL = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _alternatives(value) -> str:
+    """``value(weight)`` of each term that stands between boundaries, as an SQL sum; terms are letters, digits and hyphens."""
+    return " + ".join(f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN {value(w)} ELSE 0 END" for t, w in url_filter.default_vocabulary().items())
 
 
 OP5_SQL = f"""
@@ -92,8 +95,8 @@ WITH parts AS (
  SELECT page_id, url,
   CASE WHEN strpos(url, '://') > 0 THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
   CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
-  {_alternatives(url_filter.STRICT_TERMS)} AS n_strict, {_alternatives(url_filter.SOFT_TERMS)} AS n_soft
- FROM pages),
+  CAST({_alternatives(lambda w: int(w >= 1))} AS BIGINT) AS n_strict, CAST({_alternatives(lambda w: int(w < 1))} AS BIGINT) AS n_soft, round(CAST({_alternatives(lambda w: w)} AS DOUBLE), 6) AS weight
+ FROM (SELECT *, {_LOW_URL} AS low FROM pages)),
 ruled AS (
  SELECT *, CASE
   WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
@@ -104,7 +107,7 @@ ruled AS (
  FROM parts)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN n_strict >= 1 OR n_soft >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft
+  WHEN n_strict >= 1 OR weight >= {url_filter.LIMIT} THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft, weight
 FROM ruled"""
 
 _TRIMMED = "trim(line, chr(32) || chr(9) || chr(13))"
