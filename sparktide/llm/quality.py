@@ -18,7 +18,7 @@ SAMPLE_ROWS = 8000
 BUCKETS = 1 << 18
 PICKED_WORDS = 300
 #: How far apart a word's shares of good and bad documents are, in standard errors of one common share, and documents of one kind that have it, for it to be picked.
-PICK_Z, PICK_DOCUMENTS = 6.0, 8
+PICK_Z, PICK_DOCUMENTS = 5.0, 6
 
 _UPPER, _LOWER, _DIGIT, _PIPE, _MARK, _SYMBOL, _LINE, _BLANK, _HIGH, _REST = range(10)
 _CLASS = np.full(256, _REST, np.uint8)
@@ -172,41 +172,50 @@ def _strength(rows: DataFrame, n: str, mean: Column, prior: Column) -> float:
     return float(min(max(r["v"] / between - 1, 1.0), 1e5))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, model: DocumentModel, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """One row for each (host, path): documents, mean goodness, host and path posteriors of a document's being good.
+def posteriors(scored: DataFrame, base_odds: float) -> DataFrame:
+    """``scored (host, path, evidence, label)`` with ``host_posterior`` and ``path_posterior`` of each row: what the other documents of its host and path say of its being good.
 
-    Goodness is the label where there is one, else the classifier's probability. Counts cover all documents. Hosts shrink
-    toward the global mean and paths toward their host, each by a strength that the spread between groups gives.
+    Goodness of a document is its label where there is one, else the classifier's probability. Sums cover all documents; each
+    row's own share is taken out of those of its path and host, so that no evidence counts twice. Hosts shrink toward the
+    global mean and paths toward their host, each by a strength that the spread between groups gives.
     """
-    scored = docs.select(column(docs, id_col).alias("__id"), column(docs, host_col).alias("host"), column(docs, path_col).alias("path"), _evidence(model, column(docs, text_col)).alias("llr"))
-    scored = scored.join(labelled(labels), F.col("__id") == F.col("__lid"), "left")
-    good = F.coalesce(F.col("__good").cast("double"), 1 / (1 + F.exp(-(F.col("llr") + F.lit(model.base)))))
-    groups = stored(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(good).alias("s")), "quality-groups")
+    good = F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-(F.col("evidence") + F.lit(base_odds)))))
+    each = scored.withColumn("good", good)
+    groups = stored(each.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("s")), "quality-groups")
     top = groups.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     base = min(max((top["s"] or 0.5) / (top["n"] or 1), 1e-4), 1 - 1e-4)
     hosts = groups.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     k = _strength(hosts, "hn", F.col("hs") / F.col("hn"), F.lit(base))
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("hs") + k * base) / (F.col("hn") + k)).alias("host_posterior"))
+    hosts = hosts.select(F.col("host").alias("h"), "hn", "hs", ((F.col("hs") + k * base) / (F.col("hn") + k)).alias("whole"))
     both = groups.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    kp = _strength(both, "n", F.col("s") / F.col("n"), F.col("host_posterior"))
-    return both.withColumn("path_posterior", (F.col("s") + kp * F.col("host_posterior")) / (F.col("n") + kp))
+    kp = _strength(both, "n", F.col("s") / F.col("n"), F.col("whole"))
+    both = stored(both.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "n", "s", "hn", "hs"), "quality-sums")
+    out = each.join(both, F.col("host").eqNullSafe(F.col("__host")) & F.col("path").eqNullSafe(F.col("__path")), "left")
+    out = out.withColumn("host_posterior", (F.col("hs") - F.col("good") + k * base) / (F.col("hn") - 1 + k))
+    out = out.withColumn("path_posterior", (F.col("s") - F.col("good") + kp * F.col("host_posterior")) / (F.col("n") - 1 + kp))
+    return out.drop("__host", "__path", "n", "s", "hn", "hs", "good")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", keep_from: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Every row of ``docs`` with ``evidence``, ``host_posterior``, ``path_posterior``, ``p_good`` and ``keep``.
 
-    The posterior log odds of a document are those of its path plus its own log likelihood ratio; it is kept from ``keep_from`` on.
-    Null and empty texts are judged by the features of an empty text. Null hosts or paths form a group of their own.
-    Repeated rows are judged alike, an empty table gives an empty one; without labels of both kinds every document has the
-    prior of its path. Columns of ``docs`` of the same names are replaced. The classifier's sample is bounded by
-    ``sample_rows``; the counts behind the posteriors cover all documents, summed in each task before the shuffle.
+    The posterior log odds of a document are those that the rest of its path gives plus its own log likelihood ratio; it is
+    kept from ``keep_from`` on (a tie at it is kept). Each text is scored once.
+
+    Null and empty texts are judged by the features of an empty text, very long ones by those of the whole text. Null hosts or
+    paths form a group of their own, a site with one document has the global prior. Repeated rows are judged alike, an empty
+    table gives an empty one; without labels of both kinds every document has the prior of its path. Columns of ``docs`` of the
+    same names are replaced. The classifier's sample is bounded by ``sample_rows``; the sums behind the posteriors cover all
+    documents, added up in each task before the shuffle, and come back by a join that Spark broadcasts where its size allows.
     """
     made = ["evidence", "host_posterior", "path_posterior", "p_good", "keep"]
     model = fit(docs, labels, id_col=id_col, text_col=text_col, sample_rows=sample_rows)
-    groups = stored(posteriors(docs, labels, model, id_col=id_col, text_col=text_col, host_col=host_col, path_col=path_col).select(F.col("host").alias("__host"), F.col("path").alias("__path"), "host_posterior", "path_posterior"), "quality-posteriors")
-    kept = docs.select(*(column(docs, c) for c in docs.columns if c not in made))
-    out = kept.withColumn("evidence", _evidence(model, column(kept, text_col)))
-    out = out.join(groups, column(out, host_col).eqNullSafe(F.col("__host")) & column(out, path_col).eqNullSafe(F.col("__path")), "left").drop("__host", "__path")
+    kept = [c for c in docs.columns if c not in made]
+    rows = docs.select(F.struct(*(column(docs, c) for c in kept)).alias("row"), column(docs, host_col).alias("host"), column(docs, path_col).alias("path"), _evidence(model, column(docs, text_col)).alias("evidence"))
+    rows = stored(rows, "quality-evidence")
+    known = labelled(labels)
+    scored = rows.join(known, F.col(f"row.`{id_col}`") == F.col("__lid"), "left").withColumnRenamed("__good", "label").drop("__lid")
+    out = posteriors(scored, model.base)
     prior = F.least(F.greatest(F.col("path_posterior"), F.lit(1e-4)), F.lit(1 - 1e-4))
     out = out.withColumn("p_good", 1 / (1 + F.exp(-(F.log(prior / (1 - prior)) + F.col("evidence")))))
-    return out.withColumn("keep", F.col("p_good") >= keep_from)
+    return out.withColumn("keep", F.col("p_good") >= keep_from).select(*(F.col("row").getField(c).alias(c) for c in kept), *made)
