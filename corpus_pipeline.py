@@ -1,7 +1,10 @@
 """The training-corpus pipeline: quality, line dedup, near duplicates, decontamination, tokens.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as the next
-one's ``docs``. All but the last return the columns of ``documents``.
+one's ``docs``. All but the last return the columns of ``documents``; further columns of ``docs`` go, whatever their names.
+
+In every stage an empty table gives an empty one, a null or empty text has a defined result, a null id, language or source is
+a value like any other, and very long texts are read whole. What each stage does with them is said at the stage.
 """
 
 from __future__ import annotations
@@ -18,28 +21,40 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior of being good is under one half go."""
+    """Documents whose posterior of being good is under one half go.
+
+    Null and empty texts are judged by the features of an empty text; repeated rows are judged alike; a tie at one half stays.
+    """
+    docs = docs.select(*COLUMNS)
     return quality.classify(docs, table(spark, sf_dir, "labels")).where("keep").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site boilerplate lines go, and documents of which nothing else is left."""
-    out = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    """Cross-site boilerplate lines go, and documents of which nothing else is left.
+
+    Null and empty texts stay as they are; repeated rows lose the same lines; of an id's occurrences of a line the least
+    position counts as its first. ``n_chars`` is counted anew where lines went.
+    """
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: the one of least id."""
-    return jaccard.keep_one(docs).select(*COLUMNS)
+    """One document of each class of near duplicates stays: the one of least id, null ids last.
+
+    Null, empty and wordless texts are one class; repeated rows are copies; of two texts under the kept id the one of least
+    hash stays.
+    """
+    return jaccard.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which a benchmark item leaks go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Documents into which a benchmark item leaks go. Null and empty texts stay; repeated rows are treated alike."""
+    return decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with their byte offsets, and whether they decode to the text."""
+    """Token ids with their byte offsets, and whether they decode to the text. Null and empty texts have no tokens; repeated rows are encoded alike."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text"), ranks)
     out = byte_bpe.decode(coded.drop("text"), ranks)

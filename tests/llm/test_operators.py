@@ -576,3 +576,27 @@ def test_pipeline_stages(spark):
             assert docs.columns == names
     assert docs.where("not decodes").count() == 0 and before > 0
     assert P.run(spark, sf).count() == before
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing columns and empty tables pass every stage."""
+    import corpus_pipeline as P
+
+    long = "a long sentence of plain words that goes on and on. " * 20_000
+    rows = [(1, "Some plain words that make a text of their own here.", "en", "s1", 52), (1, "Some plain words that make a text of their own here.", "en", "s1", 52), (2, None, None, None, None), (None, "No id but words enough to be a text of its own.", "en", "s2", 40)]
+    rows += [(3, "", "fr", "s3", 0), (4, long, "en", None, len(long)), (5, " \t\r\n", None, "s1", 4), (6, "Some plain words that make a text of their own here", "en", "s9", 51)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, "x", 1, True) for r in rows], schema + ", keep string, leaks int, n_removed boolean")
+    for k, (name, stage) in enumerate(P.STAGES):
+        out = stage(spark, docs, SF).collect()
+        columns = stage(spark, docs.limit(0), SF)
+        assert columns.count() == 0
+        if k < len(P.STAGES) - 1:
+            assert columns.columns == P.COLUMNS
+        ids = sorted((r["doc_id"] or 0) for r in out)
+        if name == "n-gram Jaccard join":
+            assert ids == [0, 1, 2, 4]
+        elif name in ("line dedup", "benchmark decontamination", "byte-level BPE encoding and decoding"):
+            assert ids == [0, 1, 1, 2, 3, 4, 5, 6]
+        if name == "byte-level BPE encoding and decoding":
+            assert all(r["decodes"] for r in out)
