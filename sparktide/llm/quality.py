@@ -196,8 +196,8 @@ def posteriors(scored: DataFrame, base_odds: float) -> DataFrame:
     return out.drop("__host", "__path", "n", "s", "hn", "hs", "good")
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", keep_from: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Every row of ``docs`` with ``evidence``, ``host_posterior``, ``path_posterior``, ``p_good`` and ``keep``.
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", keep_from: float = 0.5, sample_rows: int = SAMPLE_ROWS, with_text: bool = True) -> DataFrame:
+    """Every row of ``docs`` with ``evidence``, ``host_posterior``, ``path_posterior``, ``p_good`` and ``keep``; without its text, which then isn't written along, if ``with_text`` is false.
 
     The posterior log odds of a document are those that the rest of its path gives plus its own log likelihood ratio; it is
     kept from ``keep_from`` on (a tie at it is kept). Each text is scored once.
@@ -210,7 +210,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """
     made = ["evidence", "host_posterior", "path_posterior", "p_good", "keep"]
     model = fit(docs, labels, id_col=id_col, text_col=text_col, sample_rows=sample_rows)
-    kept = [c for c in docs.columns if c not in made]
+    kept = [c for c in docs.columns if c not in made and (with_text or c != text_col)]
     rows = docs.select(F.struct(*(column(docs, c) for c in kept)).alias("row"), column(docs, host_col).alias("host"), column(docs, path_col).alias("path"), _evidence(model, column(docs, text_col)).alias("evidence"))
     rows = stored(rows, "quality-evidence")
     known = labelled(labels)

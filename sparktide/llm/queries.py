@@ -69,7 +69,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    out = quality.classify(docs, table(spark, sf_dir, "labels"))
+    out = quality.classify(docs, table(spark, sf_dir, "labels"), with_text=False)
     return out.select("doc_id", "evidence", "host_posterior", "path_posterior", "p_good", "keep")
 
 
