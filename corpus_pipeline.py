@@ -14,18 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktide.llm import byte_bpe, decontaminate, jaccard, line_dedup, quality
-from sparktide.llm.common import stored
+from sparktide.llm.common import small_batches, stored
 from sparktide.llm.queries import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _given(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    small_batches(spark)
+    return docs.select(*COLUMNS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior of being good is under one half go.
 
     Null and empty texts are judged by the features of an empty text; repeated rows are judged alike; a tie at one half stays.
     """
-    docs = docs.select(*COLUMNS)
+    docs = _given(spark, docs)
     return quality.classify(docs, table(spark, sf_dir, "labels")).where("keep").select(*COLUMNS)
 
 
@@ -35,7 +40,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay as they are; repeated rows lose the same lines; of an id's occurrences of a line the least
     position counts as its first. ``n_chars`` is counted anew where lines went.
     """
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    out = line_dedup.dedup_lines(_given(spark, docs)).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
@@ -45,18 +50,18 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null, empty and wordless texts are one class; repeated rows are copies; of two texts under the kept id the one of least
     hash stays.
     """
-    return jaccard.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
+    return jaccard.keep_one(_given(spark, docs)).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which a benchmark item leaks go. Null and empty texts stay; repeated rows are treated alike."""
-    return decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontaminate.decontaminate(_given(spark, docs), table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with their byte offsets, and whether they decode to the text. Null and empty texts have no tokens; repeated rows are encoded alike."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text"), ranks)
+    coded = byte_bpe.encode(_given(spark, docs).select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text"), ranks)
     out = byte_bpe.decode(coded.drop("text"), ranks)
     return out.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "token_ends", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("decodes"))
 

@@ -15,6 +15,17 @@ from pyspark.sql import functions as F
 SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker that the registered queries and the pipeline ask their session for.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ask the session of an application for Arrow batches of bounded bytes, where it allows larger ones. The operators themselves leave the session as it is and work with any."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
     """Arrow batches (which Spark bounds in bytes) as slices of few rows and few bytes of ``text_col``, without copying."""
     for batch in batches:
