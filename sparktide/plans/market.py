@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparktide.operators.metrics import distances, latest_metrics, metrics_history, relative_strength
 from sparktide.operators.news import news_aggregate, recent_news
 from sparktide.operators.scoring import HORIZONS, WEIGHTS, opportunity, score_all, to_horizons
+from sparktide.sources.shared import stored
 
 #: Sessions after which each horizon is measured, bands of the score, and the move that counts as a hit.
 SESSIONS_AHEAD = {"short": 10, "medium": 60, "long": 180}
@@ -62,38 +63,71 @@ def forward_returns(bars: DataFrame, days: DataFrame, sessions: int | dict[str,
     return out if isinstance(sessions, dict) else out.drop("horizon")
 
 
-def benchmark_returns(bars: DataFrame, days: DataFrame, sessions: int) -> DataFrame:
-    """Return of the mean of price levels over the stocks that traded each day."""
-    level = bars.groupBy("dn").agg(F.avg("price").alias("level")).join(days, "dn")
-    later = level.select((F.col("idx") - sessions).alias("idx"), F.col("level").alias("later"))
-    return level.join(later, "idx").select("dn", ((F.col("later") - F.col("level")) / F.nullif("level", F.lit(0.0)) * 100).alias("bench"))
+def sampled_returns(bars: DataFrame, days: DataFrame, ahead: dict[str, int], step: int) -> DataFrame:
+    """``(stock_id, dn, horizon, ret)`` from every ``step``-th day: as forward_returns gives them from those days, without as-of joins.
+
+    A bar's price holds from its day to the stock's next one, in numbers of calendar days; so which sampled starts and which
+    of their targets it answers is arithmetic, and a bar emits the prices that are asked of it.
+    """
+    held = with_next(bars.select("stock_id", "dn", "price"), days)
+
+    def answered(horizon: str | None, n: int) -> Column:
+        first, last = F.greatest(F.lit(0), F.ceil((F.col("idx") - n) / step)), F.ceil((F.col("next") - n) / step) - 1
+        starts = F.when(last >= first, F.transform(F.sequence(first, last), lambda k: F.struct(F.lit(horizon).cast("string").alias("horizon"), (k * step).alias("start"))))
+        return F.coalesce(starts, F.array().cast("array<struct<horizon: string, start: bigint>>"))
 
+    every = F.concat(*(answered(h, n) for h, n in {None: 0, **ahead}.items()))
+    rows = held.select("stock_id", "price", F.explode(every).alias("e")).select("stock_id", "price", "e.*")
+    price = lambda h: F.max(F.when(F.col("horizon").isNull() if h is None else F.col("horizon") == h, F.col("price")))
+    both = rows.groupBy("stock_id", "start").agg(price(None).alias("p0"), *(price(h).alias(f"p_{h}") for h in ahead)).where("p0 <> 0")
+    each = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), ((F.col(f"p_{h}") - F.col("p0")) / F.col("p0") * 100).alias("ret")) for h in ahead)))
+    out = both.select("stock_id", "start", each.alias("x")).where("x.ret is not null")
+    return out.join(days.select(F.col("idx").alias("start"), "dn"), "start").select("stock_id", "dn", "x.horizon", "x.ret")
 
-def probes_of(bars: DataFrame, days: DataFrame, step: int) -> DataFrame:
-    """Every stock on every ``step``-th day: the size of the result asked for. Calendar days are a few thousand at most."""
-    sampled = days.where(F.col("idx") % step == 0).select("dn")
-    return bars.select("stock_id").distinct().crossJoin(F.broadcast(sampled))
+
+def with_next(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """``rows`` with ``idx``, the number of their day, and ``next``, that of the stock's next row; the last row holds to the end of the calendar."""
+    end = days.agg((F.max("idx") + 1).alias("end"))  # one row
+    numbered = rows.join(days, "dn").crossJoin(F.broadcast(end))
+    return numbered.withColumn("next", F.coalesce(F.lead("idx").over(Window.partitionBy("stock_id").orderBy("dn")), F.col("end"))).drop("end")
+
+
+def benchmark_returns(bars: DataFrame, days: DataFrame, sessions: int | dict[str, int]) -> DataFrame:
+    """Return of the mean of price levels over the stocks that traded each day. Several horizons by name give a row each with a column ``horizon``, from one pass."""
+    ahead = sessions if isinstance(sessions, dict) else {"": sessions}
+    level = bars.groupBy("dn").agg(F.avg("price").alias("level")).join(days, "dn")
+    steps = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), (F.col("idx") + n).alias("to")) for h, n in ahead.items())))
+    later = level.select(F.col("idx").alias("to"), F.col("level").alias("later"))
+    out = level.select("dn", "level", steps.alias("s")).select("dn", "level", "s.*").join(later, "to")
+    out = out.select("dn", "horizon", ((F.col("later") - F.col("level")) / F.nullif("level", F.lit(0.0)) * 100).alias("bench"))
+    return out if isinstance(sessions, dict) else out.drop("horizon")
 
 
 def point_in_time(bars: DataFrame, stocks: DataFrame, days: DataFrame, step: int, min_history: int) -> DataFrame:
-    """Every stock's metrics as they stood on every ``step``-th day, its last own day carried on, with cross sections of that day."""
-    history = distances(metrics_history(bars))
-    names = [c for c in history.columns if c not in ("stock_id", "dn", "day")]
-    seen = as_of(probes_of(bars, days, step), history, "stock_id", "dn", names).where(F.col("quote").isNotNull()).select("stock_id", "dn", "quote.*")
+    """Every stock's metrics as they stood on every ``step``-th day, its last own day carried on, with cross sections of that day.
+
+    A row of the history holds until the stock's next one, so the sampled days that it answers are a sequence of numbers.
+    """
+    history = with_next(distances(metrics_history(bars)), days)
+    first, last = F.ceil(F.col("idx") / step), F.ceil(F.col("next") / step) - 1
+    names = [c for c in history.columns if c not in ("stock_id", "dn", "day", "idx", "next")]
+    seen = history.where(last >= first).select("stock_id", F.explode(F.sequence(first, last)).alias("k"), *names)
+    seen = seen.join(days.select((F.col("idx") / step).alias("k"), "dn").where(F.col("idx") % step == 0), "k").select("stock_id", "dn", *names)
+    seen = stored(seen, "point-in-time")  # the cross sections read it again
     return relative_strength(seen, stocks, "dn").withColumn("history_days", F.col("n_days")).where(F.col("history_days") >= min_history)
 
 
 def backtest(bars: DataFrame, stocks: DataFrame, *, step: int = 20, min_history: int = 60, horizons: tuple[str, ...] = HORIZONS) -> DataFrame:
-    """Observations: what the scores would have said on each sampled day, and what followed. No news, no fundamentals."""
-    days = calendar(bars)
+    """Observations: what the scores would have said on each sampled day, and what followed. No news, no fundamentals.
+
+    Bars, calendar and sampled metrics are written once and scanned by what follows.
+    """
+    bars = stored(bars, "bars")
+    days = stored(calendar(bars), "calendar")
+    ahead = {h: SESSIONS_AHEAD[h] for h in horizons}
     scored = score_all(point_in_time(bars, stocks, days, step, min_history))
     said = to_horizons(scored, "stock_id", "symbol", "sector", "dn", "history_days").where(F.col("horizon").isin(*horizons))
-    rets = forward_returns(bars, days, {h: SESSIONS_AHEAD[h] for h in horizons}, probes_of(bars, days, step))
-    level = None
-    for h in horizons:
-        own = benchmark_returns(bars, days, SESSIONS_AHEAD[h]).withColumn("horizon", F.lit(h))
-        level = own if level is None else level.unionByName(own)
-    out = said.join(rets, ["stock_id", "dn", "horizon"]).join(level, ["dn", "horizon"], "left")
+    out = said.join(sampled_returns(bars, days, ahead, step), ["stock_id", "dn", "horizon"]).join(benchmark_returns(bars, days, ahead), ["dn", "horizon"], "left")
     bench = F.coalesce("bench", F.lit(0.0))
     return out.withColumns({"forward": F.bround("ret", 4), "benchmark": F.bround(bench, 4), "excess": F.bround(F.col("ret") - bench, 4)}).drop("ret", "bench")
 
@@ -102,27 +136,29 @@ def band(score: Column) -> Column:
     return F.coalesce(*(F.when((score >= low) & (score < high), F.lit(name)) for name, low, high in BANDS))
 
 
-def summary(fee_rate: float = 0.005) -> list[Column]:
+def summary(fee_rate: float = 0.005, digits: int = 4) -> list[Column]:
     """Statistics of a group of observations, net of a round trip's fees."""
     cost = fee_rate * 200
     net = F.col("forward") - cost
-    return [F.count("*").alias("n"), F.round(F.avg(net), 4).alias("mean"), F.round(F.median(net), 4).alias("median"), F.round(F.avg(F.col("excess") - cost), 4).alias("mean_excess"), F.round(F.avg((net > HIT).cast("double")), 4).alias("hit_rate"), F.round(F.min(net), 4).alias("worst"), F.round(F.max(net), 4).alias("best"), F.stddev_samp(net).alias("sd")]
+    values = {"mean": F.avg(net), "median": F.median(net), "mean_excess": F.avg(F.col("excess") - cost), "hit_rate": F.avg((net > HIT).cast("double")), "worst": F.min(net), "best": F.max(net)}
+    return [F.count("*").alias("n"), *(F.round(v, digits).alias(k) for k, v in values.items()), F.stddev_samp(net).alias("sd")]
 
 
-def with_interval(stats: DataFrame) -> DataFrame:
+def with_interval(stats: DataFrame, digits: int = 4) -> DataFrame:
     """Dispersion, return per dispersion and the normal 95 % interval of the mean; null for fewer than two rows."""
     margin = 1.96 * F.col("sd") / F.sqrt("n")
-    out = stats.withColumns({"stdev": F.round("sd", 4), "per_stdev": F.round(F.col("mean") / F.nullif("sd", F.lit(0.0)), 4), "low": F.round(F.col("mean") - margin, 4), "high": F.round(F.col("mean") + margin, 4)})
+    values = {"stdev": F.col("sd"), "per_stdev": F.col("mean") / F.nullif("sd", F.lit(0.0)), "low": F.col("mean") - margin, "high": F.col("mean") + margin}
+    out = stats.withColumns({k: F.round(v, digits) for k, v in values.items()})
     return out.withColumns({"significant": (F.col("low") > 0) | (F.col("high") < 0), "beats_benchmark": F.coalesce(F.col("mean_excess") > 0, F.lit(False))}).drop("sd")
 
 
-def report(observations: DataFrame, fee_rate: float = 0.005) -> DataFrame:
+def report(observations: DataFrame, fee_rate: float = 0.005, digits: int = 4) -> DataFrame:
     """Statistics by horizon, horizon and band, horizon and recommendation, and sector: one pass by grouping sets."""
     rows = observations.withColumn("band", band(F.col("score")))
     sets = [["horizon"], ["horizon", "band"], ["horizon", "recommendation"], ["sector"]]
     cols = ["horizon", "band", "recommendation", "sector"]
-    grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in cols)).agg(*summary(fee_rate))
-    return with_interval(grouped)
+    grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in cols)).agg(*summary(fee_rate, digits))
+    return with_interval(grouped, digits)
 
 
 def spread(observations: DataFrame, fee_rate: float = 0.005, *by: str) -> DataFrame:
@@ -145,7 +181,8 @@ def monotonic(observations: DataFrame, fee_rate: float = 0.005) -> DataFrame:
 
 def ablation(bars: DataFrame, stocks: DataFrame, *, horizon: str = "medium", step: int = 20, min_history: int = 60, fee_rate: float = 0.005) -> DataFrame:
     """Spread and mean with each component's weight left out, in one pass: the metrics, components and returns are computed once, only the weighing is repeated."""
-    days = calendar(bars)
+    bars = stored(bars, "bars")
+    days = stored(calendar(bars), "calendar")
     scored = score_all(point_in_time(bars, stocks, days, step, min_history))
     weights = WEIGHTS[horizon]
     from sparktide.functions.columns import covered_score
@@ -156,7 +193,7 @@ def ablation(bars: DataFrame, stocks: DataFrame, *, horizon: str = "medium", ste
         score, _ = covered_score(own, {k: w for k, w in weights.items() if k != left_out})
         variants.append(F.struct(F.lit(left_out or "reference").alias("variant"), score.alias("score")))
     each = scored.select("stock_id", "dn", F.explode(F.array(*variants)).alias("v")).select("stock_id", "dn", "v.*")
-    rets = forward_returns(bars, days, SESSIONS_AHEAD[horizon], probes_of(bars, days, step))
+    rets = sampled_returns(bars, days, {horizon: SESSIONS_AHEAD[horizon]}, step).drop("horizon")
     obs = each.join(rets, ["stock_id", "dn"]).withColumns({"forward": F.bround("ret", 4), "excess": F.bround("ret", 4), "horizon": F.lit(horizon)})
     means = obs.groupBy("variant").agg(F.count("*").alias("n"), F.round(F.avg(F.col("forward") - fee_rate * 200), 4).alias("mean"))
     return means.join(spread(obs, fee_rate, "variant").select("variant", "spread", "top_mean", "separated"), "variant", "left")

@@ -203,14 +203,15 @@ def j20_backtest(spark, sf_dir):
 
 
 _BAND = "CASE WHEN score < 45 THEN '0-45' WHEN score < 55 THEN '45-55' WHEN score < 70 THEN '55-70' ELSE '70-100' END"
-_STATS = "count(*) AS n, round(avg(net), 4) AS mean, round(median(net), 4) AS median, round(avg(excess - 1), 4) AS mean_excess, round(avg(CASE WHEN net > 1.5 THEN 1.0 ELSE 0.0 END), 4) AS hit_rate, round(min(net), 4) AS worst, round(max(net), 4) AS best, round(stddev_samp(net), 4) AS stdev"
+_STATS = "count(*) AS n, round(avg(net), 6) AS mean, round(median(net), 6) AS median, round(avg(excess - 1), 6) AS mean_excess, round(avg(CASE WHEN net > 1.5 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(min(net), 6) AS worst, round(max(net), 6) AS best, round(stddev_samp(net), 6) AS stdev, round(round(avg(net), 6) - 1.96 * stddev_samp(net) / sqrt(count(*)), 6) AS low, round(round(avg(net), 6) + 1.96 * stddev_samp(net) / sqrt(count(*)), 6) AS high, round(round(avg(net), 6) / nullif(stddev_samp(net), 0), 6) AS per_stdev, coalesce(round(avg(excess - 1), 6) > 0, false) AS beats_benchmark"
 _NET = f"(SELECT *, forward - 1 AS net, {_BAND} AS band FROM obs)"
 
 
 @query(ctes("obs") + f"SELECT horizon, band, recommendation, sector, {_STATS} FROM {_NET} GROUP BY GROUPING SETS ((horizon), (horizon, band), (horizon, recommendation), (sector))")
 def e9_e10_report(spark, sf_dir):
-    out = market.report(observations_of(spark, sf_dir))
-    return out.select("horizon", "band", "recommendation", "sector", "n", "hit_rate", "mean", "median", "mean_excess", "worst", "best", "stdev")
+    """Six digits, since medians of four-digit returns lie half way between two of four."""
+    out = market.report(observations_of(spark, sf_dir), digits=6)
+    return out.select("horizon", "band", "recommendation", "sector", "n", "hit_rate", "mean", "median", "mean_excess", "worst", "best", "stdev", "low", "high", "per_stdev", "beats_benchmark")
 
 
 @query(ctes("obs") + f"SELECT horizon, n_top, n_mid, round(top_mean, 4) AS top_mean, round(mid_mean, 4) AS mid_mean FROM (SELECT horizon, count(*) FILTER (WHERE score >= 70) AS n_top, count(*) FILTER (WHERE score >= 45 AND score < 55) AS n_mid, avg(net) FILTER (WHERE score >= 70) AS top_mean, avg(net) FILTER (WHERE score >= 45 AND score < 55) AS mid_mean FROM {_NET} GROUP BY 1)")
