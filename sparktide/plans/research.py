@@ -37,6 +37,11 @@ def event_study(bars: DataFrame) -> DataFrame:
     return moves.groupBy("stock_id").agg(F.avg(hit).alias("avg_fwd"), F.avg((hit > 0).cast("double")).alias("share_up"), F.count(hit).alias("n_events"), F.sqrt(F.avg(F.col("ret") * F.col("ret"))).alias("rms"), F.count("*").alias("n_bars"))
 
 
+def known_components(ctx: DataFrame) -> dict[str, dict[str, Column]]:
+    """The components of each horizon, as columns where the state holds them already: what reads them several times then stays small."""
+    return {h: {k: F.col(f"{h}_{k}") if f"{h}_{k}" in ctx.columns else v for k, v in parts.items()} for h, parts in components(ctx).items()}
+
+
 def signals(context: DataFrame) -> DataFrame:
     """``(stock_id, analyst, horizon, lean, confidence)`` of all analysts, one row each.
 
@@ -44,7 +49,7 @@ def signals(context: DataFrame) -> DataFrame:
     analyst without its inputs isn't heard: its confidence says so, and missing rows mean a confidence of 0.
     """
     ctx = with_context_defaults(context)
-    c, parts = F.col, components(ctx)
+    c, parts = F.col, known_components(ctx)
     days = F.col("history_days")
     med_cover = C.coverage_of(parts["medium"], TECHNICAL_WEIGHTS["medium"])
     rel5 = C.clamp(50 + (c("momentum_5d") - c("market_5d")) * 3)
@@ -102,7 +107,7 @@ def risk_radar(ctx: DataFrame) -> DataFrame:
         "valorisation": F.bround(C.clamp((c("per") - 15) * 3), 1),
         "evenementiel": F.when(c("news_count") == 0, 40.0).when(c("fresh_negative") | (F.coalesce("avg_impact", F.lit(0.0)) <= -0.3), 70.0).otherwise(30.0),
         "liquidite": F.when(c("volume").isNull(), 60.0).when(c("volume_anomaly") < 0.5, 55.0).otherwise(30.0),
-        "portefeuille": F.when(c("held"), F.bround(C.clamp(20.0 + 20.0 * c("n_flags")), 1)),
+        "portefeuille": F.when(c("has_book"), F.bround(C.clamp(20.0 + 20.0 * c("n_flags")), 1)),
     }
     out = ctx.withColumns({f"risk_{k}": v for k, v in dims.items()})
     measured = sum((F.coalesce(F.bround(F.col(f"risk_{k}") * w, 2), F.lit(0.0)) for k, w in RISK_WEIGHTS.items()), F.lit(0.0))
@@ -140,8 +145,8 @@ def predictions_from(said: DataFrame, final: DataFrame) -> DataFrame:
     return chief.unionByName(others)
 
 
-def realised(due: DataFrame, prices: DataFrame, newest: int = 400) -> DataFrame:
-    """What became of due predictions: the newest price at or after the evaluation date, within a stock's newest rows.
+def realised(due: DataFrame, prices: DataFrame) -> DataFrame:
+    """What became of due predictions: the newest price of the stock, if it isn't before the evaluation date.
 
     Only the newest price of a stock can be the answer, so it is one row for each stock that predictions meet; there is no
     range join. A prediction whose date lies after that row has no outcome yet.

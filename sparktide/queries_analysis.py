@@ -12,8 +12,10 @@ from sparktide.operators import portfolio as P
 from sparktide.operators import scoring as S
 from sparktide.plans import health as H
 from sparktide.plans import research as R
+from sparktide.plans import statements as ST
 from sparktide.queries_core import NOW, bars_of, observations_of, r, rounded, state_of, stocks_of
 from sparktide.queries_data import latest_fundamentals
+from sparktide.sources.shared import stored
 from sparktide.sources.views import table, view
 from sparktide.sql_core import PARTS, clamp, ctes, decide, mean
 from sparktide.streaming import jobs
@@ -128,24 +130,61 @@ def f8_daily_returns(spark, sf_dir):
     return rounded(bars_of(spark, sf_dir).select("stock_id", "dn", ((F.col("price") / F.lag("price").over(Window.partitionBy("stock_id").orderBy("dn")) - 1) * 100).alias("ret")))
 
 
+#: Indicators of the macro view that stand for the rates which the macro analyst reads.
+MACRO = {"policy_rate": "click", "interbank_rate": "view", "inflation": "purchase", "core_inflation": "signup", "eur_rate": "error", "usd_rate": "none"}
+
+
+def macro_of(spark, sf_dir):
+    """One row: the latest value of each rate."""
+    latest = view(spark, sf_dir, "macro").groupBy("indicator").agg(F.max_by("value", F.struct("as_of", -F.col("seq"))).alias("v"))
+    return latest.agg(*(F.max(F.when(F.col("indicator") == i, F.col("v"))).cast("double").alias(c) for c, i in MACRO.items()))
+
+
+def owners_of(spark, sf_dir):
+    """Holders of each sector's companies: the main one, its share of what they hold together, and their number."""
+    rows = table(spark, sf_dir, "customer").where("c_acctbal > 0").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    held = rows.groupBy(F.col("n_name").alias("of_sector")).agg(F.max(F.struct(F.col("c_acctbal").cast("double").alias("v"), F.col("c_name").alias("holder"))).alias("m"), F.sum(F.col("c_acctbal").cast("double")).alias("total"), F.count("*").alias("ownership_size"))
+    return held.select("of_sector", F.col("m.holder").alias("main_holder"), (F.col("m.v") / F.col("total") * 100).alias("top_pct"), "ownership_size")
+
+
 def context_of(spark, sf_dir):
-    """The market state with event studies, fundamentals, the market's 5-day mean, holdings and flags."""
-    bars, state = bars_of(spark, sf_dir), state_of(spark, sf_dir).drop("fundamental_score")
+    """The market state with event studies, fundamentals, the market's and sectors' means, holdings, owners, macro rates and flags; written once, since analysts, radar, verdicts and scenarios all read it."""
+    bars = stored(bars_of(spark, sf_dir), "bars")
+    state = stored(state_of(spark, sf_dir, bars).drop("fundamental_score"), "state")
     f = latest_fundamentals(view(spark, sf_dir, "fundamentals")).select("stock_id", *(F.col(c).cast("double").alias(c) for c in ("per", "pbr", "roe_pct", "dividend_yield_pct", "payout_pct")), "per_is_derived")
     out = state.join(R.event_study(bars), "stock_id", "left").join(f, "stock_id", "left")
-    market = state.agg(F.avg("momentum_5d").alias("market_5d"))
+    ranks = state.groupBy("sector").agg(F.max("sector_strength").alias("m")).where("m is not null")
+    ranks = ranks.withColumn("sector_rank", F.row_number().over(Window.orderBy(F.desc("m"), "sector"))).select(F.col("sector").alias("rank_of"), "sector_rank")  # one row a sector
+    out = out.join(ranks, F.col("sector") == F.col("rank_of"), "left").drop("rank_of").join(owners_of(spark, sf_dir), F.col("sector") == F.col("of_sector"), "left").drop("of_sector")
+    valued = P.value_holdings(view(spark, sf_dir, "holdings"), state)
+    by = P.sectors(valued)
+    book = by.agg(F.sum("n").alias("positions"), F.max("share").alias("top_share"), F.max_by("sector", F.struct("share", "sector")).alias("top_sector"), F.sum("value").alias("book"))
+    market = state.agg(F.avg("momentum_5d").alias("market_5d"), F.countDistinct(F.when(F.col("sector_strength").isNotNull(), F.col("sector"))).alias("n_sectors"))
+    for one_row in (market, book, macro_of(spark, sf_dir)):
+        out = out.crossJoin(F.broadcast(one_row))
+    own = valued.where("value is not null").select("stock_id", F.col("value").alias("own_value"))
+    out = out.join(own, "stock_id", "left").withColumn("position_share", F.col("own_value") / F.col("book") * 100)
     held = view(spark, sf_dir, "holdings").select("stock_id", F.lit(True).alias("held"))
-    out = out.crossJoin(F.broadcast(market)).join(held, "stock_id", "left")  # one row
-    flag = F.when(F.col("payout_pct") > 85, 0.5).otherwise(0.0) + F.when(F.col("avg_fwd") < -2, 0.4).otherwise(0.0)
-    return out.withColumns({"n_flags": F.lit(1), "flag_weight": flag, "held": F.coalesce("held", F.lit(False))})
+    out = stored(out.join(held, "stock_id", "left").withColumns({"held": F.coalesce("held", F.lit(False)), "has_book": F.col("positions").isNotNull(), "description": F.col("symbol")}), "context")
+    flags = ST.flag_weights(ST.statements(out))
+    return stored(out.join(flags, "stock_id", "left").withColumns({"flag_weight": F.coalesce("flag_weight", F.lit(0.0)), "n_flags": F.coalesce("n_flags", F.lit(0))}), "context-with-flags")
 
 
 def _ctx_sql() -> str:
     study = e26_sql()
     fund = "SELECT stock_id, coalesce(o_per, d_per) AS per, pbr, roe_pct, dividend_yield_pct, payout_pct, o_per IS NULL AND d_per IS NOT NULL AS per_is_derived FROM (SELECT stock_id, last(per ORDER BY seq) FILTER (WHERE source = 'derived') AS d_per, " + ", ".join(f"last({c} ORDER BY seq) FILTER (WHERE source = 'official' AND {c} IS NOT NULL OR source = 'official') AS {'o_per' if c == 'per' else c}" for c in ("per", "pbr", "roe_pct", "dividend_yield_pct", "payout_pct")) + " FROM (SELECT *, max(fiscal_year) OVER (PARTITION BY stock_id) AS newest FROM fundamentals) WHERE fiscal_year = newest GROUP BY 1)"
-    return f"""SELECT s.*, e.avg_fwd, e.n_events, e.n_bars, f.per, f.pbr, f.roe_pct, f.dividend_yield_pct, f.payout_pct, f.per_is_derived, avg(momentum_5d) OVER () AS market_5d, h.stock_id IS NOT NULL AS held, 1 AS n_flags,
- CASE WHEN f.payout_pct > 85 THEN 0.5 ELSE 0.0 END + CASE WHEN e.avg_fwd < -2 THEN 0.4 ELSE 0.0 END AS flag_weight
- FROM state s LEFT JOIN ({study}) e USING (stock_id) LEFT JOIN ({fund}) f USING (stock_id) LEFT JOIN holdings h ON h.stock_id = s.stock_id"""
+    owners = "SELECT n_name AS of_sector, arg_max(c_name, struct_pack(v := CAST(c_acctbal AS DOUBLE), h := c_name)) AS main_holder, max(CAST(c_acctbal AS DOUBLE)) / sum(CAST(c_acctbal AS DOUBLE)) * 100 AS top_pct, count(*) AS ownership_size FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY 1"
+    rates = ", ".join(f"CAST(max(value) FILTER (WHERE indicator = '{i}') AS DOUBLE) AS {c}" for c, i in MACRO.items())
+    rates = f"SELECT {rates} FROM (SELECT * FROM macro QUALIFY row_number() OVER (PARTITION BY indicator ORDER BY as_of DESC, seq) = 1)"
+    ranks = "SELECT sector AS rank_of, row_number() OVER (ORDER BY m DESC, sector) AS sector_rank FROM (SELECT sector, max(sector_strength) AS m FROM state GROUP BY 1) WHERE m IS NOT NULL"
+    book = f"SELECT sum(n) AS positions, max(share) AS top_share, arg_max(sector, struct_pack(s := share, x := sector)) AS top_sector, sum(value) AS book FROM (SELECT sector, n, value, value / sum(value) OVER () * 100 AS share FROM (SELECT coalesce(sector, 'Inconnu') AS sector, sum(value) AS value, count(*) AS n FROM ({VALUED}) WHERE value IS NOT NULL GROUP BY 1))"
+    return f"""SELECT s.*, e.avg_fwd, e.n_events, e.n_bars, f.per, f.pbr, f.roe_pct, f.dividend_yield_pct, f.payout_pct, f.per_is_derived, avg(momentum_5d) OVER () AS market_5d, h.stock_id IS NOT NULL AS held, s.symbol AS description,
+ k.sector_rank, (SELECT count(DISTINCT sector) FROM state WHERE sector_strength IS NOT NULL) AS n_sectors, o.main_holder, o.top_pct, o.ownership_size, b.positions, b.top_share, b.top_sector, v.value / b.book * 100 AS position_share, r.*
+ FROM state s LEFT JOIN ({study}) e USING (stock_id) LEFT JOIN ({fund}) f USING (stock_id) LEFT JOIN holdings h ON h.stock_id = s.stock_id LEFT JOIN ({ranks}) k ON k.rank_of = s.sector LEFT JOIN ({owners}) o ON o.of_sector = s.sector
+ LEFT JOIN (SELECT stock_id, value FROM ({VALUED}) WHERE value IS NOT NULL) v ON v.stock_id = s.stock_id CROSS JOIN ({book}) b CROSS JOIN ({rates}) r"""
+
+
+_FLAGS = "SELECT stock_id, sum(weight) AS flag_weight, count(*) FILTER (WHERE analyst = 'portfolio') AS n_flags FROM stated WHERE slot = 'risk' AND polarity = 'bearish' GROUP BY 1"
 
 
 def e26_sql() -> str:
@@ -181,7 +220,33 @@ def _signals_sql() -> str:
     return " UNION ALL ".join(f"SELECT stock_id, '{a}' AS analyst, '{h}' AS horizon, CAST({x} AS DOUBLE) AS lean, CAST({k} AS DOUBLE) AS confidence FROM ctx WHERE ({x}) IS NOT NULL" for a, h, x, k in rows)
 
 
-RESEARCH = ctes("state", "fundamentals", "holdings", more={"ctx": _ctx_sql(), "said": _signals_sql()})
+RESEARCH = ctes("state", "fundamentals", "holdings", "macro", more={"ctx0": _ctx_sql(), "stated": ST.statements_sql("ctx0"), "ctx": f"SELECT c.*, coalesce(w.flag_weight, 0.0) AS flag_weight, coalesce(w.n_flags, 0) AS n_flags FROM ctx0 c LEFT JOIN ({_FLAGS}) w USING (stock_id)", "said": _signals_sql()})
+
+
+@query(RESEARCH + "SELECT stock_id, analyst, slot, code, polarity, weight, round(value, 6) AS value FROM stated")
+def l1_statements(spark, sf_dir):
+    """What every analyst of the registry states."""
+    return rounded(ST.statements(context_of(spark, sf_dir)).drop("ord"))
+
+
+@query(RESEARCH + "SELECT stock_id, \"case\", rank, analyst, code, weight FROM (SELECT *, CASE slot WHEN 'strength' THEN 'bull' WHEN 'weakness' THEN 'bear' END AS \"case\", row_number() OVER (PARTITION BY stock_id, slot ORDER BY weight DESC, ord) AS rank FROM stated WHERE slot IN ('strength', 'weakness')) WHERE rank <= 6")
+def g7_cited_statements(spark, sf_dir):
+    return ST.cited(ST.statements(context_of(spark, sf_dir))).select("stock_id", "case", "rank", "analyst", "code", "weight")
+
+
+_RATES = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in MACRO)
+
+
+@query(RESEARCH + f"SELECT stock_id, n_used, CASE WHEN n_used > 0 THEN least(100.0, 20.0 + 11.0 * n_used) ELSE 0.0 END AS confidence, inflation_says FROM (SELECT c.stock_id, {_RATES} AS n_used, (SELECT code FROM stated s WHERE s.stock_id = c.stock_id AND analyst = 'macro' AND slot <> 'observation') AS inflation_says FROM ctx c)")
+def j5_macro_analyst(spark, sf_dir):
+    context = context_of(spark, sf_dir)
+    says = ST.statements(context, {"macro": ST.ANALYSTS["macro"]}).where("slot <> 'observation'").select("stock_id", F.col("code").alias("inflation_says"))
+    return ST.macro_report(context).join(says, "stock_id", "left")
+
+
+@query(RESEARCH + "SELECT stock_id, main_holder, round(top_pct, 6) AS top_pct, n_used, CASE WHEN n_used > 0 THEN least(100.0, 20.0 + 12.0 * n_used) ELSE 0.0 END AS confidence FROM (SELECT *, CASE WHEN description IS NULL THEN 0 ELSE 1 END + CASE WHEN ownership_size IS NULL THEN 0 ELSE 1 END AS n_used FROM ctx)")
+def j6_company_analyst(spark, sf_dir):
+    return rounded(ST.company_report(context_of(spark, sf_dir)))
 
 
 @query(RESEARCH + "SELECT stock_id, analyst, horizon, lean, confidence FROM said")
@@ -209,13 +274,13 @@ def e29_contradictions(spark, sf_dir):
     return R.contradictions(R.signals(context_of(spark, sf_dir)))
 
 
-_DIMS = {"technique": "round_even(risk, 1)", "historique": f"round_even(CAST({clamp('100 - history_days * 1.1', 10, 90)} AS DOUBLE), 1)", "valorisation": f"round_even(CAST({clamp('(per - 15) * 3')} AS DOUBLE), 1)", "evenementiel": "CASE WHEN news_count = 0 THEN 40.0 WHEN fresh_negative OR coalesce(avg_impact, 0.0) <= -0.3 THEN 70.0 ELSE 30.0 END", "liquidite": "CASE WHEN volume IS NULL THEN 60.0 WHEN volume_anomaly < 0.5 THEN 55.0 ELSE 30.0 END", "portefeuille": "CASE WHEN held THEN 40.0 END"}
+_DIMS = {"technique": "round_even(risk, 1)", "historique": f"round_even(CAST({clamp('100 - history_days * 1.1', 10, 90)} AS DOUBLE), 1)", "valorisation": f"round_even(CAST({clamp('(per - 15) * 3')} AS DOUBLE), 1)", "evenementiel": "CASE WHEN news_count = 0 THEN 40.0 WHEN fresh_negative OR coalesce(avg_impact, 0.0) <= -0.3 THEN 70.0 ELSE 30.0 END", "liquidite": "CASE WHEN volume IS NULL THEN 60.0 WHEN volume_anomaly < 0.5 THEN 55.0 ELSE 30.0 END", "portefeuille": f"CASE WHEN positions IS NOT NULL THEN round_even(CAST({clamp('20.0 + 20.0 * n_flags')} AS DOUBLE), 1) END"}
 _RADAR = "SELECT *, round_even(" + clamp("measured + round_even(58 * (1.0 - cov), 2) + pen") + ", 1) AS overall_risk FROM (SELECT *, " + " + ".join(f"coalesce(round_even(CAST(d_{k} * {w} AS DOUBLE), 2), 0.0)" for k, w in R.RISK_WEIGHTS.items()) + " AS measured, round_even(CAST(" + " + ".join(f"CASE WHEN d_{k} IS NULL THEN 0.0 ELSE CAST({w} AS DOUBLE) END" for k, w in R.RISK_WEIGHTS.items()) + " AS DOUBLE), 3) AS cov, round_even(CAST(least(22.0, 6.0 * flag_weight) AS DOUBLE), 1) AS pen FROM (SELECT *, " + ", ".join(f"CAST({v} AS DOUBLE) AS d_{k}" for k, v in _DIMS.items()) + " FROM ctx))"
 
 
-@query(RESEARCH.rstrip() + f", radar AS ({_RADAR})\nSELECT stock_id, round(overall_risk, 0) AS overall_risk, cov AS risk_coverage, pen AS flag_penalty FROM radar")
+@query(RESEARCH.rstrip() + f", radar AS ({_RADAR})\nSELECT stock_id, overall_risk, cov AS risk_coverage, pen AS flag_penalty, n_flags FROM radar")
 def e27_j9_risk_radar(spark, sf_dir):
-    return R.risk_radar(context_of(spark, sf_dir)).select("stock_id", F.round("overall_risk", 0).alias("overall_risk"), "risk_coverage", "flag_penalty")
+    return R.risk_radar(context_of(spark, sf_dir)).select("stock_id", "overall_risk", "risk_coverage", "flag_penalty", "n_flags")
 
 
 def _verdicts(spark, sf_dir):

@@ -42,9 +42,9 @@ def stocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "stocks")
 
 
-def state_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def state_of(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
     now = F.to_timestamp(F.lit(NOW))
-    return market.market_state(bars_of(spark, sf_dir), stocks_of(spark, sf_dir), view(spark, sf_dir, "news"), now)
+    return market.market_state(bars_of(spark, sf_dir) if bars is None else bars, stocks_of(spark, sf_dir), view(spark, sf_dir, "news"), now)
 
 
 def observations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
