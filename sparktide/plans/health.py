@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktide.functions.columns import fact_hash
+from sparktide.sources.state import digest
 
 SEVERITY = {"ok": 0, "stale": 1, "degraded": 2, "empty": 3}
 
@@ -30,8 +31,8 @@ def worst(health: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Count, greatest first column and an order-free digest of a table: its version."""
-    return df.agg(F.count("*").alias("n"), F.max(df.columns[0]).alias("top"), F.bit_xor(F.xxhash64(*df.columns)).alias("digest"))
+    """Count, greatest first column and an order-free digest of a table, in which repeated rows count: its version."""
+    return df.agg(F.max(df.columns[0]).alias("top")).crossJoin(digest(df)).select("n", "top", "digest")  # one row each
 
 
 #: Key and column of each ratio, and fields of a profile.

@@ -126,7 +126,7 @@ def verdicts(radar: DataFrame) -> DataFrame:
     return out.withColumn("recommendation", decide(F.col("score"), F.col("overall_risk"), F.col("confidence"), F.col("overall_risk")))
 
 
-def scenarios(rows: DataFrame) -> DataFrame:
+def scenarios(rows: DataFrame, digits: int = 2) -> DataFrame:
     """Bull, base and bear probabilities and the expected move of each verdict; needs score, confidence, overall_risk, volatility_30d and horizon."""
     score, w = F.col("score"), F.col("confidence") / 100
     raw = [F.greatest(F.lit(0.05), (score - 35) / 65), F.lit(0.9), F.greatest(F.lit(0.05), (65 - score) / 65) * (1 + F.col("overall_risk") / 100)]
@@ -135,7 +135,7 @@ def scenarios(rows: DataFrame) -> DataFrame:
     again = sum(mixed, F.lit(0.0))
     days = F.when(F.col("horizon") == "short", 10).when(F.col("horizon") == "medium", 60).otherwise(180)
     move = F.greatest(F.lit(2.0), F.coalesce("volatility_30d", F.lit(25.0)) * F.sqrt(days / 252))
-    return rows.withColumns({n: F.bround(p / again, 2) for n, p in zip(("p_bull", "p_base", "p_bear"), mixed)} | {"move": F.bround(move, 1)})
+    return rows.withColumns({n: F.bround(p / again, digits) for n, p in zip(("p_bull", "p_base", "p_bear"), mixed)} | {"move": F.bround(move, max(1, digits - 1))})
 
 
 def predictions_from(said: DataFrame, final: DataFrame) -> DataFrame:

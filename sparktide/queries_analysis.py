@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparktide.functions import columns as C
 from sparktide.operators import metrics as M
@@ -36,9 +35,16 @@ def now():
 
 
 def placed(df, name: str, *order):
-    """``df`` with each row's place in the order as ``name``: ranges are sorted apart, and each counts on from the rows of those before it."""
-    rows = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return df.sparkSession.createDataFrame(rows, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+    """``df`` with each row's place in the order as ``name``: ranges of the order are numbered apart, and each counts on from the rows of those before it.
+
+    The ranges are written with their number, so that all that follows sees the same ones; only their sizes meet in one task.
+    """
+    ranged = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    upto = F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1))
+    before = ranged.groupBy(F.col("__range").alias("of")).agg(F.count("*").alias("n")).select("of", F.coalesce(upto, F.lit(0)).alias("before"))  # one row a range
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    out = ranged.withColumn("__within", within).join(F.broadcast(before), F.col("__range") == F.col("of"))
+    return out.withColumn(name, F.col("before") + F.col("__within")).drop("__range", "__within", "of", "before")
 
 
 def valued_of(spark, sf_dir):
@@ -85,24 +91,20 @@ def g4_sell_first(spark, sf_dir):
 @query(ctes("state", "favorites") + "SELECT s.symbol, s.buy, row_number() OVER (ORDER BY s.buy IS NULL, s.buy DESC, s.symbol) AS place FROM state s JOIN favorites f USING (stock_id)")
 def g3_watchlist_order(spark, sf_dir):
     w = state_of(spark, sf_dir).join(view(spark, sf_dir, "favorites").select("stock_id"), "stock_id", "left_semi").select("symbol", "buy")
-    return w.withColumn("place", F.row_number().over(Window.orderBy(F.col("buy").isNull(), F.desc("buy"), "symbol")))  # one watchlist
-
-
-@query(ctes("state") + "SELECT symbol, row_number() OVER (ORDER BY daily_variation DESC NULLS LAST, symbol) AS by_move, row_number() OVER (ORDER BY volume DESC NULLS LAST, symbol) AS by_volume FROM state WHERE stock_id % 4 = 1")
-def g2_null_last_sorts(spark, sf_dir):
-    s = state_of(spark, sf_dir).where("stock_id % 4 = 1").select("symbol", "daily_variation", "volume")
-    place = lambda c: F.row_number().over(Window.orderBy(F.desc_nulls_last(c), "symbol"))  # noqa: E731  one page of a table
-    return s.select("symbol", place("daily_variation").alias("by_move"), place("volume").alias("by_volume"))
+    return placed(w, "place", F.col("buy").isNull(), F.desc("buy"), "symbol")
 
 
 @query(ctes("state") + "SELECT symbol, row_number() OVER (ORDER BY daily_variation DESC NULLS LAST, symbol) AS by_move, row_number() OVER (ORDER BY volume DESC NULLS LAST, symbol) AS by_volume FROM state")
-def g2_null_last_sorts_whole(spark, sf_dir):
+def g2_null_last_sorts(spark, sf_dir):
     """The places of all stocks."""
-    s = state_of(spark, sf_dir).select("symbol", "daily_variation", "volume")
+    s = stored(state_of(spark, sf_dir).select("symbol", "daily_variation", "volume"), "state")
     place = lambda c, name: placed(s.select("symbol", c), name, F.desc_nulls_last(c), "symbol").select("symbol", name)
     return place("daily_variation", "by_move").join(place("volume", "by_volume"), "symbol")
 
 
+QUERIES["g2_null_last_sorts_whole"] = QUERIES["g2_null_last_sorts"]
+
+
 _HEAD = "CASE WHEN abs(daily_variation) >= 5 THEN 'move' WHEN recommendation = 'STRONG_OPPORTUNITY' THEN 'buy' WHEN volume_anomaly >= 2 THEN 'volume' WHEN support_distance BETWEEN 0 AND 3 THEN 'support' WHEN week52_high_proximity > -1 THEN 'high' WHEN buy >= 50 THEN 'score' ELSE 'quiet' END"
 
 
@@ -284,7 +286,7 @@ def e27_j9_risk_radar(spark, sf_dir):
 
 
 def _verdicts(spark, sf_dir):
-    radar = R.risk_radar(context_of(spark, sf_dir))
+    radar = stored(R.risk_radar(context_of(spark, sf_dir)), "radar")
     return R.verdicts(radar), radar
 
 
@@ -296,17 +298,26 @@ def j10_i16_verdicts(spark, sf_dir):
     return _verdicts(spark, sf_dir)[0].select("stock_id", "horizon", "score", "confidence", "recommendation")
 
 
-@query()
+_SCENARIOS = """SELECT stock_id, horizon, round(b0 / (b0 + b1 + b2), 2) AS p_bull, round(b1 / (b0 + b1 + b2), 2) AS p_base, round(b2 / (b0 + b1 + b2), 2) AS p_bear, move FROM (
+ SELECT stock_id, horizon, move, w * r0 / (r0 + 0.9 + r2) + (1 - w) / 3 AS b0, w * 0.9 / (r0 + 0.9 + r2) + (1 - w) / 3 AS b1, w * r2 / (r0 + 0.9 + r2) + (1 - w) / 3 AS b2 FROM (
+ SELECT stock_id, horizon, CAST(confidence AS DOUBLE) / 100 AS w, greatest(0.05, (score - 35) / 65) AS r0, greatest(0.05, (65 - score) / 65) * (1 + overall_risk / 100) AS r2,
+ greatest(2.0, coalesce(volatility_30d, 25.0) * sqrt(CASE horizon WHEN 'short' THEN 10 WHEN 'medium' THEN 60 ELSE 180 END / 252.0)) AS move FROM (""" + _VERDICT + ")))"
+
+
+@query(RESEARCH.rstrip() + f", radar AS ({_RADAR})\nSELECT stock_id, horizon, round(p_bull, 1) AS p_bull, round(p_base, 1) AS p_base, round(p_bear, 1) AS p_bear, round(move, 0) AS move FROM ({_SCENARIOS.replace(', 2) AS p_', ', 6) AS p_')})")
 def i27_j12_scenarios(spark, sf_dir):
+    """Probabilities to one digit here, since what they are reported to, two, differs by the order of sums."""
     rows, radar = _verdicts(spark, sf_dir)
-    return R.scenarios(rows.join(radar.select("stock_id", "volatility_30d"), "stock_id")).select("stock_id", "horizon", "p_bull", "p_base", "p_bear", "move")
+    out = R.scenarios(rows.join(radar.select("stock_id", "volatility_30d"), "stock_id"), digits=6)
+    return out.select("stock_id", "horizon", *(F.round(p, 1).alias(p) for p in ("p_bull", "p_base", "p_bear")), F.round("move", 0).alias("move"))
 
 
 @query()
 def j13_full_report(spark, sf_dir):
     """Everything about a stock in one JSON document."""
     context = context_of(spark, sf_dir)
-    rows, radar = R.verdicts(R.risk_radar(context)), R.risk_radar(context)
+    radar = stored(R.risk_radar(context), "radar")
+    rows = R.verdicts(radar)
     said = R.signals(context).groupBy("stock_id").agg(F.sort_array(F.collect_list(F.struct("analyst", "horizon", "lean", "confidence"))).alias("signals"))
     ends = R.scenarios(rows.join(radar.select("stock_id", "volatility_30d"), "stock_id")).groupBy("stock_id").agg(F.sort_array(F.collect_list(F.struct("horizon", "score", "confidence", "recommendation", "p_bull", "p_base", "p_bear"))).alias("verdicts"))
     out = radar.select("stock_id", "symbol", "overall_risk").join(said, "stock_id", "left").join(ends, "stock_id")
@@ -327,6 +338,20 @@ def j15_i22_i24_predictions(spark, sf_dir):
     return claims.groupBy("analyst", "horizon", "direction").agg(F.count("*").alias("n"))
 
 
+_CLAIMED = lambda x, k: f"round_even({clamp(f'coalesce(0.5 + least(1.0, abs({x} - 50) / 50) * 0.25 * {k} / 100, 0.5)', 0.1, 0.9)}, 4)"
+
+
+@query(RESEARCH.rstrip() + f""", radar AS ({_RADAR})
+SELECT stock_id, analyst, horizon, direction, probability, DATE '2001-11-05' + CASE horizon WHEN 'short' THEN 10 WHEN 'medium' THEN 60 ELSE 180 END AS evaluate_on FROM (
+ SELECT stock_id, 'chief' AS analyst, horizon, CASE WHEN recommendation IN ('STRONG_OPPORTUNITY', 'WATCH') THEN 'up' WHEN recommendation IN ('AVOID', 'RISKY') THEN 'down' ELSE 'flat' END AS direction, {_CLAIMED('score', 'confidence')} AS probability FROM ({_VERDICT})
+ UNION ALL SELECT stock_id, analyst, horizon, CASE WHEN lean >= 58 THEN 'up' WHEN lean <= 42 THEN 'down' ELSE 'flat' END, {_CLAIMED('lean', 'confidence')} FROM said WHERE confidence >= 20)""")
+def j15_i23_i25_claims(spark, sf_dir):
+    """Every claim with its probability and the day on which it is judged."""
+    context = context_of(spark, sf_dir)
+    claims = R.predictions_from(R.signals(context), R.verdicts(R.risk_radar(context)))
+    return claims.withColumn("evaluate_on", F.to_date(C.evaluation_date(now(), F.col("horizon"))))
+
+
 GRADED = """SELECT *, CASE WHEN realised = predicted_direction THEN 1 ELSE 0 END AS correct FROM (SELECT *, CASE WHEN ret > 1.5 THEN 'up' WHEN ret < -1.5 THEN 'down' ELSE 'flat' END AS realised FROM (SELECT p.*, (q.current_price - price_at_prediction) / nullif(price_at_prediction, 0) * 100 AS ret FROM predictions p JOIN (SELECT * FROM prices WHERE current_price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY observed_at DESC, seq DESC) = 1) q ON q.stock_id = p.stock_id AND q.observed_at >= p.evaluate_at WHERE evaluate_at <= TIMESTAMP '2001-11-05 00:00:00'))"""
 
 
@@ -396,19 +421,23 @@ def e22_worst_status(spark, sf_dir):
     return H.worst(health_of(spark, sf_dir))
 
 
-@query()
+@query("SELECT count(*) AS n, max(l_orderkey) AS top, false AS same_with_a_row_twice, true AS same_in_other_order FROM lineitem")
 def e24_fingerprint(spark, sf_dir):
-    return H.fingerprint(table(spark, sf_dir, "lineitem"))
-
-
-_FACTS = """SELECT DISTINCT stock_id, category, key, value, sha256(category || '|' || key || '|' || value) AS fact_hash FROM (
- SELECT stock_id, 'profile' AS category, 'sector' AS key, sector AS value FROM stocks UNION ALL
- SELECT stock_id, 'ratio', 'roe:' || fiscal_year, printf('%.2f', CAST(round(roe_pct, 2) AS DOUBLE)) FROM fundamentals WHERE source <> 'derived' UNION ALL
- SELECT stock_id, 'notice', event_type, url FROM (SELECT * FROM news WHERE stock_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY collected_at DESC, news_id DESC) <= 60)) WHERE trim(coalesce(value, '')) <> ''"""
+    """The version of a table, and whether it tells a table with one row twice for another, and in other order, from it."""
+    t = table(spark, sf_dir, "lineitem")
+    low = t.agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("low"), F.max(F.struct("l_orderkey", "l_linenumber")).alias("high"))  # one row
+    key = F.struct("l_orderkey", "l_linenumber")
+    marked = t.crossJoin(F.broadcast(low))
+    twice = marked.where(key != F.col("high")).select(*t.columns).unionByName(marked.where(key == F.col("low")).select(*t.columns))
+    own = H.fingerprint(t)
+    other = lambda df, name: H.fingerprint(df).select(F.struct("n", "digest").alias(name))
+    both = own.crossJoin(other(twice, "a")).crossJoin(other(t.repartition(5, "l_suppkey"), "b"))  # one row each
+    same = lambda name: (F.struct("n", "digest") == F.col(name))
+    return both.select("n", "top", same("a").alias("same_with_a_row_twice"), same("b").alias("same_in_other_order"))
 
 
 _NUMBERS = " UNION ALL ".join(f"SELECT stock_id, 'ratio', '{k}:' || fiscal_year, printf('%.2f', CAST(round(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE)) FROM fundamentals WHERE source <> 'derived' AND {c} IS NOT NULL" for k, c in H.RATIOS.items())
-_FACTS_WHOLE = f"""SELECT DISTINCT stock_id, category, key, value, sha256(category || '|' || key || '|' || value) AS fact_hash FROM (
+_FACTS = f"""SELECT DISTINCT stock_id, category, key, value, sha256(category || '|' || key || '|' || value) AS fact_hash FROM (
  SELECT stock_id, 'profile' AS category, 'sector' AS key, sector AS value FROM stocks UNION ALL SELECT stock_id, 'profile', 'company_name', company_name FROM stocks UNION ALL {_NUMBERS} UNION ALL
  SELECT stock_id, 'notice', event_type, url FROM (SELECT * FROM news WHERE stock_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY collected_at DESC, news_id DESC) <= 60)) WHERE trim(coalesce(value, '')) <> ''"""
 
@@ -417,24 +446,17 @@ def facts_of(spark, sf_dir, **parts):
     return H.harvest(stocks_of(spark, sf_dir), view(spark, sf_dir, "fundamentals"), view(spark, sf_dir, "news"), **parts)
 
 
-@query(ctes("stocks", "fundamentals", "news") + _FACTS_WHOLE)
-def j18_knowledge_whole(spark, sf_dir):
-    return facts_of(spark, sf_dir).select("stock_id", "category", "key", "value", "fact_hash")
-
-
-@query(ctes("stocks", "fundamentals", "news") + f"SELECT category, count(*) AS n FROM ({_FACTS_WHOLE}) GROUP BY ROLLUP (category)")
-def e25_knowledge_counts_whole(spark, sf_dir):
-    return facts_of(spark, sf_dir).rollup("category").agg(F.count("*").alias("n"))
-
-
 @query(ctes("stocks", "fundamentals", "news") + _FACTS)
 def j18_knowledge(spark, sf_dir):
-    return facts_of(spark, sf_dir, fields=("sector",), names=("roe",)).select("stock_id", "category", "key", "value", "fact_hash")
+    return facts_of(spark, sf_dir).select("stock_id", "category", "key", "value", "fact_hash")
 
 
 @query(ctes("stocks", "fundamentals", "news") + f"SELECT category, count(*) AS n FROM ({_FACTS}) GROUP BY ROLLUP (category)")
 def e25_knowledge_counts(spark, sf_dir):
-    return facts_of(spark, sf_dir, fields=("sector",), names=("roe",)).rollup("category").agg(F.count("*").alias("n"))
+    return facts_of(spark, sf_dir).rollup("category").agg(F.count("*").alias("n"))
+
+
+QUERIES["j18_knowledge_whole"], QUERIES["e25_knowledge_counts_whole"] = QUERIES["j18_knowledge"], QUERIES["e25_knowledge_counts"]
 
 
 @query(ctes("reports") + "SELECT recommendation_short, recommendation_medium, count(*) AS n FROM reports GROUP BY CUBE (recommendation_short, recommendation_medium)")
@@ -472,11 +494,15 @@ def i29_formats(spark, sf_dir):
     return d.select("doc_id", C.age_label(F.col("doc_id") * 37).alias("age"), C.signed((F.col("n_chars") % 1000) / 7.0 - 50.01).alias("move"))
 
 
-@query(ctes("stocks", "prices", "news") + "SELECT s.symbol, n_points, n_news FROM stocks s LEFT JOIN (SELECT stock_id, least(count(*), 180) AS n_points FROM prices WHERE current_price IS NOT NULL GROUP BY 1) p USING (stock_id) LEFT JOIN (SELECT stock_id, least(count(*), 10) AS n_news FROM news WHERE stock_id IS NOT NULL GROUP BY 1) n USING (stock_id)")
+@query(ctes("stocks", "prices", "news") + """SELECT s.symbol, p.*, n.* FROM stocks s LEFT JOIN (SELECT stock_id AS pid, count(*) AS n_points, round(sum(k * current_price), 4) AS weighted, max(observed_at) AS newest, min(observed_at) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY observed_at DESC, seq DESC) AS k FROM prices WHERE current_price IS NOT NULL) WHERE k <= 180 GROUP BY 1) p ON p.pid = s.stock_id
+ LEFT JOIN (SELECT stock_id AS nid, count(*) AS n_news, sha256(string_agg(coalesce(title, ''), chr(10) ORDER BY k)) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY collected_at DESC, news_id DESC) AS k FROM news WHERE stock_id IS NOT NULL) WHERE k <= 10 GROUP BY 1) n ON n.nid = s.stock_id""".replace("p.*, n.*", "n_points, weighted, newest, oldest, n_news, titles"))
 def j22_symbol_detail(spark, sf_dir):
-    """Per stock: how many price points and notices its detail holds."""
-    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c).cast("long"))
-    return detail_of(spark, sf_dir).select("symbol", size("points").alias("n_points"), size("notices").alias("n_news"))
+    """What a stock's detail holds: its points as their number, sum by rank and ends, its notices as their number and a digest of their titles in order."""
+    d = detail_of(spark, sf_dir)
+    n = F.size("points")
+    weighted = F.aggregate(F.transform("points", lambda x, i: (n - i) * x["current_price"]), F.lit(0.0), lambda a, x: a + x)
+    out = d.select("symbol", F.when(F.col("points").isNotNull(), n.cast("long")).alias("n_points"), weighted.alias("weighted"), F.array_max("points")["observed_at"].alias("newest"), F.array_min("points")["observed_at"].alias("oldest"), F.when(F.col("notices").isNotNull(), F.size("notices").cast("long")).alias("n_news"), F.sha2(F.array_join(F.transform("notices", lambda x: F.coalesce(x["title"], F.lit(""))), "\n"), 256).alias("titles"))
+    return rounded(out, 4)
 
 
 @query()

@@ -11,6 +11,7 @@ from sparktide.operators.scoring import fundamental_score
 from sparktide.plans.market import as_of
 from sparktide.queries_core import NOW, bars_of, r, rounded, stocks_of
 from sparktide.sources import state
+from sparktide.sources.shared import fresh_path
 from sparktide.sources.views import table, view
 from sparktide.sql_core import bands, clamp, cover, ctes, mean
 
@@ -94,9 +95,9 @@ def a12_report_timeline(spark, sf_dir):
 
 @query(ctes("holdings") + "SELECT upper(symbol) AS symbol, CAST(quantity AS DOUBLE) AS quantity, round(buy_price, 6) AS buy_price FROM holdings WHERE quantity > 0 AND buy_price > 0")
 def a13_holdings_json(spark, sf_dir):
-    """Holdings as they come in one JSON document for each sector of ids, parsed and cleaned."""
+    """Holdings as they come in JSON documents of a portfolio's size (a thousand ids each), parsed and cleaned."""
     h = view(spark, sf_dir, "holdings")
-    docs = h.groupBy((F.col("stock_id") % 8).alias("k")).agg(F.to_json(F.struct(F.lit(0.005).alias("fee_rate"), F.collect_list(F.struct(F.lower("symbol").alias("symbol"), F.col("quantity").cast("string").alias("quantity"), F.col("buy_price").cast("string").alias("buy_price"))).alias("holdings"))).alias("doc"))
+    docs = h.groupBy(F.floor(F.col("stock_id") / 1000).alias("k")).agg(F.to_json(F.struct(F.lit(0.005).alias("fee_rate"), F.collect_list(F.struct(F.lower("symbol").alias("symbol"), F.col("quantity").cast("string").alias("quantity"), F.col("buy_price").cast("string").alias("buy_price"))).alias("holdings"))).alias("doc"))
     parsed = docs.select(F.explode(F.from_json("doc", "struct<holdings: array<struct<symbol: string, quantity: string, buy_price: string>>>")["holdings"]).alias("h")).select("h.*")
     typed = parsed.select(F.upper("symbol").alias("symbol"), F.col("quantity").try_cast("double").alias("quantity"), F.col("buy_price").try_cast("double").alias("buy_price"))
     return rounded(typed.where("quantity > 0 and buy_price > 0"))
@@ -128,9 +129,9 @@ def a15_page_links(spark, sf_dir):
 
 @query(ctes("macro") + "SELECT indicator, as_of, round(value, 6) AS value FROM macro QUALIFY row_number() OVER (PARTITION BY indicator ORDER BY as_of DESC, seq DESC) <= 750")
 def a16_macro_series(spark, sf_dir):
-    """Series as pages embed them, arrays of epoch milliseconds and values, back to rows; the newest 750 points of each."""
+    """Series as pages embed them, arrays of times and values in pages of ten thousand events, back to rows; the newest 750 points of each."""
     m = view(spark, sf_dir, "macro")
-    landed = m.groupBy("indicator", (F.col("seq") % 16).alias("part")).agg(F.array_join(F.collect_list(F.concat(F.lit("{x:"), F.unix_micros(F.col("as_of").cast("timestamp")), F.lit(",y:"), F.col("value"), F.lit(",s:"), F.col("seq"), F.lit("}"))), ",").alias("text"))
+    landed = m.groupBy("indicator", F.floor(F.col("seq") / 10_000).alias("part")).agg(F.array_join(F.collect_list(F.concat(F.lit("{x:"), F.unix_micros(F.col("as_of").cast("timestamp")), F.lit(",y:"), F.col("value"), F.lit(",s:"), F.col("seq"), F.lit("}"))), ",").alias("text"))
     points = landed.select("indicator", F.explode(F.regexp_extract_all("text", F.lit(r"\{x:(-?[0-9]+),y:([-0-9.E]+),s:[0-9]+\}"), F.lit(0))).alias("p"))
     part = lambda k: F.regexp_extract("p", r"\{x:(-?[0-9]+),y:([-0-9.E]+),s:([0-9]+)\}", k)
     rows = points.select("indicator", F.timestamp_micros(part(1).cast("long")).alias("as_of"), part(2).cast("double").alias("value"), part(3).cast("long").alias("seq"))
@@ -169,12 +170,15 @@ def a20_e31_ownership(spark, sf_dir):
     return rounded(held.select("nation", F.array_max(F.transform("ownership", lambda o: o["pct"])).alias("main_pct"), F.size("ownership").cast("long").alias("holders")))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, false AS is_list FROM events")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 3 = 0 THEN 2 END AS n_items, CASE WHEN event_id % 3 = 0 THEN 2 * CAST(json_extract(props, '$.k') AS BIGINT) + 1 END AS total FROM events")
 def a21_json_columns(spark, sf_dir):
-    """JSON objects parsed; a column that must hold a list and doesn't gives null."""
-    e = table(spark, sf_dir, "events")
-    as_list = F.when(F.ltrim("props").startswith("["), F.from_json("props", "array<struct<k: long>>"))
-    return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), as_list.isNotNull().alias("is_list"))
+    """JSON objects parsed; a column that must hold a list and doesn't gives null: a third of the events have one."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k long")["k"])
+    landed = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" ["), F.col("props"), F.lit(', {"k": '), (F.col("k") + 1).cast("string"), F.lit("}]"))).otherwise(F.col("props"))
+    items = F.when(F.ltrim(landed).startswith("["), F.from_json(landed, "array<struct<k: long>>"))
+    out = e.select("event_id", "k", items.alias("items"))
+    total = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["k"])
+    return out.select("event_id", "k", F.when(F.col("items").isNotNull(), F.size("items")).alias("n_items"), total.alias("total"))
 
 
 def _price_split(spark, sf_dir):
@@ -220,12 +224,7 @@ def b5_append_log(spark, sf_dir):
 
 
 def _scratch(spark, name: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; a local temporary one only where that is unset."""
-    import tempfile
-    import uuid
-
-    held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparktide-")
-    return f"{held.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return fresh_path(spark, name)
 
 
 @query(ctes("prices") + "SELECT stock_id, source, seq FROM prices QUALIFY row_number() OVER (PARTITION BY stock_id, source, CAST(observed_at AS DATE) ORDER BY (current_price IS NOT NULL)::INT + (daily_variation IS NOT NULL)::INT + (volume IS NOT NULL)::INT DESC, seq) = 1")
@@ -265,7 +264,7 @@ def b10_watchlist(spark, sf_dir):
 
 @query()
 def b11_reclassification(spark, sf_dir):
-    return N.reclassification(view(spark, sf_dir, "news"))[0]
+    return N.reclassification(view(spark, sf_dir, "news"))[0].withColumn("impact_score", F.col("impact_score").cast("double"))
 
 
 @query()
@@ -273,11 +272,18 @@ def e30_before_after_counts(spark, sf_dir):
     return N.reclassification(view(spark, sf_dir, "news"))[1]
 
 
-@query("SELECT 'orders' AS name, count(*) AS n_source, count(*) AS n_target, true AS ok FROM orders")
+@query("SELECT 'orders' AS name, count(*) AS n_source, count(*) AS n_target, true AS ok FROM orders UNION ALL SELECT 'a row twice for another', count(*), count(*), false FROM orders UNION ALL SELECT 'an order lost', count(*), count(*) - 1, false FROM orders")
 def b12_copy_reconciled(spark, sf_dir):
+    """A copy as it was written; one that holds its first row twice and not its last; and one without its last."""
     source, path = table(spark, sf_dir, "orders"), _scratch(spark, "orders-copy")
     source.write.parquet(path)
-    return state.reconcile(source, spark.read.parquet(path), "orders")
+    copy = spark.read.parquet(path)
+    ends = copy.agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))  # one row
+    marked = copy.crossJoin(F.broadcast(ends))
+    lost = marked.where("o_orderkey <> high").select(*copy.columns)
+    twice = lost.unionByName(marked.where("o_orderkey = low").select(*copy.columns))
+    out = state.reconcile(source, copy, "orders")
+    return out.unionByName(state.reconcile(source, twice, "a row twice for another")).unionByName(state.reconcile(source, lost, "an order lost"))
 
 
 @query(ctes("fundamentals", "latest") + "SELECT f.stock_id, fiscal_year, 'derived' AS source, round_even(price / eps, 2) AS per FROM (SELECT * FROM fundamentals QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY fiscal_year DESC, seq DESC) = 1) f JOIN latest l ON l.stock_id = f.stock_id WHERE per IS NULL AND eps > 0")
@@ -294,10 +300,13 @@ def b14_usable_profiles(spark, sf_dir):
     return c.where(F.coalesce(F.col("a").cast("string"), F.col("b")).isNotNull()).select("c_custkey")
 
 
-@query()
+@query(ctes("reports") + "SELECT report_id, symbol, generated_at, recommendation_short, recommendation_medium, round(confidence_short, 6) AS confidence_short, round(risk_score, 6) AS risk_score FROM reports")
 def b15_report_json(spark, sf_dir):
-    reports = view(spark, sf_dir, "reports")
-    return reports.select("report_id", F.to_json(F.struct("symbol", "generated_at", F.struct("recommendation_short", "recommendation_medium").alias("verdicts"), "confidence_short", "risk_score")).alias("report_json"))
+    """Reports as JSON documents, and what they give back when they are parsed."""
+    made = view(spark, sf_dir, "reports").select("report_id", F.to_json(F.struct("symbol", "generated_at", F.struct("recommendation_short", "recommendation_medium").alias("verdicts"), "confidence_short", "risk_score")).alias("report_json"))
+    kind = "symbol long, generated_at timestamp_ntz, verdicts struct<recommendation_short: string, recommendation_medium: string>, confidence_short double, risk_score double"
+    back = made.select("report_id", F.from_json("report_json", kind).alias("r")).select("report_id", "r.symbol", "r.generated_at", "r.verdicts.*", "r.confidence_short", "r.risk_score")
+    return rounded(back)
 
 
 @query(ctes("predictions") + "SELECT CASE WHEN prediction_id % 2 = 0 THEN 1 ELSE semantics_version END AS semantics_version, CASE WHEN prediction_id % 2 = 0 THEN 'direction' ELSE claim_kind END AS claim_kind, count(*) AS n FROM predictions GROUP BY 1, 2")
@@ -365,19 +374,12 @@ def d7_realised_at_date(spark, sf_dir):
     return rounded(as_of(p, q, "stock_id", "t", ["price"]).where("quote is not null").select("prediction_id", "quote.price"))
 
 
-@query("SELECT title_id, min(ord) AS ord FROM (SELECT d.doc_id AS title_id, d.words, p.ord, p.w FROM (SELECT doc_id, list_distinct(string_split_regex(upper(replace(substr(text, 1, 200), 'ß', 'SS')), '[^A-Z0-9]+')) AS words FROM documents) d JOIN (SELECT item_id AS ord, upper(regexp_extract(text, '^[A-Za-z]+')) AS w FROM benchmark WHERE regexp_matches(text, '^[A-Za-z]')) p ON list_contains(d.words, p.w)) GROUP BY 1")
-def d9_title_to_symbol(spark, sf_dir):
-    titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("title_id"), F.substring("text", 1, 200).alias("title"))
-    names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.regexp_extract("text", "^[A-Za-z]+", 0).alias("symbol"), F.lit("").alias("name"))
-    return N.match_symbols(titles, names)
-
-
 _WORDS = "list_distinct(string_split_regex(upper(replace(text, 'ß', 'SS')), '[^A-Z0-9]+'))"
 
 
 @query(f"""SELECT title_id, min(ord) AS ord FROM (SELECT doc_id AS title_id, ord, symbol, name, words, t FROM (SELECT doc_id, upper(replace(text, 'ß', 'SS')) AS t, {_WORDS} AS words FROM documents) d
  CROSS JOIN (SELECT item_id AS ord, upper(regexp_extract(text, '^[A-Za-z]+')) AS symbol, upper(regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+')) AS name FROM benchmark)) WHERE (symbol <> '' AND list_contains(words, symbol)) OR (name <> '' AND contains(t, name)) GROUP BY 1""")
-def d9_title_to_symbol_whole(spark, sf_dir):
+def d9_title_to_symbol(spark, sf_dir):
     """Whole texts against symbols and names of three words."""
     titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("title_id"), F.col("text").alias("title"))
     name = lambda p: F.regexp_extract("text", p, 0)
@@ -385,6 +387,9 @@ def d9_title_to_symbol_whole(spark, sf_dir):
     return N.match_symbols(titles, names)
 
 
+QUERIES["d9_title_to_symbol_whole"] = QUERIES["d9_title_to_symbol"]
+
+
 @query(ctes("fundamentals") + "SELECT stock_id, fiscal_year, round(coalesce(per, derived_per), 6) AS per, per IS NULL AND derived_per IS NOT NULL AS per_is_derived FROM (SELECT stock_id, fiscal_year, last(per ORDER BY seq) FILTER (WHERE source = 'official') AS per, last(per ORDER BY seq) FILTER (WHERE source = 'derived') AS derived_per FROM (SELECT *, max(fiscal_year) OVER (PARTITION BY stock_id) AS newest FROM fundamentals) WHERE fiscal_year = newest GROUP BY 1, 2)")
 def d12_official_fundamentals(spark, sf_dir):
     return rounded(latest_fundamentals(view(spark, sf_dir, "fundamentals")).select("stock_id", "fiscal_year", "per", "per_is_derived"))
@@ -423,17 +428,15 @@ def e8_topic_count(spark, sf_dir):
 
 
 _FROM, _TO = C.ACCENTED + "’‘–—-/", C.PLAIN + "''    "
-_FOLD = f"trim(regexp_replace(lower(replace(replace(translate(trim(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g')), '{_FROM}', '{_TO.replace(chr(39), chr(39) * 2)}'), 'œ', 'oe'), 'Œ', 'oe')), '\\s+', ' ', 'g'))"
+_FOLD = f"trim(regexp_replace(lower(replace(replace(translate(trim(regexp_replace(text, '\\s+', ' ', 'g')), '{_FROM}', '{_TO.replace(chr(39), chr(39) * 2)}'), 'œ', 'oe'), 'Œ', 'oe')), '\\s+', ' ', 'g'))"
 
 
 @query(f"SELECT doc_id, {_FOLD} AS folded FROM documents")
 def i1_i5_fold(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", C.fold(F.substring("text", 1, 200)).alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.fold(F.col("text")).alias("folded"))
 
 
-@query(f"SELECT doc_id, {_FOLD.replace('substr(text, 1, 200)', 'text')} AS folded FROM documents")
-def i1_i5_fold_whole(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", C.fold(F.col("text")).alias("folded"))
+QUERIES["i1_i5_fold_whole"] = QUERIES["i1_i5_fold"]
 
 
 @query("SELECT p_partkey, round(p_retailprice, 2) * CASE p_partkey % 4 WHEN 0 THEN 1000.0 WHEN 1 THEN 1000000.0 ELSE 1.0 END AS value FROM part WHERE p_partkey % 9 <> 0")
@@ -445,20 +448,39 @@ def i2_parse_number(spark, sf_dir):
     return p.select("p_partkey", C.parse_number(written).alias("value")).where("value is not null")
 
 
-@query()
+_PHRASES = ["Détachement du dividende", "Augmentation de capital en numéraire", "Résultats en forte hausse", "Avertissement sur résultat", "Avis divers", "Offre publique d’achat", "Suspension de la cotation"]
+
+
+def _classified_sql(title: str) -> str:
+    """Columns event, impact and sentiment of a title, from the rule table."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    any_of = lambda patterns: "regexp_matches(f, " + quoted("|".join(patterns)) + ")"
+    event = "CASE " + " ".join(f"WHEN {any_of(some)}{' AND ' + any_of((also,)) if also else ''} THEN '{name}'" for name, some, also in N.RULES) + " ELSE 'announcement' END"
+    impact = f"CASE WHEN event = 'results' THEN CASE WHEN {any_of(N.RESULT_DOWN)} THEN {N.RESULT_IMPACT['down']} WHEN {any_of(N.RESULT_UP)} THEN {N.RESULT_IMPACT['up']} ELSE 0.0 END " + " ".join(f"WHEN event = '{k}' THEN {v}" for k, v in N.IMPACTS.items()) + " ELSE 0.0 END"
+    folded = _FOLD.replace("regexp_replace(text,", f"regexp_replace({title},")
+    return f"SELECT *, CASE WHEN impact >= 0.15 THEN 'positive' WHEN impact <= -0.15 THEN 'negative' ELSE 'neutral' END AS mood FROM (SELECT *, CAST({impact} AS DOUBLE) AS impact FROM (SELECT *, {event} AS event FROM (SELECT *, coalesce({folded}, '') AS f FROM news)))"
+
+
+_FAMILY = "CASE event " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in N.FAMILIES.items()) + " ELSE 'announcement' END"
+_PHRASE = "CASE news_id % 7 " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(_PHRASES)) + " END"
+
+
+@query(ctes("news") + f"SELECT news_id, event, impact, mood AS sentiment, {_FAMILY} AS family, event IN ({', '.join(repr(x) for x in N.MECHANICAL_TYPES)}) AS mechanical FROM ({_classified_sql(f'concat_ws(chr(32), {_PHRASE}, title)')})")
 def i6_i7_classify(spark, sf_dir):
     """Notices with a French phrase for each kind of event put before them, classified and folded to families."""
-    phrases = ["Détachement du dividende", "Augmentation de capital en numéraire", "Résultats en forte hausse", "Avertissement sur résultat", "Avis divers", "Offre publique d’achat", "Suspension de la cotation"]
-    at = F.element_at(F.array(*map(F.lit, phrases)), (F.col("news_id") % len(phrases) + 1).cast("int"))
+    at = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("news_id") % len(_PHRASES) + 1).cast("int"))
     c = view(spark, sf_dir, "news").select("news_id", N.classify(F.concat_ws(" ", at, "title")).alias("c"))
     return c.select("news_id", "c.*", N.event_family(F.col("c.event")).alias("family"), N.is_mechanical(F.col("c.event")).alias("mechanical"))
 
 
-@query("SELECT page_id, length(html) > 0 AS any FROM pages")
-def i30_markup_strip(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", (F.length(C.html_to_text(F.col("html"))) > 0).alias("any"))
+_NEW = _classified_sql("title")
+QUERIES["b11_reclassification"] = (b11_reclassification, ctes("news") + f"SELECT news_id, event_type, sentiment, CAST(impact_score AS DOUBLE) AS impact_score, event AS new_event, impact AS new_impact, mood AS new_sentiment FROM ({_NEW}) WHERE NOT (event_type IS NOT DISTINCT FROM event AND sentiment IS NOT DISTINCT FROM mood AND coalesce(abs(impact_score - impact) <= 1e-9, false))")
+QUERIES["e30_before_after_counts"] = (e30_before_after_counts, ctes("news") + f"SELECT coalesce(a.event, b.event) AS event, coalesce(n_before, 0) AS n_before, coalesce(n_after, 0) AS n_after, coalesce(n_after, 0) - coalesce(n_before, 0) AS delta FROM (SELECT event_type AS event, count(*) AS n_before FROM news GROUP BY 1) a FULL JOIN (SELECT event, count(*) AS n_after FROM ({_NEW}) GROUP BY 1) b ON a.event = b.event")
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS text FROM pages")
-def i30_markup_strip_whole(spark, sf_dir):
+def i30_markup_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", C.html_to_text(F.col("html")).alias("text"))
+
+
+QUERIES["i30_markup_strip_whole"] = QUERIES["i30_markup_strip"]

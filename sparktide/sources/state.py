@@ -32,8 +32,14 @@ def upsert_touch(facts: DataFrame, key: list[str], at: str, values: list[str]) -
 
 
 def append_log(df: DataFrame, path: str, at: str, grain: str = "month") -> None:
-    """Append to a log that is split by time; rows of one part meet in one task first, so that a batch adds one file to each."""
-    df.withColumn("dt", F.to_date(F.date_trunc(grain, F.col(at)))).repartition("dt").write.mode("append").partitionBy("dt").parquet(path)
+    """Append to a log that is split by time. Rows are ranged by time with a salt beside it, so that a task writes few parts and a part that holds most rows has several tasks."""
+    rows = df.withColumns({"dt": F.to_date(F.date_trunc(grain, F.col(at))), "__salt": F.xxhash64(*df.columns)})
+    rows.repartitionByRange("dt", "__salt").drop("__salt").write.mode("append").partitionBy("dt").parquet(path)
+
+
+def digest(df: DataFrame, *, n: str = "n", total: str = "digest") -> DataFrame:
+    """(rows, sum of the rows' hashes): a digest that doesn't depend on order and counts repeated rows."""
+    return df.agg(F.count("*").alias(n), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias(total))
 
 
 def fullest(snapshots: DataFrame, key: list[str], fields: list[str], order: list[Column]) -> DataFrame:
@@ -63,6 +69,5 @@ def with_defaults(old: DataFrame, new: DataFrame, defaults: dict[str, object]) -
 
 def reconcile(source: DataFrame, target: DataFrame, name: str) -> DataFrame:
     """(table, rows of each, whether they hold the same rows): counts and an order-free digest."""
-    digest = lambda df, side: df.agg(F.count("*").alias(f"n_{side}"), F.bit_xor(F.xxhash64(*df.columns)).alias(f"h_{side}"))
-    both = digest(source, "source").crossJoin(digest(target, "target"))  # one row each
-    return both.select(F.lit(name).alias("name"), "n_source", "n_target", ((F.col("n_source") == F.col("n_target")) & F.col("h_source").eqNullSafe(F.col("h_target"))).alias("ok"))
+    both = digest(source, n="n_source", total="h_source").crossJoin(digest(target.select(*source.columns), n="n_target", total="h_target"))  # one row each
+    return both.select(F.lit(name).alias("name"), "n_source", "n_target", ((F.col("n_source") == F.col("n_target")) & (F.col("h_source") == F.col("h_target"))).alias("ok"))
