@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +103,11 @@ def parse_number(s: Column) -> Column:
     return F.when(raw.isin("", "-", "--", "NA", "N/A"), None).otherwise(number * scale)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value made once, however often it is used: a small array's element instead of a repeated expression."""
+    return F.element_at(F.transform(F.array(value), lambda x: then(x)), 1)
+
+
 def direction(change: Column, flat: float = 1.5) -> Column:
     """up, down or flat; null for a null change."""
     return F.when(change > flat, "up").when(change < -flat, "down").when(change.isNotNull(), "flat")
@@ -120,9 +127,9 @@ def signal_strength(score: Column) -> Column:
     return F.least(F.lit(1.0), F.abs(score - 50) / 50)
 
 
-def claimed_probability(score: Column, confidence: Column) -> Column:
-    """0.5 and more by strength and confidence, within 0.1 and 0.9, to four digits."""
-    return F.bround(clamp(F.coalesce(F.lit(0.5) + signal_strength(score) * 0.25 * confidence / 100, F.lit(0.5)), 0.1, 0.9), 4)
+def claimed_probability(score: Column, confidence: Column, digits: int = 4) -> Column:
+    """0.5 and more by strength and confidence, within 0.1 and 0.9."""
+    return F.bround(clamp(F.coalesce(F.lit(0.5) + signal_strength(score) * 0.25 * confidence / 100, F.lit(0.5)), 0.1, 0.9), digits)
 
 
 def evaluation_date(at: Column, horizon: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktide.functions.columns import fold
+from sparktide.functions.columns import fold, let
 
 #: The family of each type of event; families stand for themselves.
 FAMILIES = {
@@ -67,13 +67,21 @@ def _any_of(text: Column, patterns: tuple[str, ...]) -> Column:
 
 def classify(title: Column, rules=RULES) -> Column:
     """(event, impact, sentiment) of a title: the rules compiled to one expression, in their order. Unknown titles are neutral announcements."""
-    text = fold(title)
-    tests = [(event, _any_of(text, some) & (text.rlike(also) if also else F.lit(True))) for event, some, also in rules]
-    event = F.coalesce(*(F.when(test, F.lit(name)) for name, test in tests), F.lit("announcement"))
-    toward = F.when(_any_of(text, RESULT_DOWN), RESULT_IMPACT["down"]).when(_any_of(text, RESULT_UP), RESULT_IMPACT["up"]).otherwise(0.0)
-    impact = F.coalesce(F.when(event == "results", toward), *(F.when(event == k, F.lit(v)) for k, v in IMPACTS.items()), F.lit(0.0))
-    mood = F.when(impact >= 0.15, "positive").when(impact <= -0.15, "negative").otherwise("neutral")
-    return F.struct(event.alias("event"), impact.alias("impact"), mood.alias("sentiment"))
+
+    def event_of(text: Column) -> Column:
+        tests = [(event, _any_of(text, some) & (text.rlike(also) if also else F.lit(True))) for event, some, also in rules]
+        return F.coalesce(*(F.when(test, F.lit(name)) for name, test in tests), F.lit("announcement"))
+
+    def impact_of(text: Column, event: Column) -> Column:
+        toward = F.when(_any_of(text, RESULT_DOWN), RESULT_IMPACT["down"]).when(_any_of(text, RESULT_UP), RESULT_IMPACT["up"]).otherwise(0.0)
+        return F.coalesce(F.when(event == "results", toward), *(F.when(event == k, F.lit(v)) for k, v in IMPACTS.items()), F.lit(0.0))
+
+    def judged(event: Column, impact: Column) -> Column:
+        mood = F.when(impact >= 0.15, "positive").when(impact <= -0.15, "negative").otherwise("neutral")
+        return F.struct(event.alias("event"), impact.alias("impact"), mood.alias("sentiment"))
+
+    # folded text, event and impact are each made once and then read by many tests
+    return let(fold(title), lambda t: let(event_of(t), lambda e: let(impact_of(t, e), lambda i: judged(e, i))))
 
 
 def recent_news(news: DataFrame, now: Column, *, days: int = 30, fetch_limit: int | None = None) -> DataFrame:

@@ -138,10 +138,10 @@ def scenarios(rows: DataFrame, digits: int = 2) -> DataFrame:
     return rows.withColumns({n: F.bround(p / again, digits) for n, p in zip(("p_bull", "p_base", "p_bear"), mixed)} | {"move": F.bround(move, max(1, digits - 1))})
 
 
-def predictions_from(said: DataFrame, final: DataFrame) -> DataFrame:
+def predictions_from(said: DataFrame, final: DataFrame, digits: int = 4) -> DataFrame:
     """Falsifiable claims: three of the verdicts, and one for each analyst's lean that is heard."""
-    chief = final.select("stock_id", F.lit("chief").alias("analyst"), "horizon", C.claim_direction(F.col("recommendation")).alias("direction"), C.claimed_probability(F.col("score"), F.col("confidence")).alias("probability"))
-    others = said.where(F.col("confidence") >= HEARD).select("stock_id", "analyst", "horizon", C.lean_direction(F.col("lean")).alias("direction"), C.claimed_probability(F.col("lean"), F.col("confidence")).alias("probability"))
+    chief = final.select("stock_id", F.lit("chief").alias("analyst"), "horizon", C.claim_direction(F.col("recommendation")).alias("direction"), C.claimed_probability(F.col("score"), F.col("confidence"), digits).alias("probability"))
+    others = said.where(F.col("confidence") >= HEARD).select("stock_id", "analyst", "horizon", C.lean_direction(F.col("lean")).alias("direction"), C.claimed_probability(F.col("lean"), F.col("confidence"), digits).alias("probability"))
     return chief.unionByName(others)
 
 

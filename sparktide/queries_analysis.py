@@ -312,16 +312,33 @@ def i27_j12_scenarios(spark, sf_dir):
     return out.select("stock_id", "horizon", *(F.round(p, 1).alias(p) for p in ("p_bull", "p_base", "p_bear")), F.round("move", 0).alias("move"))
 
 
-@query()
-def j13_full_report(spark, sf_dir):
-    """Everything about a stock in one JSON document."""
+def reports_of(spark, sf_dir):
+    """Everything about a stock in one JSON document, with the digest of its verdicts."""
     context = context_of(spark, sf_dir)
     radar = stored(R.risk_radar(context), "radar")
     rows = R.verdicts(radar)
     said = R.signals(context).groupBy("stock_id").agg(F.sort_array(F.collect_list(F.struct("analyst", "horizon", "lean", "confidence"))).alias("signals"))
     ends = R.scenarios(rows.join(radar.select("stock_id", "volatility_30d"), "stock_id")).groupBy("stock_id").agg(F.sort_array(F.collect_list(F.struct("horizon", "score", "confidence", "recommendation", "p_bull", "p_base", "p_bear"))).alias("verdicts"))
-    out = radar.select("stock_id", "symbol", "overall_risk").join(said, "stock_id", "left").join(ends, "stock_id")
-    return out.select("stock_id", "symbol", F.to_json(F.struct("symbol", "overall_risk", "signals", "verdicts")).alias("report_json"), F.sha2(F.to_json(F.struct("verdicts")), 256).alias("thesis_hash"))
+    stated = ST.cited(ST.statements(context)).groupBy("stock_id").agg(F.sort_array(F.collect_list(F.struct("case", "rank", "analyst", "code", "value"))).alias("cited"))
+    out = radar.select("stock_id", "symbol", "overall_risk").join(said, "stock_id", "left").join(ends, "stock_id").join(stated, "stock_id", "left")
+    return out.select("stock_id", "symbol", F.to_json(F.struct("symbol", "overall_risk", "signals", "verdicts", "cited")).alias("report_json"), F.sha2(F.to_json(F.struct("verdicts")), 256).alias("thesis_hash"))
+
+
+@query(RESEARCH.rstrip() + f""", radar AS ({_RADAR})
+SELECT r.stock_id, r.symbol, r.overall_risk, n_signals, v.verdicts, c.cited FROM radar r LEFT JOIN (SELECT stock_id, count(*) AS n_signals FROM said GROUP BY 1) s USING (stock_id)
+ LEFT JOIN (SELECT stock_id, string_agg(horizon || '=' || recommendation, ',' ORDER BY horizon) AS verdicts FROM ({_VERDICT}) GROUP BY 1) v USING (stock_id)
+ LEFT JOIN (SELECT stock_id, string_agg("case" || rank || '=' || code, ',' ORDER BY "case", rank) AS cited FROM (SELECT *, CASE slot WHEN 'strength' THEN 'bull' ELSE 'bear' END AS "case", row_number() OVER (PARTITION BY stock_id, slot ORDER BY weight DESC, ord) AS rank FROM stated WHERE slot IN ('strength', 'weakness')) WHERE rank <= 6 GROUP BY 1) c USING (stock_id)""")
+def j13_full_report(spark, sf_dir):
+    """The reports' documents, parsed again: risk, number of signals, verdicts and cited statements."""
+    kind = "overall_risk double, signals array<struct<analyst: string>>, verdicts array<struct<horizon: string, recommendation: string>>, cited array<struct<case: string, rank: int, code: string>>"
+    back = reports_of(spark, sf_dir).select("stock_id", "symbol", F.from_json("report_json", kind).alias("r"))
+    listed = lambda c, f: F.when(F.col(c).isNotNull(), F.array_join(F.transform(c, f), ","))
+    return back.select("stock_id", "symbol", "r.overall_risk", F.when(F.col("r.signals").isNotNull(), F.size("r.signals").cast("long")).alias("n_signals"), listed("r.verdicts", lambda v: F.concat_ws("=", v["horizon"], v["recommendation"])).alias("verdicts"), listed("r.cited", lambda x: F.concat(x["case"], x["rank"].cast("string"), F.lit("="), x["code"])).alias("cited"))
+
+
+@query()
+def j13_report_documents(spark, sf_dir):
+    return reports_of(spark, sf_dir)
 
 
 @query(ctes("state") + "SELECT symbol, best, CASE WHEN best_score - short_score >= 8 THEN best ELSE 'short' END AS fit FROM (SELECT symbol, short_score, greatest(short_score, medium_score, long_score) AS best_score, CASE WHEN short_score >= medium_score AND short_score >= long_score THEN 'short' WHEN medium_score >= long_score THEN 'medium' ELSE 'long' END AS best FROM state)")
@@ -338,7 +355,7 @@ def j15_i22_i24_predictions(spark, sf_dir):
     return claims.groupBy("analyst", "horizon", "direction").agg(F.count("*").alias("n"))
 
 
-_CLAIMED = lambda x, k: f"round_even({clamp(f'coalesce(0.5 + least(1.0, abs({x} - 50) / 50) * 0.25 * {k} / 100, 0.5)', 0.1, 0.9)}, 4)"
+_CLAIMED = lambda x, k: f"round_even({clamp(f'coalesce(0.5 + least(1.0, abs({x} - 50) / 50) * 0.25 * {k} / 100, 0.5)', 0.1, 0.9)}, 8)"
 
 
 @query(RESEARCH.rstrip() + f""", radar AS ({_RADAR})
@@ -346,9 +363,9 @@ SELECT stock_id, analyst, horizon, direction, probability, DATE '2001-11-05' + C
  SELECT stock_id, 'chief' AS analyst, horizon, CASE WHEN recommendation IN ('STRONG_OPPORTUNITY', 'WATCH') THEN 'up' WHEN recommendation IN ('AVOID', 'RISKY') THEN 'down' ELSE 'flat' END AS direction, {_CLAIMED('score', 'confidence')} AS probability FROM ({_VERDICT})
  UNION ALL SELECT stock_id, analyst, horizon, CASE WHEN lean >= 58 THEN 'up' WHEN lean <= 42 THEN 'down' ELSE 'flat' END, {_CLAIMED('lean', 'confidence')} FROM said WHERE confidence >= 20)""")
 def j15_i23_i25_claims(spark, sf_dir):
-    """Every claim with its probability and the day on which it is judged."""
+    """Every claim with its probability, unrounded here, and the day on which it is judged."""
     context = context_of(spark, sf_dir)
-    claims = R.predictions_from(R.signals(context), R.verdicts(R.risk_radar(context)))
+    claims = R.predictions_from(R.signals(context), R.verdicts(R.risk_radar(context)), digits=8)
     return claims.withColumn("evaluate_on", F.to_date(C.evaluation_date(now(), F.col("horizon"))))
 
 
@@ -554,3 +571,13 @@ def k4_sessions(spark, sf_dir):
 def k6_opinion_changes(spark, sf_dir):
     """Batch twin of the stateful change detector."""
     return jobs.opinion_changes_batch(table(spark, sf_dir, "events"))
+
+
+_SLID = "SELECT user_id, w AS window_start, count(*) AS n, sum(value) AS total FROM (SELECT user_id, value, unnest([time_bucket(INTERVAL '15 minutes', ts) - i * INTERVAL '15 minutes' for i in [0, 1, 2, 3]]) AS w FROM events) GROUP BY 1, 2"
+
+
+@query(f"SELECT user_id, window_start, n, round(total, 4) AS total, round(usual, 4) AS usual FROM ({_SLID}) JOIN (SELECT user_id, avg(total) AS usual FROM ({_SLID}) GROUP BY 1) USING (user_id) WHERE total >= 2 * usual + 1e-9")
+def k3_unusual_activity(spark, sf_dir):
+    """Hours in which a key's activity is twice its usual: the batch twin of the stream's join with a static baseline."""
+    e = table(spark, sf_dir, "events")
+    return rounded(jobs.unusual_activity(e, jobs.usual_activity(e)), 4)

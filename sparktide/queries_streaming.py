@@ -21,9 +21,11 @@ def query(sql: str | None = None):
     return put
 
 
-def stream_of(spark, sf_dir: str) -> DataFrame:
+def stream_of(spark, sf_dir: str, files_a_batch: int | None = None) -> DataFrame:
     reader, path = spark.readStream.schema(table(spark, sf_dir, "events").schema), f"{sf_dir}/events.parquet"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
     folder = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
     out = reader.parquet(path) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)  # a stream reads folders only
     return out.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -93,10 +95,40 @@ def k7_capped_notifications(spark, sf_dir):
 
 @query("SELECT user_id, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def k10_stream_upsert(spark, sf_dir):
-    """The newest event of each key, by an upsert in foreachBatch."""
+    """The newest event of each key, by upserts in foreachBatch: all epochs count."""
     path = _scratch(spark, "upsert")
-    stream_of(spark, sf_dir).select("user_id", "event_id", "value").writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(jobs.upsert_sink(f"{path}/table", ["user_id"], "event_id")).start().awaitTermination()
-    return rounded(spark.read.parquet(f"{path}/table/0"))
+    stream_of(spark, sf_dir, 1).select("user_id", "event_id", "value").writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(jobs.upsert_sink(f"{path}/table", ["user_id"], "event_id")).start().awaitTermination()
+    return rounded(jobs.upserted(spark, f"{path}/table", ["user_id"], "event_id"))
+
+
+@query("SELECT user_id, event_type, CAST(ts AS DATE) AS day, round(last(value ORDER BY ts, event_id), 6) AS value FROM events GROUP BY 1, 2, 3")
+def k9_stream_late_rows(spark, sf_dir):
+    """Daily values when half of the rows come a stream later: live rows first, then all rows before the last ten days as a backfill. The value of a day is that of its last event time, whichever delivery brought it."""
+    from pyspark.sql import Window
+
+    path = _scratch(spark, "late")
+    events = stream_of(spark, sf_dir)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        live, late = jobs.split_late(batch, "2024-01-20")
+        jobs.daily_latest(live).write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}/side=live")
+        jobs.daily_latest(late).write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}/side=late")
+
+    for k, part in enumerate((events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"))):
+        run = lambda b, e, k=k: write(b, 1000 * k + e)
+        part.writeStream.option("checkpointLocation", f"{path}/state-{k}").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
+    held = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/epoch=*/side=*")
+    w = Window.partitionBy("user_id", "event_type", "day").orderBy(F.desc("ts"), F.desc("event_id"))
+    return rounded(held.withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "event_type", "day", "value"))
+
+
+@query("""SELECT user_id, window_start, n, round(total, 4) AS total FROM (SELECT user_id, w AS window_start, count(*) AS n, sum(value) AS total FROM (SELECT user_id, value, unnest([time_bucket(INTERVAL '15 minutes', ts) - i * INTERVAL '15 minutes' for i in [0, 1, 2, 3]]) AS w FROM events) GROUP BY 1, 2)
+ JOIN (SELECT user_id, avg(total) AS usual FROM (SELECT user_id, w, sum(value) AS total FROM (SELECT user_id, value, unnest([time_bucket(INTERVAL '15 minutes', ts) - i * INTERVAL '15 minutes' for i in [0, 1, 2, 3]]) AS w FROM events) GROUP BY 1, 2) GROUP BY 1) USING (user_id) WHERE total >= 2 * usual + 1e-9""")
+def k3_stream_unusual_activity(spark, sf_dir):
+    """Sliding hours against a static baseline: a stream-static join."""
+    usual = jobs.usual_activity(table(spark, sf_dir, "events"))
+    out = drained(spark, jobs.unusual_activity(stream_of(spark, sf_dir), usual), "complete", "unusual")
+    return rounded(out.select("user_id", "window_start", "n", "total"), 4)
 
 
 @query("SELECT p.event_id, count(*) AS n_after FROM events p JOIN events q ON q.user_id = p.user_id AND q.ts >= p.ts + INTERVAL '10 days' AND q.ts <= p.ts + INTERVAL '11 days' WHERE p.event_type = 'purchase' GROUP BY 1")

@@ -33,6 +33,12 @@ def daily_last(events: DataFrame, late: str = "2 days") -> DataFrame:
     return out.select("user_id", "event_type", F.to_date("window.start").alias("day"), "value")
 
 
+def daily_latest(batch: DataFrame) -> DataFrame:
+    """The last row by event time of each key and day of a batch, with that time."""
+    latest = F.max_by(F.struct("value", "ts", "event_id"), F.struct("ts", "event_id")).alias("x")
+    return batch.groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(latest).select("user_id", "event_type", "day", "x.*")
+
+
 def sliding_activity(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Counts and sums of each key over one hour, every 15 minutes."""
     out = events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -44,7 +50,18 @@ def sliding_activity(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def unusual_activity(events: DataFrame, baseline: DataFrame, times: float = 2.0) -> DataFrame:
     """Sliding sums against a static baseline ``(user_id, usual)``: a stream-static join."""
-    return sliding_activity(events).join(baseline, "user_id").where(F.col("total") >= times * F.col("usual"))
+    return sliding_activity(events).join(baseline, "user_id").where(F.col("total") >= times * F.col("usual") + 1e-9)
+
+
+def usual_activity(history: DataFrame) -> DataFrame:
+    """``(user_id, usual)``: the mean of a key's hourly sums over its history, which is static."""
+    return sliding_activity(history).groupBy("user_id").agg(F.avg("total").alias("usual"))
+
+
+def split_late(batch: DataFrame, horizon: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a micro-batch from ``horizon`` (a time) on, and those before it, which a batch path merges by event time."""
+    late = F.col("ts") < F.lit(horizon).cast("timestamp")
+    return batch.where(~late), batch.where(late)
 
 
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
@@ -93,19 +110,26 @@ def capped_sink(write: Callable[[DataFrame, int], None], rank: Callable[[DataFra
 
 
 def upsert_sink(path: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: the table with a batch upserted goes to a new path for each epoch, so a repeated epoch gives the same."""
+    """A foreachBatch function: the newest row of each of a batch's keys goes to the epoch's own part, so the work grows with the batch, a repeated epoch gives the same, and no epoch depends on another's part."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = f"{path}/{epoch - 1}"
-        place = spark._jvm.org.apache.hadoop.fs.Path(old)
-        exists = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-        now = spark.read.parquet(old) if exists else batch.limit(0)
-        state.upsert_replace(now, batch, key, [F.desc(order)]).write.mode("overwrite").parquet(f"{path}/{epoch}")
+        state.upsert_replace(batch.limit(0), batch, key, [F.desc(order)]).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
 
 
+def upserted(spark, path: str, key: list[str], order: str) -> DataFrame:
+    """What a table of upserts holds: of each key the row of greatest ``order``, whichever epoch brought it, so that late rows never shadow newer ones. ``compacted`` writes it as one part."""
+    parts = spark.read.option("basePath", path).parquet(f"{path}/epoch=*")
+    w = Window.partitionBy(*key).orderBy(F.desc(order), F.desc("epoch"))
+    return parts.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "epoch")
+
+
+def compacted(spark, path: str, key: list[str], order: str, to: str) -> None:
+    """The table's present rows as epoch 0 of a new path, for a stream to go on from."""
+    upserted(spark, path, key, order).write.mode("overwrite").parquet(f"{to}/epoch=0")
+
+
 def mature(predictions: DataFrame, prices: DataFrame, wait: str = "3 days") -> DataFrame:
     """Predictions meet the prices of the days after their date: a stream-stream join with two watermarks."""
     p = predictions.withWatermark("evaluate_at", wait)
