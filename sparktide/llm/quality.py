@@ -200,7 +200,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """Every row of ``docs`` with ``evidence``, ``host_posterior``, ``path_posterior``, ``p_good`` and ``keep``; without its text, which then isn't written along, if ``with_text`` is false.
 
     The posterior log odds of a document are those that the rest of its path gives plus its own log likelihood ratio; it is
-    kept from ``keep_from`` on (a tie at it is kept). Each text is scored once.
+    kept from ``keep_from`` on (a tie at it is kept). Each text is scored once; what came of it is stored without the text and
+    joined back by id, host, path and the text's hashes.
 
     Null and empty texts are judged by the features of an empty text, very long ones by those of the whole text. Null hosts or
     paths form a group of their own, a site with one document has the global prior. Repeated rows are judged alike, an empty
@@ -210,12 +211,18 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """
     made = ["evidence", "host_posterior", "path_posterior", "p_good", "keep"]
     model = fit(docs, labels, id_col=id_col, text_col=text_col, sample_rows=sample_rows)
-    kept = [c for c in docs.columns if c not in made and (with_text or c != text_col)]
-    rows = docs.select(F.struct(*(column(docs, c) for c in kept)).alias("row"), column(docs, host_col).alias("host"), column(docs, path_col).alias("path"), _evidence(model, column(docs, text_col)).alias("evidence"))
-    rows = stored(rows, "quality-evidence")
-    known = labelled(labels)
-    scored = rows.join(known, F.col(f"row.`{id_col}`") == F.col("__lid"), "left").withColumnRenamed("__good", "label").drop("__lid")
+    kept = [column(docs, c) for c in docs.columns if c not in made and (with_text or c != text_col)]
+    text = column(docs, text_col)
+    key = {"__id": column(docs, id_col), "host": column(docs, host_col), "path": column(docs, path_col), "__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit(1), text)}
+    rows = stored(docs.select(*(c.alias(n) for n, c in key.items()), _evidence(model, text).alias("evidence")), "quality-evidence")
+    scored = rows.join(labelled(labels), F.col("__id") == F.col("__lid"), "left").withColumnRenamed("__good", "label").drop("__lid")
     out = posteriors(scored, model.base)
     prior = F.least(F.greatest(F.col("path_posterior"), F.lit(1e-4)), F.lit(1 - 1e-4))
     out = out.withColumn("p_good", 1 / (1 + F.exp(-(F.log(prior / (1 - prior)) + F.col("evidence")))))
-    return out.withColumn("keep", F.col("p_good") >= keep_from).select(*(F.col("row").getField(c).alias(c) for c in kept), *made)
+    out = out.withColumn("keep", F.col("p_good") >= keep_from).dropDuplicates(list(key))  # repeated rows are judged alike
+    judged = out.select(*(F.col(n).alias(f"__of_{n}") for n in key), *(F.col(c).alias(f"__made_{c}") for c in made))
+    keyed = docs.select(F.struct(*kept).alias("__row"), *(c.alias(n) for n, c in key.items()))
+    same = [F.col(n).eqNullSafe(F.col(f"__of_{n}")) for n in key]
+    found = keyed.join(judged, same[0] & same[1] & same[2] & same[3] & same[4])
+    names = [c for c in docs.columns if c not in made and (with_text or c != text_col)]
+    return found.select(*(F.col("__row").getField(c).alias(c) for c in names), *(F.col(f"__made_{c}").alias(c) for c in made))

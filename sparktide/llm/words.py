@@ -35,13 +35,13 @@ def _reduced(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size, tables = max(n, 2 * BLOCK_BYTES), []
+        size, tables = max(n, BLOCK_BYTES + BLOCK_BYTES // 2), []
         for base in (x for b in _BASES for x in (b, pow(b, -1, int(_PRIME)))):
             table, step = np.ones(1, np.uint64), base
             while len(table) < size:
                 table = np.concatenate((table, _reduced(table * np.uint64(step))))
                 step = step * step % int(_PRIME)
-            tables.append(table[:size])
+            tables.append(table[:size].astype(np.uint32))
         _powers[:] = tables
     return _powers
 
