@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktide.functions.columns import fold, let
+from sparktide.functions.columns import fold, html_to_text, let, normalize_text
 
 #: The family of each type of event; families stand for themselves.
 FAMILIES = {
@@ -122,6 +122,35 @@ def match_symbols(titles: DataFrame, names: DataFrame) -> DataFrame:
     return by_symbol.unionByName(by_name).groupBy("title_id").agg(F.min("ord").alias("ord"))
 
 
+#: Letters of a notice's title at least, what marks its link, and notices of a page at most.
+TITLE_LEAST, NOTICE_LINK, PAGE_MOST = 12, r"\.pdf$|/avis", 100
+#: Elements that end the text around a link.
+_AROUND = r"(?i)</?(?:li|p|div|td|tr|ul|ol|nav|section|article|body|h[1-6])(?:\s[^>]*)?>"
+_ANCHOR = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+
+
+def notices_from_pages(pages: DataFrame, names: DataFrame, *, least: int = TITLE_LEAST, marks: str = NOTICE_LINK, most: int = PAGE_MOST) -> DataFrame:
+    """``(page_id, pos, link, title, date, event, impact, sentiment, ord)``: links of landed pages whose text has ``least`` letters and whose address is marked, the first of each address, ``most`` of a page.
+
+    Addresses are made absolute with the page's host; the date is one written near the link, within the same block; ``ord`` is
+    the first of ``names (ord, symbol, name)`` that the title holds.
+    """
+    parts = pages.select("page_id", "url", F.posexplode(F.split("html", _AROUND)).alias("part", "around"))
+    near = normalize_text(html_to_text(F.col("around")))
+    found = parts.where(F.col("around").contains("<a") | F.col("around").contains("<A"))
+    found = found.select("page_id", "url", "part", F.regexp_extract(near, r"\b(20[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{2})\b", 1).alias("near"), F.posexplode(F.regexp_extract_all("around", F.lit(_ANCHOR), F.lit(0))).alias("at", "a"))
+    base = F.regexp_extract("url", r"^[a-z]+://[^/?#]+", 0)
+    href = F.regexp_extract("a", r'(?i)href="([^"]*)"', 1)
+    links = found.select("page_id", F.struct("part", "at").alias("pos"), F.when(href.startswith("/"), F.concat(base, href)).otherwise(href).alias("link"), normalize_text(html_to_text(F.col("a"))).alias("title"), F.regexp_replace("near", "[/.]", "-").try_cast("date").alias("date"), href.alias("href"))
+    links = links.where((F.length("title") >= least) & F.col("href").rlike(marks))
+    first = links.groupBy("page_id", "link").agg(F.min_by(F.struct("pos", "title", "date"), "pos").alias("x")).select("page_id", "link", "x.*")
+    ranked = first.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("pos") <= most)
+    key = F.concat_ws(" ", "page_id", "link")
+    about = match_symbols(ranked.select(key.alias("title_id"), "title"), names)
+    out = ranked.withColumn("c", classify(F.col("title"))).join(about, key == F.col("title_id"), "left")
+    return out.select("page_id", "pos", "link", "title", "date", "c.event", "c.impact", "c.sentiment", "ord")
+
+
 def reclassification(news: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose stored event, impact or sentiment differs from the classifier's, and counts of each event before and after."""
     new = news.withColumn("c", classify(F.col("title"))).select("news_id", "event_type", "sentiment", "impact_score", F.col("c.event").alias("new_event"), F.col("c.impact").alias("new_impact"), F.col("c.sentiment").alias("new_sentiment"))

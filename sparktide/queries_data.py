@@ -115,18 +115,6 @@ def a14_session_rows(spark, sf_dir):
     return rounded(first)
 
 
-@query()
-def a15_page_links(spark, sf_dir):
-    """Links of landed pages whose text is 12 letters long or more, first of each URL, with event and date."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    anchors = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'), F.lit(0))).alias("pos", "a"))
-    base = F.regexp_extract("url", r"^[a-z]+://[^/]+", 0)
-    links = anchors.select("page_id", "pos", F.regexp_extract("a", r'href="([^"]*)"', 1).alias("href"), C.normalize_text(C.html_to_text(F.col("a"))).alias("text"), base.alias("base"))
-    links = links.where(F.length("text") >= 4).withColumn("link", F.when(F.col("href").startswith("/"), F.concat("base", "href")).otherwise(F.col("href")))
-    links = links.groupBy("page_id", "link").agg(F.min_by(F.struct("pos", "text"), "pos").alias("x"))
-    return links.select("page_id", "link", "x.pos", "x.text", N.classify(F.col("x.text"))["event"].alias("event"))
-
-
 @query(ctes("macro") + "SELECT indicator, as_of, round(value, 6) AS value FROM macro QUALIFY row_number() OVER (PARTITION BY indicator ORDER BY as_of DESC, seq DESC) <= 750")
 def a16_macro_series(spark, sf_dir):
     """Series as pages embed them, arrays of times and values in pages of ten thousand events, back to rows; the newest 750 points of each."""
@@ -451,14 +439,14 @@ def i2_parse_number(spark, sf_dir):
 _PHRASES = ["Détachement du dividende", "Augmentation de capital en numéraire", "Résultats en forte hausse", "Avertissement sur résultat", "Avis divers", "Offre publique d’achat", "Suspension de la cotation"]
 
 
-def _classified_sql(title: str) -> str:
+def _classified_sql(title: str, source: str = "news") -> str:
     """Columns event, impact and sentiment of a title, from the rule table."""
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     any_of = lambda patterns: "regexp_matches(f, " + quoted("|".join(patterns)) + ")"
     event = "CASE " + " ".join(f"WHEN {any_of(some)}{' AND ' + any_of((also,)) if also else ''} THEN '{name}'" for name, some, also in N.RULES) + " ELSE 'announcement' END"
     impact = f"CASE WHEN event = 'results' THEN CASE WHEN {any_of(N.RESULT_DOWN)} THEN {N.RESULT_IMPACT['down']} WHEN {any_of(N.RESULT_UP)} THEN {N.RESULT_IMPACT['up']} ELSE 0.0 END " + " ".join(f"WHEN event = '{k}' THEN {v}" for k, v in N.IMPACTS.items()) + " ELSE 0.0 END"
     folded = _FOLD.replace("regexp_replace(text,", f"regexp_replace({title},")
-    return f"SELECT *, CASE WHEN impact >= 0.15 THEN 'positive' WHEN impact <= -0.15 THEN 'negative' ELSE 'neutral' END AS mood FROM (SELECT *, CAST({impact} AS DOUBLE) AS impact FROM (SELECT *, {event} AS event FROM (SELECT *, coalesce({folded}, '') AS f FROM news)))"
+    return f"SELECT *, CASE WHEN impact >= 0.15 THEN 'positive' WHEN impact <= -0.15 THEN 'negative' ELSE 'neutral' END AS mood FROM (SELECT *, CAST({impact} AS DOUBLE) AS impact FROM (SELECT *, {event} AS event FROM (SELECT *, coalesce({folded}, '') AS f FROM {source})))"
 
 
 _FAMILY = "CASE event " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in N.FAMILIES.items()) + " ELSE 'announcement' END"
@@ -484,3 +472,21 @@ def i30_markup_strip(spark, sf_dir):
 
 
 QUERIES["i30_markup_strip_whole"] = QUERIES["i30_markup_strip"]
+
+
+_PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_LINKS = f"""SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY part, spot) AS pos FROM (SELECT * FROM (
+ SELECT page_id, part, spot, CASE WHEN starts_with(href, '/') THEN base || href ELSE href END AS link, {_PLAIN.format('a')} AS title, try_cast(regexp_replace(near, '[/.]', '-', 'g') AS DATE) AS date FROM (
+ SELECT page_id, part, spot, a, regexp_extract(url, '^[a-z]+://[^/?#]+') AS base, regexp_extract(a, '(?i)href="([^"]*)"', 1) AS href, nullif(regexp_extract({_PLAIN.format('around')}, '\\b(20[0-9]{{2}}[-/.][0-9]{{2}}[-/.][0-9]{{2}})\\b', 1), '') AS near FROM (
+ SELECT *, unnest(found) AS a, generate_subscripts(found, 1) AS spot FROM (SELECT *, regexp_extract_all(around, '{N._ANCHOR}', 0) AS found FROM (
+ SELECT page_id, url, unnest(parts) AS around, generate_subscripts(parts, 1) AS part FROM (SELECT page_id, url, string_split_regex(html, '{N._AROUND}') AS parts FROM pages)))))) WHERE length(title) >= 4
+ QUALIFY row_number() OVER (PARTITION BY page_id, link ORDER BY part, spot) = 1)"""
+
+
+@query(f"""WITH links AS ({_LINKS}), found AS (SELECT l.page_id, l.link, min(b.ord) AS ord FROM (SELECT *, list_distinct(string_split_regex(upper(replace(title, 'ß', 'SS')), '[^A-Z0-9]+')) AS words FROM links) l JOIN (SELECT item_id AS ord, upper(regexp_extract(text, '^[A-Za-z]+')) AS symbol FROM benchmark) b ON b.symbol <> '' AND list_contains(words, b.symbol) GROUP BY 1, 2)
+SELECT c.page_id, c.pos, c.link, c.title, c.date, c.event, c.impact, c.mood AS sentiment, f.ord FROM ({_classified_sql("title", "links")}) c LEFT JOIN found f ON f.page_id = c.page_id AND f.link = c.link WHERE c.pos <= 100""")
+def a15_page_links(spark, sf_dir):
+    """Links of landed pages as notices. The given pages' links are words, so titles of four letters count here and every address; by default it takes twelve and a notice's address."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.regexp_extract("text", "^[A-Za-z]+", 0).alias("symbol"), F.lit("").alias("name"))
+    return N.notices_from_pages(pages, names, least=4, marks="")

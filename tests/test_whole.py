@@ -104,3 +104,60 @@ def test_streams_read_a_file_and_a_folder(spark, tmp_path):
     given.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     for d in (SF, str(tmp_path)):
         assert drained(spark, stream_of(spark, d).select("event_id"), "append", "both").count() == given.count()
+
+
+def test_notices_of_a_page(spark):
+    from sparktide.operators.news import notices_from_pages
+
+    html = """<body><nav><a href="/avis/short">Short</a></nav><ul>
+     <li>2026-03-04 <a class="x" href="/files/a.pdf">Alpha &amp; Co : suspension de la cotation</a></li><li><a href="/files/a.pdf">The same address once more</a> 2026-03-05</li>
+     <li>le 2025.12.31 <a href="https://other.example/avis?id=7">Résultats en <b>forte hausse</b> de Beta</a></li><li><a href="/contact">A link that is no notice at all</a></li></ul></body>"""
+    pages = spark.createDataFrame([(1, "https://bourse.example/page?x=1", html), (2, "https://b.example/", None), (3, "https://c.example", "<a href='x.pdf'>no quotes of that kind</a>")], "page_id long, url string, html string")
+    names = spark.createDataFrame([(1, "BETA", "Beta Works"), (2, "ALPHA", "Alpha & Co")], "ord long, symbol string, name string")
+    got = [(r["page_id"], r["pos"], r["link"], r["title"], str(r["date"]), r["event"], r["ord"]) for r in notices_from_pages(pages, names).orderBy("pos").collect()]
+    assert got == [
+        (1, 1, "https://bourse.example/files/a.pdf", "Alpha & Co : suspension de la cotation", "2026-03-04", "trading_suspension", 2),
+        (1, 2, "https://other.example/avis?id=7", "Résultats en forte hausse de Beta", "2025-12-31", "results", 1),
+    ]
+    assert notices_from_pages(pages, names, most=1).count() == 1
+
+
+def test_upserts_of_several_epochs(spark, tmp_path):
+    from sparktide.streaming import jobs
+
+    path = str(tmp_path / "table")
+    write = jobs.upsert_sink(path, ["k"], "at")
+    rows = lambda *x: spark.createDataFrame(list(x), "k long, at long, v string")
+    write(rows((1, 5, "a"), (1, 4, "old"), (2, 1, "b")), 0)
+    write(rows((3, 1, "c")), 1)
+    write(rows((1, 3, "late"), (2, 9, "new")), 7)  # epochs in between had no rows
+    write(rows((1, 3, "late"), (2, 9, "new")), 7)
+    want = {1: "a", 2: "new", 3: "c"}
+    assert {r["k"]: r["v"] for r in jobs.upserted(spark, path, ["k"], "at").collect()} == want
+    jobs.compacted(spark, path, ["k"], "at", str(tmp_path / "next"))
+    assert {r["k"]: r["v"] for r in jobs.upserted(spark, str(tmp_path / "next"), ["k"], "at").collect()} == want
+
+
+def test_a_digest_counts_repeated_rows(spark):
+    from sparktide.sources import state
+
+    ones, twos = (spark.createDataFrame([(x,), (x,)], "x int") for x in (1, 2))
+    assert not state.reconcile(ones, twos, "t").first()["ok"] and state.reconcile(ones, ones.repartition(2), "t").first()["ok"]
+    assert state.reconcile(ones.limit(0), ones.limit(0), "t").first()["ok"]
+
+
+def test_statements_and_flags(spark):
+    from sparktide.plans import statements as ST
+
+    names = sorted({w for rules in ST.ANALYSTS.values() for _, _, condition, _, _, value in rules for w in re.findall(r"[a-z_][a-z0-9_]+", condition + " " + value)} - {"coalesce", "greatest", "floor", "lower", "banque", "immobilier", "assurance", "credit", "financement", "cr", "dit", "sector", "top_sector"})
+    flags = {"fresh_negative", "has_dividend"}
+    kinds = "stock_id long, sector string, top_sector string, " + ", ".join(f"{n} {'boolean' if n in flags else 'double'}" for n in names)
+    row = {"stock_id": 1, "sector": "Banque", "top_sector": "Banque", "price": 11.0, "ma50": 10.0, "per": 30.0, "payout_pct": 90.0, "positions": 2.0, "top_share": 50.0, "inflation": 6.0, "policy_rate": 2.0, "top_pct": 60.0}
+    nothing = {"stock_id": 2, "sector": None, "top_sector": None}
+    said = ST.statements(spark.createDataFrame([tuple(r.get(c.split()[0]) for c in kinds.split(", ")) for r in (row, nothing)], kinds))
+    got = {(r["slot"], r["code"]) for r in said.where("stock_id = 1").collect()}
+    assert got == {("strength", "above_ma50"), ("weakness", "high_per"), ("risk", "high_payout"), ("risk", "few_positions"), ("risk", "heavy_sector"), ("risk", "adds_to_heavy_sector"), ("weakness", "high_inflation"), ("observation", "rate_sensitive"), ("risk", "controlled")}
+    assert said.where("stock_id = 2").count() == 0
+    weight = ST.flag_weights(said).first()
+    assert round(weight["flag_weight"], 6) == 2.2 and weight["n_flags"] == 3  # a controlling holder is neutral
+    assert [(r["case"], r["code"]) for r in ST.cited(said).orderBy("case", "rank").collect()] == [("bear", "high_per"), ("bear", "high_inflation"), ("bull", "above_ma50")]
