@@ -88,7 +88,7 @@ def normalize_text(s: Column) -> Column:
 
 def fold(s: Column) -> Column:
     """Normalised text in lower case without accents, ligatures, curly quotes, dashes and slashes."""
-    plain = F.translate(normalize_text(s), ACCENTED + "’‘–—-/", PLAIN + "''    ")
+    plain = F.translate(normalize_text(s), ACCENTED + "’‘`–—-/", PLAIN + "'''    ")
     plain = F.replace(F.replace(plain, F.lit("œ"), F.lit("oe")), F.lit("Œ"), F.lit("oe"))
     return F.trim(F.regexp_replace(F.lower(plain), r"\s+", " "))
 

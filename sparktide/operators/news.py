@@ -33,14 +33,14 @@ RULES: tuple[tuple[str, tuple[str, ...], str | None], ...] = (
     ("capital_increase_reserves", (r"incorporation\s+de\s+reserves",), None),
     ("capital_increase_employees", (r"augmentation\s+de\s+capital",), r"reservee?\s+aux\s+salaries"),
     ("capital_increase_merger", (r"augmentation\s+de\s+capital",), r"fusion|absorption|apport"),
-    ("capital_increase_cash", (r"augmentation\s+de\s+capital",), None),
+    ("capital_increase_cash", (r"augmentation\s+de\s+capital\s+en\s+numeraire", r"augmentation\s+de\s+capital"), None),
     ("share_buyback", (r"rachat\s+d'actions", r"programme\s+de\s+rachat"), None),
     ("stock_split", (r"division\s+du\s+nominal", r"division\s+de\s+la\s+valeur\s+nominale", r"\bsplit\b"), None),
     ("tender_offer_buy", (r"\bopa\b", r"offre\s+publique\s+d'achat"), None),
     ("tender_offer_withdraw", (r"\bopr\b", r"offre\s+publique\s+de\s+retrait"), None),
     ("public_offering", (r"\bopv\b", r"offre\s+publique\s+de\s+vente", r"introduction\s+en\s+bourse"), None),
-    ("merger", (r"\bfusion\b", r"\babsorption\b"), None),
-    ("profit_warning", (r"\bpertes?\b", r"\bdeficit\b", r"resultat\s+negatif"), None),
+    ("merger", (r"fusion\s+absorption", r"\bfusion\b", r"\babsorption\b"), None),
+    ("profit_warning", (r"\bperte\b", r"\bpertes\b", r"\bdeficit\b", r"resultat\s+negatif"), None),
     ("results", (r"\bresultats?\b", r"chiffre\s+d'affaires", r"indicateurs\s+(?:trimestriels|annuels|semestriels)", r"\bbenefices?\b"), None),
     ("threshold_crossing", (r"franchissement\s+de\s+seuil",), None),
     ("market_notice", (r"contrat\s+a\s+terme", r"\bindice\b", r"\bmasi\b", r"reglementation", r"admission\s+d'une\s+echeance", r"calendrier\s+de\s+bourse", r"jours?\s+feries?"), None),
@@ -53,6 +53,12 @@ RESULT_UP = (r"en\s+(?:forte\s+|nette\s+)?(?:hausse|progression|croissance|ameli
 RESULT_IMPACT = {"down": -0.55, "up": 0.50}
 
 
+def rules_from(table: DataFrame) -> tuple[tuple[str, tuple[str, ...], str | None], ...]:
+    """The rules of a configuration table ``(ord, event, some, also)``: ``some`` an array of patterns of which one must match, ``also`` one that must match too or null. Rows of null event or without patterns don't count."""
+    rows = table.where("event is not null and size(some) > 0").orderBy("ord").select("event", "some", "also").collect()  # a table of rules is small
+    return tuple((r["event"], tuple(p for p in r["some"] if p), r["also"]) for r in rows)
+
+
 def event_family(event: Column) -> Column:
     return F.coalesce(*(F.when(event == k, F.lit(v)) for k, v in FAMILIES.items()), F.lit("announcement"))
 

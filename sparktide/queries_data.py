@@ -415,7 +415,7 @@ def e8_topic_count(spark, sf_dir):
     return N.topic_count(view(spark, sf_dir, "news").where("stock_id is not null"))
 
 
-_FROM, _TO = C.ACCENTED + "’‘–—-/", C.PLAIN + "''    "
+_FROM, _TO = C.ACCENTED + "’‘`–—-/", C.PLAIN + "'''    "
 _FOLD = f"trim(regexp_replace(lower(replace(replace(translate(trim(regexp_replace(text, '\\s+', ' ', 'g')), '{_FROM}', '{_TO.replace(chr(39), chr(39) * 2)}'), 'œ', 'oe'), 'Œ', 'oe')), '\\s+', ' ', 'g'))"
 
 

@@ -161,3 +161,14 @@ def test_statements_and_flags(spark):
     weight = ST.flag_weights(said).first()
     assert round(weight["flag_weight"], 6) == 2.2 and weight["n_flags"] == 3  # a controlling holder is neutral
     assert [(r["case"], r["code"]) for r in ST.cited(said).orderBy("case", "rank").collect()] == [("bear", "high_per"), ("bear", "high_inflation"), ("bull", "above_ma50")]
+
+
+def test_rules_from_a_table(spark):
+    from sparktide.operators.news import RULES, classify, rules_from
+
+    table = spark.createDataFrame([(k, e, list(some), also) for k, (e, some, also) in enumerate(RULES)][::-1] + [(99, None, ["x"], None), (98, "none", [], None)], "ord int, event string, some array<string>, also string")
+    rules = rules_from(table)
+    assert rules == RULES
+    own = spark.createDataFrame([(2, "late", ["b"], None), (1, "early", ["a", "b c"], "d")], "ord int, event string, some array<string>, also string")
+    titles = spark.createDataFrame([("B C d",), ("b c",), ("z",), (None,)], "t string")
+    assert [r["e"] for r in titles.select(classify(titles["t"], rules_from(own))["event"].alias("e")).collect()] == ["early", "late", "announcement", "announcement"]
