@@ -147,6 +147,24 @@ def age_label(seconds: Column) -> Column:
     return F.when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit(" min"))).when(seconds < 172800, F.concat(F.floor(seconds / 3600).cast("string"), F.lit(" h"))).when(seconds.isNotNull(), F.concat(F.floor(seconds / 86400).cast("string"), F.lit(" j")))
 
 
+#: Names of days from Monday on, and of months.
+DAYS = ("lundi", "mardi", "mercredi", "jeudi", "vendredi", "samedi", "dimanche")
+MONTHS = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
+
+
+def date_line(day: Column) -> Column:
+    """A date as it heads a summary: name of the day, day, month, year."""
+    name = lambda names, k: F.element_at(F.array(*map(F.lit, names)), k)
+    return F.when(day.isNotNull(), F.concat_ws(" ", name(DAYS, F.weekday(day) + 1), F.dayofmonth(day).cast("string"), name(MONTHS, F.month(day)), F.year(day).cast("string")))
+
+
+def guessed_symbol(name: Column, symbol: Column, aliases: dict[str, str]) -> Column:
+    """The first alias that the name holds, else its first token of two to five capitals, else the symbol."""
+    upper = F.upper(name)
+    tests = [F.when(upper.contains(k), F.lit(v)) for k, v in aliases.items()]
+    return F.coalesce(*tests, F.nullif(F.regexp_extract(upper, r"^[A-Z]{2,5}", 0), F.lit("")), symbol)
+
+
 def signed(x: Column, digits: int = 1) -> Column:
     return F.when(x.isNotNull(), F.format_string(f"%+.{digits}f", x))
 

@@ -321,19 +321,19 @@ def reports_of(spark, sf_dir):
     ends = R.scenarios(rows.join(radar.select("stock_id", "volatility_30d"), "stock_id")).groupBy("stock_id").agg(F.sort_array(F.collect_list(F.struct("horizon", "score", "confidence", "recommendation", "p_bull", "p_base", "p_bear"))).alias("verdicts"))
     stated = ST.cited(ST.statements(context)).groupBy("stock_id").agg(F.sort_array(F.collect_list(F.struct("case", "rank", "analyst", "code", "value"))).alias("cited"))
     out = radar.select("stock_id", "symbol", "overall_risk").join(said, "stock_id", "left").join(ends, "stock_id").join(stated, "stock_id", "left")
-    return out.select("stock_id", "symbol", F.to_json(F.struct("symbol", "overall_risk", "signals", "verdicts", "cited")).alias("report_json"), F.sha2(F.to_json(F.struct("verdicts")), 256).alias("thesis_hash"))
+    return out.select("stock_id", "symbol", F.to_json(F.struct("symbol", "overall_risk", "signals", "verdicts", "cited")).alias("report_json"), F.sha2(F.array_join(F.transform("verdicts", lambda v: F.concat_ws("=", v["horizon"], v["recommendation"])), ","), 256).alias("thesis_hash"))
 
 
 @query(RESEARCH.rstrip() + f""", radar AS ({_RADAR})
-SELECT r.stock_id, r.symbol, r.overall_risk, n_signals, v.verdicts, c.cited FROM radar r LEFT JOIN (SELECT stock_id, count(*) AS n_signals FROM said GROUP BY 1) s USING (stock_id)
+SELECT r.stock_id, r.symbol, r.overall_risk, n_signals, v.verdicts, sha256(v.verdicts) AS thesis_hash, c.cited FROM radar r LEFT JOIN (SELECT stock_id, count(*) AS n_signals FROM said GROUP BY 1) s USING (stock_id)
  LEFT JOIN (SELECT stock_id, string_agg(horizon || '=' || recommendation, ',' ORDER BY horizon) AS verdicts FROM ({_VERDICT}) GROUP BY 1) v USING (stock_id)
  LEFT JOIN (SELECT stock_id, string_agg("case" || rank || '=' || code, ',' ORDER BY "case", rank) AS cited FROM (SELECT *, CASE slot WHEN 'strength' THEN 'bull' ELSE 'bear' END AS "case", row_number() OVER (PARTITION BY stock_id, slot ORDER BY weight DESC, ord) AS rank FROM stated WHERE slot IN ('strength', 'weakness')) WHERE rank <= 6 GROUP BY 1) c USING (stock_id)""")
 def j13_full_report(spark, sf_dir):
     """The reports' documents, parsed again: risk, number of signals, verdicts and cited statements."""
     kind = "overall_risk double, signals array<struct<analyst: string>>, verdicts array<struct<horizon: string, recommendation: string>>, cited array<struct<case: string, rank: int, code: string>>"
-    back = reports_of(spark, sf_dir).select("stock_id", "symbol", F.from_json("report_json", kind).alias("r"))
+    back = reports_of(spark, sf_dir).select("stock_id", "symbol", "thesis_hash", F.from_json("report_json", kind).alias("r"))
     listed = lambda c, f: F.when(F.col(c).isNotNull(), F.array_join(F.transform(c, f), ","))
-    return back.select("stock_id", "symbol", "r.overall_risk", F.when(F.col("r.signals").isNotNull(), F.size("r.signals").cast("long")).alias("n_signals"), listed("r.verdicts", lambda v: F.concat_ws("=", v["horizon"], v["recommendation"])).alias("verdicts"), listed("r.cited", lambda x: F.concat(x["case"], x["rank"].cast("string"), F.lit("="), x["code"])).alias("cited"))
+    return back.select("stock_id", "symbol", "thesis_hash", "r.overall_risk", F.when(F.col("r.signals").isNotNull(), F.size("r.signals").cast("long")).alias("n_signals"), listed("r.verdicts", lambda v: F.concat_ws("=", v["horizon"], v["recommendation"])).alias("verdicts"), listed("r.cited", lambda x: F.concat(x["case"], x["rank"].cast("string"), F.lit("="), x["code"])).alias("cited"))
 
 
 @query()
@@ -505,10 +505,14 @@ def i31_number_grounding(spark, sf_dir):
     return H.grounded(texts, known, own="turn").withColumnRenamed("id", "conv_id")
 
 
-@query("SELECT doc_id, CASE WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || ' min' WHEN s < 172800 THEN CAST(s // 3600 AS VARCHAR) || ' h' ELSE CAST(s // 86400 AS VARCHAR) || ' j' END AS age, printf('%+.1f', (n_chars % 1000) / 7.0 - 50.01) AS move FROM (SELECT doc_id, n_chars, doc_id * 37 AS s FROM documents)")
+_NAMED = lambda names, k: "CASE " + k + " " + " ".join(f"WHEN {i + 1} THEN '{n}'" for i, n in enumerate(names)) + " END"
+
+
+@query(f"SELECT doc_id, CASE WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || ' min' WHEN s < 172800 THEN CAST(s // 3600 AS VARCHAR) || ' h' ELSE CAST(s // 86400 AS VARCHAR) || ' j' END AS age, printf('%+.1f', (n_chars % 1000) / 7.0 - 50.01) AS move, concat_ws(' ', {_NAMED(C.DAYS, 'isodow(d)')}, CAST(day(d) AS VARCHAR), {_NAMED(C.MONTHS, 'month(d)')}, CAST(year(d) AS VARCHAR)) AS line FROM (SELECT doc_id, n_chars, doc_id * 37 AS s, DATE '2001-11-05' - CAST(doc_id % 3000 AS INT) AS d FROM documents)")
 def i29_formats(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", C.age_label(F.col("doc_id") * 37).alias("age"), C.signed((F.col("n_chars") % 1000) / 7.0 - 50.01).alias("move"))
+    day = F.date_sub(F.to_date(now()), (F.col("doc_id") % 3000).cast("int"))
+    return d.select("doc_id", C.age_label(F.col("doc_id") * 37).alias("age"), C.signed((F.col("n_chars") % 1000) / 7.0 - 50.01).alias("move"), C.date_line(day).alias("line"))
 
 
 @query(ctes("stocks", "prices", "news") + """SELECT s.symbol, p.*, n.* FROM stocks s LEFT JOIN (SELECT stock_id AS pid, count(*) AS n_points, round(sum(k * current_price), 4) AS weighted, max(observed_at) AS newest, min(observed_at) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY observed_at DESC, seq DESC) AS k FROM prices WHERE current_price IS NOT NULL) WHERE k <= 180 GROUP BY 1) p ON p.pid = s.stock_id
@@ -537,9 +541,20 @@ def detail_of(spark, sf_dir):
     return stocks_of(spark, sf_dir).join(points, "stock_id", "left").join(notices, "stock_id", "left")
 
 
-@query(ctes("state") + "SELECT count(*) FILTER (WHERE buy >= 60) AS n_strong, count(*) FILTER (WHERE abs(daily_variation) >= 5) AS n_moves, count(*) FILTER (WHERE recommendation = 'AVOID') AS n_avoid, count(*) AS n FROM state")
+@query(ctes("state", "holdings") + f"""SELECT m.*, b.* FROM (SELECT count(*) FILTER (WHERE buy >= 60) AS n_strong, count(*) FILTER (WHERE abs(daily_variation) >= 5) AS n_moves, count(*) FILTER (WHERE recommendation = 'AVOID') AS n_avoid, count(*) AS n, count(*) FILTER (WHERE daily_variation > 0) AS n_up, count(*) FILTER (WHERE daily_variation < 0) AS n_down,
+ arg_max(symbol, struct_pack(v := daily_variation, s := symbol)) FILTER (WHERE daily_variation IS NOT NULL) AS best, arg_min(symbol, struct_pack(v := daily_variation, s := symbol)) FILTER (WHERE daily_variation IS NOT NULL) AS worst, arg_max(symbol, struct_pack(v := buy, s := symbol)) AS first_choice FROM state) m
+ CROSS JOIN (SELECT round(sum(value), 4) AS value, round(sum(net), 4) AS net, count(*) FILTER (WHERE advice = 'SELL') AS n_sell FROM ({VALUED})) b""")
 def j21_digest(spark, sf_dir):
-    return state_of(spark, sf_dir).agg(F.count_if(F.col("buy") >= 60).alias("n_strong"), F.count_if(F.abs("daily_variation") >= 5).alias("n_moves"), F.count_if(F.col("recommendation") == "AVOID").alias("n_avoid"), F.count("*").alias("n"))
+    """The day in one row: counts, best and worst mover, first choice, and what the portfolio is worth."""
+    state = stored(state_of(spark, sf_dir), "state")
+    by = lambda c: F.when(F.col(c).isNotNull(), F.struct(c, "symbol"))
+    market = state.agg(
+        F.count_if(F.col("buy") >= 60).alias("n_strong"), F.count_if(F.abs("daily_variation") >= 5).alias("n_moves"), F.count_if(F.col("recommendation") == "AVOID").alias("n_avoid"), F.count("*").alias("n"),
+        F.count_if(F.col("daily_variation") > 0).alias("n_up"), F.count_if(F.col("daily_variation") < 0).alias("n_down"),
+        F.max(by("daily_variation"))["symbol"].alias("best"), F.min(by("daily_variation"))["symbol"].alias("worst"), F.max(by("buy"))["symbol"].alias("first_choice"),
+    )
+    book = P.totals(P.value_holdings(view(spark, sf_dir, "holdings"), state)).select(F.round("value", 4).alias("value"), F.round("net", 4).alias("net"), "n_sell")
+    return market.crossJoin(F.broadcast(book))  # one row each
 
 
 @query(ctes("stocks", "news") + "SELECT kind, symbol FROM (SELECT DISTINCT 'event' AS kind, symbol FROM stocks JOIN news USING (stock_id) WHERE event_type = 'results' UNION SELECT 'negative', symbol FROM stocks JOIN news USING (stock_id) WHERE sentiment = 'negative')")

@@ -136,12 +136,14 @@ def a17_raw_cells(spark, sf_dir):
     return cells.select("seq", F.round(C.parse_number(F.coalesce(F.col("raw")["Cours"], F.col("raw")["Dernier cours"])), 2).alias("price"), F.round(C.parse_number(F.col("raw")["Volume"]), 2).alias("volume"))
 
 
-@query(ctes("stocks") + "SELECT stock_id, CASE WHEN contains(upper(sector), 'UNITED') THEN 'UNI' ELSE coalesce(nullif(regexp_extract(upper(sector), '^[A-Z]{2,5}'), ''), symbol) END AS guess FROM stocks")
+#: Aliases of names, in order.
+ALIASES = {"UNITED STATES": "USA", "UNITED": "UNI", "SAUDI": "KSA", "RUSSIA": "RUS", "CHINA": "CHN"}
+
+
+@query(ctes("stocks") + "SELECT stock_id, CASE " + " ".join(f"WHEN contains(upper(sector), '{k}') THEN '{v}'" for k, v in ALIASES.items()) + " ELSE coalesce(nullif(regexp_extract(upper(sector), '^[A-Z]{2,5}'), ''), symbol) END AS guess FROM stocks")
 def a18_symbol_guess(spark, sf_dir):
-    """An alias contained in the name, else the name's first token, else the symbol."""
     s = stocks_of(spark, sf_dir)
-    name = F.upper("sector")
-    return s.select("stock_id", F.coalesce(F.when(name.contains("UNITED"), "UNI"), F.nullif(F.regexp_extract(name, r"^[A-Z]{2,5}", 0), F.lit("")), F.col("symbol")).alias("guess"))
+    return s.select("stock_id", C.guessed_symbol(F.col("sector"), F.col("symbol"), ALIASES).alias("guess"))
 
 
 @query(ctes("fundamentals") + "SELECT seq, 'per' AS ratio, round(per, 6) AS value FROM fundamentals WHERE per IS NOT NULL UNION ALL SELECT seq, 'pbr', round(pbr, 6) FROM fundamentals WHERE pbr IS NOT NULL UNION ALL SELECT seq, 'roe_pct', round(roe_pct, 6) FROM fundamentals WHERE roe_pct IS NOT NULL")
