@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,10 +9,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and text bytes of one slice of an Arrow batch that Python code turns into objects at a time; a longer text is a slice of its own.
-SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
+from sparktide.sources.shared import fresh_path, stored
 
+__all__ = ["column", "fresh_path", "sliced", "small_batches", "stored"]
 
+#: Rows and text bytes of one slice of an Arrow batch that Python code turns into objects at a time; a longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 #: Bytes of an Arrow batch between the JVM and a Python worker that the registered queries and the pipeline ask their session for.
 BATCH_BYTES = 8 << 20
 
@@ -40,30 +40,6 @@ def sliced(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.Reco
             yield batch.slice(begin)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session without one, as in tests, gets a fresh folder."""
-    held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("sparktide.shared.dir", None)
-    if not held:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        held = tempfile.mkdtemp(prefix="sparktide-")
-        spark.conf.set("sparktide.shared.dir", held)
-        spark.sparkContext.setCheckpointDir(held)
-    return held.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used before."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and survives the loss of executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def column(df: DataFrame, name: str):
     """A column by its exact name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
