@@ -14,9 +14,9 @@ from sparktide.sources.shared import fresh_path, stored
 __all__ = ["column", "fresh_path", "sliced", "small_batches", "stored"]
 
 #: Rows and text bytes of one slice of an Arrow batch that Python code turns into objects at a time; a longer text is a slice of its own.
-SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 #: Bytes of an Arrow batch between the JVM and a Python worker that the registered queries and the pipeline ask their session for.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -38,6 +38,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.Reco
             held += size
         if begin < len(sizes):
             yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no spare memory
 
 
 def column(df: DataFrame, name: str):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,17 +148,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def _evidence(model: DocumentModel, text: Column) -> Column:
     @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        out, block, size = [], [], 0
-        for t in texts.tolist():
-            block.append(t)
-            size += len(t or "")
-            if size >= BLOCK_BYTES:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out, block, size = [], [], 0
+            for t in texts.tolist():
+                block.append(t)
+                size += len(t or "")
+                if size >= BLOCK_BYTES:
+                    out.append(model.evidence(block))
+                    block, size = [], 0
+            if block:
                 out.append(model.evidence(block))
-                block, size = [], 0
-        if block:
-            out.append(model.evidence(block))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+        pa.default_memory_pool().release_unused()
 
     return run(text)
 

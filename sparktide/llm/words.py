@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: UTF-8 bytes of one block; the arrays of a block take about 30 times as much.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _M = np.uint64(0xBF58476D1CE4E5B9)
