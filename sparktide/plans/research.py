@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktide.functions import columns as C
-from sparktide.operators.scoring import HORIZONS, components, confidence_score, decide, with_context_defaults
+from sparktide.operators.scoring import HORIZONS, components, decide, with_context_defaults
 
 #: An analyst's own weights on the shared components.
 TECHNICAL_WEIGHTS = {

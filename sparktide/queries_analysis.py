@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparktide.functions import columns as C
-from sparktide.operators import metrics as M
 from sparktide.operators import portfolio as P
 from sparktide.operators import scoring as S
 from sparktide.plans import health as H
