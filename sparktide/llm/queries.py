@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, jaccard, line_dedup, nearest, pii, quality, token_counts, url_filter
-from .common import small_batches
+from . import byte_bpe, decontaminate, html_text, jaccard, line_dedup, nearest, pii, quality, token_counts, token_files, url_filter
+from .common import fresh_path, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,8 +75,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "evidence", "host_posterior", "path_posterior", "p_good", "keep")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_documents(spark, path, with_ids=False)
+
+
 def queries() -> dict[str, Query]:
-    named = (op1_decontamination, op2_token_counts, op3_byte_bpe, op4_nearest, op5_url_filter, op6_personal_data, op7_jaccard_join, op8_html_text, op9_line_dedup, op10_quality)
+    named = (op1_decontamination, op2_token_counts, op3_byte_bpe, op4_nearest, op5_url_filter, op6_personal_data, op7_jaccard_join, op8_html_text, op9_line_dedup, op10_quality, op11_token_files)
     return {f.__name__: f for f in named}
 
 
