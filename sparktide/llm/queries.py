@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, jaccard, line_dedup, nearest, pii, quality, token_counts, token_files, url_filter
+from . import byte_bpe, decontaminate, html_text, jaccard, line_dedup, nearest, pii, quality, spelling, token_counts, token_files, url_filter
 from .common import fresh_path, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,13 +81,17 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path, with_ids=False)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    named = (op1_decontamination, op2_token_counts, op3_byte_bpe, op4_nearest, op5_url_filter, op6_personal_data, op7_jaccard_join, op8_html_text, op9_line_dedup, op10_quality, op11_token_files)
+    named = (op1_decontamination, op2_token_counts, op3_byte_bpe, op4_nearest, op5_url_filter, op6_personal_data, op7_jaccard_join, op8_html_text, op9_line_dedup, op10_quality, op11_token_files, op13_spelling_variants)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op5_url_filter": OP5_SQL, "op9_line_dedup": OP9_SQL, "op13_spelling_variants": OP13_SQL}
 
 
 _LOW_URL = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -133,3 +137,39 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN (
  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept
  FROM marked GROUP BY doc_id) m ON d.doc_id = m.doc_id"""
+
+
+#: DuckDB measures edits in bytes, so the 64 letters of two bytes become ASCII signs that no word holds.
+_OF_TWO_BYTES = "".join(map(chr, range(0xC0, 0x100)))
+_AS_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).islower() and chr(c) != "'")[:64]
+
+#: The CRC of a text by its published table, whose entries follow from the polynomial; words with a variant of one deletion in common are candidates.
+OP13_SQL = f"""
+WITH RECURSIVE crc AS MATERIALIZED (
+ SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (
+ SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+said AS (
+ SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x
+ FROM runs WHERE length(run) >= {spelling.LEAST_LETTERS} GROUP BY doc_id, run),
+summed AS (
+ SELECT run, k, xor(list_reduce(list_concat([4294967295], list_transform(range(CAST(length(x) // 2 AS BIGINT)), lambda j: CAST('0x' || substr(x, CAST(2 * j + 1 AS BIGINT), 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295) AS h FROM said, crc),
+words AS MATERIALIZED (
+ SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN h % {spelling.LOSES_ONE_IN} = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, k FROM summed)
+ WHERE length(word) >= {spelling.LEAST_LETTERS} GROUP BY word HAVING sum(k) >= {spelling.LEAST_COUNT}),
+shorter AS (
+ SELECT DISTINCT word, n, v FROM (
+  SELECT word, n, word AS v FROM words UNION ALL
+  SELECT word, n, substr(word, 1, CAST(i AS BIGINT)) || substr(word, CAST(i + 2 AS BIGINT)) FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words))),
+near AS (
+ SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b USING (v) WHERE a.word <> b.word AND levenshtein(translate(a.word, '{_OF_TWO_BYTES}', '{_AS_SIGNS}'), translate(b.word, '{_OF_TWO_BYTES}', '{_AS_SIGNS}')) = 1),
+best AS MATERIALIZED (
+ SELECT word, count(*) AS n_near, min(struct_pack(less := -other_n, form := other)) AS b, any_value(n) AS n FROM near GROUP BY word),
+forms AS MATERIALIZED (
+ SELECT word, b.form AS form, -b.less AS form_n FROM best WHERE -b.less >= {spelling.TIMES} * n),
+walk AS (
+ SELECT word, form AS reached, 1 AS k FROM forms UNION ALL SELECT w.word, f.form, k + 1 FROM walk w JOIN forms f ON w.reached = f.word)
+SELECT w.word, f.form, coalesce(r.root, w.word) AS root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n
+FROM words w LEFT JOIN best b USING (word) LEFT JOIN forms f USING (word) LEFT JOIN (SELECT word, arg_max(reached, k) AS root FROM walk GROUP BY word) r USING (word)"""
