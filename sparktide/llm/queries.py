@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, jaccard, line_dedup, nearest, pii, quality, spelling, token_counts, token_files, url_filter
+from . import byte_bpe, decontaminate, html_text, jaccard, line_dedup, nearest, phrases, pii, quality, spelling, token_counts, token_files, url_filter
 from .common import fresh_path, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,17 +81,21 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path, with_ids=False)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Query]:
-    named = (op1_decontamination, op2_token_counts, op3_byte_bpe, op4_nearest, op5_url_filter, op6_personal_data, op7_jaccard_join, op8_html_text, op9_line_dedup, op10_quality, op11_token_files, op13_spelling_variants)
+    named = (op1_decontamination, op2_token_counts, op3_byte_bpe, op4_nearest, op5_url_filter, op6_personal_data, op7_jaccard_join, op8_html_text, op9_line_dedup, op10_quality, op11_token_files, op12_collocations, op13_spelling_variants)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL, "op9_line_dedup": OP9_SQL, "op13_spelling_variants": OP13_SQL}
+    return {"op5_url_filter": OP5_SQL, "op9_line_dedup": OP9_SQL, "op12_collocations": OP12_SQL, "op13_spelling_variants": OP13_SQL}
 
 
 _LOW_URL = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -173,3 +177,32 @@ walk AS (
  SELECT word, form AS reached, 1 AS k FROM forms UNION ALL SELECT w.word, f.form, k + 1 FROM walk w JOIN forms f ON w.reached = f.word)
 SELECT w.word, f.form, coalesce(r.root, w.word) AS root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n
 FROM words w LEFT JOIN best b USING (word) LEFT JOIN forms f USING (word) LEFT JOIN (SELECT word, arg_max(reached, k) AS root FROM walk GROUP BY word) r USING (word)"""
+
+#: Counts of all phrases by lists of words; every candidate is held against all longer candidates that hold its words in a row.
+OP12_SQL = f"""
+WITH pieces AS (
+ SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+worded AS (
+ SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
+counts AS MATERIALIZED (
+ SELECT lang, size, words, count(*) AS f FROM (
+  SELECT lang, size, unnest(list_transform(range(CAST(len(w) - size + 1 AS BIGINT)), lambda i: w[CAST(i + 1 AS BIGINT):CAST(i + size AS BIGINT)])) AS words
+  FROM worded, (SELECT unnest(range(1, {phrases.MAX_WORDS + 1})) AS size) WHERE len(w) >= size)
+ GROUP BY ALL),
+totals AS (
+ SELECT lang, sum(f) AS n FROM counts WHERE size = 1 GROUP BY lang),
+frequent AS MATERIALIZED (
+ SELECT * FROM counts WHERE f >= {phrases.LEAST_COUNT}),
+inner_parts AS (
+ SELECT lang, f, size AS whole, part, i, words[i:CAST(i + part - 1 AS BIGINT)] AS words FROM frequent, (SELECT unnest(range(2, {phrases.MAX_WORDS})) AS part), (SELECT unnest(range(1, {phrases.MAX_WORDS})) AS i) WHERE part < size AND i + part - 1 <= size),
+absorbed AS (
+ SELECT DISTINCT c.lang, c.words FROM frequent c JOIN inner_parts p ON c.lang = p.lang AND c.words = p.words WHERE {phrases.ABSORBS[1]} * CAST(p.f AS HUGEINT) >= {phrases.ABSORBS[0]} * CAST(c.f AS HUGEINT)),
+cuts AS (
+ SELECT c.lang, c.words, c.f AS a, k, l.f AS l, r.f AS r, ({phrases.SCALE} * CAST(c.f AS HUGEINT)) // (l.f + r.f) AS score
+ FROM frequent c, (SELECT unnest(range(1, {phrases.MAX_WORDS})) AS k), frequent l, frequent r
+ WHERE k < c.size AND l.lang = c.lang AND r.lang = c.lang AND l.words = c.words[1:k] AND r.words = c.words[CAST(k + 1 AS BIGINT):]),
+lowest AS (
+ SELECT lang, words, any_value(a) AS a, min(struct_pack(score := score, k := k, l := l, r := r)) AS cut FROM cuts ANTI JOIN absorbed USING (lang, words) GROUP BY lang, words),
+ranked AS (
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, array_to_string(words, ' ')) AS rank, array_to_string(words, ' ') AS phrase, a, cut.l AS l, cut.r AS r, CAST(cut.score AS BIGINT) AS score FROM lowest)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {phrases.LIMIT}"""

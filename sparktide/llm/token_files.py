@@ -15,14 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import column, sliced
+from .common import column
 from .repair import SEGMENT_TOKENS, Segment, pack
-from .units import unit_codes
+from .units import groups, unit_codes
 
 #: Units whose ids a worker remembers (twice as many at most), and the bytes of a unit from which on it isn't remembered.
 REMEMBERED, LONG_UNIT = 1 << 18, 48
-#: UTF-8 bytes of texts that are encoded together.
-GROUP_BYTES = 4 << 20
 #: Words of one pattern match each, in which neither normalisation nor the table of letters depends on a version: Latin letters, or ASCII signs.
 _ONE_WORD = re.compile(r"(?:[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+|[!-/:-@\[-`{-~]+)\Z").match
 
@@ -112,19 +110,6 @@ def encode_group(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, n
     return gathered(flat, begin[order], size[order]), np.diff(ends, prepend=0)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Ids and texts of whole rows, a bounded number of bytes at a time; a longer text is alone."""
-    held, size = [], 0
-    for batch in sliced(batches, "text"):
-        held.append(batch)
-        size += batch.column("text").nbytes
-        if size >= GROUP_BYTES:
-            yield tuple(pa.concat_arrays([b.column(c) for b in held]) for c in ("id", "text"))
-            held, size = [], 0
-    if held:
-        yield tuple(pa.concat_arrays([b.column(c) for b in held]) for c in ("id", "text"))
-
-
 def _blocks(path: str, end_id: int, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, start = TaskContext.get().partitionId(), 0, 0
@@ -141,9 +126,9 @@ def _blocks(path: str, end_id: int, block_tokens: int):
             return pa.RecordBatch.from_arrays(row, names=["shard", "block", "start_in_shard", "n_ids", "doc_ids", "n_tokens", "segments"])
 
         size = 0
-        for names, texts in _groups(batches):
-            ids, n = encode_group(texts, path, end_id)
-            held_ids.append(names)
+        for batch in groups(batches, "text"):
+            ids, n = encode_group(batch.column("text"), path, end_id)
+            held_ids.append(batch.column("id"))
             held.append(ids)
             counts.append(n)
             size += len(ids)

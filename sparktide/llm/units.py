@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
+from .common import sliced
+
+#: UTF-8 bytes of texts that are looked at together.
+GROUP_BYTES = 4 << 20
+
+
+def groups(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """Whole rows, a bounded number of bytes of ``text_col`` at a time; a longer text is alone or nearly so."""
+    held, size = [], 0
+    for batch in sliced(batches, text_col):
+        held.append(batch)
+        size += batch.column(batch.schema.get_field_index(text_col)).nbytes
+        if size >= GROUP_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string array, one text after the other, and where each text begins and the last one ends; nulls are empty."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    """The UTF-8 bytes of a string or binary array, one text after the other, and where each text begins and the last one ends; nulls are empty."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0]
 
