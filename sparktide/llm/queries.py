@@ -185,24 +185,25 @@ WITH pieces AS (
 worded AS (
  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
 counts AS MATERIALIZED (
- SELECT lang, size, words, count(*) AS f FROM (
-  SELECT lang, size, unnest(list_transform(range(CAST(len(w) - size + 1 AS BIGINT)), lambda i: w[CAST(i + 1 AS BIGINT):CAST(i + size AS BIGINT)])) AS words
+ SELECT lang, size, phrase, count(*) AS f FROM (
+  SELECT lang, size, unnest(list_transform(range(CAST(len(w) - size + 1 AS BIGINT)), lambda i: array_to_string(w[CAST(i + 1 AS BIGINT):CAST(i + size AS BIGINT)], ' '))) AS phrase
   FROM worded, (SELECT unnest(range(1, {phrases.MAX_WORDS + 1})) AS size) WHERE len(w) >= size)
  GROUP BY ALL),
 totals AS (
  SELECT lang, sum(f) AS n FROM counts WHERE size = 1 GROUP BY lang),
 frequent AS MATERIALIZED (
- SELECT * FROM counts WHERE f >= {phrases.LEAST_COUNT}),
-inner_parts AS (
- SELECT lang, f, size AS whole, part, i, words[i:CAST(i + part - 1 AS BIGINT)] AS words FROM frequent, (SELECT unnest(range(2, {phrases.MAX_WORDS})) AS part), (SELECT unnest(range(1, {phrases.MAX_WORDS})) AS i) WHERE part < size AND i + part - 1 <= size),
-absorbed AS (
- SELECT DISTINCT c.lang, c.words FROM frequent c JOIN inner_parts p ON c.lang = p.lang AND c.words = p.words WHERE {phrases.ABSORBS[1]} * CAST(p.f AS HUGEINT) >= {phrases.ABSORBS[0]} * CAST(c.f AS HUGEINT)),
-cuts AS (
- SELECT c.lang, c.words, c.f AS a, k, l.f AS l, r.f AS r, ({phrases.SCALE} * CAST(c.f AS HUGEINT)) // (l.f + r.f) AS score
- FROM frequent c, (SELECT unnest(range(1, {phrases.MAX_WORDS})) AS k), frequent l, frequent r
- WHERE k < c.size AND l.lang = c.lang AND r.lang = c.lang AND l.words = c.words[1:k] AND r.words = c.words[CAST(k + 1 AS BIGINT):]),
+ SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE f >= {phrases.LEAST_COUNT}),
+inner_parts AS MATERIALIZED (
+ SELECT lang, f, array_to_string(w[i:CAST(i + part - 1 AS BIGINT)], ' ') AS phrase FROM frequent, (SELECT unnest(range(2, {phrases.MAX_WORDS})) AS part), (SELECT unnest(range(1, {phrases.MAX_WORDS})) AS i) WHERE part < size AND i + part - 1 <= size),
+absorbed AS MATERIALIZED (
+ SELECT DISTINCT c.lang, c.phrase FROM frequent c JOIN inner_parts p ON c.lang = p.lang AND c.phrase = p.phrase WHERE {phrases.ABSORBS[1]} * CAST(p.f AS HUGEINT) >= {phrases.ABSORBS[0]} * CAST(c.f AS HUGEINT)),
+parted AS MATERIALIZED (
+ SELECT lang, phrase, f, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[CAST(k + 1 AS BIGINT):], ' ') AS tail FROM frequent, (SELECT unnest(range(1, {phrases.MAX_WORDS})) AS k) WHERE k < size),
+cuts AS MATERIALIZED (
+ SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, ({phrases.SCALE} * CAST(c.f AS HUGEINT)) // (l.f + r.f) AS score
+ FROM parted c JOIN frequent l ON l.lang = c.lang AND l.phrase = c.head JOIN frequent r ON r.lang = c.lang AND r.phrase = c.tail),
 lowest AS (
- SELECT lang, words, any_value(a) AS a, min(struct_pack(score := score, k := k, l := l, r := r)) AS cut FROM cuts ANTI JOIN absorbed USING (lang, words) GROUP BY lang, words),
+ SELECT lang, phrase, any_value(a) AS a, min(struct_pack(score := score, k := k, l := l, r := r)) AS cut FROM cuts ANTI JOIN absorbed USING (lang, phrase) GROUP BY lang, phrase),
 ranked AS (
- SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, array_to_string(words, ' ')) AS rank, array_to_string(words, ' ') AS phrase, a, cut.l AS l, cut.r AS r, CAST(cut.score AS BIGINT) AS score FROM lowest)
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, phrase) AS rank, phrase, a, cut.l AS l, cut.r AS r, CAST(cut.score AS BIGINT) AS score FROM lowest)
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {phrases.LIMIT}"""
