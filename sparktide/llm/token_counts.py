@@ -58,7 +58,8 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
     """A function from texts to token counts: without begin, end or added tokens, special strings inside texts as the file's library takes them by default.
 
     ``.json`` files are read as the tokenizers library does; those of plain byte-level BPE run in tiktoken, which gives the
-    same ids several times faster. ``.tiktoken`` files hold ranks, ``.model`` files go to sentencepiece.
+    same ids several times faster, but for the texts whose blanks overflow its pattern's stack; the library counts those.
+    ``.tiktoken`` files hold ranks, ``.model`` files go to sentencepiece.
     """
     if path.endswith(".model"):
         import sentencepiece
@@ -74,14 +75,26 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
         plain = tiktoken.Encoding("counts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         return lambda texts: [len(plain.encode_ordinary(t)) for t in texts]
     fast = _as_ranks(path)
-    if fast is not None:
-        return lambda texts: [len(fast.encode(t, allowed_special="all")) for t in texts]
+    if fast is None:
+        return lambda texts: [len(x) for x in _library(path).encode_batch(texts, add_special_tokens=False)]
+
+    def count(text: str) -> int:
+        try:
+            return len(fast.encode(text, allowed_special="all"))
+        except ValueError:  # its pattern's stack is full: a run of some hundred thousand blanks or line ends
+            return len(_library(path).encode(text, add_special_tokens=False))
+
+    return lambda texts: list(map(count, texts))
+
+
+@lru_cache(maxsize=2)
+def _library(path: str):
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.no_truncation()
-    slow.no_padding()
-    return lambda texts: [len(x) for x in slow.encode_batch(texts, add_special_tokens=False)]
+    whole = Tokenizer.from_file(path)
+    whole.no_truncation()
+    whole.no_padding()
+    return whole
 
 
 def _encode_misses(path: str, version: str):

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -53,6 +54,17 @@ def test_op2_counts_as_the_library_does(spark, docs, tmp_path):
     assert spark.read.parquet(cache).count() == stored  # nothing encoded twice
 
 
+def test_op2_counts_runs_of_a_million(spark):
+    """A megabyte of one class of characters is counted as the library does, and soon."""
+    runs = [" " * 1_000_000, "\n" * 1_000_000, " \t" * 500_000, "\r\n" * 500_000, "a" + " " * 999_999 + "b", "a" * 1_000_000, "!" * 1_000_000, "7" * 1_000_000, "\u00a0" * 500_000, "a dot " * 170_000]
+    rows = [(i, t) for i, t in enumerate([*runs, "short", runs[0]])]
+    began = time.time()
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), JSON).collect()}
+    assert time.time() - began < 60
+    t = Tokenizer.from_file(JSON)
+    assert got == {i: len(t.encode(x, add_special_tokens=False)) for i, x in rows}
+
+
 def test_op3_encodes_as_the_library_does_and_round_trips(spark, docs):
     both = docs.select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text"))
     enc = reference_encoding()
