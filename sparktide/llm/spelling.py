@@ -50,15 +50,13 @@ def _part_sums(word: Column, parts: int) -> Column:
 
 
 def _signatures(words: DataFrame, parts: int) -> DataFrame:
-    """Each word with its signatures ``(kind, length, p, q, rest)``.
+    """Each word of ``(word, n, s)``, where ``s`` are its parts' hashes, with its signatures ``(kind, length, p, q, rest)``.
 
     Words of one length that differ by a replaced letter have vectors of Hamming distance two, so the letters outside some two
     parts ``p < q`` are the same: a signature for each two parts. Words whose lengths differ by one have distance one: a
     signature for each part, once as the shorter word and once as the longer one.
     """
-    sums = words.select("word", "n", F.length("word").alias("size"), _part_sums(F.col("word"), parts).alias("s"))
-    whole = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x)
-    sums = sums.withColumn("whole", whole)
+    sums = words.select("word", "n", "s", F.length("word").alias("size"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("whole"))
     sig = lambda kind, length, p, q: F.struct(F.lit(kind).alias("kind"), length.cast("int").alias("length"), F.lit(p).alias("p"), F.lit(q).alias("q"), (F.col("whole") - F.col("s")[p] - (F.col("s")[q] if q != p else 0)).alias("rest"), F.col("s")[p].alias("sp"), F.col("s")[q].alias("sq"))
     same = [sig("same", F.col("size"), p, q) for p, q in combinations(range(parts), 2)]
     other = [sig(kind, F.col("size") - int(kind == "longer"), p, p) for p in range(parts) for kind in ("shorter", "longer")]
@@ -66,7 +64,7 @@ def _signatures(words: DataFrame, parts: int) -> DataFrame:
 
 
 def near_pairs(words: DataFrame, *, parts: int = PARTS) -> DataFrame:
-    """``(word, n, near, near_n)``: all pairs of distinct words that differ by exactly one inserted, deleted or replaced code point, in both directions.
+    """``(word, n, near, near_n)`` from ``words (word, n, s)``: all pairs of distinct words that differ by exactly one inserted, deleted or replaced code point, in both directions.
 
     Signatures are joined by equality and verified by edit distance; a pair is taken at one signature only: where both parts
     left out differ, or, where a single part differs, at that part and the next one. Words with the same letters never
@@ -92,7 +90,7 @@ def variants(words: DataFrame, *, parts: int = PARTS, times: int = TIMES) -> Dat
     by joins that double their reach; since each form is ``times`` as frequent, a few rounds do, each written to the shared
     folder. Empty table: no rows. Other columns of ``words`` are left out.
     """
-    words = words.select("word", "n")
+    words = stored(words.select("word", "n", _part_sums(F.col("word"), parts).alias("s")), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form")))
     near = near_pairs(words, parts=parts).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.max("n").alias("n"), best.alias("best"))
     fits = -F.col("best.less") >= times * F.col("n")
@@ -115,4 +113,4 @@ def spelling_variants(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Null and empty texts have no words. Repeated rows count as often as they stand there. A very long run of letters is a word
     like any other. Empty table: no rows. Columns of ``docs`` other than the id and the text play no part, whatever their names.
     """
-    return variants(stored(word_counts(docs, id_col=id_col, text_col=text_col, one_in=one_in), "words"), parts=parts)
+    return variants(word_counts(docs, id_col=id_col, text_col=text_col, one_in=one_in), parts=parts)
