@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 from .common import column, sliced
 
 KINDS = ("email", "ip", "card", "phone")
-#: Regions of text that the field is fitted on at most; tokens and digits of an entity at most.
+#: Regions of text that the field is fitted on at most; tokens, digits and groups of digits of an entity that it adds at most (base spans have no bound).
 SAMPLE_REGIONS = 300
-ENTITY_TOKENS, ENTITY_DIGITS = 40, 24
+ENTITY_TOKENS, ENTITY_DIGITS, ENTITY_GROUPS = 40, 24, 8
 #: Code points of a region that goes to the fit at most; longer regions are searched like any other, but nothing is learnt from them.
 TAUGHT_REGION = 600
 #: Code points of context on either side of a digit, at sign, or spelt at or dot.
@@ -36,8 +36,13 @@ _AT, _DOT = r"(?<![^\W\d_])[aA][tT](?![^\W\d_])", r"(?<![^\W\d_])[dD][oO][tT](?!
 _DOTTED = rf"(?:\.|\s{{1,4}}\.\s{{1,4}}|\s{{0,4}}[(\[{{<]\s{{0,4}}\.{_CLOSE}|{_OPEN}{_DOT}{_CLOSE})"
 _HOSTED = rf"{_AT}(?={_CLOSE}[\w-]+{_DOTTED}\w)"
 _ANCHOR = re.compile(rf"[0-9@]+|[(\[{{<]\s*{_AT}|{_HOSTED}|{_DOT}")
-_ADDRESS = re.compile(rf"(?<![\w%+-])[\w%+-]{{1,64}}(?:{_DOTTED}[\w%+-]{{1,64}}){{0,8}}{_OPEN}(?:@|{_AT}){_CLOSE}[\w-]{{1,64}}(?:{_DOTTED}[\w-]{{1,64}}){{1,8}}(?![\w-])")
+_LABEL = re.compile(r"[\w%+-]+")
+_HOST = re.compile(r"[\w-]+\Z")
+_GAP = re.compile(r"\s{0,4}([(\[{<]?)\s{0,4}([@.]?)\s{0,4}([)\]}>]?)\s{0,4}\Z")
+#: Words that often stand before a plain at without being the name of an address.
+_BEFORE_AT = frozenset("look looked looking looks meet meets met meeting sold sell buy bought shop available work works worked working stay stayed visit visited arrive arrived read see seen find found hosted host published posted listed live lives lived start starts started end ends aim aimed us me him her them it you was is are be been were and or not here there shown page store stores site contact prices order orders".split())
 _BRACKETS = str.maketrans("[]{}<>", "()()()")
+_SPELT = re.compile(rf"{_AT}")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s|[^\w\s]|_")
 
 
@@ -134,11 +139,80 @@ def features(s: str, before: str, after: str) -> list[str]:
             out.append(f"ats={min(s.count('@') + words.count('at'), 3)}")
     if s[0] == "+":
         out.append("plus")
+    if s[0] == "0" and len(digits) >= 9:
+        out.append("zero")
+    return out
+
+
+def _links(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, bool]], list[tuple[int, int, str]]]:
+    """The labels of a text; for each the label that a dot links it to from the left, and whether that dot is spelt (-1: none); and the links by an at sign: left label, right label, how the at stands.
+
+    A link is what stands between two neighbouring labels, or a label that spells the mark with its two gaps. Each gap is read
+    once, so time is linear in the text, however its marks follow one another.
+    """
+    labels = [m.span() for m in _LABEL.finditer(text)]
+    gaps: list[tuple[bool, str, bool]] = []  # whether a mark can stand in the gap before each label, which one, whether in a bracket
+    end = 0
+    for a, b in labels:
+        m = _GAP.match(text, end, a) if a - end <= 18 else None
+        if m and m[2] == "." and a - end > 1 and not (m[1] or m[3] or text[end].isspace() and text[a - 1].isspace()):
+            m = None  # the end of a sentence
+        gaps.append((m is not None, m[2] if m else "", bool(m and (m[1] or m[3]))))
+        end = b
+    dots: list[tuple[int, bool]] = []
+    ats: list[tuple[int, int, str]] = []
+    for k, (a, b) in enumerate(labels):
+        dots.append((-1, False))
+        if not k:
+            continue
+        fits, mark, bracket = gaps[k]
+        if fits and mark == ".":
+            dots[k] = k - 1, False
+        elif fits and mark == "@":
+            ats.append((k - 1, k, "sign"))
+        if k > 1 and fits and not mark and b > a:
+            spelt = text[labels[k - 1][0] : labels[k - 1][1]]
+            before, other, bracket_before = gaps[k - 1]
+            if len(spelt) < 4 and before and not other:
+                if spelt.lower() == "dot" and dots[k][0] < 0:
+                    dots[k] = k - 2, True
+                elif spelt.lower() == "at":
+                    ats.append((k - 2, k, "bracket" if bracket or bracket_before else "bare"))
+    return labels, dots, ats
+
+
+def addresses(text: str) -> dict[int, list[tuple[int, list[str]]]]:
+    """By first code point, the ends of all spans that are written like an address, with the features of their spelling.
+
+    A name (labels linked by dots), an at, and a host of two labels at least. Each label of the name may begin one and each label
+    of the host from the second on may end one, as far as an entity reaches.
+    """
+    labels, dots, ats = _links(text)
+    after: dict[int, tuple[int, bool]] = {left: (k, spelt) for k, (left, spelt) in enumerate(dots) if left >= 0}
+    out: dict[int, list[tuple[int, list[str]]]] = {}
+    for left, right, style in ats:
+        begins, ends, k, spelt = [left], [], right, set()
+        while dots[begins[-1]][0] >= 0 and len(begins) < ENTITY_TOKENS // 2:
+            begins.append(dots[begins[-1]][0])
+        while k in after and len(ends) < ENTITY_TOKENS // 2 and _HOST.match(text, *labels[k]) and _HOST.match(text, *labels[after[k][0]]):
+            k, is_spelt = after[k]
+            spelt.add(is_spelt)
+            ends.append((k, "spelt" if spelt == {True} else "plain" if spelt == {False} else "mixed"))
+        name = text[slice(*labels[left])].lower()
+        for i, begin in enumerate(begins):
+            for j, (end, dotted) in enumerate(ends):
+                names = [f"style={style}/{dotted}", "name-whole" if i == len(begins) - 1 else "name-part", "host-whole" if j == len(ends) - 1 else "host-part"]
+                if style == "bare" and name in _BEFORE_AT and len(begins) == 1:
+                    names.append("verb-at/" + dotted)
+                out.setdefault(labels[begin][0], []).append((labels[end][1], names))
     return out
 
 
 class Lattice:
-    """Tokens of a region and its candidate segments, which are made as they are asked for and not kept."""
+    """Tokens of a region and its candidate segments, which are made as they are asked for and not kept.
+
+    Candidates are of two kinds: stretches without letters that hold seven digits or four groups of them, and what is written like an address.
+    """
 
     def __init__(self, text: str, offset: int = 0):
         self.text, self.offset = text, offset
@@ -147,8 +221,7 @@ class Lattice:
             self.begin.append(m.start())
             self.end.append(m.end())
         self.n = len(self.begin)
-        self.spelt = {m.end() for m in _ANCHOR.finditer(text) if m.group()[-1] in "tT"}
-        self.address = {m.span() for m in _ADDRESS.finditer(text)} if self.spelt or "@" in text else ()
+        self.addresses = addresses(text) if "@" in text or _SPELT.search(text) else {}
 
     def token(self, i: int) -> str:
         return self.text[self.begin[i] : self.end[i]] if 0 <= i < self.n else ""
@@ -158,30 +231,34 @@ class Lattice:
         before = ""
         for i in range(self.n):
             t = self.token(i)
-            if (t.isalnum() or t in "+(") and not (i and t.isalnum() and before.isalnum()):
-                yield from self._from(i, before)
+            if not (i and t.isalnum() and before.isalnum()):
+                if "0" <= t[0] <= "9" or t in "+(":
+                    yield from self._numeric(i, before)
+                if self.begin[i] in self.addresses:
+                    yield from self._written(i, before)
             before = t
 
-    def _from(self, i: int, before: str) -> Iterator[tuple[int, int, list[str]]]:
-        anchored = digits = 0
+    def _numeric(self, i: int, before: str) -> Iterator[tuple[int, int, list[str]]]:
+        digits = groups = 0
+        behind = self.token(i - 2) if before.isspace() else ""  # a number there may be the beginning of this one
         t = self.token(i)
+        behind = "behind=" + ("9" if behind[:1].isdigit() else "a" if behind.isalpha() else behind[:1]) + "/" + ("9" if t[0] not in "+(" else t[0])
         for j in range(i, min(i + ENTITY_TOKENS, self.n)):
             after = self.token(j + 1)
             number = "0" <= t[0] <= "9"
-            digits += len(t) if number else 0
-            if t == "\n" or digits > ENTITY_DIGITS:
+            digits, groups = digits + len(t) * number, groups + number
+            if t == "\n" or digits > ENTITY_DIGITS or groups > ENTITY_GROUPS or not number and t.isalnum():
                 return
-            anchored += len(t) if number else 9 if t == "@" or self.end[j] in self.spelt else 0
-            if anchored >= 4 and t.isalnum() and not after.isalnum() and j > i - (len(t) > 8):
-                a, b = self.begin[i], self.end[j]
-                names = features(self.text[a:b], before, after)
-                if (a, b) in self.address:
-                    names.append("address")
-                elif "word=at" in names or "word=dot" in names:
-                    names.append("no-address")
-                yield i, j + 1, names
+            if number and (digits >= 7 or digits >= 4 and groups == 4) and not after.isalnum() and j > i - (len(t) > 8):
+                yield i, j + 1, [*features(self.text[self.begin[i] : self.end[j]], before, after), behind]
             t = after
 
+    def _written(self, i: int, before: str) -> Iterator[tuple[int, int, list[str]]]:
+        for end, names in self.addresses[self.begin[i]]:
+            j = bisect_left(self.end, end, i)
+            if j < i + ENTITY_TOKENS and self.end[j] == end:
+                yield i, j + 1, [*features(self.text[self.begin[i] : end], before, self.token(j + 1)), *names]
+
     def span(self, i: int, j: int) -> tuple[int, int]:
         return self.begin[i] + self.offset, self.end[j - 1] + self.offset
 
@@ -277,15 +354,19 @@ def _respell(rng: random.Random, s: str, kind: str) -> str:
     d = _digits(s)
     if kind == "card":
         return rng.choice((".", " - ", "  ", "/")).join(d[i : i + 4] for i in range(0, len(d), 4))
-    return rng.choice(("({}) {}-{}", "({}) {} {}", "{}-{}-{}", "{}.{}.{}")).format(d[-10:-7], d[-7:-4], d[-4:])
+    return rng.choice(("({}) {}-{}", "({}) {} {}", "{}-{}-{}", "{}.{}.{}", "0{} {} {}")).format(d[-10:-7], d[-7:-4], d[-4:])
+
+
+def _generated_address(rng: random.Random) -> str:
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 9)))
+    return f"{word()}{rng.choice(('', '.' + word(), str(rng.randint(1, 99))))}@{word()}.{rng.choice(('com', 'org', 'net', 'example.com', 'fr', 'de'))}"
 
 
 def _generated(rng: random.Random) -> tuple[str, str]:
     """An entity of a random kind, so that every kind is known whatever the sample holds."""
     kind = rng.choice((*KINDS, "email", "email"))  # addresses have the most spellings
-    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 9)))
     if kind == "email":
-        return f"{word()}{rng.choice(('', '.' + word(), str(rng.randint(1, 99))))}@{word()}.{rng.choice(('com', 'org', 'net', 'example.com', 'fr', 'de'))}", kind
+        return _generated_address(rng), kind
     if kind == "ip":
         return ".".join(str(rng.randint(0, 255)) for _ in range(4)), kind
     if kind == "card":
@@ -299,16 +380,24 @@ def _taught(text: str, gold: set[tuple[int, int, str]]) -> tuple[Lattice, list,
     return lattice, list(lattice.edges()), gold
 
 
-def fit(sample: list[str], rounds: int = 4, seed: int = 7) -> Weights:
+def fit(sample: list[str], rounds: int = 5, seed: int = 7) -> Weights:
     """Weights of the field, from regions whose base spans are the truth, the same with spans respelt, and generated ones."""
     rng, data = random.Random(seed), []
-    fillers = ["the", "on", "of", "version 2.0", "in 2019", "4.0", "chapter 12", "was", "id = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"", "0x1f3a", "12 345", "3.141592", "10:45:30", "2021-03-04", "met at noon. The", "look at the end", "the dot on it", "the meeting at dot com era"]
+    fillers = ["the", "on", "of", "version 2.0", "in 2019", "4.0", "chapter 12", "was", "id = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"", "0x1f3a", "12 345", "3.141592", "10:45:30", "2021-03-04", "2021 03 04 2022", "1 2 3 4 5 6 7 8", "10 20 30 40", "met at noon. The", "look at the end", "the dot on it", "the meeting at dot com era"]
+    plain = ["look at", "met at", "sold at", "read it at", "prices at", "see us at", "available at", "works at", "hosted at"]
     texts = list(sample)
-    for _ in range(320):
+    for _ in range(640):
         s, _ = _generated(rng)
         texts.append(f"{rng.choice(fillers)} {rng.choice(fillers)} {s} {rng.choice(fillers)}")
     for _ in range(80):
         texts.append(" ".join(rng.choice(fillers) for _ in range(4)))
+    for _ in range(120):  # hosts after a plain at that are nobody's address, and names before one that are somebody's
+        name, host = _generated_address(rng).split("@")
+        if rng.random() < 0.5:
+            data.append(_taught(f"{rng.choice(fillers)} {rng.choice(plain)} {host} {rng.choice(fillers)}", set()))
+        else:
+            a = len(filler := rng.choice(fillers) + " ")
+            data.append(_taught(f"{filler}{name} at {host} {rng.choice(fillers)}", {(a, a + len(name) + 4 + len(host), "email")}))
     for text in texts:
         spans = base_spans(text)
         clean = [s for s in spans if not any(o is not s and o[0] < s[1] and s[0] < o[1] for o in spans)]

@@ -318,6 +318,41 @@ def test_op6_spares_words_at_and_dot(op6_weights):
         assert pii.all_spans(text, op6_weights, pii.base_spans(text)) == []
 
 
+PLAIN = ["Look at example.com for it.", "They met at amazon.com that day.", "It is sold at shop.example.org now.", "See us at www.example.net today.", "Available at example.com and elsewhere.", "Section 4.2 of version 2.0 says so.", "On 2021-03-04 at 10:45:30 it rained.", "It cost 1 200 000 in all.", "Chapters 1 2 3 4 5 6 are new.", "He came at noon. The dot was red.", "Of 12 345 people 678 came.", "The ratio was 3.14159265 then.", "Read it at news.example.com first.", "At last. Then more."]
+
+
+def test_op6_spares_two_hundred_plain_sentences(op6_weights):
+    """Precision: no span in sentences that hold numbers, hosts, ats and dots but nobody's data."""
+    rng, wrong = random.Random(8), []
+    for _ in range(200):
+        text = " ".join(rng.sample(PLAIN, 3))
+        wrong += [text[a:b] for a, b, _ in pii.all_spans(text, op6_weights, pii.base_spans(text))]
+    assert wrong == []
+
+
+@pytest.mark.parametrize("unit", ["a dot ", "dot ", "at ", "(", "[ ", " ", "\n", "a@", "a at b dot c ", "@", "a.", "+1 ("])
+def test_op6_takes_time_in_proportion_to_the_text(op6_weights, unit):
+    size = 100_000 if "1" in unit else 1_000_000  # each of many numbers begins several candidates
+    text = (unit * (size // len(unit) + 1))[:size] + " jane (at) mail (dot) example (dot) org"
+    began = time.time()
+    found = pii.all_spans(text, op6_weights, pii.base_spans(text))
+    assert time.time() - began < 30 and found[-1][1] == len(text)
+
+
+def test_op6_decodes_the_best_choice_of_all(op6_weights):
+    """The dynamic programme against every choice of segments that don't overlap."""
+    rng = random.Random(5)
+    parts = ["jane at mail dot com", "at", "192 . 168 . 1 . 7", "(415) 555-2671", "x", "4111.1111.1111.1111", "b (at) c.org", "12 34", "+"]
+    for _ in range(60):
+        lattice = pii.Lattice(" ".join(rng.choices(parts, k=rng.randint(1, 3))))
+        edges = [(i, j, max(sum(op6_weights.get(x, (0.0,) * 4)[k] for x in names) for k in range(4))) for i, j, names in lattice.edges()]
+        best = {lattice.n: 0.0}
+        for i in range(lattice.n - 1, -1, -1):  # the best from each token on, over every edge
+            best[i] = max([best[i + 1], *(s + best[j] for a, j, s in edges if a == i)])
+        place = {(*lattice.span(i, j),): s for i, j, s in edges}
+        assert sum(place[a, b] for a, b, _ in pii.decode(lattice, op6_weights)) == pytest.approx(best[0])
+
+
 def test_op6_long_numeric_text_in_bounded_memory(op6_weights):
     """One region of 58 000 code points: candidates are scored as they are made and not kept."""
     import tracemalloc
