@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktide.functions.columns import guarded_window, pct_distance, required_rows
+from sparktide.operators import scan
 
 #: Lengths of windows in rows and the rows they need; days of momentum.
 MEANS = {"ma20": 20, "ma50": 50, "ma200": 200}
@@ -19,25 +20,30 @@ RANGE_ROWS, RANGE_NEED, YEAR_ROWS, YEAR_NEED = 90, 20, 365, 120
 def daily_bars(prices: DataFrame) -> DataFrame:
     """One row for each (stock, day): the last value of each column that isn't null; days without a price go. Ties of a timestamp: the greatest ``seq``.
 
-    Rows are dealt by stock and day once. Both steps then stay in their task as hash aggregations over plain numbers, where
-    one step ordered by (time, seq) would have to sort.
+    Time and ``seq`` make one number, so each column's last value is a hash aggregation that the map tasks begin: what moves
+    are bars, not snapshots.
     """
     names = ("current_price", "daily_variation", "volume")
-    rows = prices.where(F.col("current_price").isNotNull() & ~F.isnan("current_price")).select("stock_id", F.to_date("observed_at").alias("day"), F.col("observed_at").cast("timestamp").alias("at"), F.col("seq").cast("long").alias("seq"), *names)
-    last = lambda c, order: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
-    at_once = rows.repartition("stock_id", "day").groupBy("stock_id", "day", "at").agg(*(last(c, "seq") for c in names))
-    bars = at_once.groupBy("stock_id", "day").agg(*(last(c, "at") for c in names))
+    rows = prices.where(F.col("current_price").isNotNull() & ~F.isnan("current_price"))
+    order = (F.unix_micros(F.col("observed_at").cast("timestamp")).cast("decimal(18,0)") * F.lit("1" + 19 * "0").cast("decimal(20,0)") + F.col("seq").cast("decimal(19,0)")).cast("decimal(38,0)")
+    rows = rows.select("stock_id", F.to_date("observed_at").alias("day"), order.alias("order"), *names)
+    bars = rows.groupBy("stock_id", "day").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("order"))).alias(c) for c in names))
     return bars.withColumnRenamed("current_price", "price").withColumn("dn", F.unix_date("day"))
 
 
-def metrics_history(bars: DataFrame) -> DataFrame:
-    """Metrics as they stood on each day of each stock: one exchange and one sort serve all windows."""
-    w = Window.partitionBy("stock_id").orderBy("dn")
-    n = F.row_number().over(w)
-    out = bars.withColumns({"n_days": n, "ret": F.col("price") / F.lag("price").over(w) - 1})
+def metrics_history(bars: DataFrame, *, chunk_rows: int = scan.CHUNK_ROWS) -> DataFrame:
+    """Metrics as they stood on each day of each stock: one exchange and one sort serve all windows.
+
+    Long series are cut into chunks that look back a year of rows, and a year of rows is more than the 90 days that momentum
+    looks back, so a chunk gives what the whole series would.
+    """
+    rows = scan.chunked(bars, "stock_id", "dn", YEAR_ROWS, chunk_rows=chunk_rows)
+    w = Window.partitionBy("stock_id", "__chunk").orderBy("dn")
+    first = F.min("__before").over(Window.partitionBy("stock_id", "__chunk"))  # rows of the series before the chunk's first row
+    out = rows.withColumns({"n_days": (first + F.row_number().over(w)).cast("int"), "ret": F.col("price") / F.lag("price").over(w) - 1})
     have, price = F.col("n_days"), F.col("price")
     anchor = lambda d: F.last("price").over(w.rangeBetween(Window.unboundedPreceding, -d))
-    return out.withColumns(
+    out = out.withColumns(
         {name: pct_distance(price, anchor(d)) for name, d in MOMENTUM.items()}
         | {name: guarded_window(F.avg("price"), w, k, have) for name, k in MEANS.items()}
         | {
@@ -48,17 +54,19 @@ def metrics_history(bars: DataFrame) -> DataFrame:
             "week52_high": guarded_window(F.max("price"), w, YEAR_ROWS, have, YEAR_NEED),
             "week52_low": guarded_window(F.min("price"), w, YEAR_ROWS, have, YEAR_NEED),
         }
-    ).drop("ret")
+    )
+    return out.where(~F.col("__halo")).drop("ret", "__halo", "__before", "__chunk")
 
 
 def latest_metrics(bars: DataFrame) -> DataFrame:
-    """Metrics of each stock's last day, by one ranking and one aggregation instead of sliding frames."""
+    """Metrics of each stock's last day, by one ranking and one aggregation over a year of its last rows, instead of sliding frames over all."""
     w = Window.partitionBy("stock_id")
-    ranked = bars.withColumns({"back": F.row_number().over(w.orderBy(F.desc("dn"))), "ret": F.col("price") / F.lag("price").over(w.orderBy("dn")) - 1, "last_dn": F.max("dn").over(w)})
+    recent = scan.tail(bars, "stock_id", "dn", YEAR_ROWS + 1)
+    ranked = recent.withColumns({"back": F.row_number().over(w.orderBy(F.desc("dn"))), "ret": F.col("price") / F.lag("price").over(w.orderBy("dn")) - 1, "last_dn": F.max("dn").over(w)})
     last = lambda c: F.max_by(c, "dn").alias(c)
     within = lambda n, c: F.when(F.col("back") <= n, F.col(c))
     got = ranked.groupBy("stock_id").agg(
-        last("day"), F.max_by("price", "dn").alias("price"), last("daily_variation"), last("volume"), F.count("*").cast("int").alias("n_days"),
+        last("day"), F.max_by("price", "dn").alias("price"), last("daily_variation"), last("volume"), F.max("__total").cast("int").alias("n_days"),
         *(F.max_by("price", F.when(F.col("dn") <= F.col("last_dn") - d, F.col("dn"))).alias(f"at_{d}") for d in MOMENTUM.values()),
         *(F.avg(within(k, "price")).alias(name) for name, k in MEANS.items()),
         F.stddev_samp(within(RETURNS, "ret")).alias("sd"), F.avg(F.nullif(within(VOLUME_ROWS, "volume"), F.lit(0.0))).alias("usual_volume"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparktide.operators.metrics import distances, latest_metrics, metrics_history, relative_strength
 from sparktide.operators.news import news_aggregate, recent_news
+from sparktide.operators.scan import last_before
 from sparktide.operators.scoring import HORIZONS, WEIGHTS, opportunity, score_all, to_horizons
 from sparktide.sources.shared import stored
 
@@ -32,18 +33,6 @@ def calendar(bars: DataFrame) -> DataFrame:
     return bars.select("dn").distinct().withColumn("idx", F.row_number().over(Window.orderBy("dn")) - 1)
 
 
-def as_of(probes: DataFrame, quotes: DataFrame, key: str, at: str, value: list[str]) -> DataFrame:
-    """The last quote at or before each probe: union, one sort by key and time, last value that isn't null.
-
-    ``probes`` and ``quotes`` both have ``key`` and ``at``; columns of ``value`` come from the quotes as one struct ``quote``.
-    """
-    q = quotes.select(key, at, F.struct(*value).alias("quote"), F.lit(0).alias("__side"))
-    p = probes.withColumns({"quote": F.lit(None).cast(q.schema["quote"].dataType), "__side": F.lit(1)})
-    w = Window.partitionBy(key).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = p.unionByName(q, allowMissingColumns=True).withColumn("quote", F.last("quote", ignorenulls=True).over(w))
-    return both.where(F.col("__side") == 1).drop("__side")
-
-
 def forward_returns(bars: DataFrame, days: DataFrame, sessions: int | dict[str, int], starts: DataFrame) -> DataFrame:
     """``ret`` from the last price at or before each start to the last at or before the day ``sessions`` later; no row where the window isn't closed.
 
@@ -55,7 +44,7 @@ def forward_returns(bars: DataFrame, days: DataFrame, sessions: int | dict[str,
     target = days.select("dn", steps.alias("s")).join(days.select(F.col("idx").alias("to"), F.col("dn").alias("target")), F.col("s.to") == F.col("to")).select("dn", "s.horizon", "target")
     ends = target.select("dn", F.struct("horizon", "target").alias("end")).groupBy("dn").agg(F.collect_list("end").alias("ends"))  # as many as horizons
     probes = starts.select("stock_id", "dn").join(ends, "dn").select("stock_id", F.col("dn").alias("start"), F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("horizon"), F.col("dn").alias("target"))), "ends")).alias("e"))
-    priced = as_of(probes.select("stock_id", "start", "e.horizon", F.col("e.target").alias("dn")), bars, "stock_id", "dn", ["price"])
+    priced = last_before(probes.select("stock_id", "start", "e.horizon", F.col("e.target").alias("dn")), bars, "stock_id", "dn", ["price"])
     price = F.col("quote.price")
     both = priced.groupBy("stock_id", "start").agg(F.max(F.when(F.col("horizon").isNull(), price)).alias("p0"), F.collect_list(F.when(F.col("horizon").isNotNull(), F.struct("horizon", price.alias("p1")))).alias("later"))
     out = both.where(F.col("p0").isNotNull() & (F.col("p0") != 0)).select("stock_id", F.col("start").alias("dn"), "p0", F.explode("later").alias("l"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparktide.operators import metrics as M
 from sparktide.operators import scoring as S
 from sparktide.plans import market
+from sparktide.sources.shared import stored
 from sparktide.sources.views import view
 from sparktide.sql_core import ctes
 
@@ -186,7 +187,7 @@ def f11_sampled_calendar(spark, sf_dir):
 
 @query(ctes("bars", "days") + "SELECT b.stock_id, b.dn, round((z.price - b.price) / b.price * 100, 6) AS ret FROM (SELECT bars.*, t.dn AS target FROM bars JOIN days d USING (dn) JOIN days t ON t.idx = d.idx + 10) b ASOF JOIN bars z ON z.stock_id = b.stock_id AND b.target >= z.dn WHERE b.price <> 0")
 def d6_forward_return(spark, sf_dir):
-    bars = bars_of(spark, sf_dir)
+    bars = stored(bars_of(spark, sf_dir), "bars")  # read as probes, as quotes and for the calendar
     return rounded(market.forward_returns(bars, market.calendar(bars), 10, bars.select("stock_id", "dn")))
 
 

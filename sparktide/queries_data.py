@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sparktide.functions import columns as C
 from sparktide.operators import news as N
+from sparktide.operators.scan import last_before
 from sparktide.operators.scoring import fundamental_score
-from sparktide.plans.market import as_of
 from sparktide.queries_core import NOW, bars_of, r, rounded, stocks_of
 from sparktide.sources import state
 from sparktide.sources.shared import fresh_path
@@ -361,7 +361,7 @@ def d7_realised_at_date(spark, sf_dir):
     """The first price at or after the evaluation date: an as-of join that looks ahead, on negated time."""
     p = view(spark, sf_dir, "predictions").select("prediction_id", "stock_id", (-F.unix_timestamp("evaluate_at")).alias("t"))
     q = view(spark, sf_dir, "prices").groupBy("stock_id", (-F.unix_timestamp("observed_at")).alias("t")).agg(F.min_by("current_price", "seq").alias("price"))
-    return rounded(as_of(p, q, "stock_id", "t", ["price"]).where("quote is not null").select("prediction_id", "quote.price"))
+    return rounded(last_before(p, q, "stock_id", "t", ["price"], cell_days=64 * 86_400).where("quote is not null").select("prediction_id", "quote.price"))
 
 
 _WORDS = "list_distinct(string_split_regex(upper(replace(text, 'ß', 'SS')), '[^A-Z0-9]+'))"
