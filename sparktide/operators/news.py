@@ -116,15 +116,20 @@ def topic_count(news: DataFrame) -> DataFrame:
 
 
 def match_symbols(titles: DataFrame, names: DataFrame) -> DataFrame:
-    """The first name (least ``ord``) of which the symbol stands as a word in a title.
+    """The first name (least ``ord``) of which the symbol stands as a word in a title, or the whole name as a part of it from a word on.
 
-    Titles are split into words, which meet symbols by an equi join; nothing is compared pairwise. A name that is several
-    words long is looked up by its first word and then tested as a substring.
+    Titles are split into words, which meet symbols and first words of names by equi joins; words carry nothing but the title's
+    id, so the work is linear in a title's length. A title whose words meet first words is fetched once, with all its candidates, and
+    tested. A name without a letter or digit is found by its symbol only. Titles of one id count as one.
     """
-    words = titles.select("title_id", F.upper("title").alias("t")).select("title_id", "t", F.explode(F.array_distinct(F.split("t", r"[^A-Z0-9]+"))).alias("w")).where(F.col("w") != "")
+    words = titles.select("title_id", F.explode(F.array_distinct(F.split(F.upper("title"), r"[^A-Z0-9]+"))).alias("w")).where(F.col("w") != "")
     keys = names.select("ord", F.upper("symbol").alias("s"), F.upper("name").alias("n"))
     by_symbol = words.join(keys, F.col("w") == F.col("s")).select("title_id", "ord")
-    by_name = words.join(keys.withColumn("head", F.element_at(F.split("n", r"[^A-Z0-9]+"), 1)), F.col("w") == F.col("head")).where(F.col("t").contains(F.col("n")) & (F.length("n") > 0)).select("title_id", "ord")
+    heads = keys.select("ord", "n", F.regexp_extract("n", "[A-Z0-9]+", 0).alias("head")).where(F.col("head") != "")
+    begun = words.join(heads, F.col("w") == F.col("head")).groupBy(F.col("title_id").alias("of")).agg(F.collect_set(F.struct("ord", "n")).alias("candidates"))
+    fetched = titles.select("title_id", F.upper("title").alias("t")).join(begun, F.col("title_id").eqNullSafe(F.col("of")))
+    first = F.array_min(F.transform(F.filter("candidates", lambda c: F.col("t").contains(c["n"])), lambda c: c["ord"]))
+    by_name = fetched.select("title_id", first.alias("ord")).where("ord is not null")
     return by_symbol.unionByName(by_name).groupBy("title_id").agg(F.min("ord").alias("ord"))
 
 

@@ -68,10 +68,11 @@ def grounded(texts: DataFrame, known: DataFrame, tolerance: float = 0.011, *, ow
     key = ["id", own] if own else ["id"]
     numbers = known.groupBy("id", "x").agg(F.min(own).alias("least"), F.max(own).alias("most")) if own else known.select("id", "x", F.lit(0).alias("least"), F.lit(0).alias("most"))
     elsewhere = ((F.col("least") != F.col(own)) | (F.col("most") != F.col(own))) if own else F.lit(True)
-    said = texts.select(*key, "text", F.explode_outer(numbers_in(F.col("text"))).alias("x")).withColumn("cell", F.floor(F.col("x") * 10))
+    some = (F.trim(F.coalesce("text", F.lit(""))) != "").alias("some")  # all that is still asked of the text
+    said = texts.select(*key, some, F.explode_outer(numbers_in(F.col("text"))).alias("x")).withColumn("cell", F.floor(F.col("x") * 10))
     near = numbers.select("id", F.col("x").alias("k"), "least", "most").withColumn("cell", F.explode(F.array_distinct(F.array(F.floor((F.col("k") - tolerance) * 10), F.floor((F.col("k") + tolerance) * 10))))).distinct()
     free = (F.col("x") == F.floor("x")) & (F.col("x") <= 100)
     met = said.join(near, ["id", "cell"], "left").withColumn("good", F.coalesce(free | ((F.abs(F.col("x") - F.col("k")) <= tolerance) & elsewhere), F.lit(False)) | F.col("x").isNull())
-    each = met.groupBy(*key, "x").agg(F.max("good").alias("good"), F.max("text").alias("text"))
-    out = each.groupBy(*key).agg(F.count("x").alias("n_numbers"), F.count_if(~F.col("good")).alias("n_ungrounded"), F.max(F.coalesce(F.trim("text"), F.lit("")) != "").alias("some"))
+    each = met.groupBy(*key, "x").agg(F.max("good").alias("good"), F.max("some").alias("some"))
+    out = each.groupBy(*key).agg(F.count("x").alias("n_numbers"), F.count_if(~F.col("good")).alias("n_ungrounded"), F.max("some").alias("some"))
     return out.select(*key, "n_numbers", "n_ungrounded", (F.col("some") & (F.col("n_ungrounded") == 0)).alias("ok"))

@@ -495,7 +495,10 @@ def i31_numbers_found(spark, sf_dir):
     return c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), (F.size(H.numbers_in(F.col("text"))) > 0).alias("has_numbers"))
 
 
-@query()
+@query("""WITH said AS (SELECT conv_id, turn, trim(coalesce(text, '')) <> '' AS filled, list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,][0-9]+)?'), lambda x: TRY_CAST(replace(x, ',', '.') AS DOUBLE)), lambda x: x IS NOT NULL)) AS xs FROM conversations),
+n AS (SELECT conv_id, turn, unnest(xs) AS x FROM said),
+bad AS (SELECT conv_id, turn, count(*) AS n FROM (SELECT DISTINCT * FROM n) a WHERE NOT (x = floor(x) AND x <= 100) AND NOT EXISTS (SELECT 1 FROM n b WHERE b.conv_id = a.conv_id AND b.turn <> a.turn AND abs(a.x - b.x) <= 0.011) GROUP BY 1, 2)
+SELECT conv_id, turn, CAST(len(xs) AS BIGINT) AS n_numbers, coalesce(n, 0) AS n_ungrounded, filled AND n IS NULL AS ok FROM said LEFT JOIN bad USING (conv_id, turn)""")
 def i31_number_grounding(spark, sf_dir):
     """Numbers of each turn against those of the other turns of its conversation."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")

@@ -31,15 +31,48 @@ def stream_of(spark, sf_dir: str, files_a_batch: int | None = None) -> DataFrame
     return out.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(spark, stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over all that is there; the sink is a folder of the shared one, overwritten by epoch so that a repeated epoch changes nothing."""
+#: Files that ``arriving`` lands, the disorder within them, and the time that the rows which end a stream lie after all others.
+FILES, DISORDER_HOURS, END_DAYS = 5, 12, 400
+
+
+def arriving(spark, sf_dir: str, files: int = FILES, late_one_in: int | None = None) -> DataFrame:
+    """The events as a stream of several files, one a micro-batch, in an order of arrival that event time doesn't follow.
+
+    A row arrives up to half a day after its time, as the hash of its id says; of ``late_one_in`` rows one comes ten days later still.
+    Two last files hold a row without a key long after all others: they move the watermark on, so that append mode gives
+    all that was open.
+    """
+    events, path = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), _scratch(spark, "arriving")
+    hours = lambda h: F.lit(h * 3_600_000_000)
+    h = F.xxhash64("event_id")
+    at = F.unix_micros("ts") + F.pmod(h, hours(DISORDER_HOURS))
+    if late_one_in:
+        at = at + F.when(F.pmod(F.shiftright(h, 8), F.lit(late_one_in)) == 0, hours(240)).otherwise(hours(0))
+    first, last, end = events.agg(F.min(at), F.max(at), F.max("ts")).first()
+    columns = events.columns
+    part = F.least(F.floor((at - F.lit(first)) * files / F.lit(max(1, last - first))), F.lit(files - 1)) if first is not None else F.lit(0)
+    for k in range(files):
+        events.where(part == k).write.mode("append").parquet(path)
+    for _ in range(2):
+        close = spark.range(1).select(*((F.lit(end).cast("timestamp") + F.expr(f"INTERVAL {END_DAYS} DAYS") if c == "ts" else F.lit(None)).cast(events.schema[c].dataType).alias(c) for c in columns))
+        close.coalesce(1).write.mode("append").parquet(path)
+    # one trigger takes what one write has brought, however many files that was
+    written = max(1, -(-len(spark.read.parquet(path).inputFiles()) // (files + 2)))
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", written).parquet(path)
+
+
+def drained(spark, stream: DataFrame, mode: str, name: str, progress: list | None = None) -> DataFrame:
+    """Run a stream over all that is there; the sink is a folder of the shared one, overwritten by epoch so that a repeated epoch changes nothing. ``progress`` gets what each batch reported."""
     path = _scratch(spark, name)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/{'all' if mode == 'complete' else f'epoch={epoch}'}")
+        batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out/all" if mode == "complete" else f"{path}/out/*")
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
+    run.awaitTermination()
+    if progress is not None:
+        progress += run.recentProgress
+    return spark.read.schema(stream.schema).parquet(f"{path}/out/*")
 
 
 @query("SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
@@ -52,12 +85,14 @@ def k1_stream_ingest(spark, sf_dir):
 
 @query("SELECT user_id, event_type, CAST(ts AS DATE) AS day, round(last(value ORDER BY ts, event_id), 6) AS value FROM events GROUP BY 1, 2, 3")
 def k2_stream_daily_bars(spark, sf_dir):
-    return rounded(drained(spark, jobs.daily_last(stream_of(spark, sf_dir)), "complete", "daily"))
+    """Days are given once, when the watermark has closed them; then their state goes."""
+    return rounded(drained(spark, jobs.daily_last(arriving(spark, sf_dir)), "append", "daily"))
 
 
 @query("SELECT user_id, count(*) AS n, CAST(sum(n) AS BIGINT) AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY 1, 2) GROUP BY 1")
 def k4_stream_sessions(spark, sf_dir):
-    out = drained(spark, jobs.sessions(stream_of(spark, sf_dir)), "complete", "sessions")
+    """Sessions are given once, when the watermark has closed them; then their state goes."""
+    out = drained(spark, jobs.sessions(arriving(spark, sf_dir)), "append", "sessions")
     return out.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("n").alias("events"))
 
 
@@ -76,21 +111,21 @@ def k5_stream_urgent_alerts(spark, sf_dir):
 
 @query("SELECT event_id, user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was, event_type AS became FROM events QUALIFY was IS NOT NULL AND was <> event_type")
 def k6_stream_opinion_changes(spark, sf_dir):
-    return drained(spark, jobs.opinion_changes(stream_of(spark, sf_dir)), "append", "changes")
+    """Changes in event order though the files come in another: rows wait for the watermark."""
+    with jobs.rocksdb_state(spark):
+        return drained(spark, jobs.opinion_changes(arriving(spark, sf_dir)), "append", "changes")
 
 
 @query("SELECT day, user_id, rank FROM (SELECT day, user_id, row_number() OVER (PARTITION BY day ORDER BY n DESC, user_id) AS rank FROM (SELECT CAST(ts AS DATE) AS day, user_id, count(*) AS n FROM events GROUP BY 1, 2)) WHERE rank <= 3")
 def k7_capped_notifications(spark, sf_dir):
-    """At most three keys a day, the busiest first, selected in foreachBatch."""
+    """At most three keys a day, the busiest first, selected in foreachBatch when the watermark closes the day."""
     from pyspark.sql import Window
 
     path = _scratch(spark, "capped")
-    events = stream_of(spark, sf_dir)
-    daily = events.groupBy(F.window("ts", "1 day"), "user_id").agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "user_id", "n")
     w = Window.partitionBy("day").orderBy(F.desc("n"), "user_id")
-    sink = jobs.capped_sink(lambda b, _: b.write.mode("overwrite").parquet(f"{path}/out"), lambda b: b.withColumn("rank", F.row_number().over(w)).where("rank <= 3").drop("n"))
-    daily.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("day", "user_id", "rank")
+    sink = jobs.capped_sink(lambda b, epoch: b.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}"), lambda b: b.withColumn("rank", F.row_number().over(w)).where("rank <= 3").drop("n"))
+    jobs.daily_counts(arriving(spark, sf_dir)).writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    return spark.read.schema("day date, user_id long, rank int").parquet(f"{path}/out/*").select("day", "user_id", "rank")
 
 
 @query("SELECT user_id, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
@@ -103,20 +138,13 @@ def k10_stream_upsert(spark, sf_dir):
 
 @query("SELECT user_id, event_type, CAST(ts AS DATE) AS day, round(last(value ORDER BY ts, event_id), 6) AS value FROM events GROUP BY 1, 2, 3")
 def k9_stream_late_rows(spark, sf_dir):
-    """Daily values when half of the rows come a stream later: live rows first, then all rows before the last ten days as a backfill. The value of a day is that of its last event time, whichever delivery brought it."""
+    """Daily values when a tenth of the rows comes ten days late: what the watermark would drop goes the batch way, and the value of a day is that of its last event time, whichever way brought it."""
     from pyspark.sql import Window
 
     path = _scratch(spark, "late")
-    events = stream_of(spark, sf_dir)
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        live, late = jobs.split_late(batch, "2024-01-20")
-        jobs.daily_latest(live).write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}/side=live")
-        jobs.daily_latest(late).write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}/side=late")
-
-    for k, part in enumerate((events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"))):
-        run = lambda b, e, k=k: write(b, 1000 * k + e)
-        part.writeStream.option("checkpointLocation", f"{path}/state-{k}").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
+    write = lambda rows, side, epoch: jobs.daily_latest(rows.where("user_id is not null")).write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}/side={side}")
+    router = jobs.late_router(path, "2 DAYS", write)
+    arriving(spark, sf_dir, late_one_in=10).writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(router).start().awaitTermination()
     held = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/epoch=*/side=*")
     w = Window.partitionBy("user_id", "event_type", "day").orderBy(F.desc("ts"), F.desc("event_id"))
     return rounded(held.withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "event_type", "day", "value"))
@@ -127,7 +155,7 @@ def k9_stream_late_rows(spark, sf_dir):
 def k3_stream_unusual_activity(spark, sf_dir):
     """Sliding hours against a static baseline: a stream-static join."""
     usual = jobs.usual_activity(table(spark, sf_dir, "events"))
-    out = drained(spark, jobs.unusual_activity(stream_of(spark, sf_dir), usual), "complete", "unusual")
+    out = drained(spark, jobs.unusual_activity(arriving(spark, sf_dir), usual), "append", "unusual")
     return rounded(out.select("user_id", "window_start", "n", "total"), 4)
 
 

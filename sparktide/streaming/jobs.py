@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sparktide.sources import state
 
@@ -39,7 +40,7 @@ def daily_latest(batch: DataFrame) -> DataFrame:
     return batch.groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(latest).select("user_id", "event_type", "day", "x.*")
 
 
-def sliding_activity(events: DataFrame, late: str = "1 hour") -> DataFrame:
+def sliding_activity(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Counts and sums of each key over one hour, every 15 minutes."""
     out = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if events.isStreaming:
@@ -58,10 +59,26 @@ def usual_activity(history: DataFrame) -> DataFrame:
     return sliding_activity(history).groupBy("user_id").agg(F.avg("total").alias("usual"))
 
 
-def split_late(batch: DataFrame, horizon: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of a micro-batch from ``horizon`` (a time) on, and those before it, which a batch path merges by event time."""
-    late = F.col("ts") < F.lit(horizon).cast("timestamp")
-    return batch.where(~late), batch.where(late)
+def late_router(path: str, delay: str, write: Callable[[DataFrame, str, int], None], at: str = "ts") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that gives ``write`` a batch's rows in two parts: ``live``, and ``late``, which a watermark of ``delay`` would drop.
+
+    The watermark of a batch is the greatest event time of the batches before it less the delay, as the engine has it. Each
+    epoch's greatest time is written under ``path``, so a restarted query and a repeated epoch find the same watermark. Rows
+    without a time are late.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        marks = f"{path}/marks"
+        batch.agg(F.max(at).alias("newest")).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{marks}/of={epoch}")
+        seen = spark.read.schema("newest timestamp, epoch long").option("basePath", marks).parquet(f"{marks}/of=*").where(F.col("epoch") < epoch)
+        mark = seen.agg((F.max("newest") - F.expr(f"INTERVAL {delay}")).alias("__mark"))  # one row
+        judged = batch.crossJoin(F.broadcast(mark))
+        late = F.coalesce(F.col(at) < F.col("__mark"), F.col(at).isNull())
+        write(judged.where(~late).drop("__mark"), "live", epoch)
+        write(judged.where(late).drop("__mark"), "late", epoch)
+
+    return run
 
 
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
@@ -81,21 +98,70 @@ def urgent(events: DataFrame, watched: DataFrame, floor: float, late: str = "1 d
     return hit.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "day"]).select("user_id", "day", "ts")
 
 
-def opinion_changes(events: DataFrame) -> DataFrame:
-    """A row whenever a key's type of event differs from its last one; the last is kept as state. Within a batch rows are taken in event time."""
+class _Opinions(StatefulProcessor):
+    """Holds a key's rows back until the watermark has passed them, then takes them in event order against the key's last type."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "event_type string")
+        self.waiting = handle.getListState("waiting", "at long, event_id long, event_type string")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        was = held.get[0] if held.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for event, became in zip(rows["event_id"], rows["event_type"]):
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [(int(t.value // 1000), int(i), e) for batch in rows for t, i, e in zip(batch["ts"], batch["event_id"], batch["event_type"])]
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(new)[0])
+        yield pd.DataFrame([], columns=["event_id", "user_id", "was", "became"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(self.waiting.get())
+        due, left = [x for x in held if x[0] <= now], [x for x in held if x[0] > now]
+        was, out = self.last.get()[0] if self.last.exists() else None, []
+        for _, event, became in due:
             if was is not None and became != was:
                 out.append((event, key[0], was, became))
             was = became
-        held.update((was,))
+        if due:
+            self.last.update((was,))
+        if left:
+            self.waiting.put(left)
+            self._wake(left[0][0])
+        else:
+            self.waiting.clear()
         yield pd.DataFrame(out, columns=["event_id", "user_id", "was", "became"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, was string, became string", "last string", "append", GroupStateTimeout.NoTimeout)
+    def _wake(self, at: int) -> None:
+        """One timer for a key's earliest waiting row; a later one that is already set finds nothing to do."""
+        self.handle.registerTimer(at // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def opinion_changes(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """A row whenever a key's type of event differs from its last one by event time, whichever micro-batches brought the two.
+
+    Rows wait in list state until the watermark passes them; an event-time timer for each key then takes them in order (ties:
+    event_id), and only the last type stays. So state holds the rows of ``late`` and one value for each key. Needs the
+    RocksDB state store: start the query within ``rocksdb_state``. Null keys, times and types: no part.
+    """
+    # one condition on the time as well, which stays above the watermark: rows without a key move it on too
+    whole = F.when(F.col("ts").isNotNull(), F.col("user_id").isNotNull() & F.col("event_type").isNotNull()).otherwise(False)
+    known = events.select("user_id", "ts", "event_id", "event_type").withWatermark("ts", late).where(whole)
+    return known.groupBy("user_id").transformWithStateInPandas(_Opinions(), "event_id long, user_id long, was string, became string", "Append", "EventTime")
+
+
+@contextmanager
+def rocksdb_state(spark) -> Iterator[None]:
+    """Queries that are started within take the RocksDB state store; the session's own setting is as before afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def opinion_changes_batch(events: DataFrame) -> DataFrame:
@@ -104,6 +170,15 @@ def opinion_changes_batch(events: DataFrame) -> DataFrame:
     return events.select("event_id", "user_id", was.alias("was"), F.col("event_type").alias("became")).where("was is not null and was <> became")
 
 
+def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """``(day, user_id, n)``; of a stream in append mode all keys of a day come in the batch that closes it."""
+    out = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if events.isStreaming:
+        out = out.withWatermark("ts", late)
+    out = out.groupBy(F.window("ts", "1 day"), "user_id").agg(F.count("*").alias("n"))
+    return out.select(F.to_date("window.start").alias("day"), "user_id", "n")
+
+
 def capped_sink(write: Callable[[DataFrame, int], None], rank: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps what ``rank`` selects of a batch and hands it on."""
     return lambda batch, epoch: write(rank(batch), epoch)
