@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparktide.operators.metrics import distances, latest_metrics, metrics_history, relative_strength
+from sparktide.operators.metrics import daily_bars, distances, latest_metrics, metrics_history, relative_strength
 from sparktide.operators.news import news_aggregate, recent_news
 from sparktide.operators.scan import last_before
 from sparktide.operators.scoring import HORIZONS, WEIGHTS, opportunity, score_all, to_horizons
 from sparktide.sources.shared import stored
+from sparktide.sources.versions import PARTS, PartedResult
 
 #: Sessions after which each horizon is measured, bands of the score, and the move that counts as a hit.
 SESSIONS_AHEAD = {"short": 10, "medium": 60, "long": 180}
@@ -19,7 +20,12 @@ HIT = 1.5
 
 def market_state(bars: DataFrame, stocks: DataFrame, news: DataFrame | None = None, now: Column | None = None, fundamentals: DataFrame | None = None) -> DataFrame:
     """One row for each stock: metrics of its last day, scores, risk, recommendation."""
-    state = relative_strength(distances(latest_metrics(bars)), stocks)
+    return state_of_metrics(distances(latest_metrics(bars)), stocks, news, now, fundamentals)
+
+
+def state_of_metrics(metrics: DataFrame, stocks: DataFrame, news: DataFrame | None = None, now: Column | None = None, fundamentals: DataFrame | None = None) -> DataFrame:
+    """The market state from metrics that are there: what is left are cross sections, notices and scores, a row for each stock."""
+    state = relative_strength(metrics, stocks)
     if news is not None:
         state = state.join(news_aggregate(recent_news(news, now), now), "stock_id", "left")
         state = state.fillna({"news_count": 0, "fresh_negative": False, "has_dividend": False, "has_results": False})
@@ -28,6 +34,11 @@ def market_state(bars: DataFrame, stocks: DataFrame, news: DataFrame | None = No
     return opportunity(score_all(state.withColumn("history_days", F.col("n_days"))))
 
 
+def kept_metrics(spark: SparkSession, path: str, parts: int = PARTS) -> PartedResult:
+    """Metrics of each stock's last day, kept under ``path`` and computed again for the parts of stocks whose prices have changed."""
+    return PartedResult(spark, path, "stock_id", lambda x: distances(latest_metrics(daily_bars(x["prices"]))), parts)
+
+
 def calendar(bars: DataFrame) -> DataFrame:
     """Distinct days with their index; the ranking without a key only sees days, never rows."""
     return bars.select("dn").distinct().withColumn("idx", F.row_number().over(Window.orderBy("dn")) - 1)

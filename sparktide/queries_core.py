@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparktide.operators import metrics as M
 from sparktide.operators import scoring as S
 from sparktide.plans import market
-from sparktide.sources.shared import stored
+from sparktide.sources.shared import fresh_path, stored
 from sparktide.sources.views import view
 from sparktide.sql_core import ctes
 
@@ -127,10 +127,25 @@ STATE_COLS = ["short_score", "medium_score", "long_score", "short_coverage", "me
 
 @query(ctes("state") + f"SELECT stock_id, symbol, sector, day, {r('price', digits=4)}, {r(*STATE_COLS, digits=2)}, round(0.65 * buy + 0.35 * (100 - avoid), 4) AS watch, recommendation FROM state")
 def j19_market_state(spark, sf_dir):
-    out = state_of(spark, sf_dir).withColumn("price", F.round("price", 4))
+    return _market_columns(state_of(spark, sf_dir))
+
+
+def _market_columns(state: DataFrame) -> DataFrame:
+    out = state.withColumn("price", F.round("price", 4))
     return rounded(out.select("stock_id", "symbol", "sector", "day", "price", *STATE_COLS, (0.65 * F.col("buy") + 0.35 * (100 - F.col("avoid"))).alias("watch"), "recommendation"), 4)
 
 
+@query(QUERIES["j19_market_state"][1])
+def j19_state_kept(spark, sf_dir):
+    """The market state from kept metrics: once without the last rows of some stocks, then brought up to date, which computes those stocks' parts again."""
+    prices, now = view(spark, sf_dir, "prices"), F.to_timestamp(F.lit(NOW))
+    kept = market.kept_metrics(spark, fresh_path(spark, "metrics"))
+    kept.refresh({"prices": prices.where("stock_id % 97 <> 5 or seq % 11 <> 3")})
+    kept.refresh({"prices": prices})
+    state = market.state_of_metrics(kept.read(), stocks_of(spark, sf_dir), view(spark, sf_dir, "news"), now)
+    return _market_columns(state)
+
+
 @query(ctes("state") + "SELECT symbol, sector, buy, risk, short_confidence, recommendation FROM state WHERE buy >= 50")
 def c4_opportunities(spark, sf_dir):
     return state_of(spark, sf_dir).where("buy >= 50").select("symbol", "sector", "buy", "risk", "short_confidence", "recommendation").orderBy(F.desc("buy"), "symbol")
