@@ -431,14 +431,84 @@ def _judged(node: Node) -> bool:
     return node.tag in BLOCK or node.bad > 0 or node.good > 0 or node.parent is None
 
 
+#: Elements of running text, which are decided together with their siblings.
+RUNNING = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 ul ol dl table figure".split())
+_KEPT = 0.1
+
+
+def _in_content(nodes: list[Node]) -> list[bool]:
+    """Whether a node stands below a content mark with no mark of furniture in between. Furniture stays furniture below itself, but for wrappers that hold much of the page."""
+    page, states = max(nodes[0].chars, 1), [0] * len(nodes)
+    for node in nodes:
+        above = states[node.parent.index] if node.parent else 0
+        if node.bad or node.tag in BAD_TAGS:
+            above = above if above < 0 or node.chars >= OWN_SHARE * page else -1
+        elif above >= 0 and (node.tag in GOOD_TAGS or node.good):
+            above = 1
+        states[node.index] = above
+    return [x > 0 for x in states]
+
+
+def _unmarked(node: Node) -> bool:
+    return not (node.hidden or node.bad or node.tag in BAD_TAGS)
+
+
+def smoothed(nodes: list[Node], score: np.ndarray) -> np.ndarray:
+    """Scores in which unmarked siblings of running text stand together, so that no paragraph of an article is lost for its place, length or links.
+
+    Below a content mark all of a parent's running text is kept if its scores, by the amount of text, sum up to more than
+    nothing; elsewhere what stands between kept siblings of its tag is. A heading in an article's own header goes with the
+    article. If nothing at all would be kept, the running text below the content mark of most text is.
+    """
+    out, inside = score.copy(), _in_content(nodes)
+
+    def keep(node: Node) -> None:
+        stack = [node]
+        while stack:
+            x = stack.pop()
+            if _unmarked(x):
+                out[x.index] = max(out[x.index], _KEPT)
+                stack += [y for y in x.items if isinstance(y, Node)]
+
+    for parent in nodes:
+        running = [x for x in parent.items if isinstance(x, Node) and x.tag in RUNNING and x.chars and _unmarked(x)]
+        if not running:
+            continue
+        if inside[parent.index]:
+            if sum(score[x.index] * (0.3 + np.log1p(x.chars)) for x in running) > 0:
+                for x in running:
+                    keep(x)
+        else:
+            for tag in {x.tag for x in running}:
+                own = [x for x in running if x.tag == tag]
+                good = [k for k, x in enumerate(own) if score[x.index] > 0]
+                for x in own[good[0] : good[-1]] if good else ():
+                    keep(x)
+    for node in nodes:  # a heading in the header of a kept article
+        if node.tag == "header" and node.parent and inside[node.parent.index] and node.headings and node.chars < OWN_SHARE * node.parent.chars:
+            for x in node.items:
+                if isinstance(x, Node) and x.tag in HEADINGS and _unmarked(x) and any(out[y.index] > 0 for y in node.parent.items if isinstance(y, Node) and y is not node):
+                    keep(x)
+                    out[node.index] = max(out[node.index], _KEPT)
+    if not any(out[x.index] > 0 and _own_text(x) for x in nodes if x.parent):
+        framed = [x for x in nodes if inside[x.index] and x.chars and (x.tag in GOOD_TAGS or x.good)]
+        if framed:
+            for x in max(framed, key=lambda x: (x.chars, -x.depth)).items:
+                if isinstance(x, Node) and x.tag in RUNNING:
+                    keep(x)
+    return out
+
+
 def decide(nodes: list[Node], score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which nodes are kept, and of which the own text is: the labelling of highest total score in which nothing inside a rejected node is kept.
 
-    From the leaves up, each node is worth its own score, by how much text of its own it has, and what its children are worth
+    Scores are smoothed over siblings first. From the leaves up, each node is worth its own score, by how much text of its own
+    it has, and what its children are worth
     where that is positive; from the root down, nodes of positive worth below kept ones are kept. So a wrapper that scores low
     survives by its prose, and no descendant contradicts its ancestors. A kept node that scores low, as wrappers do, keeps its
     children but not its own text.
     """
+    score = smoothed(nodes, score)
     worth, judged = np.zeros(len(nodes)), np.array([_judged(n) for n in nodes])
     for node in reversed(nodes):
         i = node.index

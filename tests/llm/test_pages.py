@@ -1,5 +1,8 @@
 """Main text of hand-written page layouts, none of them that of the given pages or of the teacher."""
 
+import random
+import re
+
 import pytest
 
 from sparktide.llm import html_text
@@ -74,3 +77,49 @@ def test_unseen_taught_pages(forest):
 def test_ends_without_beginnings_and_deep_nests(forest):
     pages = ["<div>" + "</b>" * 30_000 + "x", "<li>" + "<div><li>" * 3000 + "x", "<b>" * 3000 + "<p>x" * 3000]
     assert len(html_text.main_texts(pages, forest)) == 3
+
+
+def prose(rng, least, most):
+    words = ["".join(rng.choices("aeinrstlou", k=rng.randint(2, 9))) for _ in range(rng.randint(least, most))]
+    return " ".join(words).capitalize() + "."
+
+
+def test_no_paragraph_of_plain_pages_is_lost(forest):
+    """600 pages of one to eight paragraphs of any length in five frames: every paragraph stays."""
+    rng, pages, wants = random.Random(5), [], []
+    frames = (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post">', "</div>"), ('<div id="content">', "</div>"), ("<div>", "</div>"))
+    for _ in range(600):
+        a, b = rng.choice(frames)
+        parts = [prose(rng, 3, 60) for _ in range(rng.randint(1, 8))]
+        pages.append("<html><body>" + a + "".join(f"<p>{p}</p>" for p in parts) + b + "</body></html>")
+        wants.append("\n\n".join(parts))
+    assert [(g, w) for g, w in zip(html_text.main_texts(pages, forest), wants) if g != w] == []
+
+
+def test_bodies_of_all_kinds_in_all_layouts(forest):
+    """520 bodies over the layouts: title, three paragraphs of random length, of which some hold links."""
+    rng, wrong = random.Random(6), []
+    for name, layout in LAYOUTS.items():
+        for _ in range(20):
+            new = {TITLE: prose(rng, 2, 9).rstrip("."), FIRST: prose(rng, 8, 60), SECOND: prose(rng, 4, 60), THIRD: prose(rng, 4, 40)}
+            page, want = layout, []
+            for old, text in new.items():
+                linked = rng.random() < 0.2 and old != TITLE
+                page = page.replace(old, text + (' <a href="/x">seen here</a>' if linked else ""))
+                want.append(text + (" seen here" if linked else ""))
+            if html_text.main_texts([page], forest) != ["\n\n".join(want)]:
+                wrong.append((name, [len(w) for w in want]))
+    assert len(wrong) <= 5, wrong
+
+
+@pytest.mark.parametrize("frame", ["<main><h1>Reading list</h1><p>{}</p></main>", "<article><p>{}</p></article>"])
+def test_articles_of_links_are_kept(forest, frame):
+    rng = random.Random(7)
+    text = " ".join(f'{prose(rng, 4, 9)} <a href="/x">{prose(rng, 1, 3)}</a>' for _ in range(10))
+    (got,) = html_text.main_texts([frame.format(text)], forest)
+    assert got.endswith(html_text._SPACE.sub(" ", re.sub("<[^>]*>", "", text)))
+
+
+def test_a_short_title_in_the_header_of_an_article(forest):
+    page = f'<body><div class="has-sidebar page"><nav>{MENU}</nav><article><header><h1>Bridge</h1></header><p>{FIRST}</p><p>{SECOND}</p></article><div class="sidebar">{SIDE}</div></div></body>'
+    assert html_text.main_texts([page], forest) == ["\n\n".join(("Bridge", FIRST, SECOND))]
