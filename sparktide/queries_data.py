@@ -11,6 +11,7 @@ from sparktide.operators.scan import last_before
 from sparktide.operators.scoring import fundamental_score
 from sparktide.queries_core import NOW, bars_of, r, rounded, stocks_of
 from sparktide.sources import state
+from sparktide.sources.ranged import RangedTable
 from sparktide.sources.shared import fresh_path
 from sparktide.sources.views import table, view
 from sparktide.sql_core import bands, clamp, cover, ctes, mean
@@ -185,14 +186,20 @@ def b1_insert_if_absent(spark, sf_dir):
 @query(ctes("fundamentals") + "SELECT stock_id, fiscal_year, source, seq, round(per, 6) AS per FROM fundamentals QUALIFY row_number() OVER (PARTITION BY stock_id, fiscal_year, source ORDER BY seq % 2 DESC, seq DESC) = 1")
 def b2_upsert_replace(spark, sf_dir):
     f = view(spark, sf_dir, "fundamentals").select("stock_id", "fiscal_year", "source", "seq", F.col("per").cast("double").alias("per"))
-    return rounded(state.upsert_replace(f.where("seq % 2 = 0"), f.where("seq % 2 = 1"), ["stock_id", "fiscal_year", "source"], [F.desc("seq")]))
+    held = RangedTable(spark, _scratch(spark, "fundamentals"), "stock_id")
+    held.create(f.where("seq % 2 = 0"))
+    held.merge(f.where("seq % 2 = 1"), lambda old, new: state.upsert_replace(old, new, ["stock_id", "fiscal_year", "source"], [F.desc("seq")]))
+    return rounded(held.read())
 
 
 @query(ctes("stocks") + "SELECT stock_id, CASE WHEN stock_id % 2 = 0 AND stock_id % 3 <> 0 THEN 'new ' || company_name ELSE company_name END AS company_name, CASE WHEN stock_id % 2 = 0 THEN 'live' ELSE 'old' END AS source FROM stocks")
 def b3_upsert_coalesce(spark, sf_dir):
     s = stocks_of(spark, sf_dir).select("stock_id", "company_name")
     new = s.where("stock_id % 2 = 0").select("stock_id", F.when(F.col("stock_id") % 3 != 0, F.concat(F.lit("new "), "company_name")).alias("company_name"), F.lit("live").alias("source"))
-    return state.upsert_coalesce(s.withColumn("source", F.lit("old")), new, "stock_id", ["company_name"], ["source"])
+    held = RangedTable(spark, _scratch(spark, "stocks"), "stock_id")
+    held.create(s.withColumn("source", F.lit("old")))
+    held.merge(new, lambda old, new: state.upsert_coalesce(old, new, "stock_id", ["company_name"], ["source"]))
+    return held.read()
 
 
 FACTS = "SELECT stock_id, event_type AS category, sentiment AS value, collected_at FROM news WHERE stock_id IS NOT NULL AND sentiment IS NOT NULL"

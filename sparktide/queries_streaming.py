@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparktide.queries_core import rounded
 from sparktide.queries_data import _scratch
+from sparktide.sources.ranged import RangedTable, newest_of
 from sparktide.sources.views import table
 from sparktide.streaming import jobs
 
@@ -130,10 +131,13 @@ def k7_capped_notifications(spark, sf_dir):
 
 @query("SELECT user_id, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def k10_stream_upsert(spark, sf_dir):
-    """The newest event of each key, by upserts in foreachBatch: all epochs count."""
+    """The newest event of each key, by merges in foreachBatch into a table in ranges of keys: a batch rewrites the ranges that it falls into."""
     path = _scratch(spark, "upsert")
-    stream_of(spark, sf_dir, 1).select("user_id", "event_id", "value").writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(jobs.upsert_sink(f"{path}/table", ["user_id"], "event_id")).start().awaitTermination()
-    return rounded(jobs.upserted(spark, f"{path}/table", ["user_id"], "event_id"))
+    held = RangedTable(spark, f"{path}/table", "user_id")
+    newest = newest_of(["user_id"], [F.desc("event_id")])
+    merge = lambda batch, epoch: held.merge(batch.where("user_id is not null"), newest, epoch)
+    arriving(spark, sf_dir).select("user_id", "event_id", "value").writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    return rounded(held.read())
 
 
 @query("SELECT user_id, event_type, CAST(ts AS DATE) AS day, round(last(value ORDER BY ts, event_id), 6) AS value FROM events GROUP BY 1, 2, 3")
