@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparktide.functions import columns as C
 from sparktide.operators import portfolio as P
 from sparktide.operators import scoring as S
+from sparktide.plans import analysis as A
 from sparktide.plans import health as H
 from sparktide.plans import research as R
 from sparktide.plans import statements as ST
@@ -347,6 +348,41 @@ def j14_horizon_fit(spark, sf_dir):
     return state_of(spark, sf_dir).select("symbol", best.alias("best"), F.when(F.greatest(s, m, lo) - s >= 8, best).otherwise("short").alias("fit"))
 
 
+def _composed_sql() -> str:
+    def listed(h: str, test: str) -> str:
+        return "coalesce(array_to_string(list_filter([" + ", ".join(f"CASE WHEN {h}_{k} {test} THEN '{k}' END" for k in S.WEIGHTS[h]) + "], lambda x: x IS NOT NULL), ','), '')"
+
+    def one(h: str) -> str:
+        best = "CASE WHEN short_score >= medium_score AND short_score >= long_score THEN 'short' WHEN medium_score >= long_score THEN 'medium' ELSE 'long' END"
+        fit = f"CASE WHEN {best} <> '{h}' AND greatest(short_score, medium_score, long_score) - {h}_score >= {A.LEAD} THEN 'better:' || {best} ELSE 'coherent' END"
+        fit = f"CASE WHEN history_days < {A.LONG_DAYS} THEN 'history_short' ELSE {fit} END" if h == "long" else fit
+        bounds = " ".join(f"WHEN {h}_score >= {low} THEN '{name}'" for name, low in A.OUTLOOK)
+        seen = f"CASE WHEN {h}_coverage < {A.LEAST_COVERAGE} THEN 'short_of_data' {bounds} ELSE 'unfavourable' END"
+        rules = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in (("risk_high", "risk >= 65"), ("avoid_high", "avoid >= 60"), ("score_strong", f"{h}_score >= 70"), ("confidence_ok", f"{h}_confidence >= 50"), ("score_watch", f"{h}_score >= 55"), ("score_weak", f"{h}_score < 45"))) + "], lambda x: x IS NOT NULL), ',')"
+        holder = "CASE WHEN advice = 'SELL' AND net_pct >= 15 THEN 'TAKE_PROFIT' WHEN advice = 'SELL' THEN 'RISKY' WHEN risk >= 70 THEN 'RISKY' ELSE 'HOLD' END"
+        return f"SELECT stock_id, symbol, '{h}' AS horizon, {h}_score AS score, {h}_coverage AS coverage, {h}_confidence AS confidence, CASE WHEN advice IS NOT NULL THEN {holder} ELSE {decide(f'{h}_score', 'risk', f'{h}_confidence', 'avoid')} END AS recommendation, CASE WHEN advice IS NOT NULL THEN 'holder' ELSE 'market' END AS perspective, {rules} AS rules, {seen} AS outlook, {fit} AS fit, {listed(h, f'>= {A.FOR}')} AS strengths, {listed(h, f'<= {A.AGAINST}')} AS weaknesses, {listed(h, 'IS NULL')} AS missing FROM positions"
+
+    cited = """SELECT stock_id, coalesce(string_agg(code, ',' ORDER BY rank) FILTER (WHERE slot = 'strength'), '') AS bull, coalesce(string_agg(code, ',' ORDER BY rank) FILTER (WHERE slot = 'weakness'), '') AS bear FROM (
+ SELECT *, row_number() OVER (PARTITION BY stock_id, slot ORDER BY weight DESC, ord) AS rank FROM stated WHERE slot IN ('strength', 'weakness')) WHERE rank <= 6 GROUP BY 1"""
+    ends = _SCENARIOS.replace(", 2) AS p_", ", 6) AS p_")
+    return RESEARCH.rstrip() + f""", radar AS (SELECT *, risk AS overall_risk FROM state), positions AS (SELECT s.*, v.advice, v.net_pct FROM state s LEFT JOIN (SELECT stock_id, advice, net_pct FROM ({VALUED}) WHERE price IS NOT NULL) v USING (stock_id)), h AS ({" UNION ALL ".join(map(one, S.HORIZONS))})
+SELECT symbol, h.horizon, score, coverage, confidence, recommendation, perspective, rules, outlook, fit, strengths, weaknesses, missing, round(p_bull, 1) AS p_bull, round(p_bear, 1) AS p_bear, round(move, 0) AS move, coalesce(bull, '') AS bull, coalesce(bear, '') AS bear
+FROM h LEFT JOIN ({ends}) e ON e.stock_id = h.stock_id AND e.horizon = h.horizon LEFT JOIN ({cited}) c ON c.stock_id = h.stock_id"""
+
+
+@query(_composed_sql())
+def j14_composed_analysis(spark, sf_dir):
+    """The nested reports, a row for each horizon; probabilities to one digit (see scenarios)."""
+    context = context_of(spark, sf_dir)
+    held = P.value_holdings(view(spark, sf_dir, "holdings"), context).where("price is not null")
+    reports = A.compose(context, held, ST.cited(ST.statements(context)), digits=6)
+    csv = lambda c: F.array_join(c, ",").alias(c.split(".")[-1])
+    rows = reports.select("symbol", "bull", "bear", F.explode("horizons").alias("h"))
+    plain = ("horizon", "score", "coverage", "confidence", "recommendation", "perspective", "outlook", "fit")
+    ends = (F.round("h.scenario.p_bull", 1).alias("p_bull"), F.round("h.scenario.p_bear", 1).alias("p_bear"), F.round("h.scenario.move", 0).alias("move"))
+    return rows.select("symbol", *(f"h.{c}" for c in plain), *(csv(f"h.{c}") for c in ("rules", "strengths", "weaknesses", "missing")), *ends, csv("bull"), csv("bear"))
+
+
 @query(RESEARCH.rstrip() + f", radar AS ({_RADAR})\nSELECT analyst, horizon, direction, count(*) AS n FROM (SELECT 'chief' AS analyst, horizon, CASE WHEN recommendation IN ('STRONG_OPPORTUNITY', 'WATCH') THEN 'up' WHEN recommendation IN ('AVOID', 'RISKY') THEN 'down' ELSE 'flat' END AS direction FROM ({_VERDICT}) UNION ALL SELECT analyst, horizon, CASE WHEN lean >= 58 THEN 'up' WHEN lean <= 42 THEN 'down' ELSE 'flat' END FROM said WHERE confidence >= 20) GROUP BY ALL")
 def j15_i22_i24_predictions(spark, sf_dir):
     context = context_of(spark, sf_dir)
