@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparktide.functions import columns as C
 from sparktide.operators import news as N
+from sparktide.operators.intervals import overlapping, points_in
 from sparktide.operators.scan import last_before
 from sparktide.operators.scoring import fundamental_score
 from sparktide.queries_core import NOW, bars_of, r, rounded, stocks_of
@@ -371,6 +372,34 @@ def d7_realised_at_date(spark, sf_dir):
     return rounded(last_before(p, q, "stock_id", "t", ["price"], cell_days=64 * 86_400).where("quote is not null").select("prediction_id", "quote.price"))
 
 
+def _windows_of(events, kind: str, key: str, hours: str):
+    """Intervals from events of a kind on, as long in hours as ``hours`` says, in microseconds."""
+    low = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.where(F.col("event_type") == kind)
+    return rows.select("user_id", F.col("event_id").alias(key), low.alias(f"{key}_low"), (low + F.floor(F.expr(hours) * 3_600_000_000)).cast("long").alias(f"{key}_high"))
+
+
+_WINDOW = "SELECT user_id, event_id, epoch_us(ts) AS low, epoch_us(ts) + CAST(floor({hours} * 3600000000) AS BIGINT) AS high FROM events WHERE event_type = '{kind}'"
+
+
+@query(f"SELECT p.user_id, w.event_id AS window_id, count(*) AS n, min(p.event_id) AS first_event FROM (SELECT user_id, event_id, epoch_us(ts) AS at FROM events) p JOIN ({_WINDOW.format(kind='purchase', hours='value')}) w ON p.user_id = w.user_id AND p.at >= w.low AND p.at < w.high GROUP BY ALL")
+def c9_d14_events_in_windows(spark, sf_dir):
+    """The events of a key within each of its purchases' windows, whose lengths differ a thousandfold: points in intervals, on levels of length."""
+    events = table(spark, sf_dir, "events")
+    points = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    met = points_in(points, _windows_of(events, "purchase", "window_id", "value"), "at", "window_id_low", "window_id_high", key=["user_id"])
+    return met.groupBy("user_id", "window_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query(f"SELECT a.event_id AS a_id, count(*) AS n, CAST(sum(least(a.high, b.high) - greatest(a.low, b.low)) AS BIGINT) AS shared FROM ({_WINDOW.format(kind='purchase', hours='value')}) a JOIN ({_WINDOW.format(kind='view', hours='value / 7')}) b ON a.user_id = b.user_id AND a.low < b.high AND b.low < a.high GROUP BY 1")
+def d14_overlapping_windows(spark, sf_dir):
+    """Windows of purchases and of views that overlap, and for how long."""
+    events = table(spark, sf_dir, "events")
+    a, b = _windows_of(events, "purchase", "a_id", "value"), _windows_of(events, "view", "b_id", "value / 7")
+    met = overlapping(a, b, "a_id_low", "a_id_high", "b_id_low", "b_id_high", key=["user_id"])
+    return met.groupBy("a_id").agg(F.count("*").alias("n"), F.sum(F.least("a_id_high", "b_id_high") - F.greatest("a_id_low", "b_id_low")).alias("shared"))
+
+
 _WORDS = "list_distinct(string_split_regex(upper(replace(text, 'ß', 'SS')), '[^A-Z0-9]+'))"
 
 
