@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sparktide.functions import columns as C
 from sparktide.operators.scoring import HORIZONS, components, decide, with_context_defaults
+from sparktide.sources.ranged import RangedTable
+from sparktide.sources.state import upsert_replace
 
 #: An analyst's own weights on the shared components.
 TECHNICAL_WEIGHTS = {
@@ -164,17 +166,38 @@ def grade(due: DataFrame, prices: DataFrame) -> DataFrame:
     return out.withColumns({"correct": hit, "brier": (F.col("predicted_probability") - hit) * (F.col("predicted_probability") - hit)})
 
 
-def performance(outcomes: DataFrame) -> DataFrame:
-    """Record and reliability of each analyst and horizon, from gradable directional claims of the current semantics."""
+#: What a group's record consists of: counts and sums, which add up over days.
+RECORD = ("n", "hits", "n_brier", "brier_sum", "n_p", "p_sum", "both", "said_up", "was_up")
+
+
+def outcome_record(outcomes: DataFrame, *by: str) -> DataFrame:
+    """The record of each analyst and horizon, and of each ``by``: sufficient statistics of gradable directional claims of the current semantics."""
     use = outcomes.where("semantics_version = 2 and claim_kind = 'direction' and predicted_direction is not null")
     said_up, was_up = F.col("predicted_direction") == "up", F.col("realised") == "up"
-    out = use.groupBy("analyst", "horizon").agg(
-        F.count("*").alias("n"), F.sum("correct").alias("hits"), F.avg("brier").alias("brier"), F.avg("predicted_probability").alias("mean_p"),
+    return use.groupBy(*by, "analyst", "horizon").agg(
+        F.count("*").alias("n"), F.sum("correct").alias("hits"), F.count("brier").alias("n_brier"), F.sum("brier").alias("brier_sum"), F.count("predicted_probability").alias("n_p"), F.sum("predicted_probability").alias("p_sum"),
         F.count_if(said_up & was_up).alias("both"), F.count_if(said_up).alias("said_up"), F.count_if(was_up).alias("was_up"),
     )
+
+
+def performance_of(record: DataFrame) -> DataFrame:
+    """Reliability of each analyst and horizon from records of any days, which are added up."""
+    out = record.groupBy("analyst", "horizon").agg(*(F.sum(c).alias(c) for c in RECORD))
+    mean = lambda total, n: F.col(total) / F.nullif(n, F.lit(0))
     rate = F.col("hits") / F.col("n")
     multiplier = F.when(F.col("n") < LEAST_N, 1.0).otherwise(C.clamp((F.col("hits") + PRIOR_HITS) / (F.col("n") + PRIOR_N) / 0.5, LOW, HIGH))
-    return out.select("analyst", "horizon", "n", rate.alias("hit_rate"), "brier", F.abs(F.col("mean_p") - rate).alias("calibration"), (F.col("both") / F.nullif("said_up", F.lit(0))).alias("precision"), (F.col("both") / F.nullif("was_up", F.lit(0))).alias("recall"), multiplier.alias("multiplier"))
+    return out.select("analyst", "horizon", "n", rate.alias("hit_rate"), mean("brier_sum", "n_brier").alias("brier"), F.abs(mean("p_sum", "n_p") - rate).alias("calibration"), mean("both", "said_up").alias("precision"), mean("both", "was_up").alias("recall"), multiplier.alias("multiplier"))
+
+
+def performance(outcomes: DataFrame) -> DataFrame:
+    """Record and reliability of each analyst and horizon, from gradable directional claims of the current semantics."""
+    return performance_of(outcome_record(outcomes))
+
+
+def learn(records: RangedTable, outcomes: DataFrame, day: str, batch: int | None = None) -> None:
+    """Put the record of the days that ``outcomes`` are of into a table in ranges of days; outcomes of other days aren't read, and a day that comes again is replaced."""
+    new = outcome_record(outcomes.withColumn("day", F.col(day).cast("date")), "day")
+    records.merge(new, lambda old, fresh: upsert_replace(old, fresh, ["day", "analyst", "horizon"], [F.lit(0)]), batch)
 
 
 def thesis_changes(reports: DataFrame) -> DataFrame:

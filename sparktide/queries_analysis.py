@@ -14,7 +14,8 @@ from sparktide.plans import research as R
 from sparktide.plans import statements as ST
 from sparktide.queries_core import NOW, bars_of, observations_of, r, rounded, state_of, stocks_of
 from sparktide.queries_data import latest_fundamentals
-from sparktide.sources.shared import stored
+from sparktide.sources.ranged import RangedTable
+from sparktide.sources.shared import fresh_path, stored
 from sparktide.sources.views import table, view
 from sparktide.sql_core import PARTS, clamp, ctes, decide, mean
 from sparktide.streaming import jobs
@@ -425,6 +426,18 @@ def e18_j17_performance(spark, sf_dir):
     return rounded(R.performance(graded_of(spark, sf_dir)))
 
 
+@query(QUERIES["e18_j17_performance"][1])
+def e18_j17_learned_by_days(spark, sf_dir):
+    """The same from a table of daily records: all days but the last week's first, then the last week, whose outcomes alone are read."""
+    graded = stored(graded_of(spark, sf_dir), "graded")
+    newest = graded.agg(F.max("evaluate_at")).first()[0]
+    records = RangedTable(spark, fresh_path(spark, "records"), "day")
+    last = F.col("evaluate_at") > F.lit(newest) - F.expr("INTERVAL 7 DAYS")
+    R.learn(records, graded.where(~last), "evaluate_at")
+    R.learn(records, graded.where(last), "evaluate_at")
+    return rounded(R.performance_of(records.read()))
+
+
 @query(ctes("predictions", "prices") + f"SELECT CAST(sum(n) AS BIGINT) AS samples, count(*) FILTER (WHERE n >= 20) AS matured, count(*) AS groups FROM ({_PERF})")
 def e19_reliability_summary(spark, sf_dir):
     return R.performance(graded_of(spark, sf_dir)).agg(F.sum("n").alias("samples"), F.count_if(F.col("n") >= 20).alias("matured"), F.count("*").alias("groups"))
