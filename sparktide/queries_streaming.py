@@ -40,8 +40,8 @@ def arriving(spark, sf_dir: str, files: int = FILES, late_one_in: int | None = N
     """The events as a stream of several files, one a micro-batch, in an order of arrival that event time doesn't follow.
 
     A row arrives up to half a day after its time, as the hash of its id says; of ``late_one_in`` rows one comes ten days later still.
-    Two last files hold a row without a key long after all others: they move the watermark on, so that append mode gives
-    all that was open.
+    Two last files hold a row without an id, of a key that no event has, long after all others: they move the watermark on, so
+    that append mode gives all that was open. (A null key would be filtered out below the watermark by a later join on it.)
     """
     events, path = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), _scratch(spark, "arriving")
     hours = lambda h: F.lit(h * 3_600_000_000)
@@ -55,7 +55,8 @@ def arriving(spark, sf_dir: str, files: int = FILES, late_one_in: int | None = N
     for k in range(files):
         events.where(part == k).write.mode("append").parquet(path)
     for _ in range(2):
-        close = spark.range(1).select(*((F.lit(end).cast("timestamp") + F.expr(f"INTERVAL {END_DAYS} DAYS") if c == "ts" else F.lit(None)).cast(events.schema[c].dataType).alias(c) for c in columns))
+        ends = {"ts": F.lit(end).cast("timestamp") + F.expr(f"INTERVAL {END_DAYS} DAYS"), "user_id": F.lit(-(2**63))}
+        close = spark.range(1).select(*(ends.get(c, F.lit(None)).cast(events.schema[c].dataType).alias(c) for c in columns))
         close.coalesce(1).write.mode("append").parquet(path)
     # one trigger takes what one write has brought, however many files that was
     written = max(1, -(-len(spark.read.parquet(path).inputFiles()) // (files + 2)))
@@ -135,7 +136,7 @@ def k10_stream_upsert(spark, sf_dir):
     path = _scratch(spark, "upsert")
     held = RangedTable(spark, f"{path}/table", "user_id")
     newest = newest_of(["user_id"], [F.desc("event_id")])
-    merge = lambda batch, epoch: held.merge(batch.where("user_id is not null"), newest, epoch)
+    merge = lambda batch, epoch: held.merge(batch.where("event_id is not null"), newest, epoch)
     arriving(spark, sf_dir).select("user_id", "event_id", "value").writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
     return rounded(held.read())
 
@@ -146,7 +147,7 @@ def k9_stream_late_rows(spark, sf_dir):
     from pyspark.sql import Window
 
     path = _scratch(spark, "late")
-    write = lambda rows, side, epoch: jobs.daily_latest(rows.where("user_id is not null")).write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}/side={side}")
+    write = lambda rows, side, epoch: jobs.daily_latest(rows.where("event_id is not null")).write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}/side={side}")
     router = jobs.late_router(path, "2 DAYS", write)
     arriving(spark, sf_dir, late_one_in=10).writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(router).start().awaitTermination()
     held = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/epoch=*/side=*")

@@ -70,7 +70,7 @@ def test_rows_behind_the_watermark_go_the_late_way(spark, tmp_path):
 def test_arriving_rows_are_all_rows_and_not_in_order(spark):
     stream = Q.arriving(spark, SF, files=4, late_one_in=5)
     batches = []
-    stream.writeStream.trigger(availableNow=True).foreachBatch(lambda b, e: batches.append([(r["event_id"], r["ts"]) for r in b.where("user_id is not null").collect()])).start().awaitTermination()
+    stream.writeStream.trigger(availableNow=True).foreachBatch(lambda b, e: batches.append([(r["event_id"], r["ts"]) for r in b.where("event_id is not null").collect()])).start().awaitTermination()
     every = [x for b in batches for x in b]
     assert sorted(i for i, _ in every) == [r["event_id"] for r in spark.read.parquet(f"{SF}/events.parquet").orderBy("event_id").collect()]
     assert len([b for b in batches if b]) == 4 and max(t for _, t in batches[0]) > min(t for _, t in batches[1]) + timedelta(days=5)
