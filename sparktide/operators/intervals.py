@@ -54,13 +54,15 @@ def points_in(points: DataFrame, intervals: DataFrame, at: str, low: str, high:
     return met.select(*points.columns, *(c for c in intervals.columns if c not in key))
 
 
-def overlapping(a: DataFrame, b: DataFrame, a_low: str, a_high: str, b_low: str, b_high: str, *, key: list[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
+def overlapping(a: DataFrame, b: DataFrame, a_low: str, a_high: str, b_low: str, b_high: str, *, key: list[str] = (), any_length: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every two intervals of one key, one of each side, that share more than an end.
 
     Two intervals overlap if one of them begins within the other; where both begin at once the pair is taken from the left side only. So
-    it is two joins of points, each with its own levels, and no pair is found twice. Else as ``points_in``.
+    it is two joins of points, each with its own levels, and no pair is found twice. Else as ``points_in``. With ``any_length`` each
+    side must only begin before the other ends: empty and reversed intervals then meet the ones that they lie inside.
     """
-    left, right = a.where(F.col(a_high) > F.col(a_low)), b.where(F.col(b_high) > F.col(b_low))
-    begins_in_b = points_in(left, right, a_low, b_low, b_high, key=key, hot_rows=hot_rows)
-    begins_in_a = points_in(right, left, b_low, a_low, a_high, key=key, hot_rows=hot_rows).where(F.col(b_low) > F.col(a_low))
+    proper = lambda df, low, high: df if any_length else df.where(F.col(high) > F.col(low))
+    left, right = proper(a, a_low, a_high), proper(b, b_low, b_high)
+    begins_in_b = points_in(left, right, a_low, b_low, b_high, key=key, hot_rows=hot_rows).where(F.col(b_low) < F.col(a_high))
+    begins_in_a = points_in(right, left, b_low, a_low, a_high, key=key, hot_rows=hot_rows).where((F.col(b_low) > F.col(a_low)) & (F.col(a_low) < F.col(b_high)))
     return begins_in_b.unionByName(begins_in_a)

@@ -396,7 +396,7 @@ def d14_overlapping_windows(spark, sf_dir):
     """Windows of purchases and of views that overlap, and for how long."""
     events = table(spark, sf_dir, "events")
     a, b = _windows_of(events, "purchase", "a_id", "value"), _windows_of(events, "view", "b_id", "value / 7")
-    met = overlapping(a, b, "a_id_low", "a_id_high", "b_id_low", "b_id_high", key=["user_id"])
+    met = overlapping(a, b, "a_id_low", "a_id_high", "b_id_low", "b_id_high", key=["user_id"], any_length=True)
     return met.groupBy("a_id").agg(F.count("*").alias("n"), F.sum(F.least("a_id_high", "b_id_high") - F.greatest("a_id_low", "b_id_low")).alias("shared"))
 
 

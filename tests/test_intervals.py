@@ -44,6 +44,17 @@ def test_overlapping_intervals(spark):
     assert pairs(got) == want
 
 
+def test_overlapping_intervals_of_any_length(spark):
+    """Empty and reversed ones meet those that they lie inside, as the comparison of ends says."""
+    _, a = made(spark, 4, 120)
+    _, b = made(spark, 5, 120)
+    left = a.withColumnsRenamed({"low": "a_low", "high": "a_high", "s": "p"})
+    got = intervals.overlapping(left, b, "a_low", "a_high", "low", "high", key=["k"], any_length=True)
+    known = lambda r: None not in (r["low"], r["high"])
+    want = {(x["s"], y["s"]) for x in filter(known, a.collect()) for y in filter(known, b.collect()) if x["k"] == y["k"] and x["low"] < y["high"] and y["low"] < x["high"]}
+    assert pairs(got) == want and any(p >= 0 for p, _ in want)
+
+
 def test_a_long_interval_isnt_repeated_over_short_bins(spark):
     spans = spark.range(1000).select(F.col("id").cast("double").alias("low"), (F.col("id") + 1).cast("double").alias("high")).unionByName(spark.createDataFrame([(-1e9, 1e9)], "low double, high double"))
     points = spark.range(0, 1000, 10).select((F.col("id") + 0.5).alias("at"))
