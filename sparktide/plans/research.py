@@ -200,6 +200,14 @@ def learn(records: RangedTable, outcomes: DataFrame, day: str, batch: int | None
     records.merge(new, lambda old, fresh: upsert_replace(old, fresh, ["day", "analyst", "horizon"], [F.lit(0)]), batch)
 
 
+def split_days(outcomes: DataFrame, at: str, last: int) -> tuple[DataFrame, DataFrame]:
+    """Outcomes before the ``last`` days and those of them; the cut lies between days, since a day that is learnt in two parts would be replaced by the second."""
+    day = F.to_date(at)
+    newest = outcomes.agg(F.max(day)).first()[0]
+    new = F.coalesce(day > F.date_sub(F.lit(newest).cast("date"), last), F.lit(False))
+    return outcomes.where(~new), outcomes.where(new)
+
+
 def thesis_changes(reports: DataFrame) -> DataFrame:
     """A row for each horizon on which a report's recommendation differs from the one before it."""
     w = Window.partitionBy("symbol", "horizon_focus").orderBy("report_id")

@@ -430,11 +430,9 @@ def e18_j17_performance(spark, sf_dir):
 def e18_j17_learned_by_days(spark, sf_dir):
     """The same from a table of daily records: all days but the last week's first, then the last week, whose outcomes alone are read."""
     graded = stored(graded_of(spark, sf_dir), "graded")
-    newest = graded.agg(F.max("evaluate_at")).first()[0]
     records = RangedTable(spark, fresh_path(spark, "records"), "day")
-    last = F.col("evaluate_at") > F.lit(newest) - F.expr("INTERVAL 7 DAYS")
-    R.learn(records, graded.where(~last), "evaluate_at")
-    R.learn(records, graded.where(last), "evaluate_at")
+    for part in R.split_days(graded, "evaluate_at", 7):
+        R.learn(records, part, "evaluate_at")
     return rounded(R.performance_of(records.read()))
 
 

@@ -1,9 +1,10 @@
 """Reliability from daily records that add up."""
 
 import random
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparktide.plans import research
 from sparktide.sources.ranged import RangedTable
@@ -39,3 +40,18 @@ def test_days_that_are_added_equal_all_outcomes(spark, tmp_path):
     assert got.keys() == want.keys() and len(want) == 4
     for k in want:
         assert got[k] == pytest.approx(want[k], rel=1e-12)
+
+
+def test_outcomes_are_split_between_days(spark, tmp_path):
+    """Outcomes all around the clock, the newest at noon: no day lies on both sides, so none is replaced by a part of it."""
+    at = F.timestamp_add("HOUR", F.pmod(F.xxhash64("analyst", "horizon", "realised", "brier"), F.lit(24)).cast("int"), F.col("on").cast("timestamp"))
+    all_days = outcomes(spark, range(12), 3).withColumn("at", at).where(F.col("at") <= F.lit(datetime(2024, 1, 12, 12)))
+    older, newer = research.split_days(all_days, "at", 7)
+    records = RangedTable(spark, str(tmp_path / "r"), "day")
+    research.learn(records, older, "at")
+    research.learn(records, newer, "at")
+    days = lambda df: {r[0] for r in df.select(F.to_date("at")).distinct().collect()}
+    assert len(days(newer)) == 7 and not days(older) & days(newer)
+    got, want = rows(research.performance_of(records.read())), rows(research.performance(all_days))
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-12)
