@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,12 @@ def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """``x`` to so many digits, halves to the even one, where a half is what the scaled double says: the decimal text of a double (``bround``) sees its last bits, so that 26.450000000000003, a half but for the order of its terms, would go up."""
+    scale = F.lit(float(10**digits))
+    return F.rint(x.cast("double") * scale) / scale
+
+
 def pct_distance(value: Column, anchor: Column) -> Column:
     """Percentage by which a value lies over its anchor; null without either or for an anchor of 0."""
     return (value - anchor) / F.nullif(anchor, F.lit(0.0)) * 100
@@ -40,8 +47,9 @@ def interpolate(x: Column, bands: tuple[tuple[float, float], ...]) -> Column:
 
 
 def present_mean(parts: list[tuple[Column, float]]) -> Column:
-    """Weighted mean of the parts that aren't null; null if none is."""
-    weight = sum((F.when(v.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for v, w in parts), F.lit(0.0))
+    """Weighted mean of the parts that aren't null; null if none is. Weights are added as decimals: 0.35, 0.30 and 0.15 make 0.8, of which doubles fall short."""
+    exact = lambda w: F.lit(Decimal(str(w)))
+    weight = sum((F.when(v.isNotNull(), exact(w)).otherwise(exact(0.0)) for v, w in parts), exact(0.0)).cast("double")
     total = sum((F.coalesce(v * w, F.lit(0.0)) for v, w in parts), F.lit(0.0))
     return total / F.nullif(weight, F.lit(0.0))
 
@@ -57,7 +65,7 @@ def covered_score(components: dict[str, Column], weights: dict[str, float], pena
     mean = present_mean([(components[k], w) for k, w in weights.items() if k in components])
     score = F.coalesce(F.lit(50.0) + (mean - 50) * F.least(F.lit(1.0), coverage / 0.8), F.lit(50.0))
     score = clamp(score - (penalty if penalty is not None else F.lit(0.0)))
-    return score if digits is None else F.bround(score, digits), F.bround(coverage, 2)
+    return score if digits is None else half_even(score, digits), half_even(coverage, 2)
 
 
 def lean(components: dict[str, Column], weights: dict[str, float]) -> Column:
@@ -65,7 +73,7 @@ def lean(components: dict[str, Column], weights: dict[str, float]) -> Column:
     total = sum(weights.values())
     mean = present_mean([(components[k], w) for k, w in weights.items() if k in components])
     coverage = coverage_of(components, weights) / F.lit(total)
-    return F.bround(clamp(F.coalesce(F.lit(50.0) + (mean - 50) * F.least(F.lit(1.0), coverage / 0.8), F.lit(50.0))), 1)
+    return half_even(clamp(F.coalesce(F.lit(50.0) + (mean - 50) * F.least(F.lit(1.0), coverage / 0.8), F.lit(50.0))), 1)
 
 
 def population_stdev(values: Column) -> Column:
@@ -129,7 +137,7 @@ def signal_strength(score: Column) -> Column:
 
 def claimed_probability(score: Column, confidence: Column, digits: int = 4) -> Column:
     """0.5 and more by strength and confidence, within 0.1 and 0.9."""
-    return F.bround(clamp(F.coalesce(F.lit(0.5) + signal_strength(score) * 0.25 * confidence / 100, F.lit(0.5)), 0.1, 0.9), digits)
+    return half_even(clamp(F.coalesce(F.lit(0.5) + signal_strength(score) * 0.25 * confidence / 100, F.lit(0.5)), 0.1, 0.9), digits)
 
 
 def evaluation_date(at: Column, horizon: Column) -> Column:

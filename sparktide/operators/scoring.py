@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktide.functions.columns import clamp, covered_score, interpolate, population_stdev, present_mean
+from sparktide.functions.columns import clamp, covered_score, half_even, interpolate, population_stdev, present_mean
 
 HORIZONS = ("short", "medium", "long")
 #: Weights of the components of each horizon, and days of history that give full confidence.
@@ -88,15 +88,15 @@ def risk_score() -> Column:
         F.when(F.coalesce("fresh_negative", F.lit(False)) | F.coalesce(c("avg_impact") <= -0.4, F.lit(False)), 12.0).otherwise(0.0),
         F.when(c("history_days") < 30, 10.0).otherwise(0.0),
     ]
-    return F.bround(clamp(sum(terms, F.lit(0.0))), 1)
+    return half_even(clamp(sum(terms, F.lit(0.0))), 1)
 
 
 def confidence_score(horizon: str, parts: list[Column], coverage: Column, history_days: Column) -> Column:
     """From coverage, history and agreement of the components (rounded to one digit, as they are reported)."""
-    known = F.filter(F.array(*(F.bround(p, 1) for p in parts)), lambda x: x.isNotNull())
+    known = F.filter(F.array(*(half_even(p, 1) for p in parts)), lambda x: x.isNotNull())
     agreement = F.coalesce(clamp(F.lit(20.0) - population_stdev(known) / 2.5, 0, 20), F.lit(5.0))
     total = coverage * 50 + F.least(history_days / HISTORY_DAYS[horizon], F.lit(1.0)) * 30 + agreement
-    return F.bround(clamp(F.when(coverage < 0.5, F.least(total, F.lit(35.0))).otherwise(total)), 1)
+    return half_even(clamp(F.when(coverage < 0.5, F.least(total, F.lit(35.0))).otherwise(total)), 1)
 
 
 @dataclass(frozen=True)
@@ -157,8 +157,8 @@ def score_all(df: DataFrame, weights: dict[str, dict[str, float]] = WEIGHTS) ->
 
 def opportunity(df: DataFrame) -> DataFrame:
     """buy, avoid and watch scores, recommendation and label."""
-    df = df.withColumns({"buy": F.bround("short_score", 2), "avoid": F.bround("risk", 2)})
-    df = df.withColumn("watch", F.bround(clamp(0.65 * F.col("buy") + 0.35 * (100 - F.col("avoid"))), 2))
+    df = df.withColumns({"buy": half_even(F.col("short_score"), 2), "avoid": half_even(F.col("risk"), 2)})
+    df = df.withColumn("watch", half_even(clamp(0.65 * F.col("buy") + 0.35 * (100 - F.col("avoid"))), 2))
     df = df.withColumn("recommendation", decide(F.col("buy"), F.col("risk"), F.col("short_confidence"), F.col("avoid")))
     return df.withColumn("label", label(F.col("recommendation"), F.col("buy")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparktide.functions.columns import half_even
 from sparktide.operators.metrics import daily_bars, distances, latest_metrics, metrics_history, relative_strength
 from sparktide.operators.news import news_aggregate, recent_news
 from sparktide.operators.scan import last_before
@@ -129,7 +130,7 @@ def backtest(bars: DataFrame, stocks: DataFrame, *, step: int = 20, min_history:
     said = to_horizons(scored, "stock_id", "symbol", "sector", "dn", "history_days").where(F.col("horizon").isin(*horizons))
     out = said.join(sampled_returns(bars, days, ahead, step), ["stock_id", "dn", "horizon"]).join(benchmark_returns(bars, days, ahead), ["dn", "horizon"], "left")
     bench = F.coalesce("bench", F.lit(0.0))
-    return out.withColumns({"forward": F.bround("ret", 4), "benchmark": F.bround(bench, 4), "excess": F.bround(F.col("ret") - bench, 4)}).drop("ret", "bench")
+    return out.withColumns({"forward": half_even(F.col("ret"), 4), "benchmark": half_even(bench, 4), "excess": half_even(F.col("ret") - bench, 4)}).drop("ret", "bench")
 
 
 def band(score: Column) -> Column:
@@ -194,6 +195,6 @@ def ablation(bars: DataFrame, stocks: DataFrame, *, horizon: str = "medium", ste
         variants.append(F.struct(F.lit(left_out or "reference").alias("variant"), score.alias("score")))
     each = scored.select("stock_id", "dn", F.explode(F.array(*variants)).alias("v")).select("stock_id", "dn", "v.*")
     rets = sampled_returns(bars, days, {horizon: SESSIONS_AHEAD[horizon]}, step).drop("horizon")
-    obs = each.join(rets, ["stock_id", "dn"]).withColumns({"forward": F.bround("ret", 4), "excess": F.bround("ret", 4), "horizon": F.lit(horizon)})
+    obs = each.join(rets, ["stock_id", "dn"]).withColumns({"forward": half_even(F.col("ret"), 4), "excess": half_even(F.col("ret"), 4), "horizon": F.lit(horizon)})
     means = obs.groupBy("variant").agg(F.count("*").alias("n"), F.round(F.avg(F.col("forward") - fee_rate * 200), 4).alias("mean"))
     return means.join(spread(obs, fee_rate, "variant").select("variant", "spread", "top_mean", "separated"), "variant", "left")

@@ -56,17 +56,17 @@ def signals(context: DataFrame) -> DataFrame:
     med_cover = C.coverage_of(parts["medium"], TECHNICAL_WEIGHTS["medium"])
     rel5 = C.clamp(50 + (c("momentum_5d") - c("market_5d")) * 3)
     rel30, sector = C.clamp(50 + c("relative_performance_30d") * 2.5), C.clamp(50 + c("sector_strength") * 2.5)
-    structure_conf = F.bround(C.clamp(_present(rel5, rel30, sector) / 3 * 55 + F.least(days / 60, F.lit(1.0)) * 30 + 5), 1)
+    structure_conf = C.half_even(C.clamp(_present(rel5, rel30, sector) / 3 * 55 + F.least(days / 60, F.lit(1.0)) * 30 + 5), 1)
     mood = F.when(c("news_count") > 0, C.clamp(50 + F.coalesce("avg_impact", F.lit(0.0)) * 35))
-    news_conf = F.when(c("news_count") > 0, F.bround(C.clamp(35 + 8 * F.least(c("news_count"), F.lit(6)) + F.when(c("avg_impact").isNotNull(), 10).otherwise(0)), 1)).otherwise(15.0)
+    news_conf = F.when(c("news_count") > 0, C.half_even(C.clamp(35 + 8 * F.least(c("news_count"), F.lit(6)) + F.when(c("avg_impact").isNotNull(), 10).otherwise(0)), 1)).otherwise(15.0)
     history = C.clamp(50 + c("avg_fwd") * 4)
     history_conf = F.when(c("n_bars") < EVENT_DAYS, c("n_bars") / 20.0 * 20).when(c("n_events") > 0, 20 + C.clamp(c("n_events") * 12.0, 0, 60)).otherwise(F.least(F.lit(40.0), days / 90 * 40))
     own = {"valorisation": C.clamp(50 - (c("per") - 15) * 3), "rentabilite": C.clamp(50 + (c("roe_pct") - 10) * 2.5), "rendement": C.clamp(25 + c("dividend_yield_pct") * 10), "actif_net": C.clamp(85 - (c("pbr") - 1) * 15)}
-    value, value_conf = C.lean(own, FUNDAMENTAL_WEIGHTS), F.bround(C.clamp(20 + 12 * _present(*own.values()) - F.when(c("per_is_derived"), 8).otherwise(0)), 1)
-    rows = [(f"technical:{h}", "technical", h, C.lean(parts[h], TECHNICAL_WEIGHTS[h]), F.bround(C.clamp(60 * med_cover + 40 * F.least(days / 90, F.lit(1.0))), 1)) for h in HORIZONS]
+    value, value_conf = C.lean(own, FUNDAMENTAL_WEIGHTS), C.half_even(C.clamp(20 + 12 * _present(*own.values()) - F.when(c("per_is_derived"), 8).otherwise(0)), 1)
+    rows = [(f"technical:{h}", "technical", h, C.lean(parts[h], TECHNICAL_WEIGHTS[h]), C.half_even(C.clamp(60 * med_cover + 40 * F.least(days / 90, F.lit(1.0))), 1)) for h in HORIZONS]
     rows += [("", "market_structure", "short", C.lean({"r": rel5}, {"r": 1.0}), structure_conf), ("", "market_structure", "medium", C.lean({"s": sector, "r": rel30}, {"s": 0.5, "r": 0.5}), structure_conf), ("", "market_structure", "long", C.lean({"s": sector}, {"s": 1.0}), structure_conf)]
-    rows += [("", "news", h, F.when(c("news_count") > 0, F.bround(mood, 1) if h != "long" else F.bround(F.when(c("has_dividend") | c("has_results"), 65.0).otherwise(0.5 * mood + 25), 1)), news_conf) for h in HORIZONS]
-    rows += [("", "history", h, F.when(c("n_events") > 0, F.bround(history if h == "short" else (history + 50) / 2, 1)), F.bround(history_conf, 1)) for h in ("short", "medium")]
+    rows += [("", "news", h, F.when(c("news_count") > 0, C.half_even(mood, 1) if h != "long" else C.half_even(F.when(c("has_dividend") | c("has_results"), 65.0).otherwise(0.5 * mood + 25), 1)), news_conf) for h in HORIZONS]
+    rows += [("", "history", h, F.when(c("n_events") > 0, C.half_even(history if h == "short" else (history + 50) / 2, 1)), C.half_even(history_conf, 1)) for h in ("short", "medium")]
     rows += [("", "fundamental", h, F.when(_present(*own.values()) > 0, value), value_conf) for h in ("medium", "long")]
     each = F.array(*(F.struct(F.lit(a).alias("analyst"), F.lit(h).alias("horizon"), x.cast("double").alias("lean"), k.cast("double").alias("confidence")) for _, a, h, x, k in rows))
     return ctx.select("stock_id", F.explode(each).alias("s")).select("stock_id", "s.*").where("lean is not null")
@@ -79,7 +79,7 @@ def debate(said: DataFrame, reliability: DataFrame | None = None) -> DataFrame:
         heard = heard.join(reliability, ["analyst", "horizon"], "left")
     else:
         heard = heard.withColumn("multiplier", F.lit(1.0))
-    heard = heard.withColumn("weight", F.bround(F.abs(F.col("lean") - 50) / 50 * F.col("confidence") / 100 * F.coalesce("multiplier", F.lit(1.0)), 4))
+    heard = heard.withColumn("weight", C.half_even(F.abs(F.col("lean") - 50) / 50 * F.col("confidence") / 100 * F.coalesce("multiplier", F.lit(1.0)), 4))
     side = lambda name, cond: heard.where(cond).select("stock_id", "horizon", F.col("analyst").alias(name), F.col("weight").alias(f"{name}_weight"))
     pairs = side("bull", F.col("lean") >= BULL).join(side("bear", F.col("lean") <= BEAR), ["stock_id", "horizon"])  # at most a handful of analysts a side
     most, gap = F.greatest("bull_weight", "bear_weight"), F.abs(F.col("bull_weight") - F.col("bear_weight"))
@@ -104,21 +104,21 @@ def risk_radar(ctx: DataFrame) -> DataFrame:
     ctx = with_context_defaults(ctx)
     c = F.col
     dims = {
-        "technique": F.bround(C.clamp(c("risk")), 1),
-        "historique": F.bround(C.clamp(100 - c("history_days") * 1.1, 10, 90), 1),
-        "valorisation": F.bround(C.clamp((c("per") - 15) * 3), 1),
+        "technique": C.half_even(C.clamp(c("risk")), 1),
+        "historique": C.half_even(C.clamp(100 - c("history_days") * 1.1, 10, 90), 1),
+        "valorisation": C.half_even(C.clamp((c("per") - 15) * 3), 1),
         "evenementiel": F.when(c("news_count") == 0, 40.0).when(c("fresh_negative") | (F.coalesce("avg_impact", F.lit(0.0)) <= -0.3), 70.0).otherwise(30.0),
         "liquidite": F.when(c("volume").isNull(), 60.0).when(c("volume_anomaly") < 0.5, 55.0).otherwise(30.0),
-        "portefeuille": F.when(c("has_book"), F.bround(C.clamp(20.0 + 20.0 * c("n_flags")), 1)),
+        "portefeuille": F.when(c("has_book"), C.half_even(C.clamp(20.0 + 20.0 * c("n_flags")), 1)),
     }
     out = ctx.withColumns({f"risk_{k}": v for k, v in dims.items()})
-    measured = sum((F.coalesce(F.bround(F.col(f"risk_{k}") * w, 2), F.lit(0.0)) for k, w in RISK_WEIGHTS.items()), F.lit(0.0))
-    coverage = F.bround(sum((F.when(F.col(f"risk_{k}").isNotNull(), w).otherwise(0.0) for k, w in RISK_WEIGHTS.items()), F.lit(0.0)), 3)
-    flags = F.bround(F.least(F.lit(FLAG_MOST), FLAG_WEIGHT * F.coalesce("flag_weight", F.lit(0.0))), 1)
+    measured = sum((F.coalesce(C.half_even(F.col(f"risk_{k}") * w, 2), F.lit(0.0)) for k, w in RISK_WEIGHTS.items()), F.lit(0.0))
+    coverage = C.half_even(sum((F.when(F.col(f"risk_{k}").isNotNull(), w).otherwise(0.0) for k, w in RISK_WEIGHTS.items()), F.lit(0.0)), 3)
+    flags = C.half_even(F.least(F.lit(FLAG_MOST), FLAG_WEIGHT * F.coalesce("flag_weight", F.lit(0.0))), 1)
     out = out.withColumns({"risk_coverage": coverage, "flag_penalty": flags, "measured": measured})
-    overall = F.bround(C.clamp(F.col("measured") + F.bround(UNKNOWN_RISK * (1.0 - F.col("risk_coverage")), 2) + F.col("flag_penalty")), 1)
+    overall = C.half_even(C.clamp(F.col("measured") + C.half_even(UNKNOWN_RISK * (1.0 - F.col("risk_coverage")), 2) + F.col("flag_penalty")), 1)
     known = _present(*(F.col(f"risk_{k}") for k in RISK_WEIGHTS))
-    return out.withColumns({"overall_risk": overall, "risk_confidence": F.bround(C.clamp(35 + known / 6 * 40 + F.least(F.col("history_days") / 90, F.lit(1.0)) * 20), 1)})
+    return out.withColumns({"overall_risk": overall, "risk_confidence": C.half_even(C.clamp(35 + known / 6 * 40 + F.least(F.col("history_days") / 90, F.lit(1.0)) * 20), 1)})
 
 
 def verdicts(radar: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def scenarios(rows: DataFrame, digits: int = 2) -> DataFrame:
     again = sum(mixed, F.lit(0.0))
     days = F.when(F.col("horizon") == "short", 10).when(F.col("horizon") == "medium", 60).otherwise(180)
     move = F.greatest(F.lit(2.0), F.coalesce("volatility_30d", F.lit(25.0)) * F.sqrt(days / 252))
-    return rows.withColumns({n: F.bround(p / again, digits) for n, p in zip(("p_bull", "p_base", "p_bear"), mixed)} | {"move": F.bround(move, max(1, digits - 1))})
+    return rows.withColumns({n: C.half_even(p / again, digits) for n, p in zip(("p_bull", "p_base", "p_bear"), mixed)} | {"move": C.half_even(move, max(1, digits - 1))})
 
 
 def predictions_from(said: DataFrame, final: DataFrame, digits: int = 4) -> DataFrame:

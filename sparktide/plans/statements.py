@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktide.functions.columns import half_even
+
 _RANGE = "week52_high > 0 AND (week52_high - week52_low) / week52_high > 0.05"
 #: By analyst, in the order in which they speak: slot, code, condition, polarity, weight, value.
 ANALYSTS: dict[str, tuple[tuple[str, str, str, str, float, str], ...]] = {
@@ -105,10 +107,10 @@ def flag_weights(said: DataFrame) -> DataFrame:
 def macro_report(context: DataFrame) -> DataFrame:
     """The macro analyst: no lean; how many indicators it used and how sure it is."""
     used = sum((F.col(c).isNotNull().cast("int") for c in ("policy_rate", "interbank_rate", "inflation", "core_inflation", "eur_rate", "usd_rate")), F.lit(0))
-    return context.select("stock_id", used.alias("n_used"), F.bround(F.when(used > 0, F.least(F.lit(100.0), 20.0 + 11.0 * used)).otherwise(0.0), 1).alias("confidence"))
+    return context.select("stock_id", used.alias("n_used"), half_even(F.when(used > 0, F.least(F.lit(100.0), 20.0 + 11.0 * used)).otherwise(0.0), 1).alias("confidence"))
 
 
 def company_report(context: DataFrame) -> DataFrame:
     """The company analyst: no lean; main holder, and confidence by how many fields of the profile are there."""
     used = sum((F.col(c).isNotNull().cast("int") for c in ("description", "ownership_size")), F.lit(0))
-    return context.select("stock_id", used.alias("n_used"), "main_holder", "top_pct", F.bround(F.when(used > 0, F.least(F.lit(100.0), 20.0 + 12.0 * used)).otherwise(0.0), 1).alias("confidence"))
+    return context.select("stock_id", used.alias("n_used"), "main_holder", "top_pct", half_even(F.when(used > 0, F.least(F.lit(100.0), 20.0 + 12.0 * used)).otherwise(0.0), 1).alias("confidence"))

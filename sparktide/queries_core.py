@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparktide.functions.columns import half_even
 from sparktide.operators import metrics as M
 from sparktide.operators import scoring as S
 from sparktide.plans import market
@@ -114,9 +115,9 @@ def e6_market_regime(spark, sf_dir):
 def market_row(latest: DataFrame) -> DataFrame:
     """Breadth, advancers, decliners, mean momentum and the regime that the rounded values give."""
     out = latest.agg(
-        F.bround(100 * F.count_if(F.col("price") > F.col("ma50")) / F.nullif(F.count("ma50"), F.lit(0)), 1).alias("breadth"),
+        half_even(100 * F.count_if(F.col("price") > F.col("ma50")) / F.nullif(F.count("ma50"), F.lit(0)), 1).alias("breadth"),
         F.count_if(F.col("daily_variation") > 0).alias("advancers"), F.count_if(F.col("daily_variation") < 0).alias("decliners"),
-        F.bround(F.avg("momentum_30d"), 2).alias("m30"), F.bround(F.avg("momentum_5d"), 2).alias("m5"), F.count("momentum_30d").alias("known"), F.count("*").alias("n"),
+        half_even(F.avg("momentum_30d"), 2).alias("m30"), half_even(F.avg("momentum_5d"), 2).alias("m5"), F.count("momentum_30d").alias("known"), F.count("*").alias("n"),
     )
     unknown = F.col("breadth").isNull() | F.col("m30").isNull() | (F.col("known") < F.greatest(F.lit(3), F.floor(F.col("n") / 5)))
     return out.withColumn("regime", F.when(unknown, "indéterminé").when((F.col("breadth") >= 60) & (F.col("m30") > 1), "haussier").when((F.col("breadth") <= 40) & (F.col("m30") < -1), "baissier").otherwise("neutre"))

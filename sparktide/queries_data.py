@@ -288,7 +288,7 @@ def b12_copy_reconciled(spark, sf_dir):
 def b13_derived_per(spark, sf_dir):
     f = view(spark, sf_dir, "fundamentals").groupBy("stock_id").agg(F.max_by(F.struct("fiscal_year", "per", "eps"), F.struct("fiscal_year", "seq")).alias("x")).select("stock_id", "x.*")
     last = bars_of(spark, sf_dir).groupBy("stock_id").agg(F.max_by("price", "dn").alias("price"))
-    return f.where("per is null and eps > 0").join(last, "stock_id").select("stock_id", "fiscal_year", F.lit("derived").alias("source"), F.bround(F.col("price") / F.col("eps"), 2).alias("per"))
+    return f.where("per is null and eps > 0").join(last, "stock_id").select("stock_id", "fiscal_year", F.lit("derived").alias("source"), C.half_even(F.col("price") / F.col("eps"), 2).alias("per"))
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT (c_acctbal < 0 AND c_mktsegment = 'BUILDING')")

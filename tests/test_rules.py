@@ -124,3 +124,13 @@ def test_symbols_match_whole_words_first_in_order(spark):
     titles = spark.createDataFrame([(1, "Avis ATW et IAM"), (2, "ATWX monte"), (3, "Maroc Telecom SA en hausse"), (4, None)], "title_id long, title string")
     names = spark.createDataFrame([(7, "IAM", "Maroc Telecom"), (9, "ATW", "Attijari")], "ord long, symbol string, name string")
     assert {tuple(r) for r in N.match_symbols(titles, names).collect()} == {(1, 7), (3, 7)}
+
+
+def test_halves_are_those_of_the_scaled_double(spark):
+    """A half that the order of terms has moved by a last bit is still a half, and weights add up exactly."""
+    given = [26.450000000000003, 26.45, 26.55, -26.450000000000003, 26.46, None]
+    df = spark.createDataFrame([(x,) for x in given], "x double")
+    assert [r[0] for r in df.select(C.half_even(F.col("x"), 1)).collect()] == [26.4, 26.4, 26.6, -26.4, 26.5, None]
+    value, none = F.lit(1.0), F.lit(None).cast("double")
+    mean = C.present_mean([(value, 0.35), (value, 0.30), (none, 0.20), (F.lit(3.0), 0.15)])
+    assert spark.range(1).select(mean).first()[0] == (0.35 + 0.30 + 3.0 * 0.15) / 0.8
