@@ -101,19 +101,22 @@ def fold(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(plain), r"\s+", " "))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value made once, however often it is used: a small array's element instead of a repeated expression."""
+    return F.element_at(F.transform(F.array(value), lambda x: then(x)), 1)
+
+
 def parse_number(s: Column) -> Column:
     """A number as issuers write it: unit suffixes, percent and currency signs, decimal commas; null for anything else."""
-    raw = F.upper(normalize_text(s))
-    scale = F.when(raw.rlike(r"[0-9] ?K$"), 1e3).when(raw.rlike(r"[0-9] ?M$"), 1e6).when(raw.rlike(r"[0-9] ?B$"), 1e9).otherwise(1.0)
-    text = F.regexp_replace(F.regexp_replace(raw, r" ?[KMB]$", ""), r"%|MAD|DH| ", "")
-    text = F.when(text.contains(",") & text.contains("."), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(text, F.lit(","), F.lit(".")))
-    number = F.when(text.rlike(r"^[-+]?[0-9]+(\.[0-9]+)?$"), text.try_cast("double"))
-    return F.when(raw.isin("", "-", "--", "NA", "N/A"), None).otherwise(number * scale)
+    point = lambda text: F.when(text.contains(",") & text.contains("."), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(text, F.lit(","), F.lit(".")))
+    number = lambda text: F.when(text.rlike(r"^[-+]?[0-9]+(\.[0-9]+)?$"), text.try_cast("double"))
 
+    def scaled(raw: Column) -> Column:
+        scale = F.when(raw.rlike(r"[0-9] ?K$"), 1e3).when(raw.rlike(r"[0-9] ?M$"), 1e6).when(raw.rlike(r"[0-9] ?B$"), 1e9).otherwise(1.0)
+        text = F.regexp_replace(F.regexp_replace(raw, r" ?[KMB]$", ""), r"%|MAD|DH| ", "")
+        return F.when(raw.isin("", "-", "--", "NA", "N/A"), None).otherwise(let(let(text, point), number) * scale)
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with the value made once, however often it is used: a small array's element instead of a repeated expression."""
-    return F.element_at(F.transform(F.array(value), lambda x: then(x)), 1)
+    return let(F.upper(normalize_text(s)), scaled)
 
 
 def direction(change: Column, flat: float = 1.5) -> Column:
