@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The smallest share of a window's length that any tolerance may ask for.
@@ -33,11 +33,6 @@ def required_rows(n: int, coverage: float = 1.0) -> int:
     return max(2, round(n * max(LEAST_COVERAGE, min(1.0, coverage))))
 
 
-def guarded_window(agg: Column, order: Window, n: int, have: Column, least: int | None = None) -> Column:
-    """A statistic over the last ``n`` rows, null while fewer than ``least`` rows exist."""
-    return F.when(have >= (required_rows(n) if least is None else least), agg.over(order.rowsBetween(-(n - 1), 0)))
-
-
 def interpolate(x: Column, bands: tuple[tuple[float, float], ...]) -> Column:
     """Piecewise linear between the bands' points, constant beyond them."""
     out = F.when(x.isNull(), None).when(x <= bands[0][0], F.lit(bands[0][1]))
@@ -76,14 +71,6 @@ def lean(components: dict[str, Column], weights: dict[str, float]) -> Column:
     return half_even(clamp(F.coalesce(F.lit(50.0) + (mean - 50) * F.least(F.lit(1.0), coverage / 0.8), F.lit(50.0))), 1)
 
 
-def population_stdev(values: Column) -> Column:
-    """Population standard deviation of an array, null for fewer than two values."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    return F.when(n >= 2, F.sqrt(spread))
-
-
 #: Letters that folding replaces, and what they become.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYY"

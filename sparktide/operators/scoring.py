@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktide.functions.columns import clamp, covered_score, half_even, interpolate, population_stdev, present_mean
+from sparktide.functions.columns import clamp, covered_score, half_even, interpolate, present_mean
 
 HORIZONS = ("short", "medium", "long")
 #: Weights of the components of each horizon, and days of history that give full confidence.
@@ -91,12 +91,24 @@ def risk_score() -> Column:
     return half_even(clamp(sum(terms, F.lit(0.0))), 1)
 
 
-def confidence_score(horizon: str, parts: list[Column], coverage: Column, history_days: Column) -> Column:
-    """From coverage, history and agreement of the components (rounded to one digit, as they are reported)."""
-    known = F.filter(F.array(*(half_even(p, 1) for p in parts)), lambda x: x.isNotNull())
-    agreement = F.coalesce(clamp(F.lit(20.0) - population_stdev(known) / 2.5, 0, 20), F.lit(5.0))
-    total = coverage * 50 + F.least(history_days / HISTORY_DAYS[horizon], F.lit(1.0)) * 30 + agreement
-    return half_even(clamp(F.when(coverage < 0.5, F.least(total, F.lit(35.0))).otherwise(total)), 1)
+def with_confidence(df: DataFrame, parts: dict[str, list[str]]) -> DataFrame:
+    """``df`` with each horizon's confidence, from coverage, history and agreement of its components (rounded to one digit, as they are reported).
+
+    What several terms use is a column of its own: as one expression it would be made again for each use, and for each use of that.
+    """
+    each = [(h, c, F.col(f"__{c}")) for h, names in parts.items() for c in names]
+    add = lambda h, term: sum((F.coalesce(term(x), F.lit(0.0)) for g, _, x in each if g == h), F.lit(0.0))
+    n = {h: F.nullif(F.col(f"__{h}_n"), F.lit(0.0)) for h in parts}
+    mean = {h: F.col(f"__{h}_mean") for h in parts}
+    out = df.withColumns({f"__{c}": half_even(F.col(c), 1) for _, c, _ in each})
+    out = out.withColumns({f"__{h}_n": add(h, lambda x: x.isNotNull().cast("double")) for h in parts})
+    out = out.withColumns({f"__{h}_mean": add(h, lambda x: x) / n[h] for h in parts})
+    out = out.withColumns({f"__{h}_near": F.lit(20.0) - F.sqrt(add(h, lambda x, h=h: (x - mean[h]) * (x - mean[h])) / n[h]) / 2.5 for h in parts})
+    agreement = {h: F.when(F.col(f"__{h}_n") >= 2, clamp(F.col(f"__{h}_near"), 0, 20)).otherwise(5.0) for h in parts}
+    out = out.withColumns({f"__{h}_total": F.col(f"{h}_coverage") * 50 + F.least(F.col("history_days") / HISTORY_DAYS[h], F.lit(1.0)) * 30 + agreement[h] for h in parts})
+    total = {h: F.when(F.col(f"{h}_coverage") < 0.5, F.least(F.col(f"__{h}_total"), F.lit(35.0))).otherwise(F.col(f"__{h}_total")) for h in parts}
+    out = out.withColumns({f"{h}_confidence": half_even(clamp(total[h]), 1) for h in parts})
+    return out.drop(*(f"__{c}" for _, c, _ in each), *(f"__{h}_{x}" for h in parts for x in ("n", "mean", "near", "total")))
 
 
 @dataclass(frozen=True)
@@ -151,8 +163,7 @@ def score_all(df: DataFrame, weights: dict[str, dict[str, float]] = WEIGHTS) ->
         own = {k: F.col(f"{h}_{k}") for k in parts[h]}
         penalty = F.when(F.col("daily_variation") > 4, 6.0).otherwise(0.0) if h == "short" else None
         out[f"{h}_score"], out[f"{h}_coverage"] = covered_score(own, weights[h], penalty)
-    df = df.withColumns(out)
-    return df.withColumns({f"{h}_confidence": confidence_score(h, [F.col(f"{h}_{k}") for k in parts[h]], F.col(f"{h}_coverage"), F.col("history_days")) for h in HORIZONS})
+    return with_confidence(df.withColumns(out), {h: [f"{h}_{k}" for k in parts[h]] for h in HORIZONS})
 
 
 def opportunity(df: DataFrame) -> DataFrame:

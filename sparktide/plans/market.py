@@ -70,7 +70,7 @@ def sampled_returns(bars: DataFrame, days: DataFrame, ahead: dict[str, int], ste
     A bar's price holds from its day to the stock's next one, in numbers of calendar days; so which sampled starts and which
     of their targets it answers is arithmetic, and a bar emits the prices that are asked of it.
     """
-    held = with_next(bars.select("stock_id", "dn", "price"), days)
+    held = with_next(bars, days).select("stock_id", "idx", "next", "price")
 
     def answered(horizon: str | None, n: int) -> Column:
         first, last = F.greatest(F.lit(0), F.ceil((F.col("idx") - n) / step)), F.ceil((F.col("next") - n) / step) - 1
@@ -87,7 +87,9 @@ def sampled_returns(bars: DataFrame, days: DataFrame, ahead: dict[str, int], ste
 
 
 def with_next(rows: DataFrame, days: DataFrame) -> DataFrame:
-    """``rows`` with ``idx``, the number of their day, and ``next``, that of the stock's next row; the last row holds to the end of the calendar."""
+    """``rows`` with ``idx``, the number of their day, and ``next``, that of the stock's next row; the last row holds to the end of the calendar. Rows that have both stay as they are."""
+    if {"idx", "next"} <= set(rows.columns):
+        return rows
     end = days.agg((F.max("idx") + 1).alias("end"))  # one row
     numbered = rows.join(days, "dn").crossJoin(F.broadcast(end))
     return numbered.withColumn("next", F.coalesce(F.lead("idx").over(Window.partitionBy("stock_id").orderBy("dn")), F.col("end"))).drop("end")
@@ -109,7 +111,7 @@ def point_in_time(bars: DataFrame, stocks: DataFrame, days: DataFrame, step: int
 
     A row of the history holds until the stock's next one, so the sampled days that it answers are a sequence of numbers.
     """
-    history = with_next(distances(metrics_history(bars)), days)
+    history = distances(metrics_history(with_next(bars, days)))
     first, last = F.ceil(F.col("idx") / step), F.ceil(F.col("next") / step) - 1
     names = [c for c in history.columns if c not in ("stock_id", "dn", "day", "idx", "next")]
     seen = history.where(last >= first).select("stock_id", F.explode(F.sequence(first, last)).alias("k"), *names)
@@ -121,14 +123,15 @@ def point_in_time(bars: DataFrame, stocks: DataFrame, days: DataFrame, step: int
 def backtest(bars: DataFrame, stocks: DataFrame, *, step: int = 20, min_history: int = 60, horizons: tuple[str, ...] = HORIZONS) -> DataFrame:
     """Observations: what the scores would have said on each sampled day, and what followed. No news, no fundamentals.
 
-    Bars, calendar and sampled metrics are written once and scanned by what follows.
+    Bars, calendar, bars with the day of their next one, and sampled metrics are written once and scanned by what follows.
     """
     bars = stored(bars, "bars")
     days = stored(calendar(bars), "calendar")
+    held = stored(with_next(bars, days), "held")
     ahead = {h: SESSIONS_AHEAD[h] for h in horizons}
-    scored = score_all(point_in_time(bars, stocks, days, step, min_history))
+    scored = score_all(point_in_time(held, stocks, days, step, min_history))
     said = to_horizons(scored, "stock_id", "symbol", "sector", "dn", "history_days").where(F.col("horizon").isin(*horizons))
-    out = said.join(sampled_returns(bars, days, ahead, step), ["stock_id", "dn", "horizon"]).join(benchmark_returns(bars, days, ahead), ["dn", "horizon"], "left")
+    out = said.join(sampled_returns(held, days, ahead, step), ["stock_id", "dn", "horizon"]).join(benchmark_returns(bars, days, ahead), ["dn", "horizon"], "left")
     bench = F.coalesce("bench", F.lit(0.0))
     return out.withColumns({"forward": half_even(F.col("ret"), 4), "benchmark": half_even(bench, 4), "excess": half_even(F.col("ret") - bench, 4)}).drop("ret", "bench")
 
@@ -184,7 +187,8 @@ def ablation(bars: DataFrame, stocks: DataFrame, *, horizon: str = "medium", ste
     """Spread and mean with each component's weight left out, in one pass: the metrics, components and returns are computed once, only the weighing is repeated."""
     bars = stored(bars, "bars")
     days = stored(calendar(bars), "calendar")
-    scored = score_all(point_in_time(bars, stocks, days, step, min_history))
+    held = stored(with_next(bars, days), "held")
+    scored = score_all(point_in_time(held, stocks, days, step, min_history))
     weights = WEIGHTS[horizon]
     from sparktide.functions.columns import covered_score
 
@@ -194,7 +198,7 @@ def ablation(bars: DataFrame, stocks: DataFrame, *, horizon: str = "medium", ste
         score, _ = covered_score(own, {k: w for k, w in weights.items() if k != left_out})
         variants.append(F.struct(F.lit(left_out or "reference").alias("variant"), score.alias("score")))
     each = scored.select("stock_id", "dn", F.explode(F.array(*variants)).alias("v")).select("stock_id", "dn", "v.*")
-    rets = sampled_returns(bars, days, {horizon: SESSIONS_AHEAD[horizon]}, step).drop("horizon")
+    rets = sampled_returns(held, days, {horizon: SESSIONS_AHEAD[horizon]}, step).drop("horizon")
     obs = each.join(rets, ["stock_id", "dn"]).withColumns({"forward": half_even(F.col("ret"), 4), "excess": half_even(F.col("ret"), 4), "horizon": F.lit(horizon)})
     means = obs.groupBy("variant").agg(F.count("*").alias("n"), F.round(F.avg(F.col("forward") - fee_rate * 200), 4).alias("mean"))
     return means.join(spread(obs, fee_rate, "variant").select("variant", "spread", "top_mean", "separated"), "variant", "left")

@@ -67,6 +67,12 @@ def test_parse_number_makes_each_step_once(spark):
     assert str(C.parse_number(F.col("written"))).count("written") == 1
 
 
+def test_confidence_makes_no_array_again_for_each_element(spark):
+    row = spark.createDataFrame([(90.0, None, 10.0, 0.9, 30)], "a double, b double, c double, h_coverage double, history_days int").withColumnRenamed("h_coverage", "short_coverage")
+    out = S.with_confidence(row, {"short": ["a", "b", "c"]})
+    assert out.first()["short_confidence"] == 79.0 and "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("title,event,mood", [("Détachement du dividende", "ex_dividend", "neutral"), ("Distribution de dividende", "dividend_announcement", "positive"), ("PROFIT WARNING", "profit_warning", "negative"), ("Résultats en forte hausse", "results", "positive"), ("Résultats semestriels", "results", "neutral"), ("Résultats en baisse", "results", "negative"), ("Augmentation de capital réservée aux salariés", "capital_increase_employees", "neutral"), ("Augmentation de capital en numéraire", "capital_increase_cash", "negative"), ("Rachat d’actions", "share_buyback", "positive"), ("Bonjour", "announcement", "neutral"), (None, "announcement", "neutral")])
 def test_classifier(spark, title, event, mood):
     got = spark.createDataFrame([(title,)], "t string").select(N.classify(F.col("t")).alias("c")).first()["c"]

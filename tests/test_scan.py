@@ -98,3 +98,20 @@ def test_long_frames_from_short_ones(bars):
     price = {"support": (F.min("price"), 90, 20), "resistance": (F.max("price"), 90, 20), "week52_high": (F.max("price"), 365, 120), "week52_low": (F.min("price"), 365, 120), "ma200": (F.avg("price"), 200, 200)}
     plain = bars.select("stock_id", "dn", *(frame(*x).alias(name) for name, x in price.items()))
     same(plain, metrics.metrics_history(bars, chunk_rows=500), ("stock_id", "dn"))
+
+
+def test_batches_of_a_task_cut_no_chunk(monkeypatch):
+    """The same metrics whether a task takes its rows at once or some at a time, and no frame that goes through its rows for each row."""
+    import pyarrow as pa
+
+    rng, rows = random.Random(5), []
+    for stock in (None, 1, 2, 3):
+        rows += [(stock, 9000 + 2 * i, 50 + rng.random() * 9, rng.choice([None, 0.0, 5.0]), 7 if stock == 2 else 0, 0, i < 3 and stock == 2) for i in range(rng.choice([1, 150, 220]))]
+    table = pa.table(dict(zip(("stock_id", "dn", "price", "volume", "__before", "__chunk", "__halo"), zip(*rows))))
+    whole = pa.Table.from_batches(metrics._by_chunk(iter(table.to_batches())))
+    monkeypatch.setattr(metrics, "TASK_ROWS", 40)
+    assert pa.Table.from_batches(metrics._by_chunk(iter(table.to_batches(max_chunksize=17)))).equals(whole) and whole.num_rows == len(rows) - sum(r[-1] for r in rows)
+
+
+def test_history_has_no_sliding_frames(bars):
+    assert "specifiedwindowframe(RowFrame, -" not in metrics.metrics_history(bars)._jdf.queryExecution().optimizedPlan().toString()
