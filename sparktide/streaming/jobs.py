@@ -98,58 +98,70 @@ def urgent(events: DataFrame, watched: DataFrame, floor: float, late: str = "1 d
     return hit.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "day"]).select("user_id", "day", "ts")
 
 
+#: Groups of keys that share their state for changes of opinion: a state is asked once for a group and micro-batch, not for each key. A checkpoint belongs to its number.
+OPINION_GROUPS = 512
+
+
 class _Opinions(StatefulProcessor):
-    """Holds a key's rows back until the watermark has passed them, then takes them in event order against the key's last type."""
+    """Holds the rows of a group of keys back until the watermark has passed them, then takes them in event order against each key's last type."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "event_type string")
-        self.waiting = handle.getListState("waiting", "at long, event_id long, event_type string")
+        self.last = handle.getListState("last", "user_id long, event_type string")
+        self.waiting = handle.getListState("waiting", "user_id long, at long, event_id long, event_type string")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [(int(t.value // 1000), int(i), e) for batch in rows for t, i, e in zip(batch["ts"], batch["event_id"], batch["event_type"])]
+        new = [(int(u), int(t.value // 1000), int(i), e) for batch in rows for u, t, i, e in zip(batch["user_id"], batch["ts"], batch["event_id"], batch["event_type"])]
         if new:
             self.waiting.appendList(new)
-            self._wake(min(new)[0])
+            at, set_to = min(x[1] for x in new) // 1000 + 1, self.timer.get()[0] if self.timer.exists() else None
+            if set_to is None or at < set_to:
+                if set_to is not None:
+                    self.handle.deleteTimer(set_to)
+                self._wake(at)
         yield pd.DataFrame([], columns=["event_id", "user_id", "was", "became"])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.waiting.get())
-        due, left = [x for x in held if x[0] <= now], [x for x in held if x[0] > now]
-        was, out = self.last.get()[0] if self.last.exists() else None, []
-        for _, event, became in due:
+        now, last, left, due, out = timerValues.getCurrentWatermarkInMs() * 1000, {u: e for u, e in self.last.get()}, [], [], []
+        for x in self.waiting.get():
+            (due if x[1] <= now else left).append(tuple(x))
+        for user, _, event, became in sorted(due):
+            was = last.get(user)
             if was is not None and became != was:
-                out.append((event, key[0], was, became))
-            was = became
+                out.append((event, user, was, became))
+            last[user] = became
         if due:
-            self.last.update((was,))
+            self.last.put(list(last.items()))
         if left:
             self.waiting.put(left)
-            self._wake(left[0][0])
+            self._wake(min(x[1] for x in left) // 1000 + 1)
         else:
             self.waiting.clear()
+            self.timer.clear()
         yield pd.DataFrame(out, columns=["event_id", "user_id", "was", "became"])
 
     def _wake(self, at: int) -> None:
-        """One timer for a key's earliest waiting row; a later one that is already set finds nothing to do."""
-        self.handle.registerTimer(at // 1000 + 1)
+        """The group's one timer, for its earliest waiting row."""
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
 
     def close(self) -> None:
         pass
 
 
-def opinion_changes(events: DataFrame, late: str = "1 day") -> DataFrame:
+def opinion_changes(events: DataFrame, late: str = "1 day", groups: int = OPINION_GROUPS) -> DataFrame:
     """A row whenever a key's type of event differs from its last one by event time, whichever micro-batches brought the two.
 
-    Rows wait in list state until the watermark passes them; an event-time timer for each key then takes them in order (ties:
-    event_id), and only the last type stays. So state holds the rows of ``late`` and one value for each key. Needs the
-    RocksDB state store: start the query within ``rocksdb_state``. Null keys, times and types: no part.
+    Rows wait in list state until the watermark passes them; an event-time timer for each of ``groups`` of keys then takes them
+    in order (ties: event_id), and only the last type of each key stays. So state holds the rows of ``late`` and one value for
+    each key. Needs the RocksDB state store: start the query within ``rocksdb_state``. Null keys, times and types: no part.
     """
     # one condition on the time as well, which stays above the watermark: rows without a key move it on too
     whole = F.when(F.col("ts").isNotNull(), F.col("user_id").isNotNull() & F.col("event_type").isNotNull()).otherwise(False)
     known = events.select("user_id", "ts", "event_id", "event_type").withWatermark("ts", late).where(whole)
-    return known.groupBy("user_id").transformWithStateInPandas(_Opinions(), "event_id long, user_id long, was string, became string", "Append", "EventTime")
+    grouped = known.withColumn("of", F.pmod(F.xxhash64("user_id"), F.lit(groups)))
+    return grouped.groupBy("of").transformWithStateInPandas(_Opinions(), "event_id long, user_id long, was string, became string", "Append", "EventTime")
 
 
 @contextmanager

@@ -80,3 +80,15 @@ def test_no_events(spark, tmp_path):
     spark.createDataFrame([], EVENTS).write.parquet(str(tmp_path / "events.parquet"))
     for name in ("k2_stream_daily_bars", "k7_capped_notifications", "k9_stream_late_rows"):
         assert Q.QUERIES[name][0](spark, str(tmp_path)).where(F.lit(True)).count() == 0
+
+
+def test_opinion_changes_share_state_among_keys(spark, tmp_path):
+    """Two states for forty keys give each key's own changes."""
+    rng = random.Random(2)
+    rows = [(k, datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(0, 600)), rng.randrange(40), rng.choice("ab"), 1.0, None) for k in range(300)]
+    stream = land(spark, str(tmp_path / "in"), [rows[i::2] for i in range(2)])
+    with jobs.rocksdb_state(spark):
+        progress = []
+        got = Q.drained(spark, jobs.opinion_changes(stream, groups=2), "append", "changes", progress).collect()
+    want = jobs.opinion_changes_batch(spark.createDataFrame(rows, EVENTS)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 30
