@@ -494,7 +494,7 @@ def e24_fingerprint(spark, sf_dir):
     twice = marked.where(key != F.col("high")).select(*t.columns).unionByName(marked.where(key == F.col("low")).select(*t.columns))
     own = H.fingerprint(t)
     other = lambda df, name: H.fingerprint(df).select(F.struct("n", "digest").alias(name))
-    both = own.crossJoin(other(twice, "a")).crossJoin(other(t.repartition(5, "l_suppkey"), "b"))  # one row each
+    both = own.crossJoin(other(twice, "a")).crossJoin(other(t.repartition("l_suppkey"), "b"))  # one row each
     same = lambda name: (F.struct("n", "digest") == F.col(name))
     return both.select("n", "top", same("a").alias("same_with_a_row_twice"), same("b").alias("same_in_other_order"))
 

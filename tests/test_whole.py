@@ -172,3 +172,10 @@ def test_rules_from_a_table(spark):
     own = spark.createDataFrame([(2, "late", ["b"], None), (1, "early", ["a", "b c"], "d")], "ord int, event string, some array<string>, also string")
     titles = spark.createDataFrame([("B C d",), ("b c",), ("z",), (None,)], "t string")
     assert [r["e"] for r in titles.select(classify(titles["t"], rules_from(own))["event"].alias("e")).collect()] == ["early", "late", "announcement", "announcement"]
+
+
+def test_fingerprint_in_other_order_deals_rows_to_as_many_tasks_as_the_session_has(spark):
+    from sparktide import registry
+
+    plan = registry.queries()["e24_fingerprint"](spark, SF)._jdf.queryExecution().logical().toString()
+    assert "RepartitionByExpression" in plan and "], 5" not in plan
