@@ -51,7 +51,9 @@ def harvest(profiles: DataFrame, ratios: DataFrame, notices: DataFrame, per_stoc
     w = Window.partitionBy("stock_id").orderBy(F.desc("collected_at"), F.desc("news_id"))
     c = notices.where("stock_id is not null").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_stock).select("stock_id", F.lit("notice").alias("category"), F.col("event_type").alias("key"), F.col("url").alias("value"))
     facts = a.unionByName(b).unionByName(c).where(F.trim(F.coalesce("value", F.lit(""))) != "")
-    return facts.withColumn("fact_hash", fact_hash(F.col("category"), F.col("key"), F.col("value"))).dropDuplicates(["stock_id", "fact_hash"])
+    # dealt out first: told apart before the exchange, all facts of a task's file would be held at once, though few come twice
+    facts = facts.select("stock_id", "category", "key", "value").repartition("stock_id", "category", "key").distinct()
+    return facts.withColumn("fact_hash", fact_hash(F.col("category"), F.col("key"), F.col("value")))
 
 
 def numbers_in(text: Column) -> Column:

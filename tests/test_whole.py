@@ -179,3 +179,10 @@ def test_fingerprint_in_other_order_deals_rows_to_as_many_tasks_as_the_session_h
 
     plan = registry.queries()["e24_fingerprint"](spark, SF)._jdf.queryExecution().logical().toString()
     assert "RepartitionByExpression" in plan and "], 5" not in plan
+
+
+def test_facts_are_told_apart_after_their_exchange(spark):
+    from sparktide import registry
+
+    plan = registry.queries()["j18_knowledge"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.index("HashAggregate(keys=[stock_id") < plan.index("Exchange hashpartitioning(stock_id") and plan.count("Exchange hashpartitioning(stock_id") <= 2
