@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparktide.functions.columns import half_even
 from sparktide.operators.metrics import daily_bars, distances, latest_metrics, metrics_history, relative_strength
 from sparktide.operators.news import news_aggregate, recent_news
-from sparktide.operators.scan import last_before
+from sparktide.operators.scan import chunked, last_before
 from sparktide.operators.scoring import HORIZONS, WEIGHTS, opportunity, score_all, to_horizons
 from sparktide.sources.shared import stored
 from sparktide.sources.versions import PARTS, PartedResult
@@ -64,6 +64,19 @@ def forward_returns(bars: DataFrame, days: DataFrame, sessions: int | dict[str,
     return out if isinstance(sessions, dict) else out.drop("horizon")
 
 
+def bar_returns(bars: DataFrame, days: DataFrame, sessions: int) -> DataFrame:
+    """``(stock_id, dn, ret)`` from every bar to the last price at or before the day ``sessions`` later: as forward_returns gives them from the bars' own days.
+
+    That price is the newest of the bar's stock among so many days from its own on, so a short frame finds it, in chunks that look ahead.
+    """
+    end = days.agg(F.max("idx").alias("end"))  # one row
+    numbered = bars.select("stock_id", "dn", "price").join(days, "dn").crossJoin(F.broadcast(end))
+    rows = chunked(numbered.withColumn("ahead", -F.col("idx")), "stock_id", "ahead", sessions)
+    later = F.first("price").over(Window.partitionBy("stock_id", "__chunk").orderBy("ahead").rangeBetween(-sessions, 0))
+    closed = rows.withColumn("later", later).where(~F.col("__halo") & (F.col("idx") + sessions <= F.col("end")) & (F.col("price") != 0))
+    return closed.select("stock_id", "dn", ((F.col("later") - F.col("price")) / F.col("price") * 100).alias("ret"))
+
+
 def sampled_returns(bars: DataFrame, days: DataFrame, ahead: dict[str, int], step: int) -> DataFrame:
     """``(stock_id, dn, horizon, ret)`` from every ``step``-th day: as forward_returns gives them from those days, without as-of joins.
 

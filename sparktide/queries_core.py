@@ -203,8 +203,8 @@ def f11_sampled_calendar(spark, sf_dir):
 
 @query(ctes("bars", "days") + "SELECT b.stock_id, b.dn, round((z.price - b.price) / b.price * 100, 6) AS ret FROM (SELECT bars.*, t.dn AS target FROM bars JOIN days d USING (dn) JOIN days t ON t.idx = d.idx + 10) b ASOF JOIN bars z ON z.stock_id = b.stock_id AND b.target >= z.dn WHERE b.price <> 0")
 def d6_forward_return(spark, sf_dir):
-    bars = stored(bars_of(spark, sf_dir), "bars")  # read as probes, as quotes and for the calendar
-    return rounded(market.forward_returns(bars, market.calendar(bars), 10, bars.select("stock_id", "dn")))
+    bars = stored(bars_of(spark, sf_dir), "bars")  # read for the rows, their number and the calendar
+    return rounded(market.bar_returns(bars, market.calendar(bars), 10))
 
 
 @query(ctes("level") + "SELECT a.dn, round(a.level, 6) AS level, round((b.level - a.level) / nullif(a.level, 0) * 100, 6) AS bench FROM level a LEFT JOIN level b ON b.idx = a.idx + 10")

@@ -115,3 +115,11 @@ def test_batches_of_a_task_cut_no_chunk(monkeypatch):
 
 def test_history_has_no_sliding_frames(bars):
     assert "specifiedwindowframe(RowFrame, -" not in metrics.metrics_history(bars)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_returns_of_bars_are_those_of_the_as_of_pass(bars):
+    from sparktide.plans import market
+
+    some = bars.where("stock_id is not null")
+    days = market.calendar(some)
+    same(market.bar_returns(some, days, 10), market.forward_returns(some, days, 10, some.select("stock_id", "dn")), ("stock_id", "dn"))
