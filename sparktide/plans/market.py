@@ -20,8 +20,11 @@ HIT = 1.5
 
 
 def market_state(bars: DataFrame, stocks: DataFrame, news: DataFrame | None = None, now: Column | None = None, fundamentals: DataFrame | None = None) -> DataFrame:
-    """One row for each stock: metrics of its last day, scores, risk, recommendation."""
-    return state_of_metrics(distances(latest_metrics(bars)), stocks, news, now, fundamentals)
+    """One row for each stock: metrics of its last day, scores, risk, recommendation.
+
+    The metrics are written once, a row for each stock, since the cross sections read them twice more.
+    """
+    return state_of_metrics(stored(distances(latest_metrics(bars)), "metrics"), stocks, news, now, fundamentals)
 
 
 def state_of_metrics(metrics: DataFrame, stocks: DataFrame, news: DataFrame | None = None, now: Column | None = None, fundamentals: DataFrame | None = None) -> DataFrame:

@@ -113,6 +113,23 @@ def test_batches_of_a_task_cut_no_chunk(monkeypatch):
     assert pa.Table.from_batches(metrics._by_chunk(iter(table.to_batches(max_chunksize=17)))).equals(whole) and whole.num_rows == len(rows) - sum(r[-1] for r in rows)
 
 
+def test_last_days_take_one_pass_and_one_sort(bars):
+    """Bars are read once, meet their stock by one exchange, and one window ranks them: no count of rows beside them, no join, no second order."""
+    plan = metrics.latest_metrics(bars)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryTableScan") == plan.count("Exchange hashpartitioning") == plan.count("Window [") == 1 and "Join" not in plan
+
+
+def test_the_state_reads_its_bars_once(spark):
+    """The metrics that the cross sections read again are a table by then."""
+    from sparktide.plans import market
+    from sparktide.queries_core import NOW, bars_of, stocks_of
+    from sparktide.sources.views import view
+
+    folder = "/root/testdata/sf0.001"
+    state = market.market_state(bars_of(spark, folder), stocks_of(spark, folder), view(spark, folder, "news"), F.to_timestamp(F.lit(NOW)))
+    assert "lineitem.parquet" not in " ".join(state.inputFiles())
+
+
 def test_history_has_no_sliding_frames(bars):
     assert "specifiedwindowframe(RowFrame, -" not in metrics.metrics_history(bars)._jdf.queryExecution().optimizedPlan().toString()
 
