@@ -30,14 +30,18 @@ def part_of(key: str, parts: int) -> Column:
 
 
 def part_digests(inputs: dict[str, DataFrame], key: str, parts: int) -> DataFrame:
-    """``(part, digest)``: for each part its rows' number and the sums of two hashes of them, over all inputs. Order plays no part, repeated rows do."""
+    """``(part, digest)``: for each part its rows' number and the sums of two hashes of them, over all inputs. Order plays no part, repeated rows do.
+
+    A hash is added in pieces of 22 bits, whose sums are plain integers up to 2^41 rows of a part.
+    """
     each = None
     for name, df in sorted(inputs.items()):
         columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
-        rows = df.select(part_of(key, parts).alias("part"), *(F.xxhash64(F.lit(s), F.lit(name), *columns).cast("decimal(38,0)").alias(f"h{s}") for s in (0, 1)))
+        rows = df.select(part_of(key, parts).alias("part"), *(F.xxhash64(F.lit(s), F.lit(name), *columns).alias(f"h{s}") for s in (0, 1)))
         each = rows if each is None else each.unionByName(rows)
-    summed = each.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1"))
-    return summed.select("part", F.sha2(F.concat_ws(":", "n", "h0", "h1"), 256).alias("digest"))
+    pieces = {f"{h}_{at}": F.sum(F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << 22) - 1))) for h in ("h0", "h1") for at in (0, 22, 44)}
+    summed = each.groupBy("part").agg(F.count(F.lit(1)).alias("n"), *(x.alias(c) for c, x in pieces.items()))
+    return summed.select("part", F.sha2(F.concat_ws(":", "n", *pieces), 256).alias("digest"))
 
 
 class PartedResult:
@@ -79,11 +83,16 @@ class PartedResult:
         if changed:
             among = part_of(self.key, self.parts).isin(changed)
             rows = self.compute({name: df.where(among) for name, df in inputs.items()})
-            rows.withColumn("__part", part_of(self.key, self.parts)).write.mode("overwrite").partitionBy("__part").parquet(f"{self.path}/{at}")
+            self._write(rows, f"{self.path}/{at}")
         entries = [(epoch, p, digest, at if p in changed else known[p][1], version) for p, digest in now.items()] or [(epoch, None, None, None, version)]
         self.spark.createDataFrame(entries, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         return changed
 
+    def _write(self, rows: DataFrame, at: str) -> None:
+        """Rows in a folder for each part. A part's rows meet in one task first (a large part's in some), else every task would leave a file in every part."""
+        placed = rows.withColumn("__part", part_of(self.key, self.parts)).hint("rebalance", "__part")
+        placed.write.mode("overwrite").partitionBy("__part").parquet(at)
+
     def read(self) -> DataFrame:
         """The table as the newest manifest has it: each part from the epoch that wrote it."""
         by_epoch: dict[str, list[int]] = {}
@@ -101,6 +110,6 @@ class PartedResult:
     def compacted(self, to: str) -> PartedResult:
         """The same table with all parts in one epoch under a new path, for a table of many epochs."""
         rows, entries = stored(self.read(), "parts"), self.manifest()
-        rows.withColumn("__part", part_of(self.key, self.parts)).write.partitionBy("__part").parquet(f"{to}/rows-0")
+        self._write(rows, f"{to}/rows-0")
         self.spark.createDataFrame([(0, r["part"], r["digest"], r["at"] and "rows-0", r["version"]) for r in entries], self.MANIFEST).coalesce(1).write.parquet(f"{to}/manifest")
         return PartedResult(self.spark, to, self.key, self.compute, self.parts)

@@ -70,3 +70,13 @@ def test_keys_that_go_repeated_rows_and_failures(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     kept = PartedResult(spark, str(tmp_path / "r"), "k", lambda x: x["t"])
     assert kept.refresh({"t": spark.createDataFrame([], "k long")}) == [] and len(kept.manifest()) == 1
+
+
+def test_a_part_is_written_in_few_files(spark, tmp_path):
+    """Rows that come in many tasks don't leave a file of each task in each part."""
+    rows = spark.range(0, 4000, 1, 40).withColumnRenamed("id", "k")
+    kept = PartedResult(spark, str(tmp_path / "r"), "k", lambda x: x["t"], parts=8)
+    assert kept.refresh({"t": rows}) == list(range(8)) and kept.read().count() == 4000
+    assert len(list((tmp_path / "r" / "rows-0").glob("*/*.parquet"))) == 8
+    kept.compacted(str(tmp_path / "one"))
+    assert len(list((tmp_path / "one" / "rows-0").glob("*/*.parquet"))) == 8
