@@ -61,8 +61,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with their byte offsets, and whether they decode to the text. Null and empty texts have no tokens; repeated rows are encoded alike."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.encode(_given(spark, docs).select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text"), ranks)
-    out = byte_bpe.decode(coded.drop("text"), ranks)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    out = byte_bpe.encode_and_decode(_given(spark, docs).select("doc_id", "lang", "source", "n_chars", digest, "text"), ranks)
     return out.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "token_ends", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("decodes"))
 
 

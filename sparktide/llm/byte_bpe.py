@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 from .common import sliced
 from .words import span_hashes
 
-#: Code points of one block, and pieces of one of the two generations of a worker's cache.
+#: Code points of one block, code points that get their classes at a time, and pieces of one of the two generations of a worker's cache.
 BLOCK_CHARS = 1 << 18
+CLASSED_POINTS = 1 << 14
 CACHE_PIECES = 150_000
 #: The code points with the property White_Space.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -97,17 +98,19 @@ def _classes() -> np.ndarray:
     """The class of every code point, by the Unicode version of the tiktoken library where that is installed."""
     out = np.zeros(sys.maxunicode + 1, np.uint8)
     kinds = {"L": _LETTER, "N": _NUMBER}
-    every = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
     try:
         import tiktoken
 
-        text = "".join(map(chr, every))
-        for name, kind in kinds.items():
-            of = tiktoken.Encoding(name, pat_str=rf"\p{{{name}}}+", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-            out[np.frombuffer(of.decode(of.encode_ordinary(text)).encode("utf-32-le"), np.uint32)] = kind
+        of = {kind: tiktoken.Encoding(name, pat_str=rf"\p{{{name}}}+", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}) for name, kind in kinds.items()}
     except ImportError:
-        for c in every:
-            out[c] = kinds.get(unicodedata.category(chr(c))[0], _OTHER)
+        of = {}
+    for begin in range(0, len(out), CLASSED_POINTS):
+        every = [c for c in range(begin, min(begin + CLASSED_POINTS, len(out))) if not 0xD800 <= c < 0xE000]
+        text = "".join(map(chr, every))
+        for kind, one in of.items():
+            out[np.frombuffer(one.decode(one.encode_ordinary(text)).encode("utf-32-le"), np.uint32)] = kind
+        if not of:
+            out[every] = [kinds.get(unicodedata.category(c)[0], _OTHER) for c in text]
     out[WHITE_SPACE] = _SPACE
     return out
 
@@ -326,17 +329,15 @@ def _text_blocks(texts: list[str]) -> Iterator[list[str]]:
         yield block
 
 
-def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", offsets: bool = True) -> DataFrame:
-    """Every row of ``docs`` with ``ids`` (binary: little-endian unsigned 32-bit token ids), ``n_tokens`` and, if asked, ``token_ends`` (binary: little-endian unsigned 32-bit byte offsets where the tokens end).
+def _made(offsets: bool) -> list[str]:
+    return ["ids", "n_tokens", *["token_ends"] * offsets]
 
-    Null and empty texts have no tokens. Rows are independent: copies and ties are no special case, an empty table gives an
-    empty one. Columns of ``docs`` of the same names are replaced. A task holds one Arrow batch and one block of about
-    BLOCK_CHARS code points.
-    """
-    made = ["ids", "n_tokens", *["token_ends"] * offsets]
-    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made))
-    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("token_ends", T.BinaryType())] * offsets])
 
+def _coded_type(kept: DataFrame, offsets: bool) -> T.StructType:
+    return T.StructType([*kept.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("token_ends", T.BinaryType())] * offsets])
+
+
+def _encoding(ranks_path: str, text_col: str, offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(ranks_path)
         for batch in sliced(batches, text_col):
@@ -351,16 +352,12 @@ def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", offsets:
                     if offsets:
                         ends.append((upto[a + 1 : b + 1] - upto[a]).astype("<u4").tobytes())
             more = [pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), *[pa.array(ends, pa.binary())] * offsets]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *made])
-
-    return kept.mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *_made(offsets)])
 
+    return run
 
-def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids") -> DataFrame:
-    """Every row of ``encoded`` with ``decoded`` (binary): the bytes of its ids. Null ids: null. A column ``decoded`` is replaced."""
-    kept = encoded.select(*(F.col(f"`{c}`") for c in encoded.columns if c != "decoded"))
-    schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())])
 
+def _decoding(ranks_path: str, ids_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(ranks_path)
         for batch in sliced(batches, ids_col):
@@ -368,4 +365,38 @@ def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids") -> Data
             out = [None if x is None else bpe.decode(np.frombuffer(x, "<u4")) for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, schema)
+    return run
+
+
+def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", offsets: bool = True) -> DataFrame:
+    """Every row of ``docs`` with ``ids`` (binary: little-endian unsigned 32-bit token ids), ``n_tokens`` and, if asked, ``token_ends`` (binary: little-endian unsigned 32-bit byte offsets where the tokens end).
+
+    Null and empty texts have no tokens. Rows are independent: copies and ties are no special case, an empty table gives an
+    empty one. Columns of ``docs`` of the same names are replaced. A task holds one Arrow batch and one block of about
+    BLOCK_CHARS code points.
+    """
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in _made(offsets)))
+    return kept.mapInArrow(_encoding(ranks_path, text_col, offsets), _coded_type(kept, offsets))
+
+
+def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids") -> DataFrame:
+    """Every row of ``encoded`` with ``decoded`` (binary): the bytes of its ids. Null ids: null. A column ``decoded`` is replaced."""
+    kept = encoded.select(*(F.col(f"`{c}`") for c in encoded.columns if c != "decoded"))
+    return kept.mapInArrow(_decoding(ranks_path, ids_col), T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))
+
+
+def encode_and_decode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", offsets: bool = True) -> DataFrame:
+    """Every row of ``docs`` without its text, with what ``encode`` and then ``decode`` of its ids add.
+
+    Both run in one Python worker. As two steps they take two workers for each task, and an executor keeps all of them, with
+    their vocabularies and caches, for its later stages.
+    """
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (*_made(offsets), "decoded")))
+    names = [*(c for c in kept.columns if c != text_col), *_made(offsets)]
+    coded, decoded = _encoding(ranks_path, text_col, offsets), _decoding(ranks_path, "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return decoded(batch.select(names) for batch in coded(batches))
+
+    fields = [f for f in _coded_type(kept, offsets).fields if f.name != text_col]
+    return kept.mapInArrow(run, T.StructType([*fields, T.StructField("decoded", T.BinaryType())]))

@@ -33,7 +33,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.decode(byte_bpe.encode(docs, ranks, offsets=False).select("doc_id", "n_tokens", "ids"), ranks)
+    coded = byte_bpe.encode_and_decode(docs, ranks, offsets=False)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -78,6 +79,27 @@ def test_op3_encodes_as_the_library_does_and_round_trips(spark, docs):
         assert (ends[-1] if ends else 0) == len(text.encode())
 
 
+def test_op3_and_pipeline_encode_and_decode_in_one_worker(spark, docs):
+    """Two Python steps in a row keep two workers for each core of an executor."""
+    import corpus_pipeline
+
+    both = odd(spark).unionByName(docs.select("doc_id", "text", "source", F.lit("y").alias("n_tokens")))
+    for offsets in (True, False):
+        one = byte_bpe.encode_and_decode(both, RANKS, offsets=offsets)
+        two = byte_bpe.decode(byte_bpe.encode(both, RANKS, offsets=offsets), RANKS).drop("text")
+        assert one.schema == two.schema and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+    for df in (queries.op3_byte_bpe(spark, SF), corpus_pipeline.token_stage(spark, docs, SF)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_op3_classes_are_made_in_little_memory():
+    tracemalloc.start()
+    made = byte_bpe._classes.__wrapped__()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (made == byte_bpe._classes()).all() and peak < 32 << 20
+
+
 def test_op3_random_texts():
     enc, bpe, rng = reference_encoding(), byte_bpe.ByteBpe(RANKS), random.Random(1)
     letters = list("abst'' '\n\t  12é日 　.,!llre'vdm’ñ½٣")
