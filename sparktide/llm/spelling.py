@@ -68,7 +68,8 @@ def near_pairs(words: DataFrame, *, parts: int = PARTS) -> DataFrame:
 
     Signatures are joined by equality and verified by edit distance; a pair is taken at one signature only: where both parts
     left out differ, or, where a single part differs, at that part and the next one. Words with the same letters never
-    differ by one edit, so groups of anagrams make no candidates.
+    differ by one edit, so groups of anagrams make no candidates. Spark sizes the signatures as it does the words' file,
+    though they are 44 a word, and would broadcast them; the joins are merged at any size.
     """
     signed = _signatures(words, parts)
     key = ["length", "p", "q", "rest"]
@@ -76,8 +77,8 @@ def near_pairs(words: DataFrame, *, parts: int = PARTS) -> DataFrame:
     right = lambda kind: signed.where(F.col("kind") == kind).select(F.col("word").alias("b"), F.col("n").alias("bn"), *key, F.col("sp").alias("bp"), F.col("sq").alias("bq"))
     p, q = F.col("ap") != F.col("bp"), F.col("aq") != F.col("bq")
     once = (p & q) | (p & (F.col("q") == F.col("p") + 1)) | (q & (F.col("p") == 0) & (F.col("q") == parts - 1))
-    equal = left("same").join(right("same"), key).where((F.col("a") < F.col("b")) & once)
-    unequal = left("shorter").join(right("longer"), key)
+    equal = left("same").join(right("same").hint("merge"), key).where((F.col("a") < F.col("b")) & once)
+    unequal = left("shorter").join(right("longer").hint("merge"), key)
     found = equal.select("a", "an", "b", "bn").unionByName(unequal.select("a", "an", "b", "bn")).where(F.levenshtein("a", "b", 1) == 1)
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("an").alias("n"), F.col("b").alias("near"), F.col("bn").alias("near_n")), F.struct(F.col("b").alias("word"), F.col("bn").alias("n"), F.col("a").alias("near"), F.col("an").alias("near_n"))))
     return found.select(both.alias("r")).select("r.*")
@@ -88,7 +89,7 @@ def variants(words: DataFrame, *, parts: int = PARTS, times: int = TIMES) -> Dat
 
     ``words`` has distinct words. Words without a near one have n_near 0, no form, and themselves as root. Forms are followed
     by joins that double their reach; since each form is ``times`` as frequent, a few rounds do, each written to the shared
-    folder. Empty table: no rows. Other columns of ``words`` are left out.
+    folder. Rows of these tables are many times as large in memory as in their files, so that no join broadcasts them. Empty table: no rows. Other columns of ``words`` are left out.
     """
     words = stored(words.select("word", "n", _part_sums(F.col("word"), parts).alias("s")), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form")))
@@ -98,12 +99,12 @@ def variants(words: DataFrame, *, parts: int = PARTS, times: int = TIMES) -> Dat
     roots = near.where("form is not null").select("word", F.col("form").alias("root"))
     while True:
         after = roots.select(F.col("word").alias("__of"), F.col("root").alias("__next"))
-        longer = roots.join(after, F.col("root") == F.col("__of"), "left")
+        longer = roots.join(after.hint("merge"), F.col("root") == F.col("__of"), "left")
         roots = stored(longer.select("word", F.coalesce("__next", "root").alias("root"), F.col("__next").isNotNull().alias("moved")), "roots")
         if roots.where("moved").isEmpty():
             break
         roots = roots.select("word", "root")
-    out = words.join(near, "word", "left").join(roots.select("word", "root"), "word", "left")
+    out = words.join(near.hint("merge"), "word", "left").join(roots.select("word", "root").hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 
 

@@ -82,3 +82,15 @@ def test_texts_of_all_kinds(spark):
     assert got(spelling.spelling_variants(docs)) == expected(n)
     assert {r["word"]: r["n"] for r in spelling.word_counts(docs, one_in=None).collect()} == counts_of(rows, None)
     assert spelling.spelling_variants(docs.limit(0)).count() == 0
+
+
+def test_no_table_is_broadcast(spark):
+    rng = random.Random(5)
+    n = {"".join(rng.choice("abc") for _ in range(7)): rng.choice([5, 6, 40, 250, 2000]) for _ in range(120)}
+    table = spark.createDataFrame(list(n.items()), "word string, n long")
+    before = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")  # any broadcast fails
+    try:
+        assert got(spelling.variants(table)) == expected(n)
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", before)
