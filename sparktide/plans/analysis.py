@@ -67,7 +67,7 @@ def compose(state: DataFrame, held: DataFrame, cited: DataFrame, digits: int = 2
     metrics has its horizons with what is missing; one without statements has empty lists.
     """
     order = F.array_position(F.array(*map(F.lit, HORIZONS)), F.col("horizon")).alias("k")
-    rows = scenarios(horizon_rows(state, held), digits)
+    rows = scenarios(horizon_rows(state, held), digits, max(1, digits - 1))
     scenario = F.struct(*(F.col(c) for c in ("p_bull", "p_base", "p_bear", "move"))).alias("scenario")
     each = F.struct(order, "horizon", "score", "coverage", "confidence", "recommendation", "perspective", "rules", "outlook", "fit", "strengths", "weaknesses", "missing", scenario)
     reports = rows.groupBy("stock_id").agg(F.any_value("symbol").alias("symbol"), F.any_value("overall_risk").alias("risk"), F.sort_array(F.collect_list(each)).alias("horizons"))  # three a stock

@@ -128,8 +128,8 @@ def verdicts(radar: DataFrame) -> DataFrame:
     return out.withColumn("recommendation", decide(F.col("score"), F.col("overall_risk"), F.col("confidence"), F.col("overall_risk")))
 
 
-def scenarios(rows: DataFrame, digits: int = 2) -> DataFrame:
-    """Bull, base and bear probabilities and the expected move of each verdict; needs score, confidence, overall_risk, volatility_30d and horizon."""
+def scenarios(rows: DataFrame, digits: int = 2, move_digits: int | None = 1) -> DataFrame:
+    """Bull, base and bear probabilities and the expected move of each verdict; needs score, confidence, overall_risk, volatility_30d and horizon. Without ``move_digits`` the move is left as it is, for those who round it themselves."""
     score, w = F.col("score"), F.col("confidence") / 100
     raw = [F.greatest(F.lit(0.05), (score - 35) / 65), F.lit(0.9), F.greatest(F.lit(0.05), (65 - score) / 65) * (1 + F.col("overall_risk") / 100)]
     total = sum(raw, F.lit(0.0))
@@ -137,7 +137,7 @@ def scenarios(rows: DataFrame, digits: int = 2) -> DataFrame:
     again = sum(mixed, F.lit(0.0))
     days = F.when(F.col("horizon") == "short", 10).when(F.col("horizon") == "medium", 60).otherwise(180)
     move = F.greatest(F.lit(2.0), F.coalesce("volatility_30d", F.lit(25.0)) * F.sqrt(days / 252))
-    return rows.withColumns({n: C.half_even(p / again, digits) for n, p in zip(("p_bull", "p_base", "p_bear"), mixed)} | {"move": C.half_even(move, max(1, digits - 1))})
+    return rows.withColumns({n: C.half_even(p / again, digits) for n, p in zip(("p_bull", "p_base", "p_bear"), mixed)} | {"move": move if move_digits is None else C.half_even(move, move_digits)})
 
 
 def predictions_from(said: DataFrame, final: DataFrame, digits: int = 4) -> DataFrame:

@@ -307,9 +307,9 @@ _SCENARIOS = """SELECT stock_id, horizon, round(b0 / (b0 + b1 + b2), 2) AS p_bul
 
 @query(RESEARCH.rstrip() + f", radar AS ({_RADAR})\nSELECT stock_id, horizon, round(p_bull, 1) AS p_bull, round(p_base, 1) AS p_base, round(p_bear, 1) AS p_bear, round(move, 0) AS move FROM ({_SCENARIOS.replace(', 2) AS p_', ', 6) AS p_')})")
 def i27_j12_scenarios(spark, sf_dir):
-    """Probabilities to one digit here, since what they are reported to, two, differs by the order of sums."""
+    """Probabilities to one digit here, since what they are reported to, two, differs by the order of sums; the move is rounded once."""
     rows, radar = _verdicts(spark, sf_dir)
-    out = R.scenarios(rows.join(radar.select("stock_id", "volatility_30d"), "stock_id"), digits=6)
+    out = R.scenarios(rows.join(radar.select("stock_id", "volatility_30d"), "stock_id"), digits=6, move_digits=None)
     return out.select("stock_id", "horizon", *(F.round(p, 1).alias(p) for p in ("p_bull", "p_base", "p_bear")), F.round("move", 0).alias("move"))
 
 

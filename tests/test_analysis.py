@@ -1,8 +1,15 @@
 """The composed analysis on stocks of all kinds."""
 
+import math
+
+from pyspark.sql import functions as F
+
+from sparktide import queries_analysis
 from sparktide.operators.scoring import HORIZONS, WEIGHTS
 from sparktide.plans import analysis
 
+SF = "/root/testdata/sf0.001"
+
 
 def state(spark, *stocks):
     """Stocks of given scores; every component has the score of its horizon, or is null with it."""
@@ -32,3 +39,15 @@ def test_horizons_reasons_and_scenarios(spark):
     assert got[3]["horizons"][0]["rules"] == ["risk_high", "avoid_high", "score_weak"] and got[3]["horizons"][0]["weaknesses"] == list(WEIGHTS["short"])
     assert [h["outlook"] for h in got[4]["horizons"]] == ["short_of_data"] * 3 and got[4]["horizons"][0]["missing"] == list(WEIGHTS["short"])
     assert analysis.compose(given.limit(0), held, cited).count() == 0
+
+
+def nearly_half(monkeypatch):
+    """All stocks with a volatility whose move over ten days is 9.499998, which five digits make a half."""
+    whole = queries_analysis.context_of
+    monkeypatch.setattr(queries_analysis, "context_of", lambda spark, sf_dir: whole(spark, sf_dir).withColumn("volatility_30d", F.lit(9.499998 / math.sqrt(10 / 252))))
+
+
+def test_the_move_of_scenarios_is_rounded_once(spark, monkeypatch):
+    nearly_half(monkeypatch)
+    rows = queries_analysis.i27_j12_scenarios(spark, SF).where("horizon = 'short'").collect()
+    assert rows and {r["move"] for r in rows} == {9.0}
