@@ -59,15 +59,16 @@ def horizon_rows(state: DataFrame, held: DataFrame) -> DataFrame:
     return rows.select("stock_id", "symbol", "overall_risk", "volatility_30d", "h.*")
 
 
-def compose(state: DataFrame, held: DataFrame, cited: DataFrame, digits: int = 2) -> DataFrame:
+def compose(state: DataFrame, held: DataFrame, cited: DataFrame, digits: int = 2, move_digits: int | None = 1) -> DataFrame:
     """One nested report for each stock: ``(stock_id, symbol, risk, horizons, bull, bear)``.
 
     ``horizons`` is an array, shortest first, of score, advice, rules, outlook, fit, reasons, missing data and scenario;
     ``bull`` and ``bear`` are the codes of the cited statements ``(stock_id, case, rank, code)`` by rank. A stock without
-    metrics has its horizons with what is missing; one without statements has empty lists.
+    metrics has its horizons with what is missing; one without statements has empty lists. ``digits`` and ``move_digits`` are
+    those of the scenarios.
     """
     order = F.array_position(F.array(*map(F.lit, HORIZONS)), F.col("horizon")).alias("k")
-    rows = scenarios(horizon_rows(state, held), digits, max(1, digits - 1))
+    rows = scenarios(horizon_rows(state, held), digits, move_digits)
     scenario = F.struct(*(F.col(c) for c in ("p_bull", "p_base", "p_bear", "move"))).alias("scenario")
     each = F.struct(order, "horizon", "score", "coverage", "confidence", "recommendation", "perspective", "rules", "outlook", "fit", "strengths", "weaknesses", "missing", scenario)
     reports = rows.groupBy("stock_id").agg(F.any_value("symbol").alias("symbol"), F.any_value("overall_risk").alias("risk"), F.sort_array(F.collect_list(each)).alias("horizons"))  # three a stock

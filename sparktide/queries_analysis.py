@@ -373,10 +373,10 @@ FROM h LEFT JOIN ({ends}) e ON e.stock_id = h.stock_id AND e.horizon = h.horizon
 
 @query(_composed_sql())
 def j14_composed_analysis(spark, sf_dir):
-    """The nested reports, a row for each horizon; probabilities to one digit (see scenarios)."""
+    """The nested reports, a row for each horizon; probabilities to one digit and the move rounded once (see scenarios)."""
     context = context_of(spark, sf_dir)
     held = P.value_holdings(view(spark, sf_dir, "holdings"), context).where("price is not null")
-    reports = A.compose(context, held, ST.cited(ST.statements(context)), digits=6)
+    reports = A.compose(context, held, ST.cited(ST.statements(context)), digits=6, move_digits=None)
     csv = lambda c: F.array_join(c, ",").alias(c.split(".")[-1])
     rows = reports.select("symbol", "bull", "bear", F.explode("horizons").alias("h"))
     plain = ("horizon", "score", "coverage", "confidence", "recommendation", "perspective", "outlook", "fit")

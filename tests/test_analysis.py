@@ -51,3 +51,9 @@ def test_the_move_of_scenarios_is_rounded_once(spark, monkeypatch):
     nearly_half(monkeypatch)
     rows = queries_analysis.i27_j12_scenarios(spark, SF).where("horizon = 'short'").collect()
     assert rows and {r["move"] for r in rows} == {9.0}
+
+
+def test_the_move_of_composed_reports_is_rounded_once(spark, monkeypatch):
+    nearly_half(monkeypatch)
+    rows = queries_analysis.j14_composed_analysis(spark, SF).where("horizon = 'short'").collect()
+    assert rows and {r["move"] for r in rows} == {9.0}
